@@ -176,25 +176,29 @@ def align_subwords(
 # --- lines and offsets ------------------------------------------------------
 
 
-def lines(c: Column) -> Column:
-    """``array<struct<line_no,line_start,line>>`` with note-level offsets."""
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.expr("cast(array() as array<struct<line_no:int,line_start:int,line:string>>)").alias("out"),
-    )
+def pieces(c: Column, separator: str) -> Column:
+    """``array<struct<no,start,piece>>`` of a text cut at one-character separators.
+
+    ``start`` is the offset in the text; ``separator`` is a pattern.
+    """
+    empty = "cast(array() as array<struct<no:int,start:int,piece:string>>)"
+    start = F.struct(F.lit(0).alias("at"), F.expr(empty).alias("out"))
 
-    def step(acc: Column, line: Column) -> Column:
+    def step(acc: Column, piece: Column) -> Column:
         row = F.struct(
-            F.size(acc["out"]).alias("line_no"),
-            acc["at"].alias("line_start"),
-            line.alias("line"),
+            F.size(acc["out"]).alias("no"), acc["at"].alias("start"), piece.alias("piece")
         )
         return F.struct(
-            (acc["at"] + F.length(line) + 1).alias("at"),
+            (acc["at"] + F.length(piece) + 1).alias("at"),
             F.concat(acc["out"], F.array(row)).alias("out"),
         )
 
-    return F.aggregate(F.split(c, "\n"), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.split(c, separator), start, step, lambda acc: acc["out"])
+
+
+def lines(c: Column) -> Column:
+    """Lines of a note with their number and offset."""
+    return pieces(c, "\n")
 
 
 def locate_in_lines(c: Column, raw: Column) -> Column:
@@ -217,9 +221,9 @@ def locate_in_lines(c: Column, raw: Column) -> Column:
         def step(acc: Column, e: Column) -> Column:
             line = F.get(numbered, e["line_no"])
             pos = F.when(acc["line_no"] == e["line_no"], acc["pos"]).otherwise(F.lit(0))
-            hit = F.call_function("locate", e["word"], line["line"], pos + 1) - 1
+            hit = F.call_function("locate", e["word"], line["piece"], pos + 1) - 1
             found = hit >= 0
-            begin = F.when(found, hit + line["line_start"])
+            begin = F.when(found, hit + line["start"])
             item = F.struct(
                 e["word"].alias("term"),
                 begin.alias("start"),
