@@ -176,24 +176,65 @@ def align_subwords(
 # --- lines and offsets ------------------------------------------------------
 
 
+_BLOCK = 64
+
+
+def _fold_starts(sizes: Column, first: Column) -> Column:
+    start = F.struct(
+        first.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out")
+    )
+    return F.aggregate(
+        sizes,
+        start,
+        lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+
+
+def starts(sizes: Column) -> Column:
+    """Running total before each element of an integer array.
+
+    A fold copies its result at every step, so it runs over blocks: one short
+    fold for the block totals and one inside each block.
+    """
+
+    def by_block(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
+        return let(
+            _fold_starts(totals, F.lit(0)),
+            lambda firsts: F.flatten(
+                F.transform(blocks, lambda b, i: _fold_starts(b, F.get(firsts, i)))
+            ),
+        )
+
+    last = F.ceil(F.size(sizes) / _BLOCK).cast("int") - 1
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)),
+    )
+    return let(blocks, by_block)
+
+
 def pieces(c: Column, separator: str) -> Column:
     """``array<struct<no,start,piece>>`` of a text cut at one-character separators.
 
     ``start`` is the offset in the text; ``separator`` is a pattern.
     """
-    empty = "cast(array() as array<struct<no:int,start:int,piece:string>>)"
-    start = F.struct(F.lit(0).alias("at"), F.expr(empty).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        row = F.struct(
-            F.size(acc["out"]).alias("no"), acc["at"].alias("start"), piece.alias("piece")
-        )
-        return F.struct(
-            (acc["at"] + F.length(piece) + 1).alias("at"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
+    def numbered(parts: Column) -> Column:
+        return let(
+            starts(F.transform(parts, lambda p: F.length(p) + 1)),
+            lambda at: F.transform(
+                parts,
+                lambda p, i: F.struct(
+                    i.alias("no"), F.get(at, i).alias("start"), p.alias("piece")
+                ),
+            ),
         )
 
-    return F.aggregate(F.split(c, separator), start, step, lambda acc: acc["out"])
+    return let(F.split(c, separator), numbered)
 
 
 def lines(c: Column) -> Column:
