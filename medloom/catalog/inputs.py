@@ -69,10 +69,15 @@ def with_mentions(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text").join(hits, "doc_id")
 
 
-def mentions(t: Tables) -> DataFrame:
-    """One row per dictionary word: ``doc_id, text, start, end, surface, item_id``."""
-    return with_mentions(t).select("doc_id", "text", F.explode("found").alias("m")).select(
-        "doc_id", "text", "m.start", "m.end", "m.surface", "m.item_id"
+def mentions(t: Tables, *keep: Column) -> DataFrame:
+    """One row per dictionary word: ``doc_id, text, start, end, surface, item_id``.
+
+    ``keep`` are further columns computed once per document.
+    """
+    documents = with_mentions(t).select("doc_id", "text", "found", *keep)
+    rest = [c for c in documents.columns if c != "found"]
+    return documents.select(*rest, F.explode("found").alias("m")).select(
+        *rest, "m.start", "m.end", "m.surface", "m.item_id"
     )
 
 

@@ -110,8 +110,94 @@ pieces AS (
         FROM documents)
 ),
 mentions AS (
-  SELECT p.doc_id, d.text, p.off AS start, p.off + length(p.surface) AS stop, p.surface, t.item_id
+  SELECT p.doc_id, d.text, p.off::bigint AS start, (p.off + length(p.surface))::bigint AS stop, p.surface, t.item_id
   FROM (SELECT *, regexp_extract(piece, '^\p{L}+') AS surface FROM pieces) p
   JOIN terms t ON lower(p.surface) = t.word
   JOIN documents d ON d.doc_id = p.doc_id
 )"""
+
+
+# --- SQL text for the rules around a mention ----------------------------------
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_any(c: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({c}, {_lit(n)})" for n in needles) + ")"
+
+
+def sql_flags(source: str, rules) -> str:
+    """CTEs adding `in_clause` and `on_line` to rows with text, start, stop."""
+    gaps = ", ".join(
+        f"CASE WHEN contains(clause, {_lit(n)}) THEN instr(reverse(clause), reverse({_lit(n)})) - 1 + {len(n)} END"
+        for n in rules.negators
+    )
+    between = "right(clause, gap)"
+    for phrase in rules.blanked_phrases:
+        between = f"replace({between}, {_lit(phrase)}, '')"
+    first = " OR ".join(f"starts_with(line, {_lit(p)})" for p in rules.negated_line_starts)
+    return f"""ctx AS (
+  SELECT *, substr(text, 1, start) AS prefix, substr(text, stop + 1) AS suffix,
+         lower(regexp_extract(substr(text, 1, start), '[^.;\n]*$')) AS clause
+  FROM {source}),
+gaps AS (
+  SELECT *, least({gaps}) AS gap,
+         lower({sql_strip("regexp_extract(prefix, '[^\n]*$') || substr(text, start + 1, stop - start) || regexp_extract(suffix, '^[^\n]*')")}) AS line
+  FROM ctx),
+flags AS (
+  SELECT *, gap IS NOT NULL AND NOT {sql_any(between, rules.contrast_markers)} AS in_clause,
+         ({first}) AS on_line
+  FROM gaps)"""
+
+
+def sql_bounds(c: str, rules) -> str:
+    """A struct of the three section starts."""
+
+    def first(pattern: str, miss: str) -> str:
+        p = _lit(pattern)
+        return (
+            f"CASE WHEN regexp_matches({c}, {p}) THEN length(string_split_regex({c}, {p})[1]) ELSE {miss} END"
+        )
+
+    return (
+        f"struct_pack(s1 := {first(rules.history_header, '-1')}, "
+        f"s2 := {first(rules.present_header, f'length({c})')}, "
+        f"s3 := {first(rules.hospital_header, f'length({c})')})"
+    )
+
+
+def sql_in(values) -> str:
+    return "(" + ", ".join(_lit(v) for v in values) + ")"
+
+
+def sql_keep(term: str, kind: str, rules) -> str:
+    """The precision filter."""
+    return f"""({term} <> ''
+  AND NOT (length({term}) < 3 AND {term} NOT IN {sql_in(rules.short_terms)} AND coalesce({kind}, '') <> 'TÊN_XÉT_NGHIỆM')
+  AND {term} NOT IN {sql_in(rules.generic_terms)}
+  AND NOT (starts_with({term}, {_lit(rules.generic_prefix)}) AND len(string_split_regex({term}, '\\s+')) <= 2)
+  AND NOT (coalesce({kind}, '') = 'THUỐC' AND regexp_full_match({term}, {_lit('(?i)' + rules.dose_only)})))"""
+
+
+def sql_type(term: str, kind: str, disease: str, context: str, rules) -> str:
+    return f"""CASE WHEN {sql_any(term, rules.test_phrases)} OR {term} IN {sql_in(rules.test_names)} THEN 'TÊN_XÉT_NGHIỆM'
+  WHEN {disease} AND {sql_any(term, rules.symptoms)} THEN 'TRIỆU_CHỨNG'
+  WHEN coalesce({kind}, '') = 'TÊN_XÉT_NGHIỆM' AND {context} THEN 'THUỐC' ELSE {kind} END"""
+
+
+def sql_still_disease(term: str, disease: str, rules) -> str:
+    return f"""({disease} AND NOT {sql_any(term, rules.symptoms)} AND NOT {sql_any(term, rules.test_phrases)}
+  AND {term} NOT IN {sql_in(rules.test_names)})"""
+
+
+def sql_context(start: str, stop: str, rules) -> str:
+    """Drug context within 40 characters on either side."""
+    left = f"lower(substr(text, greatest({start} - 40, 0) + 1, least({start}, 40)))"
+    right = f"lower(substr(text, {stop} + 1, 40))"
+    # word boundaries are ASCII in this dialect
+    dose = rules.dose_after.replace("\\b", "(?:$|[^\\p{L}\\p{N}_])")
+    return (
+        f"(regexp_matches({right}, {_lit(dose)}) OR regexp_matches({left}, {_lit(rules.drug_before)}))"
+    )

@@ -15,6 +15,12 @@ from medloom import lexicon as lx
 # Whitespace as Python's str methods see it: Unicode spaces plus the four
 # ASCII separator controls.
 SPACE = r"[\s\x1c-\x1f]"
+# The same set as characters, for trimming without a regular expression.
+SPACES = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,11 +38,11 @@ def any_contains(c: Column, needles: Iterable[str]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U){SPACE}+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:

@@ -36,13 +36,14 @@ class Dictionaries:
 def typed_mentions(mentions: DataFrame, rules: Rules = VIETNAMESE) -> DataFrame:
     """Repair, filter, re-type, expand and assert mentions.
 
-    ``mentions``: ``doc_id, text, idx, start, end, label``.  The result has no
+    ``mentions``: ``doc_id, text, bounds, idx, start, end, label``; ``bounds`` are
+    the section bounds, computed once per note.  The result has no
     note text any more: ``doc_id, idx, term, display, kind, is_disease,
     assertions, start, end, result``; ``start``/``end`` are the printed span,
     assertions come from the span before a dose is taken in.
     """
     text = F.col("text")
-    kept = mentions.withColumn("bounds", cx.section_bounds(text, rules)).where(
+    kept = mentions.where(
         F.col("start").isNotNull()
         & F.col("label").isin([*lx.TAGGER_TYPE, *lx.DISEASE_LABELS])
     )
@@ -203,7 +204,10 @@ def process_notes(
     follows shuffles only mentions.  The typed mentions are written to the
     checkpoint folder because three branches read them.
     """
-    tagged = explode_mentions(note_mentions(notes, annotator), "doc_id", "text")
+    tagged = note_mentions(notes, annotator).withColumn(
+        "bounds", cx.section_bounds(F.col("text"), rules)
+    )
+    tagged = explode_mentions(tagged, "doc_id", "text", "bounds")
     typed = durable(typed_mentions(tagged, rules))
     return coded_entities(
         typed, dictionaries, encoder_vi, encoder_en or encoder_vi, split_ids=split_ids
