@@ -44,7 +44,7 @@ def before(c: Column, start: Column) -> Column:
 
 
 def after(c: Column, end: Column) -> Column:
-    return F.substring(c, end + 1, F.length(c))
+    return F.substring(c, end + 1, F.lit(2**31 - 1))
 
 
 def clause_before(prefix: Column, breaks: tuple[str, ...]) -> Column:
@@ -58,30 +58,34 @@ def line_around(prefix: Column, mention: Column, suffix: Column) -> Column:
 
 
 def starts_negated_line(line: Column, rules: Rules = VIETNAMESE) -> Column:
-    trimmed = F.lower(tx.strip(line))
-    return functools.reduce(
-        lambda a, b: a | b, [trimmed.startswith(p) for p in rules.negated_line_starts]
-    )
+    def opens(trimmed: Column) -> Column:
+        return functools.reduce(
+            lambda a, b: a | b, [trimmed.startswith(p) for p in rules.negated_line_starts]
+        )
+
+    return tx.let(F.lower(tx.strip(line)), opens)
 
 
 def is_negated_in_clause(clause: Column, rules: Rules = VIETNAMESE) -> Column:
     """A negator before the mention that no later contrast marker cancels."""
 
-    def verdict(low: Column) -> Column:
-        # distance from the mention back to the last use of each negator
-        gaps = [
-            F.when(
-                low.contains(n), F.length(F.substring_index(low, n, -1)) + len(n)
-            )
-            for n in rules.negators
-        ]
+    def back_to(low: Column, negator: str) -> Column:
+        # distance from the mention back to the last use of the negator
+        gap = F.length(F.substring_index(low, negator, -1)) + len(negator)
+        return F.when(low.contains(negator), gap)
+
+    def scope(low: Column) -> Column:
+        gaps = [back_to(low, n) for n in rules.negators]
         nearest = gaps[0] if len(gaps) == 1 else F.least(*gaps)
-        between = F.right(low, nearest)
+        text = tx.let(nearest, lambda n: F.when(n.isNotNull(), F.right(low, n)))
         for phrase in rules.blanked_phrases:
-            between = F.replace(between, F.lit(phrase), F.lit(""))
-        return nearest.isNotNull() & ~tx.any_contains(between, rules.contrast_markers)
+            text = F.replace(text, F.lit(phrase), F.lit(""))
+        return text
 
-    return tx.let(F.lower(clause), verdict)
+    def verdict(between: Column) -> Column:
+        return between.isNotNull() & ~tx.any_contains(between, rules.contrast_markers)
+
+    return tx.let(tx.let(F.lower(clause), scope), verdict)
 
 
 def is_negated(
@@ -190,18 +194,17 @@ def is_test_name(term: Column, rules: Rules = VIETNAMESE) -> Column:
 
 def passes_precision(term: Column, kind: Column, rules: Rules = VIETNAMESE) -> Column:
     """Keep a normalised term: not empty, too short, generic, or only a dose."""
-    is_test = F.coalesce(kind == lx.TEST_NAME, F.lit(False))
-    is_drug = F.coalesce(kind == lx.DRUG, F.lit(False))
-    too_short = (F.length(term) < 3) & ~term.isin(list(rules.short_terms)) & ~is_test
-    vague_feeling = term.startswith(rules.generic_prefix) & (F.size(tx.words(term)) <= 2)
-    only_dose = is_drug & term.rlike(f"(?iU)^(?:{rules.dose_only})$")
-    return (
-        (term != "")
-        & ~too_short
-        & ~term.isin(list(rules.generic_terms))
-        & ~vague_feeling
-        & ~only_dose
-    )
+
+    def judge(t: Column) -> Column:
+        is_test = F.coalesce(kind == lx.TEST_NAME, F.lit(False))
+        is_drug = F.coalesce(kind == lx.DRUG, F.lit(False))
+        too_short = (F.length(t) < 3) & ~t.isin(list(rules.short_terms)) & ~is_test
+        vague_feeling = t.startswith(rules.generic_prefix) & (F.size(tx.words(t)) <= 2)
+        only_dose = is_drug & t.rlike(f"(?iU)^(?:{rules.dose_only})$")
+        generic = t.isin(list(rules.generic_terms))
+        return (t != "") & ~too_short & ~generic & ~vague_feeling & ~only_dose
+
+    return tx.let(term, judge)
 
 
 def correct_type(
@@ -217,11 +220,19 @@ def correct_type(
     context becomes a drug; test keywords always make a test.  Returns
     ``struct<type, is_disease>``; ``type`` stays null while retrieval decides.
     """
-    symptom = is_disease & tx.any_contains(term, rules.symptoms)
-    step1 = F.when(symptom, F.lit(lx.SYMPTOM)).otherwise(kind)
-    step2 = F.when((step1 == lx.TEST_NAME) & drug_context, F.lit(lx.DRUG)).otherwise(step1)
-    keyword = is_test_name(term, rules)
-    return F.struct(
-        F.when(keyword, F.lit(lx.TEST_NAME)).otherwise(step2).alias("type"),
-        (is_disease & ~symptom & ~keyword).alias("is_disease"),
-    )
+
+    def decide(seen: Column) -> Column:
+        to_symptom = F.when(seen["symptom"], F.lit(lx.SYMPTOM)).otherwise(kind)
+        to_drug = F.when((kind == lx.TEST_NAME) & drug_context, F.lit(lx.DRUG)).otherwise(to_symptom)
+        return F.struct(
+            F.when(seen["test"], F.lit(lx.TEST_NAME)).otherwise(to_drug).alias("type"),
+            (is_disease & ~seen["symptom"] & ~seen["test"]).alias("is_disease"),
+        )
+
+    def look(t: Column) -> Column:
+        return F.struct(
+            (is_disease & tx.any_contains(t, rules.symptoms)).alias("symptom"),
+            is_test_name(t, rules).alias("test"),
+        )
+
+    return tx.let(tx.let(term, look), decide)

@@ -209,12 +209,14 @@ def starts(sizes: Column) -> Column:
             ),
         )
 
-    last = F.ceil(F.size(sizes) / _BLOCK).cast("int") - 1
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)),
-    )
-    return let(blocks, by_block)
+    def cut(all_sizes: Column) -> Column:
+        last = F.ceil(F.size(all_sizes) / _BLOCK).cast("int") - 1
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda b: F.slice(all_sizes, b * _BLOCK + 1, F.lit(_BLOCK)),
+        )
+
+    return let(let(sizes, cut), by_block)
 
 
 def pieces(c: Column, separator: str) -> Column:
