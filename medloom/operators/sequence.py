@@ -66,7 +66,7 @@ def repair_bio(tokens: Column, tag_map: dict[str, str] | None = None) -> Column:
 def bio_to_spans(tokens: Column) -> Column:
     """Entities of a tagged sentence with inclusive token ends."""
 
-    def spans(kinds: Column) -> Column:
+    def spans(ts: Column, kinds: Column) -> Column:
         def edge(t: Column, i: Column) -> Column:
             kind = F.get(kinds, i)
             goes_on = (
@@ -78,8 +78,8 @@ def bio_to_spans(tokens: Column) -> Column:
 
         def cut(edges: Column) -> Column:
             def span(start: Column, k: Column) -> Column:
-                end = F.coalesce(F.get(edges, k + 1), F.size(tokens)) - 1
-                part = F.slice(tokens, start + 1, end - start + 1)
+                end = F.coalesce(F.get(edges, k + 1), F.size(ts)) - 1
+                part = F.slice(ts, start + 1, end - start + 1)
                 return F.struct(
                     F.array_join(F.transform(part, lambda t: t["word"]), " ").alias("entity"),
                     F.get(kinds, start).alias("type"),
@@ -87,11 +87,20 @@ def bio_to_spans(tokens: Column) -> Column:
                     end.alias("end_token"),
                 )
 
-            return F.filter(F.transform(edges, span), lambda s: s["type"].isNotNull())
+            inside = F.filter(
+                F.transform(edges, lambda s, k: F.struct(s.alias("s"), k.alias("k"))),
+                lambda e: F.get(kinds, e["s"]).isNotNull(),
+            )
+            return F.transform(inside, lambda e: span(e["s"], e["k"]))
 
-        return let(_positions(F.transform(tokens, edge)), cut)
+        return let(_positions(F.transform(ts, edge)), cut)
 
-    return let(F.transform(tokens, lambda t: tag_type(t["tag"])), spans)
+    return let(
+        tokens,
+        lambda ts: let(
+            F.transform(ts, lambda t: tag_type(t["tag"])), lambda kinds: spans(ts, kinds)
+        ),
+    )
 
 
 def spans_to_bio(words: Column, spans: Column) -> Column:
@@ -101,16 +110,21 @@ def spans_to_bio(words: Column, spans: Column) -> Column:
     are ignored.
     """
 
-    def tag(i: Column) -> Column:
-        covering = F.filter(
-            spans,
-            lambda s: s["label"].isNotNull() & (s["start"] <= i) & (i <= s["end"]),
-        )
-        last = F.try_element_at(covering, F.lit(-1))
-        head = F.when(last["start"] == i, F.lit("B-")).otherwise(F.lit("I-"))
-        return F.coalesce(F.concat(head, last["label"]), F.lit("O"))
+    def tag(labelled: Column, i: Column) -> Column:
+        covering = F.filter(labelled, lambda s: (s["start"] <= i) & (i <= s["end"]))
 
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), tag(i).alias("tag")))
+        def name(last: Column) -> Column:
+            head = F.when(last["start"] == i, F.lit("B-")).otherwise(F.lit("I-"))
+            return F.coalesce(F.concat(head, last["label"]), F.lit("O"))
+
+        return let(F.try_element_at(covering, F.lit(-1)), name)
+
+    return let(
+        F.filter(spans, lambda s: s["label"].isNotNull()),
+        lambda labelled: F.transform(
+            words, lambda w, i: F.struct(w.alias("word"), tag(labelled, i).alias("tag"))
+        ),
+    )
 
 
 def split_underscores(tokens: Column) -> Column:
@@ -300,7 +314,7 @@ def locate_in_text(c: Column, found: Column) -> Column:
     ``found`` needs fields ``term``, ``start``, ``end``; others are kept.
     """
 
-    def run(low: Column, ordered: Column) -> Column:
+    def run(c: Column, low: Column, ordered: Column) -> Column:
         def step(acc: Column, e: Column) -> Column:
             hit = F.call_function("locate", F.lower(e["term"]), low, acc["pos"] + 1) - 1
             ok = hit >= 0
@@ -347,9 +361,14 @@ def locate_in_text(c: Column, found: Column) -> Column:
             .when(a["i"] > b["i"], 1)
             .otherwise(0),
         )
-        return let(F.transform(ranked, lambda k: k["e"]), lambda o: run(low, o))
+        return F.transform(ranked, lambda k: k["e"])
 
-    return let(F.lower(c), ordered_by_first)
+    return let(
+        c,
+        lambda text: let(
+            F.lower(text), lambda low: let(ordered_by_first(low), lambda o: run(text, low, o))
+        ),
+    )
 
 
 def merge_adjacent(c: Column, mentions: Column, gap: int = lx.MERGE_GAP) -> Column:
@@ -360,7 +379,7 @@ def merge_adjacent(c: Column, mentions: Column, gap: int = lx.MERGE_GAP) -> Colu
     from the text again, so a line break between the parts stays inside.
     """
 
-    def merge(ms: Column) -> Column:
+    def merge(c: Column, ms: Column) -> Column:
         def opens(m: Column, i: Column) -> Column:
             prev = F.get(ms, i - 1)
             joined = (prev["label"] == m["label"]) & (m["start"] - prev["end"] <= gap)
@@ -384,7 +403,7 @@ def merge_adjacent(c: Column, mentions: Column, gap: int = lx.MERGE_GAP) -> Colu
 
         return let(_positions(F.transform(ms, opens)), build)
 
-    return let(mentions, merge)
+    return let(c, lambda text: let(mentions, lambda ms: merge(text, ms)))
 
 
 def clean_terms(mentions: Column, min_length: int = lx.MIN_TERM_LENGTH) -> Column:
