@@ -299,10 +299,10 @@ DIMS = 64
 SQL_NGRAMS = f"""grams AS (
   SELECT name, substr('^' || name || '$', i::int, 3) AS g
   FROM (SELECT name, unnest(range(1, length(name) + 1)) AS i FROM names)),
-counts AS (SELECT name, ('0x' || substr(md5(g), 1, 8))::bigint % {DIMS} AS dim, count(*) AS n FROM grams GROUP BY ALL),
-norms AS (SELECT name, sqrt(sum(n * n)) AS norm FROM counts GROUP BY name),
+gram_counts AS (SELECT name, ('0x' || substr(md5(g), 1, 8))::bigint % {DIMS} AS dim, count(*) AS n FROM grams GROUP BY ALL),
+norms AS (SELECT name, sqrt(sum(n * n)) AS norm FROM gram_counts GROUP BY name),
 dots AS (
-  SELECT a.name AS q, b.name AS d, sum(a.n * b.n) AS dot FROM counts a JOIN counts b USING (dim) GROUP BY ALL),
+  SELECT a.name AS q, b.name AS d, sum(a.n * b.n) AS dot FROM gram_counts a JOIN gram_counts b USING (dim) GROUP BY ALL),
 sims AS (SELECT q, d, dot / (x.norm * y.norm) AS sim FROM dots JOIN norms x ON x.name = q JOIN norms y ON y.name = d)"""
 
 
