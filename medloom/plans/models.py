@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,13 +218,15 @@ class ModelEncoder:
                 cache["model"] = load()
             values, rows = texts.fillna("").tolist(), []
             for at in range(0, len(values), batch):
-                rows.extend([float(x) for x in v] for v in cache["model"](values[at : at + batch]))
+                found = np.asarray(cache["model"](values[at : at + batch]), dtype="float64")
+                length = np.linalg.norm(found, axis=1, keepdims=True)
+                rows.extend((found / np.where(length > 0, length, 1.0)).astype("float32"))
             return pd.Series(rows)
 
         self._encode = encode
 
     def vector(self, text: Column) -> Column:
-        return F.transform(unit(self._encode(text)), lambda x: x.cast("float"))
+        return self._encode(text)
 
 
 def dictionary_vectors(df: DataFrame, name: str, encoder: Encoder) -> DataFrame:
