@@ -54,7 +54,7 @@ def with_mentions(t: Tables) -> DataFrame:
         .join(dictionary_terms(t), "word")
         .groupBy("doc_id")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct(
                         "start",

@@ -300,10 +300,7 @@ def span_f1(t: Tables):
             .alias("tag"),
         ),
     )
-    sentences = _repaired(t).select(
-        F.struct("doc_id", "line_no").alias("at"), "tokens", guess.alias("guess")
-    )
-    return span_prf(sentences, "tokens", "guess", "at")
+    return span_prf(_repaired(t).withColumn("guess", guess), "tokens", "guess")
 
 
 @query(
@@ -411,7 +408,7 @@ def forward_offsets(t: Tables):
 def global_forward_offsets(t: Tables):
     """Distinct dictionary words per document, placed by forward search."""
     distinct = F.array_distinct(F.transform("found", lambda m: F.lower(m["surface"])))
-    order = F.array_sort(
+    order = F.sort_array(
         F.transform(
             distinct,
             lambda w: F.struct(

@@ -276,7 +276,7 @@ def multilabel(t: Tables):
        FROM conversations GROUP BY conv_id""",
 )
 def chat_roles(t: Tables):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     chats = t.conversations.groupBy("conv_id").agg(
         F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias(
             "messages"

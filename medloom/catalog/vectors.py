@@ -256,7 +256,7 @@ def dual_retrieval(t: Tables):
 def candidate_ids(t: Tables):
     sizes = F.collect_set(F.when(F.col("p_size") > 45, F.col("p_size").cast("string")))
     ids = t.part.groupBy("p_brand").agg(
-        F.array_join(F.array_sort(sizes), "|").alias("id")
+        F.array_join(F.sort_array(sizes), "|").alias("id")
     )
     return ids.select(
         "p_brand",

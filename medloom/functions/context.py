@@ -114,6 +114,14 @@ def is_negated(
     return F.coalesce(on_line, F.lit(False)) | F.coalesce(in_clause, F.lit(False))
 
 
+def assertion_flags(historical: Column | None, negated: Column) -> Column:
+    """Flags of a mention, history first."""
+    flags = [F.when(negated, F.lit(lx.NEGATED))]
+    if historical is not None:
+        flags.insert(0, F.when(historical, F.lit(lx.HISTORICAL)))
+    return F.array_compact(F.array(*flags))
+
+
 def assertions(
     c: Column,
     start: Column,
@@ -124,15 +132,12 @@ def assertions(
     line_rule: bool = True,
     strict_contrast: bool = False,
 ) -> Column:
-    """Assertion flags of a mention, history first; without bounds only negation."""
+    """Assertion flags of a mention; without bounds only negation."""
     negated = is_negated(
         before(c, start), tx.slice_text(c, start, end), after(c, end), rules,
         line_rule=line_rule, strict_contrast=strict_contrast,
     )
-    flags = [F.when(negated, F.lit(lx.NEGATED))]
-    if bounds is not None:
-        flags.insert(0, F.when(is_historical(start, bounds), F.lit(lx.HISTORICAL)))
-    return F.array_compact(F.array(*flags))
+    return assertion_flags(None if bounds is None else is_historical(start, bounds), negated)
 
 
 _SEPARATORS = r"\s!-/:-@\[-`{-~"  # ASCII whitespace and punctuation
@@ -147,10 +152,23 @@ def repair_boundaries(c: Column, start: Column, end: Column) -> Column:
     return F.struct((start - left).alias("start"), (end + right).alias("end"))
 
 
+def dose_length(suffix: Column, pattern: str = VIETNAMESE.dose_tail) -> Column:
+    """Length of a dose directly at the start of the text after a drug."""
+    return F.length(tx.rstrip(F.regexp_extract(suffix, f"(?iU){pattern}", 0)))
+
+
 def expand_drug(c: Column, end: Column, pattern: str = VIETNAMESE.dose_tail) -> Column:
     """End of a drug span once a directly following dose is taken in."""
-    tail = F.regexp_extract(after(c, end), f"(?iU){pattern}", 0)
-    return end + F.length(tx.rstrip(tail))
+    return end + dose_length(after(c, end), pattern)
+
+
+def drug_context(
+    prefix: Column, suffix: Column, rules: Rules = VIETNAMESE, window: int = lx.CONTEXT_CHARS
+) -> Column:
+    """A dose right after, or a word for taking medicine right before."""
+    left = F.lower(F.right(prefix, F.lit(window)))
+    right = F.lower(F.left(suffix, F.lit(window)))
+    return right.rlike(f"(?U){rules.dose_after}") | left.rlike(f"(?U){rules.drug_before}")
 
 
 def has_drug_context(
@@ -160,32 +178,39 @@ def has_drug_context(
     rules: Rules = VIETNAMESE,
     window: int = lx.CONTEXT_CHARS,
 ) -> Column:
-    """A dose right after, or a word for taking medicine right before."""
-    left = F.lower(tx.slice_text(c, F.greatest(start - window, F.lit(0)), start))
-    right = F.lower(F.substring(c, end + 1, F.lit(window)))
-    return right.rlike(f"(?U){rules.dose_after}") | left.rlike(f"(?U){rules.drug_before}")
+    """The same from the whole text and the offsets of the mention."""
+    near = tx.slice_text(c, F.greatest(start - window, F.lit(0)), start)
+    return drug_context(near, F.substring(c, end + 1, F.lit(window)), rules, window)
 
 
-def result_after(c: Column, end: Column) -> Column:
+def result_in(suffix: Column, end: Column) -> Column:
     """Rest of the line after a test name, without a leading `:` or `-`.
 
     Null when nothing is left.
     """
-    rest = F.substring_index(after(c, end), "\n", 1)
 
     def build(raw: Column) -> Column:
         value = tx.strip(F.regexp_replace(tx.strip(raw), rf"(?U)^[:\-]+{tx.SPACE}*", ""))
-        start = end + tx.find(raw, value)
-        return F.when(
-            value != "",
-            F.struct(
-                value.alias("text"),
-                start.alias("start"),
-                (start + F.length(value)).alias("end"),
-            ),
-        )
 
-    return tx.let(rest, build)
+        def place(found: Column) -> Column:
+            start = end + tx.find(raw, found)
+            return F.when(
+                found != "",
+                F.struct(
+                    found.alias("text"),
+                    start.alias("start"),
+                    (start + F.length(found)).alias("end"),
+                ),
+            )
+
+        return tx.let(value, place)
+
+    return tx.let(F.substring_index(suffix, "\n", 1), build)
+
+
+def result_after(c: Column, end: Column) -> Column:
+    """The same from the whole text and the end of the test name."""
+    return result_in(after(c, end), end)
 
 
 def is_test_name(term: Column, rules: Rules = VIETNAMESE) -> Column:

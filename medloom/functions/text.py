@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
+def staged(df: DataFrame, *cols: Column) -> DataFrame:
+    """Add columns that later steps use many times, each evaluated once.
+
+    The optimizer copies expensive expressions into filters and struct
+    extractions; it does not copy them through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*cols))))
+
+
 def any_contains(c: Column, needles: Iterable[str]) -> Column:
     tests = [c.contains(n) for n in needles]
     return functools.reduce(lambda a, b: a | b, tests, F.lit(False))

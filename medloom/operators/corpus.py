@@ -186,7 +186,7 @@ def gold_set(
         .where(F.col("_cls").isin(list(lx.MACRO_CLASSES)))
     )
     per_class = [
-        F.array_sort(F.collect_set(F.when(F.col("_cls") == c, F.col("cui")))).alias(c)
+        F.sort_array(F.collect_set(F.when(F.col("_cls") == c, F.col("cui")))).alias(c)
         for c in lx.MACRO_CLASSES
     ]
     return (
@@ -222,7 +222,7 @@ def map_labels(
         .join(dictionary, "_term", "left")
         .groupBy(ident)
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.when(F.col("_cui").isNotNull(), F.struct("_pos", "_cui"))
                 )

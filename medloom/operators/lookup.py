@@ -74,7 +74,7 @@ def vocabulary_codes(
     )
     # at most one entry per vocabulary key, so the collected map stays small
     return per_key.groupBy("cui").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "code")))).alias("codes")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "code")))).alias("codes")
     )
 
 
@@ -231,44 +231,42 @@ def build_drug_dictionary(
     handed to its terms, so term pairs are never listed.  Multi-valued cells are
     sorted and joined by ``|``.
     """
-    english = concepts.where(F.col("lat") == "ENG").withColumn("term", tx.strip(F.lower("term")))
-    drugs = english.where(F.col("sab") == "RXNORM").select("term", "rxcui", "tty")
-    id_terms = drugs.select("rxcui", "term").distinct()
-
+    sabs = {"SNOMEDCT_US": "snomed", "ATC": "atc", "DRUGBANK": "drugbank"}
+    sab = F.col("sab")
+    drug = F.struct(tx.strip(F.lower("term")).alias("term"), "tty")
+    ids = (
+        concepts.where((F.col("lat") == "ENG") & sab.isin("RXNORM", *sabs))
+        .groupBy("rxcui")
+        .agg(
+            F.collect_set(F.when(sab == "RXNORM", drug)).alias("names"),
+            *[F.collect_set(F.when(sab == s, F.col("code"))).alias(c) for s, c in sabs.items()],
+        )
+        .where(F.size("names") > 0)
+    )
     edges = (
         relations.where(F.col("rela").isin(list(relation_names)))
         .select("rxcui1", "rxcui2")
         .distinct()
     )
+    terms = F.array_distinct(F.transform("names", lambda n: n["term"]))
     ingredients = (
-        edges.join(id_terms.withColumnRenamed("rxcui", "rxcui2"), "rxcui2")
+        edges.join(ids.select(F.col("rxcui").alias("rxcui2"), terms.alias("terms")), "rxcui2")
         .groupBy(F.col("rxcui1").alias("rxcui"))
-        .agg(F.collect_set("term").alias("ingredients"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("ingredients"))
     )
-    foreign = (
-        english.where(F.col("sab").isin("SNOMEDCT_US", "ATC", "DRUGBANK"))
-        .groupBy("rxcui")
+    multi = ("ingredients", *sabs.values())
+    per_name = ids.join(ingredients, "rxcui", "left").select(
+        "rxcui", F.explode("names").alias("n"), *multi
+    )
+    return (
+        per_name.groupBy("n.term")
         .agg(
-            *[
-                F.collect_set(F.when(F.col("sab") == sab, F.col("code"))).alias(name)
-                for sab, name in (
-                    ("SNOMEDCT_US", "snomed"), ("ATC", "atc"), ("DRUGBANK", "drugbank"),
-                )
-            ]
+            F.collect_set("rxcui").alias("rxcui"),
+            F.collect_set("n.tty").alias("tty"),
+            *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in multi],
+        )
+        .select(
+            "term",
+            *[F.array_join(F.sort_array(c), "|").alias(c) for c in ("rxcui", "tty", *multi)],
         )
-    )
-    per_id = id_terms.join(ingredients, "rxcui", "left").join(foreign, "rxcui", "left")
-    multi = ("ingredients", "snomed", "atc", "drugbank")
-    codes = per_id.groupBy("term").agg(
-        *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in multi]
-    )
-    own = drugs.groupBy("term").agg(
-        F.collect_set("rxcui").alias("rxcui"), F.collect_set("tty").alias("tty")
-    )
-    return own.join(codes, "term").select(
-        "term",
-        *[
-            F.array_join(F.array_sort(c), "|").alias(c)
-            for c in ("rxcui", "tty", *multi)
-        ],
     )

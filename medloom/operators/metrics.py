@@ -12,6 +12,8 @@ from medloom.functions import text as tx
 from medloom.functions.similarity import word_error_rate
 from medloom.operators.sequence import bio_to_spans
 
+OVERALL = "ALL (micro)"
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -44,42 +46,70 @@ def set_counts(gold: DataFrame, pred: DataFrame, keys: Sequence[str], cls: str)
     )
 
 
+def _scores(counts: DataFrame, cls: str, overall: str) -> DataFrame:
+    grouped = counts.rollup(cls).agg(
+        F.grouping(cls).alias("pooled"),
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+    )
+    named = F.when(F.col("pooled") == 1, F.lit(overall)).otherwise(F.col(cls).cast("string"))
+    return precision_recall_f1(grouped.withColumn(cls, named).drop("pooled"))
+
+
 def set_prf(
     gold: DataFrame,
     pred: DataFrame,
     keys: Sequence[str],
     cls: str,
-    overall: str = "ALL (micro)",
+    overall: str = OVERALL,
 ) -> DataFrame:
     """Per-class scores and one row over pooled counts, a micro average."""
-    counts = set_counts(gold, pred, keys, cls)
-    grouped = counts.rollup(cls).agg(
-        F.grouping(cls).alias("pooled"),
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
-    )
-    named = F.when(F.col("pooled") == 1, F.lit(overall)).otherwise(F.col(cls).cast("string"))
-    return precision_recall_f1(grouped.withColumn(cls, named).drop("pooled"))
+    return _scores(set_counts(gold, pred, keys, cls), cls, overall)
 
 
-def span_prf(df: DataFrame, gold: str, pred: str, ident: str) -> DataFrame:
+def span_prf(df: DataFrame, gold: str, pred: str, overall: str = OVERALL) -> DataFrame:
     """Entity-level scores of tagged sentences.
 
     ``gold`` and ``pred`` are ``array<struct<word,tag>>`` of equal length;
-    positions whose gold tag is null are ignored.
+    positions whose gold tag is null are ignored.  Both span sets of a sentence
+    lie in its row, so they are compared there and only counts are shuffled.
     """
     kept = F.filter(
         F.zip_with(F.col(gold), F.col(pred), lambda g, p: F.struct(g.alias("g"), p.alias("p"))),
         lambda x: x["g"]["tag"].isNotNull(),
     )
-    both = df.select(ident, kept.alias("_x"))
 
-    def spans(side: str) -> DataFrame:
-        tokens = F.transform("_x", lambda x: x[side])
-        return both.select(ident, F.explode(bio_to_spans(tokens)).alias("s")).select(
-            ident, "s.type", "s.start_token", "s.end_token"
+    def spans(pairs: Column, side: str) -> Column:
+        # as text, which is compared by hashing; the type comes last
+        found = bio_to_spans(F.transform(pairs, lambda x: x[side]))
+        return F.transform(
+            found, lambda s: F.concat_ws("|", s["start_token"], s["end_token"], s["type"])
         )
 
-    return set_prf(spans("g"), spans("p"), [ident, "type", "start_token", "end_token"], "type")
+    def compare(pairs: Column) -> Column:
+        return tx.let(
+            spans(pairs, "g"),
+            lambda g: tx.let(
+                spans(pairs, "p"),
+                lambda p: F.concat(
+                    *[
+                        F.transform(items, lambda s: F.struct(s.alias("s"), F.lit(kind).alias("kind")))
+                        for items, kind in (
+                            (F.array_intersect(g, p), "tp"),
+                            (F.array_except(p, g), "fp"),
+                            (F.array_except(g, p), "fn"),
+                        )
+                    ]
+                ),
+            ),
+        )
+
+    items = df.select(F.explode(tx.let(kept, compare)).alias("x")).select(
+        F.regexp_replace("x.s", r"^\d+\|\d+\|", "").alias("type"), "x.kind"
+    )
+    counts = items.groupBy("type").agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")]
+    )
+    return _scores(counts, "type", overall)
 
 
 def weighted_total(text: Column, assertion: Column, candidate: Column) -> Column:

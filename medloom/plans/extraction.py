@@ -36,7 +36,10 @@ def explode_mentions(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def matched_mentions(notes: DataFrame, matcher: Matcher, codes: DataFrame | None) -> DataFrame:
-    """Best dictionary match per surface form and note, with offsets."""
+    """Best dictionary match per surface form and note, with offsets.
+
+    ``idx`` numbers the mentions of a note by falling similarity.
+    """
     sentences = notes.select(
         "doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_no", "sentence")
     )
@@ -56,11 +59,19 @@ def matched_mentions(notes: DataFrame, matcher: Matcher, codes: DataFrame | None
         F.col("r.similarity").alias("similarity"),
         F.coalesce("r.type", F.lit("Unknown")).alias("label"),
     )
-    listed = F.array_sort(F.collect_list(F.struct("first", item.alias("item"))))
+    listed = F.sort_array(F.collect_list(F.struct("first", item.alias("item"))))
     per_note = best.groupBy("doc_id").agg(F.transform(listed, lambda x: x["item"]).alias("found"))
+    located = sq.locate_in_text(F.col("text"), F.col("found"))
+    # most similar first; equal ones keep the order of the text
+    ranked = F.sort_array(
+        F.transform(
+            located,
+            lambda m, i: F.struct((-m["similarity"]).alias("s"), i.alias("i"), m.alias("m")),
+        )
+    )
     placed = (
         notes.join(per_note, "doc_id")
-        .select("doc_id", F.posexplode(sq.locate_in_text(F.col("text"), F.col("found"))).alias("idx", "m"))
+        .select("doc_id", F.posexplode(F.transform(ranked, lambda x: x["m"])).alias("idx", "m"))
         .select("doc_id", "idx", "m.*")
         .withColumn("category", tx.remap(F.col("label"), lx.SEMANTIC_CATEGORY))
     )
@@ -123,7 +134,7 @@ def class_mentions(
     ).drop("lang")
     # one text per note: classes are gathered before they meet it
     gathered = named.groupBy("doc_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("class_idx", "cui", "similarity", "canonical_name", "names"))
         ).alias("found")
     )
@@ -218,9 +229,7 @@ class Extractor:
             lang = {"short": "vi", "long": "en"}.get(dl_model, lang)
         notes = self.with_language(notes, lang)
         if self.mode == "quickumls":
-            return matched_mentions(notes, self.matcher, self.codes).orderBy(
-                "doc_id", F.desc("similarity"), "idx"
-            )
+            return matched_mentions(notes, self.matcher, self.codes)
         if self.mode == "doc_class":
             return self._per_language(
                 notes,

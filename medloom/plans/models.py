@@ -73,21 +73,20 @@ def _dictionary_hits(
 
         return F.flatten(F.transform(tokens, at))
 
-    rows = (
-        pieces.select(*keys, F.explode(tx.let(F.split(text, " "), grams)).alias("g"))
-        .select(
-            *keys, "g.start", "g.end",
-            tx.strip_punctuation(F.col("g.word")).alias("word"),
-        )
-        .withColumn("key", tx.normalise_term(F.col("word")))
-        .where(F.col("key") != "")
+    found = tx.staged(
+        pieces.select(*keys, F.explode(tx.let(F.split(text, " "), grams)).alias("g")),
+        tx.strip_punctuation(F.col("g.word")).alias("word"),
     )
+    rows = tx.staged(
+        found.select(*keys, "g.start", "g.end", "word").where(F.col("word") != ""),
+        tx.normalise_term(F.col("word")).alias("key"),
+    ).where(F.col("key") != "")
     fields = [c for c in terms.columns if c != "key"]
     hit = F.struct(
         F.col(line).cast("int").alias("line_no"), "start", (-F.col("end")).alias("_e"),
         "end", "word", F.struct(*fields).alias("hit"),
     )
-    ordered = F.array_sort(F.collect_list(hit))
+    ordered = F.sort_array(F.collect_list(hit))
     return (
         rows.join(terms, "key")
         .groupBy(*group)

@@ -42,43 +42,52 @@ def typed_mentions(mentions: DataFrame, rules: Rules = VIETNAMESE) -> DataFrame:
     assertions, start, end, result``; ``start``/``end`` are the printed span,
     assertions come from the span before a dose is taken in.
     """
-    text = F.col("text")
+    text, start, end = F.col("text"), F.col("start"), F.col("end")
     kept = mentions.where(
-        F.col("start").isNotNull()
-        & F.col("label").isin([*lx.TAGGER_TYPE, *lx.DISEASE_LABELS])
+        start.isNotNull() & F.col("label").isin([*lx.TAGGER_TYPE, *lx.DISEASE_LABELS])
     )
-    spans = kept.withColumn("span", cx.repair_boundaries(text, F.col("start"), F.col("end")))
-    named = spans.select(
-        "doc_id", "idx", "text", "bounds", "span.start", "span.end",
-        tx.slice_text(text, F.col("span.start"), F.col("span.end")).alias("term"),
-        tx.remap(F.col("label"), lx.TAGGER_TYPE, None).alias("kind"),
-        F.col("label").isin(list(lx.DISEASE_LABELS)).alias("is_disease"),
-    ).withColumn("name", tx.normalise_term(F.col("term"), rules.term_strip))
-    start, end = F.col("start"), F.col("end")
-    fixed = named.where(cx.passes_precision(F.col("name"), F.col("kind"), rules)).withColumn(
-        "fix",
+    spans = tx.staged(
+        kept.withColumnsRenamed({"start": "_start", "end": "_end"}),
+        cx.repair_boundaries(text, F.col("_start"), F.col("_end")).alias("span"),
+    ).select("doc_id", "idx", "text", "bounds", "label", "span.start", "span.end")
+    # each mention takes its surroundings along and leaves the note behind
+    cut = tx.staged(
+        spans,
+        cx.before(text, start).alias("prefix"),
+        tx.slice_text(text, start, end).alias("term"),
+        cx.after(text, end).alias("suffix"),
+    ).drop("text")
+    named = tx.staged(
+        cut,
+        tx.normalise_term(F.col("term"), rules.term_strip).alias("name"),
+        tx.remap(F.col("label"), lx.TAGGER_TYPE, None).alias("tagged"),
+        F.col("label").isin(list(lx.DISEASE_LABELS)).alias("disease"),
+    ).where(cx.passes_precision(F.col("name"), F.col("tagged"), rules))
+    prefix, term, suffix = F.col("prefix"), F.col("term"), F.col("suffix")
+    fixed = tx.staged(
+        named,
         cx.correct_type(
-            F.col("name"), F.col("kind"), F.col("is_disease"),
-            cx.has_drug_context(text, start, end, rules), rules,
-        ),
+            F.col("name"), F.col("tagged"), F.col("disease"),
+            cx.drug_context(prefix, suffix, rules), rules,
+        ).alias("fix"),
     )
     kind = F.col("fix.type")
-    shown = fixed.withColumn(
-        "shown",
-        F.when(kind == lx.DRUG, cx.expand_drug(text, end, rules.dose_tail)).otherwise(end),
-    )
+    dose = F.when(kind == lx.DRUG, cx.dose_length(suffix, rules.dose_tail)).otherwise(F.lit(0))
     in_hospital = (kind == lx.TEST_NAME) & (start >= F.col("bounds.s3"))
+    shown = tx.staged(fixed, dose.alias("dose"))
     return shown.select(
         "doc_id",
         "idx",
         "term",
-        tx.slice_text(text, start, F.col("shown")).alias("display"),
+        F.concat(term, F.left(suffix, F.col("dose"))).alias("display"),
         kind.alias("kind"),
         F.col("fix.is_disease").alias("is_disease"),
-        cx.assertions(text, start, end, F.col("bounds"), rules).alias("assertions"),
+        cx.assertion_flags(
+            cx.is_historical(start, F.col("bounds")), cx.is_negated(prefix, term, suffix, rules)
+        ).alias("assertions"),
         start,
-        F.col("shown").alias("end"),
-        F.when(in_hospital, cx.result_after(text, end)).alias("result"),
+        (end + F.col("dose")).alias("end"),
+        F.when(in_hospital, cx.result_in(suffix, end)).alias("result"),
     )
 
 

@@ -243,8 +243,10 @@ def rrf_fields(
     df: DataFrame, value: str, fields: dict[str, int], min_fields: int
 ) -> DataFrame:
     """Named columns of pipe-delimited lines; rows with too few fields are dropped."""
-    parts = df.select(F.split(tx.strip(F.col(value)), r"[|]").alias("_f"))
-    return parts.where(F.size("_f") >= min_fields).select(
+    parts = F.filter(
+        F.array(F.split(tx.strip(F.col(value)), r"\|")), lambda f: F.size(f) >= min_fields
+    )
+    return df.select(F.explode(parts).alias("_f")).select(
         *[F.get("_f", F.lit(at)).alias(name) for name, at in fields.items()]
     )
 

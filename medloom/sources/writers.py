@@ -27,7 +27,7 @@ def note_records(notes: DataFrame, entities: DataFrame, order: str = "entity_idx
     """``[doc_id, entities]``; notes without entities keep an empty list."""
     per_note = entities.groupBy("doc_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), entity_struct().alias("e")))),
+            F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), entity_struct().alias("e")))),
             lambda x: x["e"],
         ).alias("entities")
     )

@@ -170,7 +170,7 @@ def test_matching_mode(spark):
         [("sốt", "C1", "Finding", 0), ("ho khan", "C2", "Weird", 1)], "term string, cui string, type string, row_idx int"
     )
     notes = spark.createDataFrame([("1", "Ho khan. Sốt. ho khan, Ho khan")], "doc_id string, text string")
-    got = Extractor("quickumls", matcher=LexiconMatcher(concepts)).extract(notes).collect()
+    got = Extractor("quickumls", matcher=LexiconMatcher(concepts)).extract(notes).orderBy("idx").collect()
     assert [(r.term, r.start, r.category, r.cui) for r in got] == [
         ("Ho khan", 0, "Weird", "C2"), ("ho khan", 14, "Weird", "C2"), ("Sốt", None, "Phenotype", "C1"),
     ]
