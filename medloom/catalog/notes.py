@@ -457,12 +457,13 @@ class _LabelScorer:
 def extract_doc_class(t: Tables):
     none = F.lit(None).cast("string")
     kg = t.region.where(F.col("r_regionkey") == 0).select(
-        F.lit("C0").alias("uml_id"), F.lit("Of The").alias("name"), none.alias("medgemma_trans"),
+        F.concat(F.lit("C"), F.col("r_regionkey").cast("string")).alias("uml_id"), F.lit("Of The").alias("name"), none.alias("medgemma_trans"),
         F.lit("Que La").alias("qwen_trans"), F.lit("").alias("map_trans"),
         F.col("r_regionkey").alias("row_idx"),
     )
     mapped = t.part.select(
-        F.lit("C1").alias("mapped_cui"), F.col("p_name").alias("entity"),
+        F.concat(F.lit("C"), F.least(F.col("p_partkey") + 1, F.lit(1)).cast("string")).alias("mapped_cui"),
+        F.col("p_name").alias("entity"),
         F.col("p_partkey").alias("row_idx"),
     )
     classes = t.region.where(F.col("r_regionkey") < 2).select(

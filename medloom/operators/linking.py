@@ -55,16 +55,22 @@ def _in_blocks(
     cls = F.lit("") if class_column is None else F.col(class_column)
     q = queries.withColumn("_cls", cls)
     d = dictionary.withColumn("_cls", cls)
-    sizes = (
-        d.groupBy("_cls")
-        .agg(F.ceil(F.count("*") / dictionary_block).cast("int").alias("_nd"))
-        .join(
-            q.groupBy("_cls").agg(F.ceil(F.count("*") / query_block).cast("int").alias("_nq")),
-            "_cls",
+    blocks_d = F.ceil(F.count("*") / dictionary_block).cast("int").alias("_nd")
+    blocks_q = F.ceil(F.count("*") / query_block).cast("int").alias("_nq")
+    if class_column is None:
+        nd = F.greatest(d.agg(blocks_d).scalar(), F.lit(1))
+        nq = F.greatest(q.agg(blocks_q).scalar(), F.lit(1))
+
+        def sized(df: DataFrame) -> DataFrame:
+            return df.withColumn("_nd", nd).withColumn("_nq", nq)
+    else:
+        # one row per class label, a fixed vocabulary of a few entries
+        sizes = F.broadcast(
+            d.groupBy("_cls").agg(blocks_d).join(q.groupBy("_cls").agg(blocks_q), "_cls")
         )
-    )
-    # one row per class label, a fixed vocabulary of a few entries
-    sizes = F.broadcast(sizes)
+
+        def sized(df: DataFrame) -> DataFrame:
+            return df.join(sizes, "_cls")
 
     def part(c: str, n: str) -> Column:
         return F.pmod(F.xxhash64(c), F.col(n)).cast("int")
@@ -73,13 +79,13 @@ def _in_blocks(
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     d = (
-        d.join(sizes, "_cls")
+        sized(d)
         .withColumn("_d", part(row_id, "_nd"))
         .withColumn("_q", every("_nq"))
         .drop("_nd", "_nq")
     )
     q = (
-        q.join(sizes, "_cls")
+        sized(q)
         .withColumn("_q", part(query_id, "_nq"))
         .withColumn("_d", every("_nd"))
         .drop("_nd", "_nq")

@@ -90,24 +90,29 @@ def _witness(children: DataFrame, positives_parent: Column, positives_key: Colum
     other property of that one.
     """
     pool = children.select("row_idx", "parent_id", "name", _key(F.col("name")).alias("k"))
+    parent, k = F.col("parent_id"), F.col("k")
 
-    def one(*conditions: Column) -> Column:
+    def one(*conditions: Column):
+        """A single row, fetched so that the next condition is a constant."""
         rows = pool
         for c in conditions:
             rows = rows.where(c)
-        return rows.agg(F.min(F.struct("row_idx", "parent_id", "name", "k")).alias("w")).scalar()
-
-    parent, k = F.col("parent_id"), F.col("k")
-    a = one()
-    b = one(parent != a["parent_id"])
-    c = one(parent != a["parent_id"], k != b["k"])
-    d = one(k != a["k"])
-    e = one(k != a["k"], parent != d["parent_id"])
-
-    def fits(w: Column) -> Column:
-        return (w["parent_id"] != positives_parent) & (w["k"] != positives_key)
-
-    return F.coalesce(*[F.when(fits(w), w["name"]) for w in (a, b, c, d, e)])
+        return rows.agg(F.min(F.struct("row_idx", "parent_id", "name", "k")).alias("w")).first()["w"]
+
+    found = [a := one()]
+    if a is not None:
+        other_parent, other_name = parent != a["parent_id"], k != a["k"]
+        found.append(b := one(other_parent))
+        found.append(one(other_parent, k != b["k"]) if b else None)
+        found.append(d := one(other_name))
+        found.append(one(other_name, parent != d["parent_id"]) if d else None)
+
+    def usable(w) -> Column:
+        fits = (F.lit(w["parent_id"]) != positives_parent) & (F.lit(w["k"]) != positives_key)
+        return F.when(fits, F.lit(w["name"]))
+
+    witnesses = [usable(w) for w in found if w is not None]
+    return F.coalesce(*witnesses, F.lit(None).cast("string"))
 
 
 def negative_pairs(codes: DataFrame, positives: DataFrame, seed: int = lx.SEED) -> DataFrame:

@@ -30,7 +30,7 @@ def _positions(flags: Column) -> Column:
 
 def tag_type(tag: Column) -> Column:
     """Entity type of a BIO tag, null outside an entity."""
-    return F.when(tag.rlike("^[BI]-"), F.substring(tag, 3, 1 << 30))
+    return F.when(tag.startswith("B-") | tag.startswith("I-"), F.substring(tag, 3, 1 << 30))
 
 
 # --- BIO tags -------------------------------------------------------------
