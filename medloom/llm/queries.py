@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medloom.llm import decontaminate, line_dedup, mixing, preferences, token_scan, url_rules, warc
 from medloom.llm import exact_dedup as exact
-from medloom.llm import line_dedup, mixing, preferences, url_rules
+from medloom.llm.common import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +88,48 @@ def _op1(read):
     )
 
 
+SQL_DECONTAMINATION = rf"""
+WITH item_words AS (
+  SELECT item_id::varchar AS item_id, regexp_extract_all({SQL_FOLD.format("text")}, '{WORD}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS n,
+               unnest(range(1, len(w) - least(len(w), {decontaminate.WINDOW}) + 2)) AS i
+        FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all({SQL_FOLD.format("text")}, '{WORD}'), []) AS w FROM documents
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), found AS (
+  SELECT g.doc_id, g.i, g.n, w.item_id FROM grams g JOIN windows w ON g.n = w.n AND g.gram = w.gram
+), hit AS (
+  SELECT doc_id, count(DISTINCT at_word) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS at_word FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""
+
+
+@query("op2_decontamination", SQL_DECONTAMINATION)
+def _op2(read):
+    found = decontaminate.find_hits(read("documents").select("doc_id", "text"), read("benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 SQL_EXACT = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -136,6 +179,33 @@ def _op5(read):
     )
 
 
+SQL_WARC = f"""
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), grouped AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+         max(page_id) OVER (PARTITION BY payload) AS first
+  FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> first THEN first END AS refers_to
+FROM grouped
+"""
+
+
+@query("op6_warc", SQL_WARC)
+def _op6(read):
+    return warc.archive_pages(read("pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op7_token_counts")
+def _op7(read):
+    return token_scan.count_tokens(read("documents").select("doc_id", "text"))
+
+
 SQL_PREFERENCES = """
 WITH chosen AS (
   SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
