@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import decontaminate, line_dedup, mixing, preferences, token_scan, url_rules, warc
+from medloom.llm import decontaminate, line_dedup, mixing, preferences, token_scan, toxicity, url_rules, warc
 from medloom.llm import exact_dedup as exact
 from medloom.llm.common import WORD
 
@@ -263,3 +263,10 @@ FROM urls u LEFT JOIN best b ON u.host = b.host AND u.path = b.path
 @query("op9_url_rules", SQL_URLS)
 def _op9(read):
     return url_rules.judge(read("pages"))
+
+
+@query("op10_toxicity")
+def _op10(read):
+    docs = read("documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, read("labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "starts", "ends")
