@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import decontaminate, line_dedup, mixing, preferences, token_scan, toxicity, url_rules, warc
+from medloom.llm import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    near_dedup,
+    preferences,
+    token_scan,
+    toxicity,
+    url_rules,
+    warc,
+)
 from medloom.llm import exact_dedup as exact
 from medloom.llm.common import WORD
 
@@ -143,6 +153,11 @@ def _op3(read):
     return exact.exact_dedup(read("documents"))
 
 
+@query("op4_near_dedup")
+def _op4(read):
+    return near_dedup.near_dedup(read("documents").select("doc_id", "text"))
+
+
 SQL_MIXING = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,

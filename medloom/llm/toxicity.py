@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -358,12 +359,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     columns = [c for c in docs.columns if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rate(batches):
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         emissions = Emissions(shared.value)
         for texts in batches:
             yield pd.DataFrame(score_texts(texts.tolist(), shared.value, emissions), columns=["score", "starts", "ends"])
 
-    rated = F.pandas_udf(rate, SCORED, F.PandasUDFType.SCALAR_ITER)
+    rated = F.pandas_udf(rate, SCORED)
     return docs.select(*columns, rated("text").alias("__rated")).select(
         *columns,
         F.col("__rated.score").alias("score"),
