@@ -29,9 +29,15 @@ BREAK = "\n"
 
 
 def masked(line: Column) -> Column:
-    """Lower-cased line with single blanks and variable fields generalised."""
-    words = F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(words, FIELD, WILD)
+    """Lower-cased line with single blanks and variable fields generalised.
+
+    Most lines have neither stray blanks nor digits and skip the replacements.
+    """
+    line = F.lower(line)
+    single = F.when(
+        line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    ).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(single, FIELD, WILD)).otherwise(single)
 
 
 def _hash(*columns: Column) -> Column:
@@ -41,13 +47,9 @@ def _hash(*columns: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, m`` of all lines with a token."""
-    lines = F.posexplode(F.split("text", BREAK)).alias("line_no", "line")
-    return (
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", lines)
-        .select("doc_id", "line_no", masked(F.col("line")).alias("m"))
-        .where(F.col("m") != "")
-    )
+    # inside the generator, so that a line is rewritten once however often it is used
+    lines = F.posexplode(F.transform(F.split("text", BREAK), masked)).alias("line_no", "m")
+    return docs.where(F.col("text").isNotNull()).select("doc_id", lines).where(F.col("m") != "")
 
 
 def _leaf(m: Column, depth: int) -> Column:
