@@ -244,7 +244,7 @@ def telling(documents: list[list[str]], toxic: list[bool]) -> set[str]:
     return found
 
 
-def fit(texts: list[str], toxic: list[bool], rounds: int = 40, decay: float = 1e-3) -> Model:
+def fit(texts: list[str], toxic: list[bool], rounds: int = 80, decay: float = 1e-3) -> Model:
     """Fit chain and link to labelled texts.  Without both labels: scores near 0."""
     kept = unlike(texts)
     texts, toxic = [texts[i] for i in kept], [bool(toxic[i]) for i in kept]
@@ -296,16 +296,19 @@ def _fit_chain(model: Model, documents: list[list[str]], toxic: list[bool], mark
         slope = np.bincount(table.reshape(-1), np.repeat(by_kind, width), len(names) + 1) - decay * len(words) ** 0.5 * weights
         slope[-1] = 0
         sums += slope**2
-        weights += slope / np.sqrt(sums) * 0.5
+        weights += slope / np.sqrt(sums)
         rest_slope = np.concatenate(([miss.sum()], (seen_moves - moves).reshape(-1), seen_enter - enter)) - decay * rest
         rest_sums += rest_slope**2
-        rest += rest_slope / np.sqrt(rest_sums) * 0.3
+        rest += rest_slope / np.sqrt(rest_sums) * 0.5
     model.weights = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 0.02}
     model.bias, model.moves, model.enter = float(rest[0]), rest[1:5].reshape(2, 2), rest[5:]
 
 
 def _fit_link(model: Model, texts: list[str], toxic: list[bool]) -> None:
-    """Logistic regression of document labels on summaries, by Newton's method."""
+    """Logistic regression of document labels on summaries, by Newton's method.
+
+    Evidence never lowers a score, and a text without any is never called toxic.
+    """
     emissions = Emissions(model)
     x = np.array([summary(marginals(np.array([emissions[w] for w in words]), np.arange(len(words)) == 0, model.moves, model.enter)) for words in map(TOKENS.findall, texts)])
     y = np.array(toxic, float)
@@ -318,7 +321,7 @@ def _fit_link(model: Model, texts: list[str], toxic: list[bool]) -> None:
         link += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    model.link = link
+    model.link = np.concatenate(([min(link[0], -1.0)], np.maximum(link[1:], 0.0)))
 
 
 def sample_labels(labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
