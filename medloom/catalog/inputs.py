@@ -121,6 +121,6 @@ def tagged_lines(t: Tables) -> DataFrame:
         tx.words(F.col("line")),
         lambda w: F.struct(w.alias("word"), raw_tag(w).alias("tag")),
     )
-    return document_lines(t).select("doc_id", "line_no", tokens.alias("tokens")).where(
-        F.size("tokens") > 0
-    )
+    # a line with a word; the words themselves are made once, in the stage
+    lines = document_lines(t).where(F.col("line").rlike(f"(?U)[^{tx.SPACE[1:-1]}]"))
+    return tx.staged(lines, tokens.alias("tokens")).select("doc_id", "line_no", "tokens")

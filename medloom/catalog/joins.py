@@ -463,21 +463,17 @@ SQL_NEGATIVES = (
     SQL_CODE_PAIRS
     + """,
 own AS (SELECT name AS query_term, arg_min(parent_id, first_idx) AS parent_id FROM parents GROUP BY name),
-indexed AS (SELECT *, row_number() OVER (ORDER BY parent_id, md5('42~' || row_idx)) - 1 AS idx FROM children),
-ranges AS (SELECT parent_id, count(*) AS size, min(idx) AS low FROM indexed GROUP BY parent_id),
-asked AS (
-  SELECT p.row_idx, p.query_term, coalesce(size, 0) AS size, coalesce(low, 0) AS low,
-         (SELECT count(*) FROM children) AS total
-  FROM positives p JOIN own USING (query_term) LEFT JOIN ranges USING (parent_id)),
-draws AS (
-  SELECT *, ('0x' || substr(md5('42~' || draw || '~' || row_idx), 1, 12))::bigint % (total - size) AS o
-  FROM asked, range(6) r(draw)),
-picked AS (
-  SELECT d.row_idx, d.query_term, i.name,
-         row_number() OVER (PARTITION BY d.row_idx ORDER BY d.draw) AS rn
-  FROM draws d JOIN indexed i ON i.idx = d.o + CASE WHEN d.o >= d.low THEN d.size ELSE 0 END
-  WHERE lower(trim(i.name)) <> lower(trim(d.query_term))),
-negatives AS (SELECT row_idx, query_term, name AS matching_term FROM picked WHERE rn = 1)"""
+indexed AS (SELECT *, row_number() OVER (ORDER BY parent_id, md5(lower(trim(name))), md5('42~' || row_idx)) - 1 AS idx
+            FROM children),
+asked AS (SELECT p.row_idx, p.query_term, parent_id FROM positives p JOIN own USING (query_term)),
+eligible AS (
+  SELECT a.row_idx, a.query_term, i.name,
+         row_number() OVER (PARTITION BY a.row_idx ORDER BY i.idx) - 1 AS at_row,
+         count(*) OVER (PARTITION BY a.row_idx) AS n
+  FROM asked a JOIN indexed i ON i.parent_id <> a.parent_id AND lower(trim(i.name)) <> lower(trim(a.query_term))),
+negatives AS (
+  SELECT row_idx, query_term, name AS matching_term FROM eligible
+  WHERE at_row = ('0x' || substr(md5('42~' || row_idx), 1, 12))::bigint % n)"""
 )
 
 

@@ -8,11 +8,12 @@ from medloom import lexicon as lx
 from medloom.catalog.inputs import RULES, dictionary_terms, mentions
 from medloom.catalog.registry import (
     SQL_MENTIONS, SQL_TERMS, Tables, query, sql_bounds, sql_context, sql_flags, sql_keep,
-    sql_still_disease, sql_strip, sql_term, sql_type, sql_words,
+    sql_sentences, sql_still_disease, sql_strip, sql_term, sql_type, sql_words,
 )
 from medloom.catalog.sequences import SQL_FORWARD
 from medloom.functions import context as cx
 from medloom.functions import text as tx
+from medloom.functions.similarity import best_overlap
 from medloom.operators.lookup import vocabulary_codes
 from medloom.plans.extraction import Extractor
 from medloom.plans.models import LexiconAnnotator, LexiconMatcher, NgramEncoder, dictionary_vectors
@@ -198,14 +199,9 @@ _SQL_LABEL = """CASE WHEN left({0}, 1) IN ('t', 'l') THEN 'Procedure' WHEN left(
   WHEN left({0}, 1) IN ('o', 'i') THEN 'Drug' WHEN left({0}, 1) = 's' THEN 'Disease/Symptom' ELSE 'Other' END"""
 
 
-@query(
-    "typed_mentions",
-    "doc_id:bigint, start:bigint, end:bigint, term:string, display:string, kind:string, "
-    "is_disease:boolean, assertions:string, result:string, result_start:bigint",
-    f"""WITH {SQL_MENTIONS},
-        labelled AS (SELECT doc_id, text, start, stop, {_SQL_LABEL.format('lower(surface)')} AS label FROM mentions),
-        grown AS (
-          SELECT doc_id, text, label, start - length(regexp_extract(substr(text, 1, start), '{_WORD}*$')) AS start,
+# from `labelled` mentions to `typed` ones; `idx` numbers those of a document
+SQL_TYPED = f"""grown AS (
+          SELECT doc_id, text, idx, label, start - length(regexp_extract(substr(text, 1, start), '{_WORD}*$')) AS start,
                  stop + length(regexp_extract(substr(text, stop + 1), '^{_WORD}*')) AS stop
           FROM labelled WHERE label <> 'Other'),
         named AS (
@@ -224,13 +220,25 @@ _SQL_LABEL = """CASE WHEN left({0}, 1) IN ('t', 'l') THEN 'Procedure' WHEN left(
                  CASE WHEN kind = 'TÊN_XÉT_NGHIỆM' AND start >= b.s3
                       THEN regexp_extract(suffix, '^[^\\n]*') ELSE '' END AS rest
           FROM flags JOIN bounds USING (doc_id)),
-        valued AS (SELECT *, {SQL_RESULT} AS value FROM final)
-        SELECT doc_id, start, shown AS "end", substr(text, start + 1, stop - start) AS term,
-               substr(text, start + 1, shown - start) AS display, kind, is_disease,
-               concat_ws(',', CASE WHEN b.s1 <> -1 AND b.s1 <= start AND start < b.s2 THEN 'isHistorical' END,
-                         CASE WHEN on_line OR in_clause THEN 'isNegated' END) AS assertions,
-               nullif(value, '') AS result,
-               CASE WHEN value <> '' THEN stop + instr(rest, value) - 1 END AS result_start FROM valued""",
+        valued AS (SELECT *, {SQL_RESULT} AS value FROM final),
+        typed AS (
+          SELECT doc_id, idx, start, stop, shown, substr(text, start + 1, stop - start) AS term,
+                 substr(text, start + 1, shown - start) AS display, kind, is_disease,
+                 list_filter([CASE WHEN b.s1 <> -1 AND b.s1 <= start AND start < b.s2 THEN 'isHistorical' END,
+                              CASE WHEN on_line OR in_clause THEN 'isNegated' END], lambda x: x IS NOT NULL) AS assertions,
+                 nullif(value, '') AS result,
+                 CASE WHEN value <> '' THEN stop + instr(rest, value) - 1 END AS result_start FROM valued)"""
+
+
+@query(
+    "typed_mentions",
+    "doc_id:bigint, start:bigint, end:bigint, term:string, display:string, kind:string, "
+    "is_disease:boolean, assertions:string, result:string, result_start:bigint",
+    f"""WITH {SQL_MENTIONS},
+        labelled AS (SELECT doc_id, text, start AS idx, start, stop, {_SQL_LABEL.format('lower(surface)')} AS label FROM mentions),
+        {SQL_TYPED}
+        SELECT doc_id, start, shown AS "end", term, display, kind, is_disease,
+               array_to_string(assertions, ',') AS assertions, result, result_start FROM typed""",
 )
 def typed_mentions_query(t: Tables):
     bounds = cx.section_bounds(F.col("text"), RULES).alias("bounds")
@@ -275,10 +283,11 @@ SQL_MERGED = (
   merged AS (
     SELECT i.doc_id, i.label, arg_min(i.start, struct_pack(line_no, n))::bigint AS start,
            arg_max(i.stop, struct_pack(line_no, n))::bigint AS stop,
-           arg_min(i.term, struct_pack(line_no, n)) AS head, count(*) AS parts
+           arg_min(i.term, struct_pack(line_no, n)) AS head, count(*) AS parts,
+           min(struct_pack(line_no, n)) AS place
     FROM islands i GROUP BY i.doc_id, i.island, i.label),
   cleaned AS (
-    SELECT m.doc_id, m.label, m.start, m.stop, trim(CASE WHEN parts > 1 THEN substr(d.text, m.start + 1, m.stop - m.start)
+    SELECT m.doc_id, m.label, m.start, m.stop, m.place, trim(CASE WHEN parts > 1 THEN substr(d.text, m.start + 1, m.stop - m.start)
            ELSE head END, '{lx.PUNCTUATION.replace("'", "''")} ' || chr(9) || chr(10) || chr(13)) AS term
     FROM merged m JOIN documents d USING (doc_id)),
   extracted AS (SELECT * FROM cleaned WHERE length(term) >= 3)"""
@@ -367,8 +376,7 @@ def extract_linked(t: Tables):
     "label:string, cui:string, similarity:double, mesh:string",
     f"""WITH RECURSIVE {SQL_TERMS},
         sents AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS sent_no FROM (
-            SELECT doc_id, list_filter(list_transform(string_split(text, '.'), lambda x: {sql_strip('x')}),
-                                       lambda x: x <> '') AS ss FROM documents)),
+            SELECT doc_id, {sql_sentences('text')} AS ss FROM documents)),
         grams AS (
           SELECT doc_id, sent_no, i, trim(piece, '{lx.PUNCTUATION.replace("'", "''")} ' || chr(9) || chr(10) || chr(13)) AS word
           FROM (SELECT doc_id, sent_no, unnest(string_split(s, ' ')) AS piece,
@@ -478,8 +486,12 @@ def extract_doc_class(t: Tables):
 
 
 def _entities(t: Tables):
-    """Every note through tagging, rules, retrieval and re-ranking."""
-    encoder = NgramEncoder(DIMS)
+    """Every note through tagging, rules, retrieval and re-ranking.
+
+    Words are compared by token overlap, which SQL has; the default measure is
+    tested apart.
+    """
+    encoder = NgramEncoder(DIMS, raw=True)
     words = dictionary_terms(t).withColumn("label", _label(F.col("word")))
 
     def part(label: str, *columns):
@@ -494,15 +506,68 @@ def _entities(t: Tables):
         drug=part("Drug", F.concat(F.lit("R"), "word").alias("rxcui"), name),
         symptom=part("Disease/Symptom", name),
     )
-    return process_notes(_notes(t), _annotator(t), dictionaries, encoder, rules=RULES)
+    return process_notes(
+        _notes(t), _annotator(t), dictionaries, encoder, rules=RULES, lexical=best_overlap
+    )
+
+
+def _sql_overlap(query: str, name: str) -> str:
+    """Token overlap of two terms."""
+    a, b = (f"list_distinct({sql_words(f'lower({x})')})" for x in (query, name))
+    return f"(len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))))"
+
+
+def _sql_reranked(name: str, queries: str, label: str, prefix: str) -> str:
+    """CTE: the best of the three nearest words of a label by vector and wording."""
+    overlap = f"greatest({_sql_overlap('w.q', 'd')}, {_sql_overlap('w.q', f"'{prefix}' || d")})"
+    return f"""{name} AS (
+          SELECT q, sim, '{prefix}' || d AS id FROM (
+            SELECT q, d, sim, row_number() OVER (PARTITION BY q ORDER BY sim + {lx.LEXICAL_WEIGHT} * overlap DESC, rk) AS b FROM (
+              SELECT w.q, d, sim, {overlap} AS overlap, row_number() OVER (PARTITION BY w.q ORDER BY sim DESC, d) AS rk
+              FROM {queries} w JOIN close ON close.q = lower(w.q) JOIN terms ON word = d AND {_SQL_LABEL.format('word')} = '{label}'
+            ) WHERE rk <= {lx.RETRIEVED} AND sim >= {lx.CANDIDATE_FLOOR})
+          WHERE b = 1)"""
+
+
+SQL_ENTITIES = f"""{SQL_MERGED},
+  labelled AS (
+    SELECT doc_id, d.text, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS idx, start, stop, label
+    FROM extracted JOIN documents d USING (doc_id)),
+  placed_labelled AS (SELECT * FROM labelled WHERE start IS NOT NULL),
+  {SQL_TYPED.replace('FROM labelled', 'FROM placed_labelled')},
+  disease_terms AS (SELECT DISTINCT term AS q FROM typed WHERE is_disease),
+  drug_terms AS (SELECT DISTINCT display AS q FROM typed WHERE kind = '{lx.DRUG}'),
+  names AS (SELECT lower(q) AS name FROM disease_terms UNION SELECT lower(q) FROM drug_terms UNION SELECT word FROM terms),
+  {SQL_NGRAMS.replace('grams AS', 'ngrams AS', 1).replace('FROM grams', 'FROM ngrams')},
+  close AS (SELECT q, d, round(sim, 12) AS sim FROM sims),
+  {_sql_reranked('diagnoses', 'disease_terms', 'Disease', 'D')},
+  {_sql_reranked('drugs', 'drug_terms', 'Drug', 'R')},
+  symptoms AS (
+    SELECT w.q, max(sim) AS sim FROM disease_terms w JOIN close ON close.q = lower(w.q)
+    JOIN terms ON word = d AND {_SQL_LABEL.format('word')} = 'Disease/Symptom' WHERE sim >= {lx.DIAGNOSIS_FLOOR} GROUP BY w.q),
+  diseases AS (
+    SELECT w.q, d.sim >= coalesce(s.sim, -1) AND d.sim >= {lx.DIAGNOSIS_FLOOR} AS is_diagnosis, d.id
+    FROM disease_terms w LEFT JOIN diagnoses d USING (q) LEFT JOIN symptoms s USING (q)),
+  coded AS (
+    SELECT t.*, CASE WHEN is_disease THEN CASE WHEN d.is_diagnosis THEN '{lx.DIAGNOSIS}' ELSE '{lx.SYMPTOM}' END ELSE kind END AS type,
+           CASE WHEN is_disease AND d.is_diagnosis THEN [d.id] WHEN r.sim >= {lx.DRUG_FLOOR} THEN [r.id] ELSE [] END AS ids
+    FROM typed t LEFT JOIN diseases d ON is_disease AND t.term = d.q
+    LEFT JOIN drugs r ON kind = '{lx.DRUG}' AND t.display = r.q),
+  entities AS (
+    SELECT doc_id, idx * 2 AS entity_idx, display AS text, type, assertions, start, shown AS stop,
+           CASE WHEN type IN ('{lx.DIAGNOSIS}', '{lx.DRUG}') THEN ids END AS candidates FROM coded
+    UNION ALL
+    SELECT doc_id, idx * 2 + 1, result, '{lx.TEST_RESULT}', [], result_start, result_start + length(result), []
+    FROM coded WHERE result IS NOT NULL)"""
 
 
-# Re-ranking uses the gestalt ratio, which SQL lacks; the stages before it are
-# checked by typed_mentions and extract_ner, the whole by a test.
 @query(
     "note_entities",
     "doc_id:bigint, entity_idx:bigint, text:string, type:string, assertions:string, start:bigint, "
     "end:bigint, candidates:string",
+    SQL_ENTITIES
+    + """ SELECT doc_id, entity_idx, text, type, array_to_string(assertions, ',') AS assertions, start, stop AS "end",
+          array_to_string(candidates, ',') AS candidates FROM entities""",
 )
 def note_entities(t: Tables):
     return _entities(t).withColumn("assertions", F.array_join("assertions", ",")).withColumn(
@@ -510,6 +575,16 @@ def note_entities(t: Tables):
     )
 
 
-@query("note_records", "doc_id:bigint, json:string")
+@query(
+    "note_records",
+    "doc_id:bigint, json:string",
+    SQL_ENTITIES
+    + """, records AS (
+    SELECT doc_id, string_agg(CASE
+             WHEN candidates IS NULL THEN to_json(struct_pack(text, type, assertions, position := [start, stop]))
+             ELSE to_json(struct_pack(text, type, assertions, position := [start, stop], candidates)) END, ','
+             ORDER BY entity_idx) AS json FROM entities GROUP BY doc_id)
+  SELECT doc_id, '[' || coalesce(json, '') || ']' AS json FROM documents LEFT JOIN records USING (doc_id)""",
+)
 def note_records(t: Tables):
     return note_json(_notes(t), _entities(t))

@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.sources.readers import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,12 +24,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @property
-    def documents(self) -> DataFrame:
-        """The long texts, spread over all cores when they are few."""
-        path = f"{self.folder}/documents.parquet"
-        return spread(self.spark.read.parquet(path).select("doc_id", "text", "lang", "source"))
-
 
 def _columns(spec: str) -> list[tuple[str, str]]:
     return [tuple(part.strip().split(":")) for part in spec.split(",")]
@@ -73,6 +65,11 @@ def sql_collapse(c: str) -> str:
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
+def sql_sentences(c: str) -> str:
+    marked = f"regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {sql_strip('s')}), lambda s: s <> '')"
+
+
 def sql_words(c: str) -> str:
     return f"list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')"
 

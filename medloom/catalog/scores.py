@@ -10,7 +10,7 @@ from medloom.catalog.notes import DIMS, SQL_NGRAMS
 from medloom.catalog.registry import SQL_MENTIONS, Tables, query
 from medloom.operators import metrics as mt
 from medloom.plans.models import NgramEncoder
-from medloom.plans.scoring import evaluate, generated_entities
+from medloom.plans.scoring import evaluate, generated_entities, predictions
 
 SQL_PRF = """ratios AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::double ELSE 0 END AS precision,
                       CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::double ELSE 0 END AS recall FROM counts)
@@ -27,20 +27,28 @@ SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precis
         counts AS (SELECT coalesce(lang, 'ALL (micro)') AS lang, count(*) FILTER (g AND p) AS tp,
                           count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn
                    FROM pairs GROUP BY ROLLUP (lang)),
-        {SQL_PRF}""",
+        scores AS ({SQL_PRF.replace("ratios AS", "WITH ratios AS", 1)})
+        SELECT * FROM scores UNION ALL
+        SELECT 'ALL (macro)', NULL, NULL, NULL, avg(precision), avg(recall), avg(f1) FROM scores
+        WHERE lang <> 'ALL (micro)'""",
 )
 def set_prf(t: Tables):
     gold = t.documents.join(t.labels.where(F.col("quality") == 1), "doc_id").select("lang", "doc_id")
     pred = t.documents.where(F.length("text") > 1500).select("lang", "doc_id")
-    return mt.set_prf(gold, pred, ["lang", "doc_id"], "lang")
+    return mt.set_prf(gold, pred, ["lang", "doc_id"], "lang", macro=True)
 
 
 def _mention_entities(t: Tables):
-    """Mentions as output entities; some have a wrong span, type, flag or candidate list."""
+    """Mentions as output entities; some have a wrong note, span, type, flag or candidate list."""
+    end = (
+        F.when(F.col("item_id") == 3, F.col("end") - 1)
+        .when(F.col("item_id") == 12, F.col("start"))
+        .otherwise(F.col("end"))
+    )
     return mentions(t).select(
-        "doc_id",
+        F.when(F.col("item_id") == 11, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"),
         F.col("start"),
-        F.when(F.col("item_id") == 3, F.col("end") - 1).otherwise(F.col("end")).alias("end"),
+        end.alias("end"),
         F.col("surface").alias("text"),
         F.when(F.col("item_id") == 5, "OTHER").otherwise(lx.SYMPTOM).alias("type"),
         F.when(F.col("item_id") == 7, F.array(F.lit("isWrong")))
@@ -55,8 +63,9 @@ def _mention_entities(t: Tables):
     "entities:bigint, unknown_note:bigint, text_mismatch:bigint, bad_position:bigint, unknown_type:bigint, "
     "unknown_assertion:bigint, repeated_candidate:bigint",
     f"""WITH {SQL_MENTIONS}
-        SELECT count(*) AS entities, 0 AS unknown_note, count(*) FILTER (item_id = 3) AS text_mismatch,
-               0 AS bad_position, count(*) FILTER (item_id = 5) AS unknown_type,
+        SELECT count(*) AS entities, count(*) FILTER (item_id = 11) AS unknown_note,
+               count(*) FILTER (item_id IN (3, 12)) AS text_mismatch,
+               count(*) FILTER (item_id = 12) AS bad_position, count(*) FILTER (item_id = 5) AS unknown_type,
                count(*) FILTER (item_id = 7) AS unknown_assertion,
                count(*) FILTER (item_id = 9) AS repeated_candidate FROM mentions""",
 )
@@ -68,7 +77,7 @@ def _scored(t: Tables):
     """Gold and predicted entities; predictions lose, add and change some."""
     found = mentions(t)
     gold = found.select(
-        "doc_id", F.lit("A").alias("type"), "start", F.lower("surface").alias("text"),
+        "doc_id", F.lit("A").alias("type"), "start", F.concat(F.lower("surface"), F.lit(" of two sides")).alias("text"),
         F.when(F.col("item_id") < 10, F.array(F.lit("isNegated"), F.lit("isHistorical")))
         .otherwise(F.array(F.lit("isNegated")))
         .alias("assertions"),
@@ -78,9 +87,14 @@ def _scored(t: Tables):
         "doc_id",
         F.when(F.col("item_id") == 8, "B").otherwise("A").alias("type"),
         "start",
-        F.when(F.col("item_id") == 6, F.concat(F.lower("surface"), F.lit(" more")))
-        .otherwise(F.lower("surface"))
-        .alias("text"),
+        # of four words one is lost, one changed, or one is too many
+        F.concat(
+            F.lower("surface"),
+            F.when(F.col("item_id") % 5 == 1, " two sides")
+            .when(F.col("item_id") % 5 == 2, " of 2 sides")
+            .when(F.col("item_id") % 5 == 3, " of the two wrong sides")
+            .otherwise(" of two sides"),
+        ).alias("text"),
         F.array(F.lit("isNegated")).alias("assertions"),
         F.when(F.col("item_id") < 30, F.array(F.lit("c1"))).alias("candidates"),
     )
@@ -95,7 +109,7 @@ def _scored(t: Tables):
           SELECT item_id, item_id NOT IN (4, 8) AS hit, true AS gold FROM mentions
           UNION ALL SELECT item_id, false, false FROM mentions WHERE item_id = 8),
         parts AS (
-          SELECT CASE WHEN NOT hit THEN 0 WHEN item_id = 6 THEN 0 ELSE 1 END AS t,
+          SELECT CASE WHEN NOT hit THEN 0 WHEN item_id % 5 IN (1, 2) THEN 0.75 WHEN item_id % 5 = 3 THEN 0.5 ELSE 1 END AS t,
                  CASE WHEN NOT hit THEN 0 WHEN item_id < 10 THEN 0.5 ELSE 1 END AS a,
                  CASE WHEN NOT hit THEN 0 WHEN item_id < 20 THEN 0.5 WHEN item_id < 30 THEN 0 ELSE 1 END AS c,
                  CASE WHEN gold AND item_id < 20 THEN 3 ELSE 1 END AS w FROM pairs),
@@ -178,14 +192,18 @@ SQL_LINK_SCORES = f"""WITH {SQL_MENTIONS},
 _SPEC = "cls:string, tp:bigint, fp:bigint, fn:bigint, precision:double, recall:double, f1:double"
 
 
-@query("linking_scores", _SPEC, SQL_LINK_SCORES)
-def linking_scores(t: Tables):
-    """Words cut by a letter, linked again and scored."""
+def _cut_words(t: Tables):
+    """Dictionary words cut by a letter."""
     word = F.lower("surface")
-    entities = mentions(t).select(
+    return mentions(t).select(
         "doc_id", F.left(word, F.length(word) - 1).alias("entity"), _macro(word).alias("cls")
     )
-    return evaluate(_gold_sets(t), entities, _concepts(t), NgramEncoder(DIMS))
+
+
+@query("linking_scores", _SPEC, SQL_LINK_SCORES)
+def linking_scores(t: Tables):
+    """Words cut by a letter, linked again and scored."""
+    return evaluate(_gold_sets(t), _cut_words(t), _concepts(t), NgramEncoder(DIMS))
 
 
 @query("generated_linking_scores", _SPEC, SQL_LINK_SCORES)
@@ -205,3 +223,30 @@ def generated_linking_scores(t: Tables):
     )
     entities = generated_entities(answers, F.col("answer"))
     return evaluate(_gold_sets(t), entities, _concepts(t), NgramEncoder(DIMS))
+
+
+@query(
+    "linking_predictions",
+    "doc_id:bigint, predicted:string, linked:string",
+    SQL_LINK_SCORES[: SQL_LINK_SCORES.index("gold AS (SELECT DISTINCT")].rstrip().rstrip(",")
+    + """
+        SELECT d.doc_id,
+               coalesce((SELECT string_agg(entity || '=' || cls, '|' ORDER BY entity, cls) FROM entities e WHERE e.doc_id = d.doc_id), '') AS predicted,
+               coalesce((SELECT string_agg(cui || '=' || cls, '|' ORDER BY cui, cls) FROM pred p WHERE p.doc_id = d.doc_id), '') AS linked
+        FROM documents d""",
+)
+def linking_predictions(t: Tables):
+    """What is found and linked in each note, for the words of `linking_scores`."""
+    found = predictions(
+        t.documents.select("doc_id"), _cut_words(t), _concepts(t), NgramEncoder(DIMS)
+    )
+
+    def printed(name: str, field: str):
+        pairs = F.transform(name, lambda x: F.concat_ws("=", x[field], x["cls"]))
+        return F.array_join(pairs, "|")
+
+    return found.select(
+        "doc_id",
+        printed("predicted_entities", "entity").alias("predicted"),
+        printed("linked_entities", "cui").alias("linked"),
+    )

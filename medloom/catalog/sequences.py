@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
@@ -138,21 +139,31 @@ def spans_to_bio(t: Tables):
     return tagged.select("doc_id", "line_no", "tok", "x.word", "x.tag")
 
 
+#: the text with blank lines; both dialects read it
+SQL_BLANKED = (
+    "replace(replace(text, concat(chr(10), 'T'), concat(chr(10), chr(10), 'T')), "
+    "concat(chr(10), 'A'), concat(chr(10), ' ', chr(10), chr(10), 'A'))"
+)
+
+
 @query(
     "conll_parse",
     "doc_id:bigint, sent_no:bigint, tok:bigint, word:string, tag:string",
-    # no document has a blank line, so each is one sentence
-    f"""WITH {SQL_LINES},
-        fields AS (SELECT doc_id, line_no, string_split(trim(line), ' ') AS f FROM lines
-                   WHERE len(string_split(trim(line), ' ')) >= 2)
-        SELECT doc_id, 0 AS sent_no,
-               row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS tok,
+    # blank lines are put before lines that open with T, and before some at once two
+    f"""WITH broken AS (SELECT doc_id, string_split({SQL_BLANKED}, chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM broken),
+        blocks AS (
+          SELECT doc_id, line_no, string_split(trim(line), ' ') AS f,
+                 sum((trim(line) = '')::int) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM lines),
+        fields AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS sent_no FROM blocks WHERE len(f) >= 2)
+        SELECT doc_id, sent_no,
+               row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY line_no) - 1 AS tok,
                f[1] AS word, f[-1] AS tag FROM fields""",
 )
 def conll_parse(t: Tables):
     return (
         t.documents.select(
-            "doc_id", F.posexplode(readers.conll_sentences(F.col("text"))).alias("sent_no", "tokens")
+            "doc_id", F.posexplode(readers.conll_sentences(F.expr(SQL_BLANKED))).alias("sent_no", "tokens")
         )
         .select("doc_id", "sent_no", F.posexplode("tokens").alias("tok", "x"))
         .select("doc_id", "sent_no", "tok", "x.word", "x.tag")
@@ -190,35 +201,75 @@ def underscore_split(t: Tables):
     )
 
 
-@query(
-    "subword_alignment",
-    "doc_id:bigint, line_no:bigint, pos:bigint, piece:string, label:bigint",
-    f"""WITH {SQL_REPAIRED},
+SQL_PIECES = f"""{SQL_REPAIRED},
         pieces AS (
           SELECT doc_id, line_no, tok, tag, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k
           FROM (SELECT *, regexp_extract_all(word, '.{{1,4}}') AS ps FROM repaired)),
-        framed AS (
-          SELECT doc_id, line_no, tok, k, piece, CASE WHEN k > 1 THEN -100 ELSE CASE tag
+        labelled AS (
+          SELECT doc_id, line_no, piece, CASE WHEN k > 1 THEN -100 ELSE CASE tag
                  WHEN 'B-Disease/Symptom' THEN 1 WHEN 'I-Disease/Symptom' THEN 2
                  WHEN 'B-Procedure/Treatment' THEN 3 WHEN 'I-Procedure/Treatment' THEN 4
-                 WHEN 'B-Drug' THEN 5 WHEN 'I-Drug' THEN 6 ELSE 0 END END AS label FROM pieces
-          UNION ALL SELECT DISTINCT doc_id, line_no, -1, 0, '[CLS]', -100 FROM repaired
-          UNION ALL SELECT DISTINCT doc_id, line_no, 1000000000, 0, '[SEP]', -100 FROM repaired
-          UNION ALL SELECT doc_id, line_no, 1000000001, g, '[PAD]', -100
-                    FROM (SELECT DISTINCT doc_id, line_no FROM repaired), range(32) r(g)),
-        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY tok, k) - 1 AS pos
-                     FROM framed)
-        SELECT doc_id, line_no, pos, piece, label FROM numbered WHERE pos < 32""",
+                 WHEN 'B-Drug' THEN 5 WHEN 'I-Drug' THEN 6 ELSE 0 END END AS label,
+                 row_number() OVER (PARTITION BY doc_id, line_no ORDER BY tok, k) - 1 AS pos FROM pieces),
+        contents AS (SELECT doc_id, line_no, list(piece ORDER BY pos) AS ps, list(label ORDER BY pos) AS ls
+                     FROM labelled GROUP BY doc_id, line_no)"""
+
+
+def _sql_framed(source: str, length: int) -> str:
+    """Pieces and labels of `ps`, `ls` framed, padded and printed."""
+    pad = f"list_transform(range({length}), lambda i: "
+
+    def line(values: str, first: str, last: str, fill: str) -> str:
+        return f"array_to_string(([{first}] || {values} || [{last}] || {pad}{fill}))[1:{length}], ' ')"
+
+    return (
+        f"{line(f'{source}ps', repr('[CLS]'), repr('[SEP]'), repr('[PAD]'))} AS pieces, "
+        f"{line(f'{source}ls', '-100', '-100', '-100')} AS labels"
+    )
+
+
+def _pieces() -> Column:
+    return F.transform(
+        "tokens", lambda x: F.regexp_extract_all(x["word"], F.lit("(.{1,4})"), F.lit(1))
+    )
+
+
+def _printed(aligned: Column) -> list[Column]:
+    """Pieces and labels as text: one row per sentence, whatever its length."""
+    return [
+        F.array_join(F.transform(aligned, lambda x: x["piece"]), " ").alias("pieces"),
+        F.array_join(F.transform(aligned, lambda x: x["label"].cast("string")), " ").alias("labels"),
+    ]
+
+
+@query(
+    "subword_alignment",
+    "doc_id:bigint, line_no:bigint, pieces:string, labels:string",
+    # the cut at the model's length is the feature; the windows below lose nothing
+    f"WITH {SQL_PIECES} SELECT doc_id, line_no, {_sql_framed('', 256)} FROM contents",
 )
 def subword_alignment(t: Tables):
-    pieces = F.transform(
-        "tokens", lambda x: F.regexp_extract_all(x["word"], F.lit("(.{1,4})"), F.lit(1))
+    aligned = tx.staged(
+        _repaired(t), sq.align_subwords(F.col("tokens"), _pieces()).alias("aligned")
     )
-    aligned = sq.align_subwords(F.col("tokens"), pieces, max_length=32)
+    return aligned.select("doc_id", "line_no", *_printed(F.col("aligned")))
+
+
+@query(
+    "subword_windows",
+    "doc_id:bigint, line_no:bigint, part:bigint, pieces:string, labels:string",
+    f"""WITH {SQL_PIECES},
+        windows AS (
+          SELECT doc_id, line_no, part, ps[part * 20 + 1:part * 20 + 30] AS ps, ls[part * 20 + 1:part * 20 + 30] AS ls
+          FROM (SELECT *, unnest(range(0, greatest(ceil((len(ps) - 30) / 20)::bigint, 0) + 1)) AS part FROM contents))
+        SELECT doc_id, line_no, part, {_sql_framed('', 32)} FROM windows""",
+)
+def subword_windows(t: Tables):
+    windows = sq.subword_windows(F.col("tokens"), _pieces(), max_length=32, overlap=10)
     return (
         _repaired(t)
-        .select("doc_id", "line_no", F.posexplode(aligned).alias("pos", "x"))
-        .select("doc_id", "line_no", "pos", "x.piece", "x.label")
+        .select("doc_id", "line_no", F.posexplode(windows).alias("part", "x"))
+        .select("doc_id", "line_no", "part", *_printed(F.col("x")))
     )
 
 

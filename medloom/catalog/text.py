@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from medloom import lexicon as lx
 from medloom.catalog.inputs import document_lines
 from medloom.catalog.registry import (
-    SQL_LINES, Tables, query, sql_strip, sql_term, sql_words,
+    SQL_LINES, Tables, query, sql_sentences, sql_strip, sql_term, sql_words,
 )
 from medloom.functions import text as tx
 from medloom.functions.similarity import gestalt, word_error_rate
@@ -94,14 +94,30 @@ def clean_text_training(t: Tables):
 @query(
     "sentence_split",
     "doc_id:bigint, sent_no:bigint, sentence:string",
+    # some words get a decimal, an exclamation or a question mark
+    f"""SELECT doc_id, unnest(sentences) AS sentence,
+               generate_subscripts(sentences, 1) - 1 AS sent_no
+        FROM (SELECT doc_id, {sql_sentences("replace(replace(replace(text, ' the ', ' 5.5 '), ' of ', '! '), ' la ', '?! ')")} AS sentences
+              FROM documents)""",
+)
+def sentence_split(t: Tables):
+    text = F.col("text")
+    for word, mark in ((" the ", " 5.5 "), (" of ", "! "), (" la ", "?! ")):
+        text = F.replace(text, F.lit(word), F.lit(mark))
+    return t.documents.select("doc_id", F.posexplode(tx.sentences(text)).alias("sent_no", "sentence"))
+
+
+@query(
+    "sentence_split_at_points",
+    "doc_id:bigint, sent_no:bigint, sentence:string",
     f"""SELECT doc_id, unnest(sentences) AS sentence,
                generate_subscripts(sentences, 1) - 1 AS sent_no
         FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '.'),
                 lambda s: {sql_strip('s')}), lambda s: s <> '') AS sentences FROM documents)""",
 )
-def sentence_split(t: Tables):
+def sentence_split_at_points(t: Tables):
     return t.documents.select(
-        "doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_no", "sentence")
+        "doc_id", F.posexplode(tx.sentences(F.col("text"), at_points=True)).alias("sent_no", "sentence")
     )
 
 
@@ -159,8 +175,26 @@ def gestalt_ratio(t: Tables):
     )
 
 
-# Edit distance over words has no SQL counterpart; tests use a table of costs.
-@query("word_error_rate", "conv_id:bigint, turn:bigint, wer:double")
+# a row of the distance table per gold word; within a row, a running minimum
+@query(
+    "word_error_rate",
+    "conv_id:bigint, turn:bigint, wer:double",
+    f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, {sql_words('text')} AS ws FROM conversations),
+        pairs AS (SELECT b.conv_id, b.turn, a.ws AS g, b.ws AS p
+                  FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+        steps AS (
+          SELECT conv_id, turn, g, p, 0 AS i, range(0, len(p) + 1) AS costs FROM pairs
+          UNION ALL
+          SELECT conv_id, turn, g, p, i + 1,
+                 list_transform(range(0, len(p) + 1), lambda j: j + list_min(shifted[1:j + 1])) AS costs
+          FROM (
+            SELECT *, list_transform(range(0, len(p) + 1), lambda j:
+                     CASE WHEN j = 0 THEN costs[1] + 1
+                          ELSE least(costs[j + 1] + 1, costs[j] + CASE WHEN g[i + 1] = p[j] THEN 0 ELSE 1 END) END - j) AS shifted
+            FROM steps WHERE i < len(g)))
+        SELECT conv_id, turn, CASE WHEN len(g) > 0 THEN costs[-1] / len(g)::double WHEN len(p) > 0 THEN 1.0 ELSE 0.0 END AS wer
+        FROM steps WHERE i = len(g)""",
+)
 def wer(t: Tables):
     return _turn_pairs(t).select(
         "conv_id", "turn", word_error_rate(F.col("before"), F.col("now")).alias("wer")

@@ -52,6 +52,17 @@ def best_lexical(query: Column, *cells: Column) -> Column:
     return _best_of(query, synonyms(*cells))
 
 
+def best_overlap(query: Column, *cells: Column) -> Column:
+    """Best token overlap of ``query`` with any name in a dictionary row."""
+    return F.coalesce(
+        F.array_max(F.transform(synonyms(*cells), lambda n: tx.token_jaccard(query, n))), F.lit(0.0)
+    )
+
+
+#: code points that are left for words; a pair of texts with more is an error
+MOST_WORDS = 0x10FFFF - 0x10000
+
+
 def _as_code_points(tokens: Column, vocabulary: Column) -> Column:
     """One code point per word, so edit distance over words is over characters."""
 
@@ -78,7 +89,12 @@ def word_error_rate(gold: Column, pred: Column) -> Column:
                     .otherwise(F.lit(0.0))
                 )
 
-            return tx.let(F.array_distinct(F.concat(g, p)), encoded)
+            many = F.raise_error(F.lit("more different words than word_error_rate can number"))
+            vocabulary = tx.let(
+                F.array_distinct(F.concat(g, p)),
+                lambda v: F.when(F.size(v) > MOST_WORDS, many.cast("array<string>")).otherwise(v),
+            )
+            return tx.let(vocabulary, encoded)
 
         return tx.let(tx.words(pred), against)
 

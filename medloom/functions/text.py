@@ -118,8 +118,13 @@ def clean_training(c: Column) -> Column:
     )
 
 
-def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[.]"), strip), lambda s: s != "")
+def sentences(c: Column, *, at_points: bool = False) -> Column:
+    """Sentences: cut after a run of ``.``, ``!`` or ``?`` that whitespace follows.
+
+    ``at_points`` is the plain fallback: cut at every ``.``, which is dropped.
+    """
+    cut = "[.]" if at_points else f"(?U)(?<=[.!?]){SPACE}+"
+    return F.filter(F.transform(F.split(c, cut), strip), lambda s: s != "")
 
 
 def first_nonempty(*cols: Column) -> Column:

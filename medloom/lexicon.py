@@ -309,3 +309,8 @@ class Rules:
 
 
 VIETNAMESE = Rules()
+
+
+def model_language(lang: str) -> str:
+    """The model a language goes to: English has its own, the rest share one."""
+    return "en" if lang == "en" else "vi"

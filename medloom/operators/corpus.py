@@ -155,9 +155,11 @@ def gold_set(
     and cleans for training.  Sentences without a mapped entity are left out.
     """
     clean = tx.clean_gold if class_from == "ontology" else tx.clean_training
+    # cleaned terms are staged: joins and filters would clean them again
+    truths = tx.staged(successful(truth), F.lower(clean(F.col("entity"))).alias("_term"))
     dictionary = last_by(
-        successful(truth).select(
-            F.lower(clean(F.col("entity"))).alias("_term"),
+        truths.select(
+            "_term",
             F.col(truth_order).alias("_o"),
             F.col("mapped_cui").alias("cui"),
             tx.remap(F.col("mapped_type"), lx.GOLD_CLASS, None).alias("_onto"),
@@ -171,14 +173,12 @@ def gold_set(
     )
     # parse answers only of sentences in the split
     wanted = semi_join_text(turns, "text", kept, "text")
-    mentions = wanted.select(
+    entities = wanted.select(
         ident, "text", F.explode(F.from_json("_answer", schemas.ENTITY_JSON)).alias("e")
-    ).select(
-        ident,
-        "text",
-        F.lower(clean(F.coalesce("e.entity", F.lit("")))).alias("_term"),
-        F.col("e.type").alias("_type"),
     )
+    mentions = tx.staged(
+        entities, F.lower(clean(F.coalesce("e.entity", F.lit("")))).alias("_term")
+    ).select(ident, "text", "_term", F.col("e.type").alias("_type"))
     cls = F.col("_onto") if class_from == "ontology" else F.col("_type")
     mapped = (
         mentions.join(dictionary, "_term")

@@ -24,6 +24,8 @@ from medloom.operators.lookup import best_by
 
 DICTIONARY_BLOCK = 50_000
 QUERY_BLOCK = 20_000
+#: queries a block has at least before more blocks are made for idle cores
+LEAST_QUERIES = 256
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -35,11 +37,15 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+#: decimals of a similarity; equal ones stay equal however a product is summed
+DECIMALS = 12
+
+
 def _similarities(queries: pa.Table, rows: pa.Table, step: int = 512):
     """Yield (offset, similarity block); `step` bounds the dense block in memory."""
     q, d = _matrix(queries.column("vector")), _matrix(rows.column("vector")).T
     for at in range(0, len(q), step):
-        yield at, q[at : at + step] @ d
+        yield at, np.round(q[at : at + step] @ d, DECIMALS)
 
 
 def _in_blocks(
@@ -51,22 +57,35 @@ def _in_blocks(
     dictionary_block: int,
     query_block: int,
 ):
-    """Co-grouped query and dictionary blocks."""
+    """Co-grouped query and dictionary blocks.
+
+    Memory sets the most rows of a block.  Where that gives fewer pairs of blocks
+    than shuffle partitions, queries are cut finer, as long as blocks keep a useful
+    size; a dictionary of many blocks is so never copied for the sake of cores.
+    """
+    wanted = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cls = F.lit("") if class_column is None else F.col(class_column)
     q = queries.withColumn("_cls", cls)
     d = dictionary.withColumn("_cls", cls)
     blocks_d = F.ceil(F.count("*") / dictionary_block).cast("int").alias("_nd")
-    blocks_q = F.ceil(F.count("*") / query_block).cast("int").alias("_nq")
+    rows_q = F.count("*").alias("_rq")
+
+    def blocks_q(rows: Column, nd: Column) -> Column:
+        by_cores = F.least(F.ceil(F.lit(wanted) / nd), F.ceil(rows / LEAST_QUERIES))
+        return F.greatest(F.ceil(rows / query_block), by_cores, F.lit(1)).cast("int")
+
     if class_column is None:
         nd = F.greatest(d.agg(blocks_d).scalar(), F.lit(1))
-        nq = F.greatest(q.agg(blocks_q).scalar(), F.lit(1))
+        nq = blocks_q(q.agg(rows_q).scalar(), nd)
 
         def sized(df: DataFrame) -> DataFrame:
             return df.withColumn("_nd", nd).withColumn("_nq", nq)
     else:
         # one row per class label, a fixed vocabulary of a few entries
         sizes = F.broadcast(
-            d.groupBy("_cls").agg(blocks_d).join(q.groupBy("_cls").agg(blocks_q), "_cls")
+            d.groupBy("_cls").agg(blocks_d)
+            .join(q.groupBy("_cls").agg(rows_q), "_cls")
+            .select("_cls", "_nd", blocks_q(F.col("_rq"), F.col("_nd")).alias("_nq"))
         )
 
         def sized(df: DataFrame) -> DataFrame:
@@ -180,6 +199,35 @@ def _top_columns(block: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
+class _Overlaps:
+    """Token overlap of a term with every wording of a block at once.
+
+    Wordings are listed by token, so the common tokens of a term are counted from
+    the lists of its own tokens.
+    """
+
+    def __init__(self, wordings: list):
+        sets = [_tokens(w) for w in wordings]
+        self.sizes = np.array([len(s) for s in sets])
+        listed: dict[str, list[int]] = {}
+        for i, tokens in enumerate(sets):
+            for token in tokens:
+                listed.setdefault(token, []).append(i)
+        self.listed = {token: np.array(at) for token, at in listed.items()}
+
+    def of(self, term) -> np.ndarray:
+        own = _tokens(term)
+        hits = [self.listed[t] for t in own if t in self.listed]
+        both = np.bincount(np.concatenate(hits), minlength=len(self.sizes)) if hits else np.zeros(len(self.sizes))
+        either = len(own) + self.sizes - both
+        # two texts without tokens agree fully
+        return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+
+
+def _tokens(value) -> frozenset:
+    return frozenset(str(value).lower().split())
+
+
 def link_by_class(
     mentions: DataFrame,
     concepts: DataFrame,
@@ -200,11 +248,6 @@ def link_by_class(
     ``canonical_name``; unlinked mentions get null, 1.0 and their own term.
     """
 
-    def overlap(a: frozenset, b: frozenset) -> float:
-        if not a or not b:
-            return 1.0 if not a and not b else 0.0
-        return len(a & b) / len(a | b)
-
     def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
         q_at, r_at, found, scores = [], [], [], []
         if queries.num_rows and rows.num_rows:
@@ -212,7 +255,7 @@ def link_by_class(
             # copies of one wording share an overlap, so each is scored once
             wording = rows.column("entity").combine_chunks().dictionary_encode()
             codes = wording.indices.to_numpy()
-            tokens = [frozenset(str(e).lower().split()) for e in wording.dictionary.to_pylist()]
+            overlaps = _Overlaps(wording.dictionary.to_pylist())
             terms = queries.column("term").to_pylist()
             for at, block in _similarities(queries, rows):
                 for i, sims in enumerate(block):
@@ -220,14 +263,13 @@ def link_by_class(
                     if not near.size:
                         continue
                     kinds, first = np.unique(codes[near], return_index=True)
-                    mine = frozenset(str(terms[at + i]).lower().split())
-                    score, place = max(
-                        (overlap(mine, tokens[c]), -near[f]) for c, f in zip(kinds, first)
-                    )
+                    score = overlaps.of(terms[at + i])[kinds]
+                    # the highest overlap, then the lowest row
+                    place = near[first[score == score.max()]].min()
                     q_at.append([at + i])
-                    r_at.append([-place])
-                    found.append([sims[-place]])
-                    scores.append([score])
+                    r_at.append([place])
+                    found.append([sims[place]])
+                    scores.append([score.max()])
         return _hits(
             queries, rows, query_id, row_id, q_at, r_at, {"sim": found, "overlap": scores}
         )

@@ -13,6 +13,7 @@ from medloom.functions.similarity import word_error_rate
 from medloom.operators.sequence import bio_to_spans
 
 OVERALL = "ALL (micro)"
+MACRO = "ALL (macro)"
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -55,15 +56,31 @@ def _scores(counts: DataFrame, cls: str, overall: str) -> DataFrame:
     return precision_recall_f1(grouped.withColumn(cls, named).drop("pooled"))
 
 
+def macro_row(scores: DataFrame, cls: str, overall: str = OVERALL, name: str = MACRO) -> DataFrame:
+    """Plain means of the classes' scores; such a row has no counts."""
+    means = [F.avg(c).alias(c) for c in ("precision", "recall", "f1")]
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("tp", "fp", "fn")]
+    mean = scores.where(F.col(cls) != overall).agg(*means)
+    return mean.select(F.lit(name).alias(cls), *none, "precision", "recall", "f1").where(
+        F.col("f1").isNotNull()
+    )
+
+
 def set_prf(
     gold: DataFrame,
     pred: DataFrame,
     keys: Sequence[str],
     cls: str,
     overall: str = OVERALL,
+    *,
+    macro: bool = False,
 ) -> DataFrame:
-    """Per-class scores and one row over pooled counts, a micro average."""
-    return _scores(set_counts(gold, pred, keys, cls), cls, overall)
+    """Per-class scores and one row over pooled counts, a micro average.
+
+    With ``macro`` also a row of the classes' mean scores.
+    """
+    scores = _scores(set_counts(gold, pred, keys, cls), cls, overall)
+    return scores.unionByName(macro_row(scores, cls, overall)) if macro else scores
 
 
 def span_prf(df: DataFrame, gold: str, pred: str, overall: str = OVERALL) -> DataFrame:

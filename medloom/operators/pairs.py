@@ -10,9 +10,9 @@ from medloom import lexicon as lx
 from medloom.functions import text as tx
 from medloom.operators.lookup import first_by, last_by
 from medloom.operators.sampling import seeded_sample, shuffle_key
+from medloom.session import durable
 
 PARENT_LENGTH = 3
-_DRAWS = 6
 
 
 def _key(c: Column) -> Column:
@@ -45,86 +45,79 @@ def parent_child_pairs(codes: DataFrame) -> DataFrame:
     )
 
 
-def _draw(ident: Column, draw: Column, seed: int, size: Column) -> Column:
-    digest = F.md5(F.concat_ws("~", F.lit(str(seed)), draw.cast("string"), ident.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), size)
+def _draw(ident: Column, seed: int, size: Column) -> Column:
+    return F.pmod(F.conv(F.substring(shuffle_key(ident, seed), 1, 12), 16, 10).cast("long"), size)
 
 
-def _index_children(children: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Number all children 0.. so that those of a parent are contiguous.
+def _index_children(children: DataFrame, seed: int) -> DataFrame:
+    """``idx, parent_id, k, drawn``: children numbered 0.. by parent, name, key.
 
-    Ranking happens inside (parent, key prefix) cells, so a parent with most of
-    the children is spread over many tasks.
+    Children of a parent are contiguous, and within it those of a name.  Numbers
+    add up from counts by parent (a bounded set of prefixes), by a prefix of the
+    name's hash, and by name and a prefix of the key, so neither a parent nor a
+    name with most of the children is ranked in one task.
     """
-    keyed = children.withColumn("key", shuffle_key(F.col("row_idx"), seed)).withColumn(
-        "cell", F.substring("key", 1, 3)
+    keyed = (
+        children.select("row_idx", "parent_id", "name", _key(F.col("name")).alias("k"))
+        .where(F.col("k").isNotNull())
+        .withColumn("by_name", F.md5("k"))
+        .withColumn("cell", F.substring("by_name", 1, 3))
+        .withColumn("key", shuffle_key(F.col("row_idx"), seed))
+        .withColumn("part", F.substring("key", 1, 2))
     )
-    cells = keyed.groupBy("parent_id", "cell").agg(F.count("*").alias("n"))
-    # one row per parent prefix: three characters, a bounded set
-    parents = (
-        cells.groupBy("parent_id")
-        .agg(F.sum("n").alias("size"))
-        .withColumn("low", F.sum("size").over(W.orderBy("parent_id")) - F.col("size"))
-        .withColumn("total", F.sum("size").over(W.partitionBy()))
+
+    def below(*order: str, within: tuple[str, ...] = ()) -> Column:
+        return F.sum("n").over(W.partitionBy(*within).orderBy(*order)) - F.col("n")
+
+    parts = keyed.groupBy("parent_id", "cell", "by_name", "part").agg(F.count("*").alias("n"))
+    cells = parts.groupBy("parent_id", "cell").agg(F.sum("n").alias("n"))
+    parents = cells.groupBy("parent_id").agg(F.sum("n").alias("n"))
+    offsets = (
+        parts.withColumn("c", below("by_name", "part", within=("parent_id", "cell")))
+        .join(cells.withColumn("b", below("cell", within=("parent_id",))).drop("n"), ["parent_id", "cell"])
+        .join(parents.withColumn("a", below("parent_id")).drop("n"), "parent_id")
+        .select("parent_id", "cell", "by_name", "part", (F.col("a") + F.col("b") + F.col("c")).alias("before"))
     )
-    offsets = cells.withColumn(
-        "above", F.sum("n").over(W.partitionBy("parent_id").orderBy("cell")) - F.col("n")
-    ).join(parents, "parent_id")
-    inside = F.row_number().over(W.partitionBy("parent_id", "cell").orderBy("key"))
-    indexed = (
+    place = ["parent_id", "cell", "by_name", "part"]
+    inside = F.row_number().over(W.partitionBy(*place).orderBy("key"))
+    return (
         keyed.withColumn("inside", inside)
-        .join(offsets.select("parent_id", "cell", "above", "low"), ["parent_id", "cell"])
-        .select(
-            (F.col("low") + F.col("above") + F.col("inside") - 1).alias("idx"),
-            F.col("name").alias("drawn"),
-        )
+        .join(offsets, place)
+        .select((F.col("before") + F.col("inside") - 1).alias("idx"), "parent_id", "k", F.col("name").alias("drawn"))
     )
-    return indexed, parents
 
 
-def _witness(children: DataFrame, positives_parent: Column, positives_key: Column) -> Column:
-    """A child of another parent with another name, for any parent and name.
+def _excluded(wanted: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Add ``ranges`` of children that are no negative for ``parent_id, k``, in order.
 
-    Five fixed children are enough: one at random, then for each of its two
-    properties one that differs in it, and one more that also differs in the
-    other property of that one.
+    These are the parent's own children and, in other parents, those named ``k``;
+    there are at most as many ranges as parents.
     """
-    pool = children.select("row_idx", "parent_id", "name", _key(F.col("name")).alias("k"))
-    parent, k = F.col("parent_id"), F.col("k")
-
-    def one(*conditions: Column):
-        """A single row, fetched so that the next condition is a constant."""
-        rows = pool
-        for c in conditions:
-            rows = rows.where(c)
-        return rows.agg(F.min(F.struct("row_idx", "parent_id", "name", "k")).alias("w")).first()["w"]
-
-    found = [a := one()]
-    if a is not None:
-        other_parent, other_name = parent != a["parent_id"], k != a["k"]
-        found.append(b := one(other_parent))
-        found.append(one(other_parent, k != b["k"]) if b else None)
-        found.append(d := one(other_name))
-        found.append(one(other_name, parent != d["parent_id"]) if d else None)
-
-    def usable(w) -> Column:
-        fits = (F.lit(w["parent_id"]) != positives_parent) & (F.lit(w["k"]) != positives_key)
-        return F.when(fits, F.lit(w["name"]))
-
-    witnesses = [usable(w) for w in found if w is not None]
-    return F.coalesce(*witnesses, F.lit(None).cast("string"))
+    span = F.struct(F.min("idx").alias("low"), F.count("*").alias("n"))
+    own = indexed.groupBy("parent_id").agg(span.alias("own"))
+    named = (
+        indexed.groupBy("parent_id", "k").agg(span.alias("span"))
+        .groupBy("k").agg(F.collect_list(F.struct("parent_id", "span")).alias("named"))
+    )
+    elsewhere = F.transform(
+        F.filter("named", lambda r: r["parent_id"] != F.col("parent_id")), lambda r: r["span"]
+    )
+    none = F.expr("cast(array() as array<struct<low:bigint,n:bigint>>)")
+    ranges = F.concat(F.coalesce(elsewhere, none), F.array_compact(F.array("own")))
+    return wanted.join(own, "parent_id", "left").join(named, "k", "left").select(
+        "parent_id", "k", F.sort_array(ranges).alias("ranges")
+    )
 
 
 def negative_pairs(codes: DataFrame, positives: DataFrame, seed: int = lx.SEED) -> DataFrame:
     """One child of another parent per positive pair, with a different name.
 
-    A draw picks an index outside the parent's own range, so it never hits a
-    true child; the first of a few draws whose name differs wins, and pairs
-    without one get a fixed eligible child.  Only a pair for which no eligible
-    child exists at all is left out.
+    The draw is exact: a number below the count of eligible children is moved past
+    the ranges of those that are not.  Only a pair for which no eligible child
+    exists is left out.
     """
     parents, children = _hierarchy(codes)
-    indexed, ranges = _index_children(children, seed)
+    indexed = durable(_index_children(children, seed))
     # a name stands for the first parent that carries it
     own = first_by(
         parents.select(F.col("name").alias("query_term"), "parent_id", "first_idx"),
@@ -133,27 +126,23 @@ def negative_pairs(codes: DataFrame, positives: DataFrame, seed: int = lx.SEED)
     asked = (
         positives.select("row_idx", "query_term")
         .join(own, "query_term")
-        .join(ranges.select("parent_id", "size", "low"), "parent_id", "left")
-        .withColumn("total", ranges.agg(F.max("total").alias("t")).scalar())
-        .fillna(0, ["size", "low"])
-        .where(F.col("total") > F.col("size"))
+        .withColumn("k", _key(F.col("query_term")))
     )
-    drawn = asked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(_DRAWS - 1))))
-    outside = _draw(F.col("row_idx"), F.col("draw"), seed, F.col("total") - F.col("size"))
-    idx = outside + F.when(outside >= F.col("low"), F.col("size")).otherwise(F.lit(0))
-    picked = (
-        drawn.withColumn("idx", idx)
-        .join(indexed, "idx")
-        .where(_key(F.col("query_term")) != _key(F.col("drawn")))
-        .groupBy("row_idx")
-        .agg(F.min_by("drawn", "draw").alias("drawn"))
+    ranges = _excluded(asked.select("parent_id", "k").distinct(), indexed)
+    closed = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, r: acc + r["n"])
+    eligible = F.lit(indexed.count()) - closed
+    idx = F.aggregate(
+        "ranges",
+        _draw(F.col("row_idx"), seed, F.col("eligible")),
+        lambda acc, r: F.when(acc >= r["low"], acc + r["n"]).otherwise(acc),
     )
-    spare = _witness(children, F.col("parent_id"), _key(F.col("query_term")))
     return (
-        asked.join(picked, "row_idx", "left")
-        .withColumn("matching_term", F.coalesce("drawn", spare))
-        .where(F.col("matching_term").isNotNull())
-        .select("row_idx", "query_term", "matching_term", F.lit(0).alias("label"))
+        asked.join(ranges, ["parent_id", "k"])
+        .withColumn("eligible", eligible)
+        .where(F.col("eligible") > 0)
+        .select("row_idx", "query_term", idx.alias("idx"))
+        .join(indexed.select("idx", "drawn"), "idx")
+        .select("row_idx", "query_term", F.col("drawn").alias("matching_term"), F.lit(0).alias("label"))
     )
 
 

@@ -158,33 +158,62 @@ def align_subwords(
     the label; the others, both special tokens and padding get the ignored
     label.  The result is cut or padded to ``max_length``.
     """
-    ignored = F.lit(lx.IGNORED_LABEL)
-    label_ids = {name: i for i, name in enumerate(labels)}
+    framed = F.concat(
+        F.array(_special("[CLS]")), _piece_labels(tokens, pieces, labels), F.array(_special("[SEP]"))
+    )
+    padded = F.concat(framed, F.array_repeat(_special("[PAD]"), max_length))
+    return F.slice(padded, 1, max_length)
 
-    def label_id(tag: Column) -> Column:
-        position = F.create_map(*[F.lit(x) for kv in label_ids.items() for x in kv])
-        return F.coalesce(F.try_element_at(position, tag), F.lit(0))
 
-    per_word = F.zip_with(
-        tokens,
-        pieces,
-        lambda t, ps: F.transform(
+def subword_windows(
+    tokens: Column,
+    pieces: Column,
+    max_length: int = 256,
+    overlap: int = 32,
+    labels: tuple[str, ...] = lx.BIO_LABELS_VI,
+) -> Column:
+    """The same for sentences of any length: overlapping windows that lose no piece.
+
+    Each window is framed and padded to ``max_length``; neighbours share
+    ``overlap`` pieces.
+    """
+    body = max_length - 2
+    step = body - overlap
+    if step < 1:
+        raise ValueError("the overlap leaves no room for new pieces")
+
+    def cut(content: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(content) - body) / step), F.lit(0)).cast("int")
+
+        def window(i: Column) -> Column:
+            framed = F.concat(
+                F.array(_special("[CLS]")), F.slice(content, i * step + 1, F.lit(body)), F.array(_special("[SEP]"))
+            )
+            return F.slice(F.concat(framed, F.array_repeat(_special("[PAD]"), max_length)), 1, max_length)
+
+        return F.transform(F.sequence(F.lit(0), last), window)
+
+    return let(_piece_labels(tokens, pieces, labels), cut)
+
+
+def _special(name: str) -> Column:
+    return F.struct(F.lit(name).alias("piece"), F.lit(lx.IGNORED_LABEL).alias("label"))
+
+
+def _piece_labels(tokens: Column, pieces: Column, labels: tuple[str, ...]) -> Column:
+    """``struct<piece,label>`` of all pieces; the first of a word has its label."""
+    position = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, i)])
+
+    def of_word(t: Column, ps: Column) -> Column:
+        label = F.coalesce(F.try_element_at(position, t["tag"]), F.lit(0))
+        return F.transform(
             ps,
             lambda p, k: F.struct(
-                p.alias("piece"),
-                F.when(k == 0, label_id(t["tag"])).otherwise(ignored).alias("label"),
+                p.alias("piece"), F.when(k == 0, label).otherwise(F.lit(lx.IGNORED_LABEL)).alias("label")
             ),
-        ),
-    )
-
-    def special(name: str) -> Column:
-        return F.struct(F.lit(name).alias("piece"), ignored.alias("label"))
+        )
 
-    framed = F.concat(
-        F.array(special("[CLS]")), F.flatten(per_word), F.array(special("[SEP]"))
-    )
-    padded = F.concat(framed, F.array_repeat(special("[PAD]"), max_length))
-    return F.slice(padded, 1, max_length)
+    return F.flatten(F.zip_with(tokens, pieces, of_word))
 
 
 # --- lines and offsets ------------------------------------------------------

@@ -199,13 +199,21 @@ class Extractor:
         )
         return notes.withColumn("lang", found)
 
-    def _per_language(self, notes: DataFrame, part, run) -> DataFrame:
-        """Run with one model, or split by language when there are several."""
+    def _per_language(self, notes: DataFrame, part, run, lang: str = "") -> DataFrame:
+        """Run with one model, or split by language when there are several.
+
+        English notes go to ``en``, all others (and those without a language) to
+        ``vi``.  With a given ``lang`` only its model is needed.
+        """
         if not isinstance(part, dict):
             return run(notes, part, None)
+        wanted = (lx.model_language(lang),) if lang else ("en", "vi")
+        if missing := [key for key in wanted if key not in part]:
+            raise ValueError(f"no model for {', '.join(missing)}")
+        english = F.col("lang").eqNullSafe("en")
         out = None
-        for lang, model in part.items():
-            one = run(notes.where(F.col("lang") == lang), model, lang)
+        for key in wanted:
+            one = run(notes.where(english if key == "en" else ~english), part[key], key)
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -238,12 +246,13 @@ class Extractor:
                     part, scorer.score(part), self._of(self.classes, key), self.kg,
                     self.concepts, self.codes, threshold,
                 ),
+                lang,
             )
 
         def mentions(part: DataFrame, annotator: Annotator, _) -> DataFrame:
             return explode_mentions(note_mentions(part, annotator), "doc_id", "lang")
 
-        found = self._per_language(notes, self.annotator, mentions)
+        found = self._per_language(notes, self.annotator, mentions, lang)
         if self.mode == "ner only":
             return found.drop("lang")
         found = durable(found)
@@ -251,4 +260,4 @@ class Extractor:
         def link(part: DataFrame, encoder: Encoder, _) -> DataFrame:
             return linked_mentions(part, self.concepts, encoder, self.codes)
 
-        return self._per_language(found, self.encoder, link).drop("lang")
+        return self._per_language(found, self.encoder, link, lang).drop("lang")

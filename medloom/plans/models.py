@@ -171,10 +171,13 @@ class ModelAnnotator:
 
 
 class NgramEncoder:
-    """Hashed character n-gram counts, scaled to length one."""
+    """Hashed character n-gram counts, scaled to length one unless ``raw``.
 
-    def __init__(self, dims: int = 128, n: int = 3):
-        self.dims, self.n = dims, n
+    Retrieval scales vectors itself; raw counts are exact in single precision.
+    """
+
+    def __init__(self, dims: int = 128, n: int = 3, *, raw: bool = False):
+        self.dims, self.n, self.raw = dims, n, raw
 
     def vector(self, text: Column) -> Column:
         def buckets(padded: Column) -> Column:
@@ -198,7 +201,8 @@ class NgramEncoder:
 
         padded = F.concat(F.lit("^"), F.coalesce(text, F.lit("")), F.lit("$"))
         counted = tx.let(tx.let(padded, buckets), counts)
-        return F.transform(tx.let(counted, unit), lambda x: x.cast("float"))
+        scaled = counted if self.raw else tx.let(counted, unit)
+        return F.transform(scaled, lambda x: x.cast("float"))
 
 
 class ModelEncoder:
@@ -228,6 +232,59 @@ class ModelEncoder:
         return self._encode(text)
 
 
+class ModelScorer:
+    """A document classifier behind an Arrow UDF.
+
+    ``load`` runs once per Python worker and returns a function from a list of
+    texts to a matrix of logits, one row each.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], object]], batch: int = 32):
+        cache: dict = {}
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def logits(texts: pd.Series) -> pd.Series:
+            if "model" not in cache:
+                cache["model"] = load()
+            values, rows = texts.fillna("").tolist(), []
+            for at in range(0, len(values), batch):
+                rows.extend(np.asarray(cache["model"](values[at : at + batch]), dtype="float64"))
+            return pd.Series(rows)
+
+        self._logits = logits
+
+    def score(self, notes: DataFrame) -> DataFrame:
+        return notes.select("doc_id", F.posexplode(self._logits("text")).alias("class_idx", "logit"))
+
+
+class ModelMatcher:
+    """A concept matcher behind an Arrow UDF.
+
+    ``load`` runs once per Python worker and returns a function from a list of
+    sentences to a list of ``[(ngram, term, cui, similarity, type), ...]``.
+    """
+
+    _FOUND = "array<struct<ngram:string,term:string,cui:string,similarity:double,type:string>>"
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[tuple]]]]):
+        cache: dict = {}
+        names = ("ngram", "term", "cui", "similarity", "type")
+
+        @F.pandas_udf(self._FOUND)
+        def find(sentences: pd.Series) -> pd.Series:
+            if "model" not in cache:
+                cache["model"] = load()
+            found = cache["model"](sentences.fillna("").tolist())
+            return pd.Series([[dict(zip(names, hit)) for hit in hits] for hits in found])
+
+        self._find = find
+
+    def match(self, sentences: DataFrame) -> DataFrame:
+        return sentences.select(
+            "doc_id", "sent_no", F.posexplode(self._find("sentence")).alias("match_no", "m")
+        ).select("doc_id", "sent_no", "match_no", "m.*")
+
+
 def dictionary_vectors(df: DataFrame, name: str, encoder: Encoder) -> DataFrame:
     """Add ``vector`` of the lower-cased name; a missing name counts as empty."""
     return df.withColumn("vector", encoder.vector(F.lower(F.coalesce(F.col(name), F.lit("")))))

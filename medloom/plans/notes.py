@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
@@ -18,6 +19,8 @@ from medloom.plans.models import Annotator, Encoder
 from medloom.session import durable
 
 NO_CANDIDATES = "cast(array() as array<string>)"
+#: wording similarity of a mention to the best of a dictionary row's name columns
+Lexical = Callable[..., Column]
 
 
 @dataclass(frozen=True)
@@ -91,16 +94,16 @@ def typed_mentions(mentions: DataFrame, rules: Rules = VIETNAMESE) -> DataFrame:
     )
 
 
-def _reranked(queries: DataFrame, dictionary: DataFrame, ident: str) -> DataFrame:
+def _reranked(queries: DataFrame, dictionary: DataFrame, ident: str, lexical: Lexical) -> DataFrame:
     """Best of the three nearest rows by vector and wording: ``query_id, sim, id``."""
     names = [c for c in dictionary.columns if c not in ("row_idx", "vector")]
     hits = knn(queries, dictionary, lx.RETRIEVED, floor=lx.CANDIDATE_FLOOR)
     cells = dictionary.select(
         "row_idx", F.col(ident).cast("string").alias("_id"), *[F.col(c).alias(f"_n_{c}") for c in names]
     )
-    lexical = best_lexical(F.col("query_id"), *[F.col(f"_n_{c}") for c in names])
+    wording = lexical(F.col("query_id"), *[F.col(f"_n_{c}") for c in names])
     scored = hits.join(cells, "row_idx").select(
-        "query_id", "sim", "rk", F.col("_id").alias("id"), lexical.alias("lexical")
+        "query_id", "sim", "rk", F.col("_id").alias("id"), wording.alias("lexical")
     )
     return rerank(scored, F.col("lexical"), keep=("id",)).select("query_id", "sim", "id")
 
@@ -112,7 +115,7 @@ def _queries(texts: DataFrame, encoder: Encoder) -> DataFrame:
 
 
 def link_diseases(
-    terms: DataFrame, dictionaries: Dictionaries, encoder: Encoder
+    terms: DataFrame, dictionaries: Dictionaries, encoder: Encoder, lexical: Lexical = best_lexical
 ) -> DataFrame:
     """``[query_id, type, candidates]`` of distinct disease terms."""
     queries = _queries(terms, encoder)
@@ -120,7 +123,7 @@ def link_diseases(
     diagnosis = (
         empty
         if dictionaries.diagnosis is None
-        else _reranked(queries, dictionaries.diagnosis, "id")
+        else _reranked(queries, dictionaries.diagnosis, "id", lexical)
     )
     # below the diagnosis floor a symptom cannot change the decision
     symptom = (
@@ -131,9 +134,16 @@ def link_diseases(
     return dual_link(queries.select("query_id"), diagnosis, symptom)
 
 
-def link_drugs(texts: DataFrame, dictionary: DataFrame, encoder: Encoder, *, split_ids: bool = False) -> DataFrame:
+def link_drugs(
+    texts: DataFrame,
+    dictionary: DataFrame,
+    encoder: Encoder,
+    *,
+    split_ids: bool = False,
+    lexical: Lexical = best_lexical,
+) -> DataFrame:
     """``[query_id, candidates]`` of distinct drug texts that reach the drug floor."""
-    best = _reranked(_queries(texts, encoder), dictionary, "rxcui")
+    best = _reranked(_queries(texts, encoder), dictionary, "rxcui", lexical)
     return best.where(F.col("sim") >= lx.DRUG_FLOOR).select(
         "query_id", as_candidates(F.col("id"), split_ids=split_ids).alias("candidates")
     )
@@ -146,11 +156,12 @@ def coded_entities(
     encoder_en: Encoder,
     *,
     split_ids: bool = False,
+    lexical: Lexical = best_lexical,
 ) -> DataFrame:
     """Link typed mentions and add test results as rows after their test."""
     diseases = link_diseases(
         mentions.where("is_disease").select(F.col("term").alias("query_id")),
-        dictionaries, encoder_vi,
+        dictionaries, encoder_vi, lexical,
     ).select("query_id", F.col("type").alias("_type"), F.col("candidates").alias("_dc"))
     linked = mentions.join(
         diseases, F.col("is_disease") & (F.col("term") == F.col("query_id")), "left"
@@ -161,7 +172,7 @@ def coded_entities(
     else:
         drugs = link_drugs(
             mentions.where(is_drug).select(F.col("display").alias("query_id")),
-            dictionaries.drug, encoder_en, split_ids=split_ids,
+            dictionaries.drug, encoder_en, split_ids=split_ids, lexical=lexical,
         ).withColumnRenamed("candidates", "_rc")
         linked = linked.join(
             drugs, is_drug & (F.col("display") == F.col("query_id")), "left"
@@ -197,6 +208,12 @@ def coded_entities(
     ).select("doc_id", "e.*")
 
 
+def only_asserted(entities: DataFrame, types: Collection[str]) -> DataFrame:
+    """Entities of other types lose their assertions."""
+    kept = F.when(F.col("type").isin(*types), F.col("assertions")).otherwise(F.expr(NO_CANDIDATES))
+    return entities.withColumn("assertions", kept)
+
+
 def process_notes(
     notes: DataFrame,
     annotator: Annotator,
@@ -206,18 +223,23 @@ def process_notes(
     rules: Rules = VIETNAMESE,
     *,
     split_ids: bool = False,
+    lexical: Lexical = best_lexical,
+    assertable_types: Collection[str] | None = None,
 ) -> DataFrame:
     """Entities of notes: ``doc_id, entity_idx, text, type, assertions, start, end, candidates``.
 
     The note text stays with its row until every context rule has run; what
     follows shuffles only mentions.  The typed mentions are written to the
-    checkpoint folder because three branches read them.
+    checkpoint folder because three branches read them.  ``lexical`` is the wording
+    similarity that re-ranks retrieved rows, ``assertable_types`` those that may be
+    negated or historical (all by default).
     """
     tagged = note_mentions(notes, annotator).withColumn(
         "bounds", cx.section_bounds(F.col("text"), rules)
     )
     tagged = explode_mentions(tagged, "doc_id", "text", "bounds")
     typed = durable(typed_mentions(tagged, rules))
-    return coded_entities(
-        typed, dictionaries, encoder_vi, encoder_en or encoder_vi, split_ids=split_ids
+    entities = coded_entities(
+        typed, dictionaries, encoder_vi, encoder_en or encoder_vi, split_ids=split_ids, lexical=lexical
     )
+    return entities if assertable_types is None else only_asserted(entities, assertable_types)

@@ -66,6 +66,33 @@ def link_entities(
     return entities.join(links, ["cls", "entity"]).select(ident, "cls", "cui").distinct()
 
 
+def predictions(
+    notes: DataFrame,
+    entities: DataFrame,
+    concepts: DataFrame,
+    encoder: Encoder,
+    floor: float = lx.SCORING_LINK_FLOOR,
+    ident: str = "doc_id",
+) -> DataFrame:
+    """Per note the distinct ``predicted_entities`` and ``linked_entities``, sorted.
+
+    Arrays of ``struct<entity,cls>`` and ``struct<cui,cls>``; empty where nothing
+    was found.  Other columns of ``notes`` are kept.
+    """
+    linked = link_entities(entities, scoring_concepts(concepts), encoder, floor, ident)
+
+    def listed(df: DataFrame, field: str, name: str) -> DataFrame:
+        return df.groupBy(ident).agg(F.sort_array(F.collect_set(F.struct(field, "cls"))).alias(name))
+
+    none = "cast(array() as array<struct<{}:string,cls:string>>)"
+    return (
+        notes.join(listed(entities, "entity", "predicted_entities"), ident, "left")
+        .join(listed(linked, "cui", "linked_entities"), ident, "left")
+        .withColumn("predicted_entities", F.coalesce("predicted_entities", F.expr(none.format("entity"))))
+        .withColumn("linked_entities", F.coalesce("linked_entities", F.expr(none.format("cui"))))
+    )
+
+
 def gold_items(gold: DataFrame, ident: str = "doc_id") -> DataFrame:
     """``[ident, cls, cui]`` from ``gold_entities`` maps."""
     return (

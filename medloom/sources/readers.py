@@ -45,16 +45,6 @@ def _or_empty(read, spark: SparkSession, schema: T.StructType, missing_ok: bool)
         raise
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that is cut into fewer pieces than there are cores.
-
-    Text rules cost far more than moving a small table once.  A table with
-    enough pieces is left where it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
