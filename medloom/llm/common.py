@@ -52,6 +52,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = 20_000) -> DataFrame:
+    """Deal rows that stand for files or blocks out to a task each, in key order.
+
+    Spark would merge such small rows into one task.  Beyond ``most`` tasks each
+    takes several.
+    """
+    return df.repartitionByRange(max(1, min(rows, most)), *keys)
+
+
 def bits_for(rows: int, per_cell: int, most: int) -> int:
     """The least number of bits that give at least ``rows / per_cell`` cells."""
     return min(most, max(0, (max(rows, 1) // per_cell).bit_length()))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from medloom.llm.common import new_folder, saved
+from medloom.llm.common import dealt, new_folder, saved
 
 #: a rank file of byte-level BPE; fewer than 65,536 ids
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -93,8 +93,10 @@ def blocks_of(paths: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.int64())], ["path", "size"])
 
     count = F.expr(f"sequence(0L, (size - 1) div {block_bytes}L)")
+    named = saved(paths.select("path").distinct(), "paths")
     return (
-        paths.select("path").distinct().mapInArrow(sizes, "path string, size long")
+        dealt(named, named.count(), "path", most=1000)
+        .mapInArrow(sizes, "path string, size long")
         .where(F.col("size") > 0)
         .select("path", "size", F.explode(count).alias("block"))
         .select(
@@ -131,9 +133,9 @@ def scan(paths: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_
                     ["path", "block", "ends", "counts"],
                 )
 
+    cuts = saved(blocks_of(paths, block_bytes), "cuts")
     found = saved(
-        blocks_of(paths, block_bytes)
-        .repartition("path", "block")
+        dealt(cuts, cuts.count(), "path", "block")
         .mapInArrow(look, "path string, block long, ends long, counts array<long>"),
         "blocks",
     )

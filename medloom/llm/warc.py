@@ -26,7 +26,7 @@ from pyarrow import fs as files
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medloom.llm.common import new_folder, saved
+from medloom.llm.common import dealt, new_folder, saved
 
 #: payloads from this size on are stored once
 REVISIT_BYTES = 1000
@@ -191,13 +191,18 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": n}])
 
     # an archive is a task's work: gzip streams cannot be split
-    return saved(archives.select("path").repartition("path").mapInArrow(rewrite, LISTED), "normalised")
+    each = dealt(archives.select("path"), archives.count(), "path")
+    return saved(each.mapInArrow(rewrite, LISTED), "normalised")
 
 
 def read_index(archives: DataFrame, folder: str) -> DataFrame:
-    """``path, offset, length`` of all records of the listed archives."""
+    """``path, offset, length`` of all records of the listed archives.
+
+    Dealt out by stretches of archives, as many as there are archives, in order.
+    """
     index = archives.sparkSession.read.schema(MEMBERS).option("pathGlobFilter", "*.idx").json(folder)
-    return index.join(archives.select("path"), "path", "left_semi")
+    listed = index.join(archives.select("path"), "path", "left_semi")
+    return dealt(listed, archives.count(), "path", "offset").sortWithinPartitions("path", "offset")
 
 
 def parse(member: bytes) -> dict:
