@@ -45,7 +45,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts lineage: a lost executor costs a re-read, not a recomputation, and
-    whatever was non-deterministic in the plan is settled.
+    whatever was non-deterministic in the plan is settled.  A join with it shuffles
+    both sides anew, so Spark can split a hot key of the other side, which it cannot
+    do against an aggregate that is already dealt out by that key.
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)

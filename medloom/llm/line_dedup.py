@@ -131,6 +131,7 @@ def parse(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar
         .agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
         .where(F.col("docs") >= min_docs)
     )
+    recurring = saved(recurring, "recurring")
     here = F.struct("doc_id", "line_no")
     return named.join(recurring, "template", "left").select(
         "doc_id",
