@@ -178,7 +178,7 @@ def _compare(members: DataFrame, bucket: list[str], small: int) -> tuple[DataFra
     counted = members.groupBy(*bucket).agg(
         F.count("*").alias("n"), F.max(F.struct("central", "node")).alias("leader")
     )
-    shared = members.join(counted.where("n > 1"), bucket)
+    shared = members.join(saved(counted.where("n > 1"), "counted"), bucket)
     few = (
         shared.where(F.col("n") <= small)
         .groupBy(*bucket)
@@ -204,9 +204,9 @@ def candidates(nodes: DataFrame, small: int = SMALL) -> DataFrame:
     )
     # buckets of one node, nearly all, go first
     counts = member.groupBy("bucket").agg(F.count("*").alias("central")).where("central > 1")
-    met = saved(member.join(counts, "bucket"), "met")
+    met = saved(member.join(saved(counts, "counts"), "bucket"), "met")
     central = met.groupBy("node").agg(F.sum("central").alias("central"))
-    members = met.drop("central").join(central, "node")
+    members = saved(met.drop("central").join(central, "node"), "members")
     pairs, large = _compare(members, ["bucket"], small)
     nearer, _ = _compare(large, ["bucket", "next"], small)
     return pairs.unionByName(nearer).distinct()
@@ -274,7 +274,10 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     placed = drawn.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", F.coalesce("root", "node").alias("root")
     )
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    placed = saved(placed, "placed")
+    classes = saved(
+        placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes"
+    )
     found = placed.join(classes, "root").select("doc_id", "class_id", "class_size")
     wordless = ~F.coalesce(fold(F.col("text")).rlike(WORD), F.lit(False)) | F.col("doc_id").isNull()
     alone = docs.where(wordless).select(
