@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: labelled documents that are fitted on, at most, by label; chosen by a hash of the id
-MAX_TOXIC = 1_000
-MAX_CLEAN = 3_000
-#: of these, documents whose tokens the chain is fitted to
-MAX_CHAINS = 500
+MAX_TOXIC = 700
+MAX_CLEAN = 2_000
+#: of these, documents whose tokens the chain is fitted to, at most by label
+MAX_CHAINS = 400
 HELD_OUT_OF = 5
 PREFIXES = (3, 4, 5, 6)
 #: share of a marking feature's documents that are toxic, at least
