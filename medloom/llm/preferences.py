@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from medloom.llm.common import saved
+
 HEADER = "<|{}|>\n"
 TRAINED = "assistant"
 
@@ -60,7 +62,7 @@ def preference_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     body = F.concat(header, F.col("text"), F.lit("\n"))
     trained = ~F.col("shared") & (F.col("role") == TRAINED)
     return (
-        turns.join(ends, F.col("pair_id").eqNullSafe(F.col("pair")), "left")
+        turns.join(saved(ends, "ends"), F.col("pair_id").eqNullSafe(F.col("pair")), "left")
         .withColumn("shared", shared)
         .where(~F.col("shared") | (F.col("side") == "chosen"))
         .select(
@@ -122,7 +124,7 @@ def echo_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(F.col("pair_id").alias("pair"), "first", "reply")
     )
     swapped = (F.col("turn") == F.col("reply")) & is_reply & F.col("first").isNotNull()
-    rejected = chosen.join(echo, F.col("pair_id").eqNullSafe(F.col("pair")), "left").select(
+    rejected = chosen.join(saved(echo, "echo"), F.col("pair_id").eqNullSafe(F.col("pair")), "left").select(
         "pair_id", "turn", "role", F.when(swapped, F.col("first.text")).otherwise(F.col("text")).alias("text")
     )
     return chosen, rejected

@@ -156,7 +156,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
         .agg(F.max(F.struct(F.length("top.payload.rule"), F.length("key"), "top")).alias("best"))
         .select("host", "path", F.col("best.top.payload").alias("won"))
     )
-    return named.join(best, ["host", "path"], "left").select(
+    return named.join(saved(best, "best"), ["host", "path"], "left").select(
         "page_id",
         "host",
         "path",
