@@ -58,7 +58,7 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         .select("digest", "first")
     )
     other = ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.withColumn("digest", digest).join(repeated, "digest", "left").select(
+    return rows.withColumn("digest", digest).join(saved(repeated, "repeated"), "digest", "left").select(
         "page_id", "url", "payload", F.when(F.col("first").isNotNull() & other, F.col("first")).alias("refers_to")
     )
 
