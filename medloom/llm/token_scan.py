@@ -33,6 +33,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SEPARATOR = 50256
 TOKEN_BYTES = 2
 BLOCK_BYTES = 1 << 20
+#: neighbouring blocks that a task reads
+BLOCKS_OF_A_TASK = 16
 FILE_TOKENS = 32 << 20
 
 
@@ -135,7 +137,7 @@ def scan(paths: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_
 
     cuts = saved(blocks_of(paths, block_bytes), "cuts")
     found = saved(
-        dealt(cuts, cuts.count(), "path", "block")
+        dealt(cuts, -(-cuts.count() // BLOCKS_OF_A_TASK), "path", "block")
         .mapInArrow(look, "path string, block long, ends long, counts array<long>"),
         "blocks",
     )
