@@ -84,7 +84,11 @@ def conll_text(t: Tables):
 def entity_frequency(t: Tables):
     """Entities counted out of the answers of chat records."""
     parsed = cp.assistant_entities(_sentences(t))
-    order = F.struct("doc_id", "line_no", "pos")
+    # document, line and place as one number of 37 digits
+    order = F.expr(
+        "cast(doc_id as decimal(19,0)) * cast(1000000000000000000 as decimal(19,0)) + "
+        "cast(line_no as decimal(10,0)) * cast(1000000000 as decimal(10,0)) + pos"
+    ).cast("decimal(38,0)")
     rows = parsed.select("doc_id", "line_no", F.posexplode("entities").alias("pos", "e"))
     return cp.entity_frequency(rows, F.col("e.entity"), F.col("e.type"), order)
 

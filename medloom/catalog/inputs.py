@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +71,24 @@ def with_mentions(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text").join(hits, "doc_id")
 
 
-def mentions(t: Tables, *keep: Column) -> DataFrame:
-    """One row per dictionary word: ``doc_id, text, start, end, surface, item_id``.
+def mentions(t: Tables, *keep: Column, **read: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row per dictionary word: ``doc_id, start, end, surface, item_id``.
 
-    ``keep`` are further columns computed once per document.
+    ``keep`` are further columns computed once per document, ``read`` columns made
+    from the text and a mention; rows of mentions do not carry the text.
     """
     documents = with_mentions(t).select("doc_id", "text", "found", *keep)
-    rest = [c for c in documents.columns if c != "found"]
-    return documents.select(*rest, F.explode("found").alias("m")).select(
-        *rest, "m.start", "m.end", "m.surface", "m.item_id"
+    rest = [c for c in documents.columns if c not in ("text", "found")]
+    fields = ("start", "end", "surface", "item_id")
+
+    def one(m: Column) -> Column:
+        return F.struct(
+            *[m[f].alias(f) for f in fields],
+            *[value(F.col("text"), m).alias(name) for name, value in read.items()],
+        )
+
+    return documents.select(*rest, F.explode(F.transform("found", one)).alias("m")).select(
+        *rest, *[f"m.{f}" for f in (*fields, *read)]
     )
 
 

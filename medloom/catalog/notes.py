@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
-from medloom.catalog.inputs import RULES, dictionary_terms, mentions
+from medloom.catalog.inputs import RULES, dictionary_terms, mentions, with_mentions
 from medloom.catalog.registry import (
     SQL_MENTIONS, SQL_TERMS, Tables, query, sql_bounds, sql_context, sql_flags, sql_keep,
     sql_sentences, sql_still_disease, sql_strip, sql_term, sql_type, sql_words,
@@ -48,9 +48,11 @@ def section_bounds(t: Tables):
         FROM flags JOIN bounds USING (doc_id)""",
 )
 def mention_assertions(t: Tables):
-    flags = cx.assertions(F.col("text"), F.col("start"), F.col("end"), F.col("bounds"), RULES)
     bounds = cx.section_bounds(F.col("text"), RULES).alias("bounds")
-    return mentions(t, bounds).select("doc_id", "start", "end", F.array_join(flags, ",").alias("assertions"))
+    flags = lambda c, m: cx.assertions(c, m["start"], m["end"], F.col("bounds"), RULES)
+    return mentions(t, bounds, flags=flags).select(
+        "doc_id", "start", "end", F.array_join("flags", ",").alias("assertions")
+    )
 
 
 @query(
@@ -61,8 +63,10 @@ def mention_assertions(t: Tables):
         FROM flags""",
 )
 def clause_negation(t: Tables):
-    flags = cx.assertions(F.col("text"), F.col("start"), F.col("end"), None, RULES, line_rule=False)
-    return mentions(t).select("doc_id", "start", "end", F.array_join(flags, ",").alias("assertions"))
+    flags = lambda c, m: cx.assertions(c, m["start"], m["end"], None, RULES, line_rule=False)
+    return mentions(t, flags=flags).select(
+        "doc_id", "start", "end", F.array_join("flags", ",").alias("assertions")
+    )
 
 
 _WORD = r"[^\s!-/:-@\[-`{-~]"
@@ -80,10 +84,14 @@ _WORD = r"[^\s!-/:-@\[-`{-~]"
 )
 def boundary_repair(t: Tables):
     """Mentions with their first and last letter cut off grow back."""
-    span = cx.repair_boundaries(F.col("text"), F.col("start") + 1, F.col("end") - 1)
-    return mentions(t).select("doc_id", "text", span.alias("s")).select(
-        "doc_id", "s.*", tx.slice_text(F.col("text"), F.col("s.start"), F.col("s.end")).alias("term")
-    )
+
+    def grown(c, m):
+        span = cx.repair_boundaries(c, m["start"] + 1, m["end"] - 1)
+        return tx.let(
+            span, lambda s: s.withField("term", tx.slice_text(c, s["start"], s["end"]))
+        )
+
+    return mentions(t, grown=grown).select("doc_id", "grown.*")
 
 
 @query(
@@ -95,10 +103,14 @@ def boundary_repair(t: Tables):
         SELECT doc_id, start, stop AS "end", substr(text, start + 1, stop - start) AS display FROM grown""",
 )
 def drug_expansion(t: Tables):
-    grown = cx.expand_drug(F.col("text"), F.col("end"), RULES.dose_tail)
-    return mentions(t).select("doc_id", "text", "start", grown.alias("end")).select(
-        "doc_id", "start", "end", tx.slice_text(F.col("text"), F.col("start"), F.col("end")).alias("display")
-    )
+
+    def grown(c, m):
+        end = cx.expand_drug(c, m["end"], RULES.dose_tail)
+        return tx.let(
+            end, lambda e: F.struct(e.alias("end"), tx.slice_text(c, m["start"], e).alias("display"))
+        )
+
+    return mentions(t, grown=grown).select("doc_id", "start", "grown.end", "grown.display")
 
 
 @query(
@@ -108,9 +120,8 @@ def drug_expansion(t: Tables):
         FROM mentions""",
 )
 def drug_context(t: Tables):
-    return mentions(t).select(
-        "doc_id", "start", "end", cx.has_drug_context(F.col("text"), F.col("start"), F.col("end"), RULES).alias("in_context")
-    )
+    near = lambda c, m: cx.has_drug_context(c, m["start"], m["end"], RULES)
+    return mentions(t, in_context=near).select("doc_id", "start", "end", "in_context")
 
 
 SQL_RESULT = f"""{sql_strip("regexp_replace(" + sql_strip("rest") + ", '^[:-]+\\s*', '')")}"""
@@ -126,7 +137,9 @@ SQL_RESULT = f"""{sql_strip("regexp_replace(" + sql_strip("rest") + ", '^[:-]+\\
                stop + instr(rest, value) - 1 + length(value) AS "end" FROM cut WHERE value <> ''""",
 )
 def result_capture(t: Tables):
-    found = mentions(t).select("doc_id", F.col("end").alias("test_end"), cx.result_after(F.col("text"), F.col("end")).alias("r"))
+    found = mentions(t, r=lambda c, m: cx.result_after(c, m["end"])).select(
+        "doc_id", F.col("end").alias("test_end"), "r"
+    )
     return found.where(F.col("r").isNotNull()).select("doc_id", "test_end", "r.*")
 
 
@@ -173,9 +186,10 @@ def type_correction(t: Tables):
     term = F.lower("surface")
     kind = F.when(F.col("item_id") > 10, _kind(F.col("surface")))
     fix = cx.correct_type(
-        term, kind, kind.isNull(), cx.has_drug_context(F.col("text"), F.col("start"), F.col("end"), RULES), RULES
+        term, kind, kind.isNull(), F.col("in_context"), RULES
     )
-    return mentions(t).select("doc_id", "start", term.alias("term"), fix.alias("f")).select(
+    near = lambda c, m: cx.has_drug_context(c, m["start"], m["end"], RULES)
+    return mentions(t, in_context=near).select("doc_id", "start", term.alias("term"), fix.alias("f")).select(
         "doc_id", "start", "term", "f.*"
     )
 
@@ -241,12 +255,14 @@ SQL_TYPED = f"""grown AS (
                array_to_string(assertions, ',') AS assertions, result, result_start FROM typed""",
 )
 def typed_mentions_query(t: Tables):
-    bounds = cx.section_bounds(F.col("text"), RULES).alias("bounds")
-    rows = mentions(t, bounds).select(
-        "doc_id", "text", "bounds", F.col("start").alias("idx"), "start", "end",
-        _label(F.lower("surface")).alias("label"),
+    labelled = F.transform(
+        "found",
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _label(F.lower(m["surface"])).alias("label")),
+    )
+    notes = with_mentions(t).select(
+        "doc_id", "text", cx.section_bounds(F.col("text"), RULES).alias("bounds"), labelled.alias("mentions")
     )
-    return typed_mentions(rows, RULES).select(
+    return typed_mentions(notes, RULES).select(
         "doc_id", "start", "end", "term", "display", "kind", "is_disease",
         F.array_join("assertions", ",").alias("assertions"),
         F.col("result.text").alias("result"),

@@ -1,13 +1,16 @@
 """Rules that look at the text around a mention.
 
-All of them take the note text and half-open code-point offsets.  The clause
-and line around a mention are cut with ``substring_index``, which scans from
-the mention outwards, so a long note is not searched by a regular expression.
+They take the note text and half-open code-point offsets, or the surroundings of a
+mention that ``surroundings`` cuts out of it once: its line, a few characters more,
+and a dose that follows.  Used inside a transform over the mentions of a note, rows
+of mentions never carry the note.  The clause and line are cut with
+``substring_index``, which scans from the mention outwards.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +50,74 @@ def after(c: Column, end: Column) -> Column:
     return F.substring(c, end + 1, F.lit(2**31 - 1))
 
 
+def surroundings(
+    c: Column, start: Column, end: Column, rules: Rules = VIETNAMESE, window: int = lx.CONTEXT_CHARS
+) -> Column:
+    """``struct<prefix,term,suffix>``: as much text as the rules read around a mention.
+
+    The prefix reaches back to the start of its line and clause, the suffix to the
+    end of the line and one character past a dose, both ``window`` at least.
+    """
+
+    def back(prefix: Column) -> Column:
+        line = F.length(F.substring_index(prefix, "\n", -1))
+        clause = F.length(clause_before(prefix, rules.clause_breaks))
+        return F.right(prefix, F.greatest(line, clause, F.lit(window)))
+
+    def ahead(suffix: Column) -> Column:
+        line = F.length(F.substring_index(suffix, "\n", 1))
+        dose = F.length(F.regexp_extract(suffix, f"(?iU){rules.dose_tail}", 0)) + 1
+        return F.left(suffix, F.greatest(line, dose, F.lit(window)))
+
+    return F.struct(
+        tx.let(before(c, start), back).alias("prefix"),
+        tx.slice_text(c, start, end).alias("term"),
+        tx.let(after(c, end), ahead).alias("suffix"),
+    )
+
+
+#: characters of a block of text
+BLOCK = 4096
+
+
+def blocks(c: Column) -> Column:
+    """A text in blocks, so that a place in it is reached without reading up to it."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def nearby(
+    c: Column, cut: Column, start: Column, end: Column, read: Callable[[Column, Column, Column], Column],
+    reach: Callable[[Column, Column, Column], tuple[Column, Column]],
+) -> Column:
+    """``read(text, start, end)`` on the blocks around a mention instead of the text.
+
+    ``cut`` are the blocks of ``c``.  ``reach(found, start, end)`` tells how far the
+    result reaches into the text it was read from.  If that is to an edge of the
+    blocks which is no edge of the text, the text itself is read.
+    """
+    first = F.greatest(F.floor(start / BLOCK).cast("int") - 1, F.lit(0))
+    last = F.floor(end / BLOCK).cast("int") + 1
+
+    def on(window: Column) -> Column:
+        offset = window["offset"]
+        here = start - offset, end - offset
+
+        def judge(found: Column) -> Column:
+            left, right = reach(found, *here)
+            inside = ((offset == 0) | (left > 0)) & ((last >= F.size(cut) - 1) | (right < F.length(window["text"])))
+            return F.when(inside, F.struct(found.alias("found"), offset.alias("offset"))).otherwise(
+                F.struct(read(c, start, end).alias("found"), F.lit(0).alias("offset"))
+            )
+
+        return tx.let(read(window["text"], *here), judge)
+
+    window = F.struct(
+        F.array_join(F.slice(cut, first + 1, last - first + 1), "").alias("text"),
+        (first * BLOCK).alias("offset"),
+    )
+    return tx.let(window, on)
+
+
 def clause_before(prefix: Column, breaks: tuple[str, ...]) -> Column:
     return functools.reduce(lambda c, b: F.substring_index(c, b, -1), breaks, prefix)
 
@@ -133,9 +204,12 @@ def assertions(
     strict_contrast: bool = False,
 ) -> Column:
     """Assertion flags of a mention; without bounds only negation."""
-    negated = is_negated(
-        before(c, start), tx.slice_text(c, start, end), after(c, end), rules,
-        line_rule=line_rule, strict_contrast=strict_contrast,
+    negated = tx.let(
+        surroundings(c, start, end, rules),
+        lambda at: is_negated(
+            at["prefix"], at["term"], at["suffix"], rules,
+            line_rule=line_rule, strict_contrast=strict_contrast,
+        ),
     )
     return assertion_flags(None if bounds is None else is_historical(start, bounds), negated)
 
@@ -152,6 +226,29 @@ def repair_boundaries(c: Column, start: Column, end: Column) -> Column:
     return F.struct((start - left).alias("start"), (end + right).alias("end"))
 
 
+def repair_nearby(c: Column, cut: Column, start: Column, end: Column) -> Column:
+    """``repair_boundaries`` on the blocks of a text."""
+    near = nearby(c, cut, start, end, repair_boundaries, lambda s, a, b: (s["start"], s["end"]))
+    return tx.let(
+        near,
+        lambda x: F.struct(
+            (x["found"]["start"] + x["offset"]).alias("start"),
+            (x["found"]["end"] + x["offset"]).alias("end"),
+        ),
+    )
+
+
+def surroundings_nearby(
+    c: Column, cut: Column, start: Column, end: Column, rules: Rules = VIETNAMESE
+) -> Column:
+    """``surroundings`` on the blocks of a text."""
+    return nearby(
+        c, cut, start, end,
+        lambda text, a, b: surroundings(text, a, b, rules),
+        lambda at, a, b: (a - F.length(at["prefix"]), b + F.length(at["suffix"])),
+    )["found"]
+
+
 def dose_length(suffix: Column, pattern: str = VIETNAMESE.dose_tail) -> Column:
     """Length of a dose directly at the start of the text after a drug."""
     return F.length(tx.rstrip(F.regexp_extract(suffix, f"(?iU){pattern}", 0)))

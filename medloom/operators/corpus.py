@@ -81,7 +81,8 @@ def assistant_entities(df: DataFrame, messages: str = "messages") -> DataFrame:
 def entity_frequency(df: DataFrame, entity: Column, kind: Column, order: Column) -> DataFrame:
     """Mentions per lower-cased entity and type, most frequent first.
 
-    Equal counts keep the order in which entities were first seen.
+    Equal counts keep the order in which entities were first seen.  A numeric
+    ``order`` lets counting hash; over structs it sorts all mentions.
     """
     return (
         df.select(

@@ -251,22 +251,24 @@ def build_drug_dictionary(
     terms = F.array_distinct(F.transform("names", lambda n: n["term"]))
     ingredients = (
         edges.join(ids.select(F.col("rxcui").alias("rxcui2"), terms.alias("terms")), "rxcui2")
-        .groupBy(F.col("rxcui1").alias("rxcui"))
-        .agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("ingredients"))
+        .select(F.col("rxcui1").alias("rxcui"), F.explode("terms").alias("term"))
+        .groupBy("rxcui")
+        .agg(F.collect_set("term").alias("ingredients"))
     )
     multi = ("ingredients", *sabs.values())
+    cells = ("rxcui", "tty", *multi)
     per_name = ids.join(ingredients, "rxcui", "left").select(
-        "rxcui", F.explode("names").alias("n"), *multi
-    )
+        F.array("rxcui").alias("rxcui"), F.explode("names").alias("n"), *multi
+    ).withColumn("tty", F.array("n.tty"))
+    # one row per value: sets are formed before the shuffle, however many share a term
+    def listed(cell: str) -> Column:
+        values = F.coalesce(cell, F.expr("cast(array() as array<string>)"))
+        return F.transform(values, lambda v: F.struct(F.lit(cell).alias("cell"), v.cast("string").alias("value")))
+
+    values = F.concat(*map(listed, cells))
     return (
-        per_name.groupBy("n.term")
-        .agg(
-            F.collect_set("rxcui").alias("rxcui"),
-            F.collect_set("n.tty").alias("tty"),
-            *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in multi],
-        )
-        .select(
-            "term",
-            *[F.array_join(F.sort_array(c), "|").alias(c) for c in ("rxcui", "tty", *multi)],
-        )
+        per_name.select("n.term", F.explode(values).alias("v"))
+        .groupBy("term")
+        .agg(*[F.collect_set(F.when(F.col("v.cell") == c, F.col("v.value"))).alias(c) for c in cells])
+        .select("term", *[F.array_join(F.sort_array(c), "|").alias(c) for c in cells])
     )

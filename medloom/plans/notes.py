@@ -14,7 +14,7 @@ from medloom.functions import text as tx
 from medloom.functions.similarity import best_lexical
 from medloom.lexicon import VIETNAMESE, Rules
 from medloom.operators.linking import as_candidates, dual_link, knn, rerank
-from medloom.plans.extraction import explode_mentions, note_mentions
+from medloom.plans.extraction import note_mentions
 from medloom.plans.models import Annotator, Encoder
 from medloom.session import durable
 
@@ -36,30 +36,37 @@ class Dictionaries:
     symptom: DataFrame | None = None
 
 
-def typed_mentions(mentions: DataFrame, rules: Rules = VIETNAMESE) -> DataFrame:
+def typed_mentions(notes: DataFrame, rules: Rules = VIETNAMESE) -> DataFrame:
     """Repair, filter, re-type, expand and assert mentions.
 
-    ``mentions``: ``doc_id, text, bounds, idx, start, end, label``; ``bounds`` are
-    the section bounds, computed once per note.  The result has no
-    note text any more: ``doc_id, idx, term, display, kind, is_disease,
-    assertions, start, end, result``; ``start``/``end`` are the printed span,
-    assertions come from the span before a dose is taken in.
+    ``notes``: ``doc_id, text, bounds, mentions``; ``bounds`` are the section
+    bounds, computed once per note, ``mentions`` an array of structs with ``start,
+    end, label``.  Each mention leaves its note with its surroundings only.  The
+    result has ``doc_id, idx, term, display, kind, is_disease, assertions, start,
+    end, result``; ``idx`` is the place in the array, ``start``/``end`` the printed
+    span; assertions come from the span before a dose is taken in.
     """
-    text, start, end = F.col("text"), F.col("start"), F.col("end")
-    kept = mentions.where(
-        start.isNotNull() & F.col("label").isin([*lx.TAGGER_TYPE, *lx.DISEASE_LABELS])
+    text, blocks, start, end = (F.col(c) for c in ("text", "_blocks", "start", "end"))
+    notes = tx.staged(notes, cx.blocks(text).alias("_blocks"))
+    known = [*lx.TAGGER_TYPE, *lx.DISEASE_LABELS]
+
+    def surrounded(x: Column) -> Column:
+        def around(span: Column) -> Column:
+            return F.struct(
+                x["idx"].alias("idx"),
+                x["m"]["label"].alias("label"),
+                span["start"].alias("start"),
+                span["end"].alias("end"),
+                cx.surroundings_nearby(text, blocks, span["start"], span["end"], rules).alias("at"),
+            )
+
+        return tx.let(cx.repair_nearby(text, blocks, x["m"]["start"], x["m"]["end"]), around)
+
+    numbered = F.transform("mentions", lambda m, i: F.struct(i.alias("idx"), m.alias("m")))
+    kept = F.filter(numbered, lambda x: x["m"]["start"].isNotNull() & x["m"]["label"].isin(known))
+    cut = notes.select("doc_id", "bounds", F.explode(F.transform(kept, surrounded)).alias("x")).select(
+        "doc_id", "bounds", "x.idx", "x.label", "x.start", "x.end", "x.at.prefix", "x.at.term", "x.at.suffix"
     )
-    spans = tx.staged(
-        kept.withColumnsRenamed({"start": "_start", "end": "_end"}),
-        cx.repair_boundaries(text, F.col("_start"), F.col("_end")).alias("span"),
-    ).select("doc_id", "idx", "text", "bounds", "label", "span.start", "span.end")
-    # each mention takes its surroundings along and leaves the note behind
-    cut = tx.staged(
-        spans,
-        cx.before(text, start).alias("prefix"),
-        tx.slice_text(text, start, end).alias("term"),
-        cx.after(text, end).alias("suffix"),
-    ).drop("text")
     named = tx.staged(
         cut,
         tx.normalise_term(F.col("term"), rules.term_strip).alias("name"),
@@ -237,7 +244,6 @@ def process_notes(
     tagged = note_mentions(notes, annotator).withColumn(
         "bounds", cx.section_bounds(F.col("text"), rules)
     )
-    tagged = explode_mentions(tagged, "doc_id", "text", "bounds")
     typed = durable(typed_mentions(tagged, rules))
     entities = coded_entities(
         typed, dictionaries, encoder_vi, encoder_en or encoder_vi, split_ids=split_ids, lexical=lexical

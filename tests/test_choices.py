@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
+from medloom.functions import context as cx
 from medloom.functions import similarity as sim
 from medloom.functions import text as tx
 from medloom.operators import linking as ln
@@ -16,7 +17,7 @@ from medloom.operators import pairs as pr
 from medloom.operators import sequence as sq
 from medloom.plans.extraction import Extractor
 from medloom.plans.models import LexiconAnnotator, ModelMatcher, ModelScorer
-from medloom.plans.notes import only_asserted
+from medloom.plans.notes import only_asserted, typed_mentions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -167,3 +168,62 @@ def test_too_many_words_are_an_error(spark, monkeypatch):
     many = df.withColumn("p", F.lit("d e f"))
     with pytest.raises(Exception, match="more different words"):
         many.select(sim.word_error_rate(F.col("g"), F.col("p")).alias("w")).collect()
+
+
+def _note(seed):
+    import random
+
+    draw = random.Random(seed)
+    words = ["không", "sốt", "aspirin", "81 mg po", ".", ";", "\n", ":", "-", "đau", "(", "MRI", "😀"]
+    return "".join(draw.choice(words) + draw.choice(["", " ", " "]) for _ in range(120))
+
+
+@pytest.mark.parametrize("block", [5, 64, 4096])
+def test_mentions_read_the_same_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(cx, "BLOCK", block)
+    for seed in range(4):
+        text = _note(seed)
+        spans = [(i, min(len(text), i + 1 + i % 6)) for i in range(0, len(text), 7)]
+        df = spark.createDataFrame([(text, spans)], "t string, m array<struct<a:int,b:int>>")
+        t, cut = F.col("t"), F.col("cut")
+        both = F.transform(
+            "m",
+            lambda m: F.struct(
+                cx.surroundings(t, m["a"], m["b"]).alias("x"),
+                cx.surroundings_nearby(t, cut, m["a"], m["b"]).alias("y"),
+                cx.repair_boundaries(t, m["a"], m["b"]).alias("p"),
+                cx.repair_nearby(t, cut, m["a"], m["b"]).alias("q"),
+            ),
+        )
+        for r in df.withColumn("cut", cx.blocks(t)).select(F.explode(both).alias("r")).select("r.*").collect():
+            assert r.x == r.y and r.p == r.q
+
+
+def test_surroundings_hold_what_the_rules_read(spark):
+    text = _note(9) + "\n" + "dài " * 40 + "không sốt aspirin\n\n 81 mg po\nx"
+    spans = [(i, i + 3) for i in range(0, len(text) - 3, 5)]
+    df = spark.createDataFrame([(text, a, b) for a, b in spans], "t string, a int, b int")
+    t, a, b = F.col("t"), F.col("a"), F.col("b")
+    at = cx.surroundings(t, a, b)
+    whole = cx.before(t, a), tx.slice_text(t, a, b), cx.after(t, b)
+    cut = F.col("at.prefix"), F.col("at.term"), F.col("at.suffix")
+
+    def read(prefix, term, suffix):
+        return F.struct(
+            cx.is_negated(prefix, term, suffix), cx.drug_context(prefix, suffix), cx.dose_length(suffix), cx.result_in(suffix, b)
+        )
+
+    for r in df.withColumn("at", at).select(read(*whole).alias("w"), read(*cut).alias("c")).collect():
+        assert tuple(r.w) == tuple(r.c)
+
+
+def test_a_very_long_note(spark):
+    line = "bệnh nhân không sốt nhưng có khó thở, dùng aspirin 81 mg po daily và ho nhiều\n"
+    n, at = 300_000 // len(line), line.index("aspirin")
+    notes = spark.createDataFrame([(1, line * n)], "doc_id int, text string").select(
+        "doc_id", "text", cx.section_bounds(F.col("text")).alias("bounds"),
+        F.expr(f"transform(sequence(0, {n - 1}), i -> struct(i * {len(line)} + {at} as start, i * {len(line)} + {at + 7} as end, 'Drug' as label))").alias("mentions"),
+    )
+    got = typed_mentions(notes).agg(F.count("*"), F.min("display"), F.max("display"), F.max("end")).first()
+    assert tuple(got)[:3] == (n, "aspirin 81 mg po daily v", "aspirin 81 mg po daily v")
+    assert got[3] == (n - 1) * len(line) + at + len("aspirin 81 mg po daily v")
