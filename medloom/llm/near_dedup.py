@@ -128,6 +128,14 @@ def _node_keys(words: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(starts, ends, strict=True)]
 
 
+def _short(nodes: list[bytes]) -> pa.Array:
+    """The first half of node keys as numbers, by which candidates are found.
+
+    Nodes that share it, about none, are compared with each other's candidates too.
+    """
+    return pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2])
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     """``doc_id, words`` (hashes) of the documents with an id and words."""
     words = F.transform(F.regexp_extract_all(fold(F.col("text")), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
@@ -135,7 +143,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, node, bands``: the node of a text and its band keys."""
+    """``doc_id, node, short, bands``: the node of a text and its band keys."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,17 +151,18 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 winner = prob_min_hash(*weigh(*shingles(words, ends)), len(ends), bands * rows)
                 keys = pa.array(band_keys(winner, bands, rows).reshape(-1))
                 at = pa.array(np.arange(0, len(keys) + 1, bands, dtype=np.int32))
+                nodes = _node_keys(words, ends)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(_node_keys(words, ends), pa.binary()), pa.ListArray.from_arrays(at, keys)],
-                    ["doc_id", "node", "bands"],
+                    [part.column("doc_id"), pa.array(nodes, pa.binary()), _short(nodes), pa.ListArray.from_arrays(at, keys)],
+                    ["doc_id", "node", "short", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _hashed(docs).mapInArrow(draw, f"doc_id {kind}, node binary, bands array<long>")
+    return _hashed(docs).mapInArrow(draw, f"doc_id {kind}, node binary, short long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``node, shingles``: distinct shingles of a text, hashed to 32 bits."""
+    """``node, short, shingles``: distinct shingles of a text, hashed to 32 bits."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,66 +171,72 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 text, value, _ = weigh(text, value & np.uint64(0xFFFFFFFF))
                 at = pa.array(np.searchsorted(text, np.arange(len(ends) + 1)).astype(np.int32))
                 values = pa.array(value.astype(np.uint32).view(np.int32))
+                nodes = _node_keys(words, ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_node_keys(words, ends), pa.binary()), pa.ListArray.from_arrays(at, values)],
-                    ["node", "shingles"],
+                    [pa.array(nodes, pa.binary()), _short(nodes), pa.ListArray.from_arrays(at, values)],
+                    ["node", "short", "shingles"],
                 )
 
-    return _hashed(docs).mapInArrow(draw, "node binary, shingles array<int>")
+    return _hashed(docs).mapInArrow(draw, "node binary, short long, shingles array<int>")
 
 
 def _compare(members: DataFrame, bucket: list[str], small: int) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b`` to verify within buckets, and the members of large buckets.
 
-    ``members`` has the bucket's columns, ``node`` and ``central``.
+    ``members`` has the bucket's columns, ``short`` and ``central``.
     """
     counted = members.groupBy(*bucket).agg(
-        F.count("*").alias("n"), F.max(F.struct("central", "node")).alias("leader")
+        F.count("*").alias("n"), F.max(F.struct("central", "short")).alias("leader")
     )
     shared = members.join(saved(counted.where("n > 1"), "counted"), bucket)
     few = (
         shared.where(F.col("n") <= small)
         .groupBy(*bucket)
-        .agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+        .agg(F.sort_array(F.collect_list("short")).alias("nodes"))
         .select(F.explode(F.expr(
             "flatten(transform(nodes, (x, i) -> transform(slice(nodes, 1, i), y -> struct(y as a, x as b))))"
         )).alias("pair"))
         .select("pair.a", "pair.b")
     )
     many = shared.where(F.col("n") > small)
-    star = many.where(F.col("node") != F.col("leader.node")).select(
-        F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
+    star = many.where(F.col("short") != F.col("leader.short")).select(
+        F.least("short", "leader.short").alias("a"), F.greatest("short", "leader.short").alias("b")
     )
     return few.unionByName(star), many.drop("n", "leader")
 
 
 def candidates(nodes: DataFrame, small: int = SMALL) -> DataFrame:
-    """Distinct pairs ``a, b`` of ``nodes(node, bands)`` to verify."""
+    """Distinct pairs ``a, b`` of ``nodes(short, bands)`` to verify."""
     following = F.element_at("bands", (F.pmod(F.col("i") + 1, F.size("bands")) + 1).cast("int"))
     member = (
-        nodes.select("node", "bands", F.posexplode("bands").alias("i", "bucket"))
-        .select("node", "bucket", following.alias("next"))
+        nodes.select("short", "bands", F.posexplode("bands").alias("i", "bucket"))
+        .select("short", "bucket", following.alias("next"))
     )
     # buckets of one node, nearly all, go first
     counts = member.groupBy("bucket").agg(F.count("*").alias("central")).where("central > 1")
     met = saved(member.join(saved(counts, "counts"), "bucket"), "met")
-    central = met.groupBy("node").agg(F.sum("central").alias("central"))
-    members = saved(met.drop("central").join(central, "node"), "members")
+    central = met.groupBy("short").agg(F.sum("central").alias("central"))
+    members = saved(met.drop("central").join(central, "short"), "members")
     pairs, large = _compare(members, ["bucket"], small)
     nearer, _ = _compare(large, ["bucket", "next"], small)
     return pairs.unionByName(nearer).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets of shingles are similar enough."""
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}"))
+    """Links ``a, b`` of nodes whose sets of shingles are similar enough.
+
+    ``pairs`` has short keys, ``sets`` the nodes that go by them.
+    """
+    side = lambda n: sets.select(
+        F.col("short").alias(n), F.col("node").alias(f"node_{n}"), F.col("shingles").alias(f"of_{n}")
+    )
     both = F.size(F.array_intersect("of_a", "of_b"))
     either = F.size("of_a") + F.size("of_b") - F.col("both")
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
         .withColumn("both", both)
         .where(F.col("both") >= similarity * either)
-        .select("a", "b")
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     )
 
 
@@ -263,13 +278,13 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     columns are ignored.
     """
     drawn = saved(sketch(docs, bands, rows), "sketches")
-    nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("example"), F.any_value("bands").alias("bands"))
-    pairs = saved(candidates(nodes.select("node", "bands"), small), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = drawn.groupBy("node").agg(F.any_value("short").alias("short"), F.any_value("bands").alias("bands"))
+    pairs = saved(candidates(nodes.select("short", "bands"), small), "pairs")
+    asked = pairs.select(F.col("a").alias("short")).unionByName(pairs.select(F.col("b").alias("short"))).distinct()
     # one document for each node in a pair; repeated ids may bring other nodes along
-    examples = drawn.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(examples.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = saved(shingle_sets(texts).join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = saved(shingle_sets(texts).join(asked, "short", "left_semi").dropDuplicates(["node"]), "sets")
     roots = components(verified(pairs, sets, similarity))
     placed = drawn.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", F.coalesce("root", "node").alias("root")
