@@ -8,9 +8,9 @@
 2. Texts with equal words are one node.  Nodes that agree on all registers of a band
    meet in a bucket.
 3. Small buckets compare all their pairs.  A large one compares its members with its
-   most central node, the one that meets most others, and splits them by the next
-   band, where the same is done again.  Work and rows so grow with the number of
-   memberships, not with the square of a group.
+   most central node, the one that meets most others, and is split by each of four
+   other bands, where the same is done again.  Work and rows so grow with the number
+   of memberships, not with the square of a group.
 4. Pairs are verified on their sets of shingles: Jaccard similarity 0.8 or more.
    Links are joined to classes by alternating stars; every step is a written table.
 """
@@ -34,7 +34,9 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
 #: a bucket of up to so many nodes compares all pairs
-SMALL = 8
+SMALL = 32
+#: a larger one is split by the keys of the bands that follow at these distances
+SPLITS = (1, 5, 11, 17)
 #: words that are sketched at once
 CHUNK = 1 << 18
 MIX1, MIX2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -207,10 +209,15 @@ def _compare(members: DataFrame, bucket: list[str], small: int) -> tuple[DataFra
 
 def candidates(nodes: DataFrame, small: int = SMALL) -> DataFrame:
     """Distinct pairs ``a, b`` of ``nodes(short, bands)`` to verify."""
-    following = F.element_at("bands", (F.pmod(F.col("i") + 1, F.size("bands")) + 1).cast("int"))
+    # 16 bits of each of the bands that split a bucket, in one number
+    splits = None
+    for j, step in enumerate(SPLITS):
+        key = F.element_at("bands", (F.pmod(F.col("i") + step, F.size("bands")) + 1).cast("int"))
+        bits = F.shiftleft(key.bitwiseAND(F.lit(0xFFFF).cast("long")), 16 * j)
+        splits = bits if splits is None else splits.bitwiseOR(bits)
     member = (
         nodes.select("short", "bands", F.posexplode("bands").alias("i", "bucket"))
-        .select("short", "bucket", following.alias("next"))
+        .select("short", "bucket", splits.alias("splits"))
     )
     # buckets of one node, nearly all, go first
     counts = member.groupBy("bucket").agg(F.count("*").alias("central")).where("central > 1")
@@ -218,8 +225,12 @@ def candidates(nodes: DataFrame, small: int = SMALL) -> DataFrame:
     central = met.groupBy("short").agg(F.sum("central").alias("central"))
     members = saved(met.drop("central").join(central, "short"), "members")
     pairs, large = _compare(members, ["bucket"], small)
-    nearer, _ = _compare(large, ["bucket", "next"], small)
-    return pairs.unionByName(nearer).distinct()
+    large = saved(large, "large")
+    for j in range(len(SPLITS)):
+        part = F.shiftrightunsigned("splits", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        nearer, _ = _compare(large.withColumn("part", part), ["bucket", "part"], small)
+        pairs = pairs.unionByName(nearer)
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
