@@ -46,8 +46,9 @@ def note_json(notes: DataFrame, entities: DataFrame, order: str = "entity_idx")
 
 
 def write_note_files(df: DataFrame, folder: str) -> None:
-    """One indented ``<doc_id>.json`` per note, in a folder all executors share.
+    """One indented ``<doc_id>.json`` per note, in a POSIX folder that all executors mount.
 
+    For object stores use ``write_note_folders`` or ``write_note_table``.
     Each file is written aside and then moved into place, so a task that is
     run again leaves whole files.
     """
@@ -64,6 +65,11 @@ def write_note_files(df: DataFrame, folder: str) -> None:
     df.select("doc_id", "json").foreachPartition(write)
 
 
+def write_note_folders(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A folder ``doc_id=<id>`` per note with its JSON, committed by Spark's writer."""
+    df.select("doc_id", F.col("json").alias("value")).write.mode(mode).partitionBy("doc_id").text(path)
+
+
 def write_note_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The same records as JSON lines, the layout for large note sets."""
     df.write.mode(mode).json(path)
