@@ -159,6 +159,13 @@ def test_note_files(spark, tmp_path):
     assert sorted(p.name for p in folder.iterdir()) == ["1.json", "2.json"]
 
 
+def test_note_folders(spark, tmp_path):
+    records = spark.createDataFrame([("1", "[]"), ("a/b", '[{"x": "đ"}]')], "doc_id string, json string")
+    wr.write_note_folders(records, str(tmp_path / "n"))
+    back = spark.read.text(str(tmp_path / "n"))
+    assert sorted(map(tuple, back.select("doc_id", "value").collect())) == [("1", "[]"), ("a/b", '[{"x": "đ"}]')]
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 2.0])], "name string, vector array<float>")
     wr.write_once(df, str(tmp_path / "once"))
