@@ -120,7 +120,7 @@ def parse(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar
         .where(F.size("varying") <= (1 - similarity) * F.size("tokens"))
         .select("line", _hash(F.lit("t"), F.array_join(wild, " ")).alias("general"))
     )
-    named = lines.join(general, "line", "left").select(
+    named = lines.join(saved(general, "general"), "line", "left").select(
         "doc_id", "line_no", F.coalesce("general", "line").alias("template")
     )
     named = saved(named, "templates")
