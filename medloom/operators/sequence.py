@@ -7,6 +7,8 @@ array, linear in its length except for the folds that must carry a position.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -252,14 +254,49 @@ def starts(sizes: Column) -> Column:
             ),
         )
 
-    def cut(all_sizes: Column) -> Column:
-        last = F.ceil(F.size(all_sizes) / _BLOCK).cast("int") - 1
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda b: F.slice(all_sizes, b * _BLOCK + 1, F.lit(_BLOCK)),
+    return let(let(sizes, _in_blocks), by_block)
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array as an array of arrays of up to ``_BLOCK`` items; one empty for none."""
+    last = F.ceil(F.size(items) / _BLOCK).cast("int") - 1
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)),
+    )
+
+
+def _scan(
+    items: Column,
+    state: Column,
+    none: Column,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+) -> Column:
+    """Items that a pass with a state emits, in order.
+
+    ``step(state, item)`` gives the next state and an array of what is emitted;
+    ``none`` is such an array without items.  The results of a block of items are
+    put aside together, so they are not copied at every later step.
+    """
+
+    def one(acc: Column, item: Column) -> Column:
+        after, emitted = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], emitted).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        begin = F.struct(acc["state"].alias("state"), none.alias("out"))
+        return let(
+            F.aggregate(part, begin, one),
+            lambda done: F.struct(
+                done["state"].alias("state"), F.concat(acc["out"], F.array(done["out"])).alias("out")
+            ),
         )
 
-    return let(let(sizes, cut), by_block)
+    begin = F.struct(state.alias("state"), F.array(none).alias("out"))
+    return let(
+        let(items, _in_blocks),
+        lambda blocks: F.aggregate(blocks, begin, block, lambda acc: F.flatten(acc["out"])),
+    )
 
 
 def pieces(c: Column, separator: str) -> Column:
@@ -296,15 +333,9 @@ def locate_in_lines(c: Column, raw: Column) -> Column:
     """
 
     def search(numbered: Column) -> Column:
-        start = F.struct(
-            F.lit(-1).alias("line_no"),
-            F.lit(0).alias("pos"),
-            F.expr(
-                "cast(array() as array<struct<term:string,start:int,end:int,label:string>>)"
-            ).alias("out"),
-        )
+        none = F.expr("cast(array() as array<struct<term:string,start:int,end:int,label:string>>)")
 
-        def step(acc: Column, e: Column) -> Column:
+        def step(acc: Column, e: Column) -> tuple[Column, Column]:
             line = F.get(numbered, e["line_no"])
             pos = F.when(acc["line_no"] == e["line_no"], acc["pos"]).otherwise(F.lit(0))
             hit = F.call_function("locate", e["word"], line["piece"], pos + 1) - 1
@@ -316,11 +347,11 @@ def locate_in_lines(c: Column, raw: Column) -> Column:
                 (begin + F.length(e["word"])).alias("end"),
                 e["label"].alias("label"),
             )
-            return F.struct(
+            after = F.struct(
                 e["line_no"].alias("line_no"),
                 F.when(found, hit + F.length(e["word"])).otherwise(pos).alias("pos"),
-                F.concat(acc["out"], F.array(item)).alias("out"),
             )
+            return after, F.array(item)
 
         cleaned = F.transform(
             F.filter(raw, lambda e: e["label"] != "O"),
@@ -330,7 +361,7 @@ def locate_in_lines(c: Column, raw: Column) -> Column:
                 e["label"].alias("label"),
             ),
         )
-        return F.aggregate(cleaned, start, step, lambda acc: acc["out"])
+        return _scan(cleaned, F.struct(F.lit(-1).alias("line_no"), F.lit(0).alias("pos")), none, step)
 
     return let(lines(c), search)
 
@@ -344,7 +375,7 @@ def locate_in_text(c: Column, found: Column) -> Column:
     """
 
     def run(c: Column, low: Column, ordered: Column) -> Column:
-        def step(acc: Column, e: Column) -> Column:
+        def step(acc: Column, e: Column) -> tuple[Column, Column]:
             hit = F.call_function("locate", F.lower(e["term"]), low, acc["pos"] + 1) - 1
             ok = hit >= 0
             end = hit + F.length(e["term"])
@@ -356,15 +387,9 @@ def locate_in_text(c: Column, found: Column) -> Column:
                     F.when(ok, tx.slice_text(c, hit, end)).otherwise(e["term"]),
                 )
             )
-            return F.struct(
-                F.when(ok, end).otherwise(acc["pos"]).alias("pos"),
-                F.concat(acc["out"], F.array(item)).alias("out"),
-            )
+            return F.struct(F.when(ok, end).otherwise(acc["pos"]).alias("pos")), F.array(item)
 
-        start = F.struct(
-            F.lit(0).alias("pos"), F.filter(ordered, lambda _: F.lit(False)).alias("out")
-        )
-        return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+        return _scan(ordered, F.struct(F.lit(0).alias("pos")), F.slice(ordered, 1, 0), step)
 
     def ordered_by_first(low: Column) -> Column:
         keyed = F.transform(
@@ -449,20 +474,14 @@ def longest_matches(candidates: Column) -> Column:
     The input is in order of line, start and falling end.
     """
 
-    def step(acc: Column, m: Column) -> Column:
+    def step(acc: Column, m: Column) -> tuple[Column, Column]:
         free = (m["line_no"] != acc["line_no"]) | (m["start"] >= acc["end"])
-        return F.when(
-            free,
-            F.struct(
-                m["line_no"].alias("line_no"),
-                m["end"].alias("end"),
-                F.concat(acc["out"], F.array(m)).alias("out"),
-            ),
-        ).otherwise(acc)
+        taken = F.struct(m["line_no"].alias("line_no"), m["end"].alias("end"))
+        one = F.array(m)
+        return F.when(free, taken).otherwise(acc), F.when(free, one).otherwise(F.slice(one, 1, 0))
 
-    start = F.struct(
-        F.lit(-1).alias("line_no"),
-        F.lit(0).alias("end"),
-        F.filter(candidates, lambda _: F.lit(False)).alias("out"),
-    )
-    return F.aggregate(candidates, start, step, lambda acc: acc["out"])
+    def choose(all_candidates: Column) -> Column:
+        state = F.struct(F.lit(-1).alias("line_no"), F.lit(0).alias("end"))
+        return _scan(all_candidates, state, F.slice(all_candidates, 1, 0), step)
+
+    return let(candidates, choose)

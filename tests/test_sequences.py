@@ -192,3 +192,17 @@ def test_conll_blocks(spark):
 def test_let_binds_once(spark):
     got = spark.range(1).select(let(F.lit(3), lambda x: x * x).alias("o")).first()["o"]
     assert got == 9
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 400])
+def test_passes_over_many_items(spark, n):
+    """More items than a block: offsets go on where the block before stopped."""
+    text = " ".join(["ab"] * n)
+    raw = [(0, "ab", "X")] * n
+    df = spark.createDataFrame([(text, raw)], "t string, raw array<struct<line_no:int,word:string,label:string>>")
+    got = df.select(sq.locate_in_lines(F.col("t"), F.col("raw")).alias("m")).first()["m"]
+    assert [(m.start, m.end) for m in got] == [(3 * i, 3 * i + 2) for i in range(n)]
+    items = [(0, i, i + 2) for i in range(n)]
+    df = spark.createDataFrame([(items,)], "c array<struct<line_no:int,start:int,end:int>>")
+    got = df.select(sq.longest_matches(F.col("c")).alias("m")).first()["m"]
+    assert [m.start for m in got] == list(range(0, n, 2))
