@@ -21,11 +21,14 @@ from pyspark.sql.window import Window as W
 from medloom import lexicon as lx
 from medloom.functions import text as tx
 from medloom.operators.lookup import best_by
+from medloom.session import durable
 
 DICTIONARY_BLOCK = 50_000
 QUERY_BLOCK = 20_000
 #: queries a block has at least before more blocks are made for idle cores
 LEAST_QUERIES = 256
+#: a table of class sizes is broadcast up to so many rows
+MOST_CLASSES = 10_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -81,12 +84,14 @@ def _in_blocks(
         def sized(df: DataFrame) -> DataFrame:
             return df.withColumn("_nd", nd).withColumn("_nq", nq)
     else:
-        # one row per class label, a fixed vocabulary of a few entries
-        sizes = F.broadcast(
+        # one row per class label, a vocabulary of a few entries as a rule
+        sizes = durable(
             d.groupBy("_cls").agg(blocks_d)
             .join(q.groupBy("_cls").agg(rows_q), "_cls")
             .select("_cls", "_nd", blocks_q(F.col("_rq"), F.col("_nd")).alias("_nq"))
         )
+        if sizes.count() <= MOST_CLASSES:
+            sizes = F.broadcast(sizes)
 
         def sized(df: DataFrame) -> DataFrame:
             return df.join(sizes, "_cls")
