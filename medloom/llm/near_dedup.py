@@ -294,7 +294,9 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     asked = pairs.select(F.col("a").alias("short")).unionByName(pairs.select(F.col("b").alias("short"))).distinct()
     # one document for each node in a pair; repeated ids may bring other nodes along
     examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(examples.select("doc_id").distinct(), "doc_id", "left_semi")
+    # the ids grow with the documents, so they are merged at every size, never broadcast
+    ids = examples.select("doc_id").distinct().hint("merge")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     sets = saved(shingle_sets(texts).join(asked, "short", "left_semi").dropDuplicates(["node"]), "sets")
     roots = components(verified(pairs, sets, similarity))
     placed = drawn.select("doc_id", "node").join(roots, "node", "left").select(
