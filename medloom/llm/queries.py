@@ -153,7 +153,35 @@ def _op3(read):
     return exact.exact_dedup(read("documents"))
 
 
-@query("op4_near_dedup")
+# all pairs of texts that share a shingle; for tables of some thousand texts
+SQL_NEAR = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all({SQL_FOLD.format("text")}, '{WORD}'), []) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {near_dedup.SHINGLE - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {near_dedup.SHINGLE - 1}, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE common.n >= {near_dedup.SIMILARITY} * (x.n + y.n - common.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS root FROM docs
+  UNION
+  SELECT e.b, r.root FROM reached r JOIN edges e ON e.a = r.doc_id
+), classes AS (
+  SELECT doc_id, min(root) AS class_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM classes
+"""
+
+
+@query("op4_near_dedup", SQL_NEAR)
 def _op4(read):
     return near_dedup.near_dedup(read("documents").select("doc_id", "text"))
 
