@@ -221,7 +221,9 @@ def candidates(nodes: DataFrame, small: int = SMALL) -> DataFrame:
     )
     # buckets of one node, nearly all, go first
     counts = member.groupBy("bucket").agg(F.count("*").alias("central")).where("central > 1")
-    met = saved(member.join(saved(counts, "counts"), "bucket"), "met")
+    # they grow with the documents: merged at every size, never broadcast
+    counts = saved(counts, "counts").hint("merge")
+    met = saved(member.join(counts, "bucket"), "met")
     central = met.groupBy("short").agg(F.sum("central").alias("central"))
     members = saved(met.drop("central").join(central, "short"), "members")
     pairs, large = _compare(members, ["bucket"], small)
@@ -294,9 +296,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     asked = pairs.select(F.col("a").alias("short")).unionByName(pairs.select(F.col("b").alias("short"))).distinct()
     # one document for each node in a pair; repeated ids may bring other nodes along
     examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # the ids grow with the documents, so they are merged at every size, never broadcast
-    ids = examples.select("doc_id").distinct().hint("merge")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(examples.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = saved(shingle_sets(texts).join(asked, "short", "left_semi").dropDuplicates(["node"]), "sets")
     roots = components(verified(pairs, sets, similarity))
     placed = drawn.select("doc_id", "node").join(roots, "node", "left").select(
