@@ -34,9 +34,10 @@ def masked(line: Column) -> Column:
     Most lines have neither stray blanks nor digits and skip the replacements.
     """
     line = F.lower(line)
-    single = F.when(
-        line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    ).otherwise(line)
+    stray = line.startswith(" ") | line.endswith(" ")
+    for blanks in ("  ", "\t", "\v", "\f", "\r"):
+        stray = stray | line.contains(blanks)
+    single = F.when(stray, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
     return F.when(line.rlike("[0-9]"), F.regexp_replace(single, FIELD, WILD)).otherwise(single)
 
 
@@ -54,7 +55,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _leaf(m: Column, depth: int) -> Column:
     """Token count and leading tokens."""
-    count = F.length(m) - F.length(F.replace(m, F.lit(" "))) + 1
+    count = F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "))) + 1
     return F.concat_ws(" ", count.cast("string"), F.substring_index(m, " ", depth))
 
 
