@@ -37,8 +37,9 @@ ROWS = 6
 SMALL = 32
 #: a larger one is split by the keys of the bands that follow at these distances
 SPLITS = (1, 5, 11, 17)
-#: words that are sketched at once
-CHUNK = 1 << 18
+#: words, and texts, that are sketched at once; a text has all its registers
+CHUNK = 1 << 17
+TEXTS = 2048
 MIX1, MIX2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,13 +114,13 @@ def band_keys(winner: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Stretches of a batch with about CHUNK words: rows, words, ends."""
+    """Stretches of a batch with about CHUNK words and TEXTS texts: rows, words, ends."""
     lists = batch.column("words")
     at = lists.offsets.to_numpy()
     words = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
     first = 0
     while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, min(first + TEXTS, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1))
         yield batch.slice(first, last - first), words[at[first] : at[last]], at[first + 1 : last + 1] - at[first]
         first = last
 

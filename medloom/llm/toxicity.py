@@ -38,7 +38,7 @@ TOKENS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: tokens that are scored at once
 CHUNK = 1 << 18
 #: words whose emission is remembered in a task
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 SCORED = "score double, starts array<int>, ends array<int>"
 
 
