@@ -6,6 +6,7 @@ import string
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,19 @@ def dealt(df: DataFrame, rows: int, *keys: str, most: int = 20_000) -> DataFrame
     return df.repartitionByRange(max(1, min(rows, most)), *keys)
 
 
+def shipped(spark: SparkSession, value):
+    """Broadcast a value of this package's classes; a function that loads it in a task.
+
+    It travels with its classes, so workers need not be able to import them.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load():
+        return cloudpickle.loads(data.value)
+
+    return load
+
+
 def bits_for(rows: int, per_cell: int, most: int) -> int:
     """The least number of bits that give at least ``rows / per_cell`` cells."""
     return min(most, max(0, (max(rows, 1) // per_cell).bit_length()))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medloom.llm.common import WORD, fold, saved
+from medloom.llm.common import WORD, fold, saved, shipped
 
 WINDOW = 10
 #: words of benchmark items in one block of patterns; tables take about 1 KB a word
@@ -110,11 +110,12 @@ def search(text: str | None, tables: list[Table]) -> tuple[int, list[str], list[
 def _searcher(df: DataFrame, items: DataFrame, window: int):
     """A column function that searches a text for the items, which are collected."""
     rows = [(str(r.item_id), r.text) for r in items.collect()]
-    shared = df.sparkSession.sparkContext.broadcast(compile_tables(rows, window))
+    load = shipped(df.sparkSession, compile_tables(rows, window))
 
-    def hits(texts: pd.Series) -> pd.DataFrame:
-        tables = shared.value
-        return pd.DataFrame([search(t, tables) for t in texts], columns=["n_words", "items", "starts", "ends"])
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tables = load()
+        for texts in batches:
+            yield pd.DataFrame([search(t, tables) for t in texts], columns=["n_words", "items", "starts", "ends"])
 
     return F.pandas_udf(hits, HITS)
 

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medloom.llm.common import shipped
+
 #: labelled documents that are fitted on, at most, by label; chosen by a hash of the id
 MAX_TOXIC = 700
 MAX_CLEAN = 2_000
@@ -360,12 +362,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     made = ["score", "predicted", "starts", "ends"]
     columns = [c for c in docs.columns if c not in made]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    load = shipped(docs.sparkSession, model)
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        emissions = Emissions(shared.value)
+        fitted = load()
+        emissions = Emissions(fitted)
         for texts in batches:
-            yield pd.DataFrame(score_texts(texts.tolist(), shared.value, emissions), columns=["score", "starts", "ends"])
+            yield pd.DataFrame(score_texts(texts.tolist(), fitted, emissions), columns=["score", "starts", "ends"])
 
     rated = F.pandas_udf(rate, SCORED)
     return docs.select(*columns, rated("text").alias("__rated")).select(
