@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; a document that has lost all its lines goes too."""
-    cleaned = dedup_lines(docs)
+    """Lines that recur from the second document on go; a document without any left too."""
+    cleaned = dedup_lines(docs, min_docs=2)
     emptied = (F.col("n_dropped") > 0) & (F.col("n_dropped") == F.col("n_lines"))
     return cleaned.where(~emptied).select(*docs.columns)
 

@@ -21,6 +21,8 @@ from medloom.llm.common import saved
 
 DEPTH = 3
 MIN_DOCS = 3
+#: (document, line) pairs that make a token constant at its place
+SUPPORT = 3
 SIMILARITY = 0.8
 WILD = "<*>"
 #: a token with a digit, found from its start without backtracking
@@ -59,11 +61,14 @@ def _leaf(m: Column, depth: int) -> Column:
     return F.concat_ws(" ", count.cast("string"), F.substring_index(m, " ", depth))
 
 
-def parse(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def parse(
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT
+) -> DataFrame:
     """``doc_id, line_no, template, drop`` of every line with a token.
 
     ``template`` is a hash.  A template recurs if at least ``min_docs`` documents
-    have it; its first occurrence, by ``doc_id`` and line, is kept.
+    have it; its first occurrence, by ``doc_id`` and line, is kept.  ``support`` is
+    the least number of (document, line) pairs that keeps a place from generalising.
     """
     m = F.col("m")
     lines = saved(
@@ -80,7 +85,7 @@ def parse(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar
     leaves = (
         distinct.groupBy("leaf")
         .agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"))
-        .where((F.col("kinds") > 1) & (F.col("docs") >= min_docs))
+        .where((F.col("kinds") > 1) & (F.col("docs") >= support))
         .select("leaf")
     )
     examples = distinct.join(leaves, "leaf", "left_semi").select(
@@ -103,15 +108,15 @@ def parse(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar
     )
     kinds = saved(kinds, "kinds")
     fields = kinds.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token"))
-    support = (
+    rare = (
         fields.groupBy("leaf", "at", "token")
         .agg(F.sum("docs").alias("support"))
-        .where(F.col("support") < min_docs)
+        .where(F.col("support") < support)
         .select("leaf", "at", "token")
     )
     # places that vary, by line; a line without any is its own template
     varying = (
-        fields.join(support, ["leaf", "at", "token"], "left_semi")
+        fields.join(rare, ["leaf", "at", "token"], "left_semi")
         .groupBy("line")
         .agg(F.sort_array(F.collect_list("at")).alias("varying"))
     )
@@ -142,7 +147,9 @@ def parse(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar
     )
 
 
-def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT
+) -> DataFrame:
     """The rows of ``docs`` with recurring lines removed; adds ``n_lines, n_dropped``.
 
     ``n_lines`` counts lines with a token; blank lines are no lines and stay.  A
@@ -155,7 +162,7 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, s
     columns = [c for c in docs.columns if c not in made]
     known = docs.where(F.col("doc_id").isNotNull())
     decided = (
-        parse(known, depth, min_docs, similarity)
+        parse(known, depth, min_docs, similarity, support)
         .groupBy("doc_id")
         .agg(
             F.countDistinct("line_no").alias("n_lines"),

@@ -162,3 +162,14 @@ def test_stages_take_nulls_and_no_rows(spark, tmp_path, column):
             assert stage(spark, rows, str(tmp_path)).columns == rows.columns
             assert stage(spark, rows, str(tmp_path)).count() == rows.count()
         assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() <= rows.count()
+
+
+def test_a_passage_of_two_documents_is_kept_once(spark):
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = [(1, f"own start\n{passage}"), (2, f"{passage}\nanother end"), (3, "third text")]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {1: f"own start\n{passage}", 2: "another end", 3: "third text"}
+    # two lines of one leaf are too few to generalise a place
+    docs = [(1, "posted by user ann on the public list"), (2, "posted by user bob on the public list")]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == docs
