@@ -1,10 +1,11 @@
 """Near duplicates with ProbMinHash signatures, banding and verification.
 
-1. A text is its bag of five-word shingles.  Each shingle is a Poisson process whose
-   rate is its weight (1 + ln count); arrivals fall on registers at random and the
+1. A text is its set of five-word shingles.  Each shingle is a Poisson process whose
+   rate is its weight, 1 for all; arrivals fall on registers at random and the
    earliest arrival on a register wins it.  Two texts win a register with the same
-   shingle with the probability Jaccard similarity of their weights.  A process
-   ends once its next arrival is later than all registers' winners.
+   shingle with the probability Jaccard similarity of their weights, which for equal
+   weights is the set similarity that links are verified by.  A process ends once
+   its next arrival is later than all registers' winners.
 2. Texts with equal words are one node.  Nodes that agree on all registers of a band
    meet in a bucket.
 3. Small buckets compare all their pairs.  A large one compares its members with its
@@ -151,7 +152,9 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words, ends in _parts(batch):
-                winner = prob_min_hash(*weigh(*shingles(words, ends)), len(ends), bands * rows)
+                text, value, _ = weigh(*shingles(words, ends))
+                # links are decided on sets: other weights would lose texts that repeat shingles
+                winner = prob_min_hash(text, value, np.ones(len(text)), len(ends), bands * rows)
                 keys = pa.array(band_keys(winner, bands, rows).reshape(-1))
                 at = pa.array(np.arange(0, len(keys) + 1, bands, dtype=np.int32))
                 nodes = _node_keys(words, ends)

@@ -83,6 +83,29 @@ def test_empty_table(spark):
     assert nd.near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def repeating():
+    """Pairs of similar sets, one text of each repeating its shingles many times."""
+    draw, docs = random.Random(3), []
+    for i in range(60):
+        base = text(draw, 60)
+        if i % 2:
+            # the same set of shingles; a fifth of them a hundred times
+            docs += [base + base[:16], base + base[:16] * 100]
+        else:
+            # a line of its own, repeated
+            line = text(draw, 6)
+            docs += [base, base + line * 100]
+    return list(enumerate(" ".join(d) for d in docs))
+
+
+def test_repeated_passages_do_not_hide_a_link(spark):
+    docs = repeating()
+    found = nd.near_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
+    truth = brute(docs)
+    assert {r.doc_id: r.class_id for r in found} == truth
+    assert sum(i != c for i, c in truth.items()) >= 30
+
+
 def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (202, 202)]
     links = spark.createDataFrame(pairs, "a long, b long").select(*[F.encode(F.format_string("%05d", c), "UTF-8").alias(c) for c in "ab"])
