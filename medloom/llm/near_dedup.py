@@ -14,6 +14,9 @@
    of memberships, not with the square of a group.
 4. Pairs are verified on their sets of shingles: Jaccard similarity 0.8 or more.
    Links are joined to classes by alternating stars; every step is a written table.
+5. Members of a large bucket that these links leave outside the bucket's largest class
+   are compared with all its members, in blocks of sets.  So every pair that shares a
+   bucket is either compared or in one class already.
 """
 
 from __future__ import annotations
@@ -38,6 +41,13 @@ ROWS = 6
 SMALL = 32
 #: a larger one is split by the keys of the bands that follow at these distances
 SPLITS = (1, 5, 11, 17)
+#: sets, and shingles, in a block of a large bucket, about
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21
+#: shingles whose columns are multiplied at once
+COLUMNS = 1024
+#: a shingle that up to so many pairs of sets share is counted pair by pair
+FEW = 64
 #: words, and texts, that are sketched at once; a text has all its registers
 CHUNK = 1 << 17
 TEXTS = 2048
@@ -211,8 +221,12 @@ def _compare(members: DataFrame, bucket: list[str], small: int) -> tuple[DataFra
     return few.unionByName(star), many.drop("n", "leader")
 
 
-def candidates(nodes: DataFrame, small: int = SMALL) -> DataFrame:
-    """Distinct pairs ``a, b`` of ``nodes(short, bands)`` to verify."""
+def candidates(nodes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a, b`` of ``nodes(short, bands)`` to verify.
+
+    Also the members ``bucket, short`` of large buckets, not all of whose pairs are
+    among them.
+    """
     # 16 bits of each of the bands that split a bucket, in one number
     splits = None
     for j, step in enumerate(SPLITS):
@@ -236,7 +250,7 @@ def candidates(nodes: DataFrame, small: int = SMALL) -> DataFrame:
         part = F.shiftrightunsigned("splits", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))
         nearer, _ = _compare(large.withColumn("part", part), ["bucket", "part"], small)
         pairs = pairs.unionByName(nearer)
-    return pairs.distinct()
+    return pairs.distinct(), large.select("bucket", "short")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -257,6 +271,115 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     )
 
 
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of sets, one of each side, that are similar enough."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    value = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(*value)
+    column = [np.searchsorted(common, v) for v in value]
+    for i in (0, 1):
+        found = np.flatnonzero(np.isin(value[i], common))
+        found = found[np.argsort(column[i][found], kind="stable")]
+        row[i], column[i] = row[i][found], column[i][found]
+    times = [np.bincount(c, minlength=len(common)) for c in column]
+    both = np.zeros((len(left), len(right)), np.float32)
+    # shingles of few pairs one by one, the others as columns of matrices
+    met = times[0] * times[1]
+    few = np.flatnonzero(met <= FEW)
+    at = [np.repeat((np.cumsum(n) - n)[few], met[few]) for n in times]
+    turn = np.arange(met[few].sum()) - np.repeat(np.cumsum(met[few]) - met[few], met[few])
+    n = np.repeat(times[1][few], met[few])
+    np.add.at(both, (row[0][at[0] + turn // n], row[1][at[1] + turn % n]), 1)
+    many = np.cumsum(met > FEW) - 1
+    for i in (0, 1):
+        kept = met[column[i]] > FEW
+        row[i], column[i] = row[i][kept], many[column[i][kept]]
+    for start in range(0, int((met > FEW).sum()), COLUMNS):
+        marks = []
+        for i, side in enumerate((left, right)):
+            a, b = np.searchsorted(column[i], (start, start + COLUMNS))
+            mark = np.zeros((len(side), COLUMNS), np.float32)
+            mark[row[i][a:b], column[i][a:b] - start] = 1
+            marks.append(mark)
+        both += marks[0] @ marks[1].T
+    either = sizes[0][:, None] + sizes[1][None, :] - both.astype(float)
+    return np.nonzero(both >= similarity * either)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, root_a: list[bytes], root_b: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Of the pairs, enough to join all classes that they join."""
+    above: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(root_a[i]), find(root_b[j])
+        if p != q:
+            above[p] = q
+            yield i, j
+
+
+def uncovered(large: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Further links ``a, b`` between classes that meet in large buckets.
+
+    ``large`` has memberships ``bucket, short``, ``roots`` the classes ``node, root``
+    so far.  Within a bucket, members outside its largest class are compared with all
+    members.  Blocks have a bounded number of sets and shingles, and a block gives
+    fewer links than it has sets.
+    """
+    placed = sets.join(roots, "node", "left").select(
+        "short", "node", F.coalesce("root", "node").alias("root"), F.size("shingles").cast("long").alias("size")
+    )
+    member = saved(large.join(saved(placed, "rooted"), "short").drop("short"), "rooted-members")
+    by_class = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "size", "root"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    opened = (
+        by_class.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), most.alias("main"))
+        .where(F.col("n") > F.col("main.n"))
+        .select(
+            "bucket", F.col("main.root").alias("main"),
+            blocks(F.col("n") - F.col("main.n"), F.col("all") - F.col("main.size")).alias("rests"),
+            blocks(F.col("n"), F.col("all")).alias("alls"),
+        )
+    )
+    shared = member.drop("size").join(saved(opened, "open"), "bucket")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = shared.where(F.col("root") != F.col("main")).select(
+        "bucket", "node", "root", F.lit(True).alias("rest"), block(F.col("rests")).alias("i"), each("alls").alias("j")
+    )
+    every = shared.select(
+        "bucket", "node", "root", F.lit(False).alias("rest"), each("rests").alias("i"), block(F.col("alls")).alias("j")
+    )
+    rows = saved(rest.unionByName(every), "blocks").join(sets.select("node", "shingles"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_rest = table.column("rest").to_numpy()
+        side = [table.filter(pa.array(is_rest)), table.filter(pa.array(~is_rest))]
+        found: list[tuple[int, int]] = []
+        node = [t.column("node").to_pylist() for t in side]
+        if all(t.num_rows for t in side):
+            cut = []
+            for t in side:
+                lists = t.column("shingles").combine_chunks()
+                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                cut.append([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+            a, b = similar_pairs(*cut, similarity)
+            found = list(_spanning(a, b, *[t.column("root").to_pylist() for t in side]))
+        return pa.table(
+            {"a": pa.array([node[0][i] for i, _ in found], pa.binary()), "b": pa.array([node[1][j] for _, j in found], pa.binary())}
+        )
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of the connected components of ``links(a, b)``.
 
@@ -296,13 +419,16 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     """
     drawn = saved(sketch(docs, bands, rows), "sketches")
     nodes = drawn.groupBy("node").agg(F.any_value("short").alias("short"), F.any_value("bands").alias("bands"))
-    pairs = saved(candidates(nodes.select("short", "bands"), small), "pairs")
+    pairs, large = candidates(nodes.select("short", "bands"), small)
+    pairs = saved(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("short")).unionByName(pairs.select(F.col("b").alias("short"))).distinct()
     # one document for each node in a pair; repeated ids may bring other nodes along
     examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(examples.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = saved(shingle_sets(texts).join(asked, "short", "left_semi").dropDuplicates(["node"]), "sets")
-    roots = components(verified(pairs, sets, similarity))
+    links = saved(verified(pairs, sets, similarity), "verified")
+    more = saved(uncovered(large, components(links), sets, similarity), "more")
+    roots = components(links.unionByName(more))
     placed = drawn.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", F.coalesce("root", "node").alias("root")
     )

@@ -83,6 +83,49 @@ def test_empty_table(spark):
     assert nd.near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def far_from_the_centre(families=250, members=3):
+    """A large group of families: members are similar, families hardly ever."""
+    draw = random.Random(5)
+    base, docs = text(draw, 600), []
+    for _ in range(families):
+        own = edited(draw, base, 4)
+        docs += [edited(draw, own, 6) for _ in range(members)]
+    draw.shuffle(docs)
+    return list(enumerate(" ".join(d) for d in docs))
+
+
+def test_a_large_group_far_from_its_centre(spark):
+    docs = far_from_the_centre()
+    # all pairs, by multiplying sets: test_similar_pairs_equal_all_pairs holds that against loops
+    sets = [np.unique(np.array([hash(tuple(w[j : j + 5])) for j in range(len(w) - 4)], np.int64)) for w in (t.split() for _, t in docs)]
+    root = list(range(len(docs)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, b in zip(*nd.similar_pairs(sets, sets, 0.8), strict=True):
+        p, q = sorted((find(int(a)), find(int(b))))
+        root[q] = p
+    truth = {i: find(i) for i in root}
+    found = nd.near_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in found} == truth
+    assert len(set(truth.values())) > 100
+
+
+def test_similar_pairs_equal_all_pairs():
+    draw = np.random.default_rng(2)
+    pool = draw.integers(-(2**31), 2**31, 6000).astype(np.int32)
+    sets = [np.unique(draw.choice(pool[:n], n // 2)) for n in (3, 40, 41, 42, 5000, 6000) for _ in range(6)]
+    sets += [s[: max(1, int(len(s) * part))] for s in sets for part in (0.8, 0.79, 0.9)]
+    left, right = sets[::2], sets[1::2]
+    want = {
+        (i, j) for i, x in enumerate(left) for j, y in enumerate(right)
+        if (both := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - both)
+    }
+    got = list(zip(*map(np.ndarray.tolist, nd.similar_pairs(left, right, 0.8)), strict=True))
+    assert set(got) == want and len(got) == len(want) > 20
+
+
 def repeating():
     """Pairs of similar sets, one text of each repeating its shingles many times."""
     draw, docs = random.Random(3), []
