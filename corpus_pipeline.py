@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that recur from the second document on go; a document without any left too."""
-    cleaned = dedup_lines(docs, min_docs=2)
+    cleaned = dedup_lines(docs, min_docs=2, count_fields=True)
     emptied = (F.col("n_dropped") > 0) & (F.col("n_dropped") == F.col("n_lines"))
     return cleaned.where(~emptied).select(*docs.columns)
 

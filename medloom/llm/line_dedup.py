@@ -48,31 +48,51 @@ def _hash(*columns: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", *columns)))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _tokens(m: Column) -> Column:
+    return F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "))) + 1
+
+
+def _parsed(similarity: float, count_fields: bool):
+    """How a line is rewritten: with ``count_fields``, unmasked if masking leaves too few constants."""
+    if not count_fields:
+        return masked
+
+    def rewrite(line: Column) -> Column:
+        m = masked(line)
+        fields = (F.octet_length(m) - F.octet_length(F.replace(m, F.lit(WILD)))) / len(WILD)
+        plain = F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+        return F.when(m.contains(WILD) & (_tokens(m) - fields < similarity * _tokens(m)), plain).otherwise(m)
+
+    return rewrite
+
+
+def _lines(docs: DataFrame, rewrite=masked) -> DataFrame:
     """``doc_id, line_no, m`` of all lines with a token."""
     # inside the generator, so that a line is rewritten once however often it is used
-    lines = F.posexplode(F.transform(F.split("text", BREAK), masked)).alias("line_no", "m")
+    lines = F.posexplode(F.transform(F.split("text", BREAK), rewrite)).alias("line_no", "m")
     return docs.where(F.col("text").isNotNull()).select("doc_id", lines).where(F.col("m") != "")
 
 
 def _leaf(m: Column, depth: int) -> Column:
     """Token count and leading tokens."""
-    count = F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "))) + 1
-    return F.concat_ws(" ", count.cast("string"), F.substring_index(m, " ", depth))
+    return F.concat_ws(" ", _tokens(m).cast("string"), F.substring_index(m, " ", depth))
 
 
 def parse(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT,
+    count_fields: bool = False,
 ) -> DataFrame:
     """``doc_id, line_no, template, drop`` of every line with a token.
 
     ``template`` is a hash.  A template recurs if at least ``min_docs`` documents
     have it; its first occurrence, by ``doc_id`` and line, is kept.  ``support`` is
     the least number of (document, line) pairs that keeps a place from generalising.
+    With ``count_fields`` masked tokens count as varying too, so numeric rows with
+    different numbers are different templates.
     """
-    m = F.col("m")
+    m, rewrite = F.col("m"), _parsed(similarity, count_fields)
     lines = saved(
-        _lines(docs).select("doc_id", "line_no", _hash(_leaf(m, depth)).alias("leaf"), _hash(m).alias("line")),
+        _lines(docs, rewrite).select("doc_id", "line_no", _hash(_leaf(m, depth)).alias("leaf"), _hash(m).alias("line")),
         "lines",
     )
     # different lines with their documents, and leaves worth generalising
@@ -101,7 +121,7 @@ def parse(
         .select("split", F.explode("wanted").alias("w"))
         .select(
             "w.leaf", "w.line", "w.docs",
-            F.split(masked(F.get("split", F.col("w.line_no"))), " ").alias("tokens"),
+            F.split(rewrite(F.get("split", F.col("w.line_no"))), " ").alias("tokens"),
         )
         # documents that repeat a doc_id would bring an example twice
         .dropDuplicates(["leaf", "line"])
@@ -121,9 +141,12 @@ def parse(
         .agg(F.sort_array(F.collect_list("at")).alias("varying"))
     )
     wild = F.transform("tokens", lambda t, i: F.when(F.array_contains("varying", i), WILD).otherwise(t))
+    enough = F.size("varying") <= (1 - similarity) * F.size("tokens")
+    if count_fields:
+        enough = F.size(F.filter(wild, lambda t: t != WILD)) >= similarity * F.size("tokens")
     general = (
         kinds.join(varying, "line")
-        .where(F.size("varying") <= (1 - similarity) * F.size("tokens"))
+        .where(enough)
         .select("line", _hash(F.lit("t"), F.array_join(wild, " ")).alias("general"))
     )
     named = lines.join(saved(general, "general"), "line", "left").select(
@@ -148,7 +171,8 @@ def parse(
 
 
 def dedup_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT,
+    count_fields: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` with recurring lines removed; adds ``n_lines, n_dropped``.
 
@@ -162,7 +186,7 @@ def dedup_lines(
     columns = [c for c in docs.columns if c not in made]
     known = docs.where(F.col("doc_id").isNotNull())
     decided = (
-        parse(known, depth, min_docs, similarity, support)
+        parse(known, depth, min_docs, similarity, support, count_fields)
         .groupBy("doc_id")
         .agg(
             F.countDistinct("line_no").alias("n_lines"),

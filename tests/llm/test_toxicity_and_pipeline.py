@@ -173,3 +173,11 @@ def test_a_passage_of_two_documents_is_kept_once(spark):
     docs = [(1, "posted by user ann on the public list"), (2, "posted by user bob on the public list")]
     got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id, r.text) for r in got) == docs
+
+
+def test_rows_of_different_numbers_are_different_lines(spark):
+    docs = [(i, f"{i} {i + 1} {i + 2}\nTotal: 1,{i}34") for i in range(5)] + [(9, "0 1 2")]
+    docs += [(20 + i, f"own {chr(97 + i)}\nsee all of the notes on page {i}") for i in range(2)]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    # the equal row goes, and the line with one field in eight tokens
+    assert {r.doc_id: r.text for r in got} == dict(docs[:5]) | {20: docs[6][1], 21: "own b"}
