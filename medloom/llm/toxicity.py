@@ -13,11 +13,13 @@ whole texts, without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from medloom.llm.common import shipped
 
 #: labelled documents that are fitted on, at most, by label; chosen by a hash of the id
-MAX_TOXIC = 700
-MAX_CLEAN = 2_000
+MAX_TOXIC = 1_000
+MAX_CLEAN = 3_000
 #: of these, documents whose tokens the chain is fitted to, at most by label
-MAX_CHAINS = 400
+MAX_CHAINS = 500
 HELD_OUT_OF = 5
 PREFIXES = (3, 4, 5, 6)
 #: share of a marking feature's documents that are toxic, at least
@@ -209,8 +211,10 @@ def unlike(texts: list[str]) -> list[int]:
     """
     seen: set[tuple[int, int]] = set()
     kept = []
+    # not hash(), which differs between processes
+    number = cache(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
     for i, text in enumerate(texts):
-        words = np.array([hash(w) for w in TOKENS.findall(text)], dtype=np.int64).view(np.uint64)
+        words = np.array([number(w) for w in TOKENS.findall(text)], dtype=np.uint64)
         with np.errstate(over="ignore"):
             pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] if len(words) > 1 else words
             minima = {(k, int((pairs * np.uint64(m)).min())) for k, m in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))} if len(pairs) else {(-1, 0)}

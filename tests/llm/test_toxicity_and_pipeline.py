@@ -2,6 +2,8 @@
 
 import itertools
 import os
+import subprocess
+import sys
 import random
 
 import numpy as np
@@ -181,3 +183,15 @@ def test_rows_of_different_numbers_are_different_lines(spark):
     got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     # the equal row goes, and the line with one field in eight tokens
     assert {r.doc_id: r.text for r in got} == dict(docs[:5]) | {20: docs[6][1], 21: "own b"}
+
+
+def test_the_texts_learnt_from_do_not_depend_on_the_process():
+    code = (
+        "import random; from medloom.llm.toxicity import unlike; d = random.Random(1); base = [f'w{i}' for i in range(60)]\n"
+        "print(unlike([' '.join(w if d.random() < 0.6 else f'x{d.random()}' for w in base) for _ in range(200)]))"
+    )
+    run = lambda seed: subprocess.run(
+        [sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": os.pathsep.join(sys.path)},
+        capture_output=True, text=True, check=True,
+    ).stdout
+    assert run("1") == run("2")
