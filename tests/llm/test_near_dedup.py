@@ -106,7 +106,7 @@ def test_a_large_group_far_from_its_centre(spark):
     for a, b in zip(*nd.similar_pairs(sets, sets, 0.8), strict=True):
         p, q = sorted((find(int(a)), find(int(b))))
         root[q] = p
-    truth = {i: find(i) for i in root}
+    truth = {i: find(i) for i in range(len(docs))}
     found = nd.near_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
     assert {r.doc_id: r.class_id for r in found} == truth
     assert len(set(truth.values())) > 100
