@@ -12,6 +12,7 @@ from medloom.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    periodic_runs,
     preferences,
     token_scan,
     toxicity,
@@ -313,3 +314,8 @@ def _op10(read):
     docs = read("documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.train(docs, read("labels")))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "starts", "ends")
+
+
+@query("op13_periodic_runs")
+def _op13(read):
+    return periodic_runs.periodic_runs(read("documents"), rewrite=True)
