@@ -14,6 +14,7 @@ from medloom.llm import (
     near_dedup,
     periodic_runs,
     preferences,
+    prefix_trie,
     token_scan,
     toxicity,
     url_rules,
@@ -316,6 +317,55 @@ def _op10(read):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "starts", "ends")
 
 
+# crc32 bit by bit
+SQL_CRC = """xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint,
+    list_transform(string_split({}, ''), lambda ch: ascii(ch)::ubigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::ubigint, 1, 2, 3, 4, 5, 6, 7]),
+      lambda x, k: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384::ubigint ELSE 0::ubigint END))))"""
+
+SQL_TRIE = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {SQL_CRC.format("conv_id::varchar")} % 6 AS h
+  FROM own GROUP BY conv_id
+), rows AS (
+  SELECT c.conv_id, b.pos, b.role, b.text FROM convs c JOIN own b ON b.conv_id = c.base AND b.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h
+), built AS (
+  SELECT c.conv_id, coalesce(s, []) AS s
+  FROM convs c LEFT JOIN (
+    SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY pos) AS s FROM rows GROUP BY conv_id
+  ) r ON c.conv_id = r.conv_id
+), steps AS (
+  SELECT conv_id, d, s[1:d] AS node, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+         CASE WHEN any_value(d) = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(node[d].text)) END AS saved
+  FROM steps GROUP BY node
+), kids AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT s[1:k] AS node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT n.node AS s, saved, kids.n IS NULL AS leaf, unnest(range(0, depth + 1)) AS k FROM nodes n LEFT JOIN kids ON n.node = kids.node)
+  GROUP BY 1
+)
+SELECT n.conv_id, n.depth::bigint AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+       n_leaves, saved_tokens::bigint AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON n.node = s.node LEFT JOIN kids ON n.node = kids.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+"""
+
+
+@query("op12_prefix_trie", SQL_TRIE)
+def _op12(read):
+    return prefix_trie.prefix_trie(*prefix_trie.regrown(read("conversations")))
+
+
 @query("op13_periodic_runs")
 def _op13(read):
     return periodic_runs.periodic_runs(read("documents"), rewrite=True)
