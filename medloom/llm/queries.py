@@ -12,6 +12,7 @@ from medloom.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    ngram_join,
     periodic_runs,
     preferences,
     prefix_trie,
@@ -21,7 +22,7 @@ from medloom.llm import (
     warc,
 )
 from medloom.llm import exact_dedup as exact
-from medloom.llm.common import WORD
+from medloom.llm.common import TOKEN, WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -317,6 +318,38 @@ def _op10(read):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "starts", "ends")
 
 
+# all pairs of texts that share a shingle, as for op4
+SQL_NGRAMS = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all({SQL_FOLD.format("text")}, '{TOKEN}'), []) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {ngram_join.SHINGLE - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {ngram_join.SHINGLE - 1}, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= {ngram_join.PERCENT} * (x.n + y.n - common.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS root FROM docs
+  UNION
+  SELECT e.b, r.root FROM reached r JOIN edges e ON e.a = r.doc_id
+)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.root) AS component_id
+FROM reached r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id
+"""
+
+
+@query("op11_ngram_join", SQL_NGRAMS)
+def _op11(read):
+    return ngram_join.ngram_join(read("documents"))
+
+
 # crc32 bit by bit
 SQL_CRC = """xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint,
     list_transform(string_split({}, ''), lambda ch: ascii(ch)::ubigint)),
