@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from medloom.llm.common import saved
 
 DEPTH = 3
-MIN_DOCS = 3
+#: a template recurs from the second document on
+MIN_DOCS = 2
 #: (document, line) pairs that make a token constant at its place
 SUPPORT = 3
 SIMILARITY = 0.8
@@ -30,17 +31,51 @@ FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 BREAK = "\n"
 
 
-def masked(line: Column) -> Column:
-    """Lower-cased line with single blanks and variable fields generalised.
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    Most lines have neither stray blanks nor digits and skip the replacements.
-    """
+
+def single_spaced(line: Column) -> Column:
+    """Lower-cased line with single blanks.  Most lines have no stray ones and are kept."""
     line = F.lower(line)
     stray = line.startswith(" ") | line.endswith(" ")
     for blanks in ("  ", "\t", "\v", "\f", "\r"):
         stray = stray | line.contains(blanks)
-    single = F.when(stray, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(single, FIELD, WILD)).otherwise(single)
+    return F.when(stray, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
+def rewritten(similarity: float):
+    """How a line is read: variable fields generalised, if enough tokens stay constant."""
+
+    def masked(line: Column) -> Column:
+        def enough(m: Column) -> Column:
+            tokens = F.split(m, " ")
+            fields = F.size(F.filter(tokens, lambda t: t == WILD))
+            return F.size(tokens) - fields >= similarity * F.size(tokens)
+
+        return bound(F.regexp_replace(line, FIELD, WILD), lambda m: F.when(enough(m), m).otherwise(line))
+
+    return lambda line: bound(single_spaced(line), lambda one: F.when(one.rlike("[0-9]"), masked(one)).otherwise(one))
+
+
+def spliced(items: Column, places: Column, put: str | None = None) -> Column:
+    """``items`` without those at the ``places``, ascending, with ``put`` instead if given.
+
+    Cut between the places, so the work grows with the items and not with both.
+    """
+    filler = F.array(F.lit(put)) if put is not None else F.array().cast("array<string>")
+    cuts = F.concat(F.array(F.lit(-1)), places, F.array(F.lit(2**31 - 1)))
+
+    def between(x: Column) -> Column:
+        def part(k: Column) -> Column:
+            at = F.get(x["cuts"], k - 1)
+            piece = F.slice(x["items"], at + 2, F.get(x["cuts"], k) - at - 1)
+            return F.concat(piece, F.when(k < F.size(x["cuts"]) - 1, filler).otherwise(F.array().cast("array<string>")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(x["cuts"]) - 1), part))
+
+    return bound(F.struct(items.alias("items"), cuts.alias("cuts")), between)
 
 
 def _hash(*columns: Column) -> Column:
@@ -52,24 +87,10 @@ def _tokens(m: Column) -> Column:
     return F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "))) + 1
 
 
-def _parsed(similarity: float, count_fields: bool):
-    """How a line is rewritten: with ``count_fields``, unmasked if masking leaves too few constants."""
-    if not count_fields:
-        return masked
-
-    def rewrite(line: Column) -> Column:
-        m = masked(line)
-        fields = (F.octet_length(m) - F.octet_length(F.replace(m, F.lit(WILD)))) / len(WILD)
-        plain = F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
-        return F.when(m.contains(WILD) & (_tokens(m) - fields < similarity * _tokens(m)), plain).otherwise(m)
-
-    return rewrite
-
-
-def _lines(docs: DataFrame, rewrite=masked) -> DataFrame:
+def _lines(docs: DataFrame, similarity: float) -> DataFrame:
     """``doc_id, line_no, m`` of all lines with a token."""
     # inside the generator, so that a line is rewritten once however often it is used
-    lines = F.posexplode(F.transform(F.split("text", BREAK), rewrite)).alias("line_no", "m")
+    lines = F.posexplode(F.transform(F.split("text", BREAK), rewritten(similarity))).alias("line_no", "m")
     return docs.where(F.col("text").isNotNull()).select("doc_id", lines).where(F.col("m") != "")
 
 
@@ -79,20 +100,19 @@ def _leaf(m: Column, depth: int) -> Column:
 
 
 def parse(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT,
-    count_fields: bool = False,
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT
 ) -> DataFrame:
     """``doc_id, line_no, template, drop`` of every line with a token.
 
     ``template`` is a hash.  A template recurs if at least ``min_docs`` documents
     have it; its first occurrence, by ``doc_id`` and line, is kept.  ``support`` is
     the least number of (document, line) pairs that keeps a place from generalising.
-    With ``count_fields`` masked tokens count as varying too, so numeric rows with
-    different numbers are different templates.
+    Fields and generalised places are the variable tokens of a template; a line with
+    too many stays as it is, so rows of different numbers are different templates.
     """
-    m, rewrite = F.col("m"), _parsed(similarity, count_fields)
+    m = F.col("m")
     lines = saved(
-        _lines(docs, rewrite).select("doc_id", "line_no", _hash(_leaf(m, depth)).alias("leaf"), _hash(m).alias("line")),
+        _lines(docs, similarity).select("doc_id", "line_no", _hash(_leaf(m, depth)).alias("leaf"), _hash(m).alias("line")),
         "lines",
     )
     # different lines with their documents, and leaves worth generalising
@@ -115,14 +135,13 @@ def parse(
     wanted = examples.groupBy("doc_id").agg(
         F.collect_list(F.struct("line_no", "leaf", "line", "docs")).alias("wanted")
     )
+    read = lambda split: F.transform(
+        "wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["line"].alias("line"), w["docs"].alias("docs"), F.get(split, w["line_no"]).alias("text"))
+    )
     kinds = (
-        docs.select("doc_id", F.split("text", BREAK).alias("split"))
-        .join(wanted, "doc_id")
-        .select("split", F.explode("wanted").alias("w"))
-        .select(
-            "w.leaf", "w.line", "w.docs",
-            F.split(rewrite(F.get("split", F.col("w.line_no"))), " ").alias("tokens"),
-        )
+        docs.select("doc_id", "text").join(wanted, "doc_id")
+        .select(F.explode(bound(F.split("text", BREAK), read)).alias("w"))
+        .select("w.leaf", "w.line", "w.docs", F.split(rewritten(similarity)(F.col("w.text")), " ").alias("tokens"))
         # documents that repeat a doc_id would bring an example twice
         .dropDuplicates(["leaf", "line"])
     )
@@ -140,14 +159,12 @@ def parse(
         .groupBy("line")
         .agg(F.sort_array(F.collect_list("at")).alias("varying"))
     )
-    wild = F.transform("tokens", lambda t, i: F.when(F.array_contains("varying", i), WILD).otherwise(t))
-    enough = F.size("varying") <= (1 - similarity) * F.size("tokens")
-    if count_fields:
-        enough = F.size(F.filter(wild, lambda t: t != WILD)) >= similarity * F.size("tokens")
     general = (
         kinds.join(varying, "line")
-        .where(enough)
-        .select("line", _hash(F.lit("t"), F.array_join(wild, " ")).alias("general"))
+        .select("line", bound(spliced(F.col("tokens"), F.col("varying"), WILD), lambda t: F.when(
+            F.size(F.filter(t, lambda x: x != WILD)) >= similarity * F.size(t), _hash(F.lit("t"), F.array_join(t, " "))
+        )).alias("general"))
+        .where(F.col("general").isNotNull())
     )
     named = lines.join(saved(general, "general"), "line", "left").select(
         "doc_id", "line_no", F.coalesce("general", "line").alias("template")
@@ -171,8 +188,7 @@ def parse(
 
 
 def dedup_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT,
-    count_fields: bool = False,
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, support: int = SUPPORT
 ) -> DataFrame:
     """The rows of ``docs`` with recurring lines removed; adds ``n_lines, n_dropped``.
 
@@ -186,14 +202,14 @@ def dedup_lines(
     columns = [c for c in docs.columns if c not in made]
     known = docs.where(F.col("doc_id").isNotNull())
     decided = (
-        parse(known, depth, min_docs, similarity, support, count_fields)
+        parse(known, depth, min_docs, similarity, support)
         .groupBy("doc_id")
         .agg(
             F.countDistinct("line_no").alias("n_lines"),
-            F.collect_set(F.when(F.col("drop"), F.col("line_no"))).alias("__gone"),
+            F.sort_array(F.collect_set(F.when(F.col("drop"), F.col("line_no")))).alias("__gone"),
         )
     )
-    kept = F.expr("filter(split(text, '\\n'), (l, i) -> not array_contains(__gone, i))")
+    kept = spliced(F.split("text", BREAK), F.col("__gone"))
     text = F.when(F.size("__gone") > 0, F.array_join(kept, BREAK)).otherwise(F.col("text"))
     return (
         docs.select(*columns)

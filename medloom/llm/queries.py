@@ -50,11 +50,16 @@ WITH split AS (
   SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
 ), raw AS (
   SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM split
+), plain AS (
+  SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS plain
+  FROM raw
+), masked AS (
+  SELECT *, list_transform(plain, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS masked FROM plain
 ), lines AS (
   SELECT doc_id, line_no,
-         list_transform(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-                        lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-  FROM raw
+         CASE WHEN len(list_filter(masked, lambda t: t <> '<*>')) >= {line_dedup.SIMILARITY}::double * len(masked)
+              THEN masked ELSE plain END AS tokens
+  FROM masked
 ), parsed AS (
   SELECT doc_id, line_no, tokens, [len(tokens)::varchar] || tokens[1:{line_dedup.DEPTH}] AS leaf
   FROM lines WHERE len(tokens) > 0
@@ -63,13 +68,14 @@ WITH split AS (
 ), fields AS (
   SELECT leaf, tokens, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
   FROM (SELECT *, count(*) OVER (PARTITION BY leaf) AS n, sum(docs) OVER (PARTITION BY leaf) AS all_docs FROM kinds)
-  WHERE n > 1 AND all_docs >= {line_dedup.MIN_DOCS}
+  WHERE n > 1 AND all_docs >= {line_dedup.SUPPORT}
 ), marked AS (
-  SELECT *, sum(docs) OVER (PARTITION BY leaf, place, token) < {line_dedup.MIN_DOCS} AS varies FROM fields
+  SELECT *, sum(docs) OVER (PARTITION BY leaf, place, token) < {line_dedup.SUPPORT} AS varies FROM fields
 ), general AS (
   SELECT tokens, list(CASE WHEN varies THEN '<*>' ELSE token END ORDER BY place) AS template
   FROM marked GROUP BY tokens
-  HAVING count(*) FILTER (varies) > 0 AND count(*) FILTER (varies) <= (1 - {line_dedup.SIMILARITY}::double) * len(tokens)
+  HAVING count(*) FILTER (varies) > 0
+    AND count(*) FILTER (NOT varies AND token <> '<*>') >= {line_dedup.SIMILARITY}::double * len(tokens)
 ), named AS (
   SELECT p.doc_id, p.line_no,
          CASE WHEN g.template IS NULL THEN ['l'] || p.tokens ELSE ['t'] || g.template END AS template
