@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medloom.llm import signature_tree as st
-from medloom.llm.common import saved, shipped
+from medloom.llm.common import saved
 from medloom.llm.near_dedup import components, shingles
 from medloom.llm.words import FOLDED, bounds, hashes, texts, together
 
@@ -31,44 +31,38 @@ def _shingles(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarra
         yield i, j, *shingles(hashes(data, start, end, FOLDED), np.cumsum(n), size)
 
 
-def shingle_levels(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """How frequent shingles are over all documents."""
-    return st.token_levels(docs.select("text"), lambda batch: (v for *_, v in _shingles(batch.column("text"), size)))
+def shingle_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, whole: bool = False) -> DataFrame:
+    """``doc_id, node, short, n`` and ``keys`` or, with ``whole``, ``tokens`` of each text.
 
-
-def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int = SHINGLE, percent: int = PERCENT, whole: bool = False) -> DataFrame:
-    """``doc_id, node, short, n, tokens``: a text's distinct shingles from rare to frequent.
-
-    Only the prefix by which links are found, or with ``whole`` all of them.  ``node``
-    names the set; its first half is ``short``.  A text without words has no node.
+    ``tokens`` are its distinct shingles, ``keys`` name the shards by which links are
+    found.  ``node`` names the set; its first half is ``short``.  A text without words has
+    no node.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    load = shipped(docs.sparkSession, levels)
+    kept = "tokens" if whole else "keys"
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load()
         for batch in batches:
             for i, j, text, value in _shingles(batch.column("text"), size):
-                token = st.ordered(value, table)
                 cut = np.searchsorted(text, np.arange(j - i + 1))
-                nodes, sizes, kept = [], [], []
+                sets, nodes = [], []
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    one = np.sort(token[a:b])
+                    one = np.sort(value[a:b])
                     if b - a > 1:
                         one = one[np.concatenate(([True], one[1:] != one[:-1]))]
+                    sets.append(one)
                     nodes.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if b > a else None)
-                    sizes.append(len(one))
-                    kept.append(one if whole or b == a else one[: st.prefix_length(len(one), percent)])
-                at = np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32)
-                values = pa.array(np.concatenate(kept).view(np.int64))
+                sizes, values = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
+                values, counts = (values, sizes) if whole else st.segment_keys(values, sizes, percent)
+                at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 short = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(short, pa.int64()),
-                     pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, values)],
-                    ["doc_id", "node", "short", "n", "tokens"],
+                     pa.array(sizes), pa.ListArray.from_arrays(at, pa.array(values.view(np.int64)))],
+                    ["doc_id", "node", "short", "n", kept],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(draw, f"doc_id {kind}, node binary, short long, n long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(draw, f"doc_id {kind}, node binary, short long, n long, {kept} array<long>")
 
 
 def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, small: int = st.SMALL, block: int = st.BLOCK) -> DataFrame:
@@ -82,16 +76,14 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sma
     nothing else is in it.  Rows that repeat a ``doc_id`` are answered each.  Other
     columns are ignored.
     """
-    levels = shingle_levels(docs, size)
-    drawn = saved(shingle_sets(docs, levels, size, percent), "prefixes")
-    nodes = drawn.where("n > 0").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("short", "n", "tokens")])
-    met = st.shards(nodes.withColumnRenamed("tokens", "prefix"))
+    drawn = saved(shingle_sets(docs, size, percent), "segments")
+    nodes = drawn.where("n > 0").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("short", "n", "keys")])
+    met = st.shards(nodes)
     asked = saved(met.select("short").distinct(), "asked")
     # one document for each node in a shard; repeated ids may bring other nodes along
     examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     chosen = docs.select("doc_id", "text").join(saved(examples, "examples"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    whole = shingle_sets(chosen, levels, size, percent, whole=True).drop("doc_id")
-    sets = saved(whole.join(asked, "short", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = saved(shingle_sets(chosen, size, percent, whole=True).drop("doc_id"), "sets")
     roots = components(st.joined(met, sets, percent, small=small, block=block))
     placed = saved(
         drawn.where("n > 0").select("doc_id", "node", "n").join(roots, "node", "left").select(

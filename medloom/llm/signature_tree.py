@@ -3,20 +3,25 @@
 Two sets link when their Jaccard similarity reaches a threshold.  Among sets that have
 nothing in common no tree can prune, so sets are first dealt to shards:
 
-1. Tokens are ordered from rare to frequent, by counts over all sets in a table of
-   ``SLOTS`` hashed slots (any order is right; a good one keeps shards small).  Sets of
-   n tokens that link share one of their first ``n - ceil(t n) + 1``, so a set belongs to
-   the shards of these, and shards of one set, nearly all, go at once.
+1. A set's tokens fall by hash into K segments.  K exceeds the number of tokens that two
+   sets of that size may differ by and still link, so they agree on whole segments; a
+   set belongs to the shard of each of its segments.  Sizes are classed, as K depends on
+   them; a set that may link with one of the next class has that class's segments too.
+   Shards of one set, nearly all, go at once.
 2. Members of a shard are compared with its most central one.  A shard whose members are
-   then one class is done.  What remains has more than one class:
-3. A small shard compares its pairs of different classes.  A larger one is cut into blocks
-   of bounded size and each pair of blocks that are not one class meets in a task.
-   There a signature tree stands over each block: a node holds the OR of the bitmaps of
-   the tokens below, the range of sizes and the class, if there is but one.  Both trees
-   are walked down together.  A pair of nodes is left out if sizes cannot link, if both
-   are one class, or if the bits they share, with as many tokens as may share bits with
-   others, are fewer than the least overlap that links.
-4. Pairs of sets that are left are compared exactly, the most similar first, until what
+   then one class is done.
+3. A small shard compares its pairs of different classes.  Members of larger ones are
+   dealt anew, by rare tokens: of sets of n tokens that link, the ``n - ceil(t n) + 1``
+   rarest tokens of one and the other have one in common.  So texts that share only
+   what all of them have never meet.
+4. Such a shard that is still large, with several classes, is cut into blocks of bounded
+   size, and each pair of blocks that are not one class meets in a task.  There a
+   signature tree stands over each block: a node holds the OR of the bitmaps of the tokens
+   below, the range of sizes and the class, if there is but one.  Both trees are walked
+   down together.  A pair of nodes is left out if sizes cannot link, if both are one
+   class, or if the bits they share, with as many tokens as may share bits with others,
+   are fewer than the least overlap that links.
+5. Pairs of sets that are left are compared exactly, the most similar first, until what
    they would join is joined.
 
 So all links that matter for the classes are found; those within a class are not listed.
@@ -24,20 +29,20 @@ So all links that matter for the classes are found; those within a class are not
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.llm.common import saved
-from medloom.llm.near_dedup import components
+from medloom.llm.near_dedup import components, mix
 
-#: slots of the table of counts, in so many slices
-SLOT_BITS = 20
-SLICES = 64
+#: sizes of a class of sets differ by less than this factor
+CLASS = 1.5
+#: segments beyond those that may differ; so many and one more agree
+SPARE = 2
 #: a shard of up to so many sets compares its pairs at once
 SMALL = 32
 #: sets, and tokens, in a block of a larger one, about
@@ -51,73 +56,102 @@ PAIRS = 1 << 14
 TOKENS = 1 << 20
 
 
-def token_levels(frame: DataFrame, read: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """How frequent the hashed tokens of all rows are: eight times the binary logarithm of
-    their count, by slot (their upper bits).  ``read`` yields a batch's 64-bit tokens.
+def class_bounds(percent: int) -> list[int]:
+    """Least sizes of the classes, from the first size at which different sets link."""
+    low = next(n for n in range(1, 1 << 20) if most_apart(n, n + 1, percent))
+    bounds = [low]
+    while bounds[-1] < 1 << 40:
+        # the next but one class is out of reach
+        bounds.append(max(int(bounds[-1] * CLASS), 100 * bounds[-1] // percent + 1))
+    return bounds
 
-    Tables of tasks are added 64 at a time; the driver gets the one of ``SLOTS`` counts.
-    """
-    slots, bits = 1 << SLOT_BITS, np.uint64(64 - SLOT_BITS)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.int64)
-        for batch in batches:
-            for tokens in read(batch):
-                counts += np.bincount((tokens >> bits).astype(np.int64), minlength=slots)
-        part = TaskContext.get().partitionId()
-        pieces = [x.tobytes() for x in np.split(counts, SLICES)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.array(pieces, pa.binary())],
-            ["part", "slice", "counts"],
-        )
-
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        total = np.zeros(slots // SLICES, np.int64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"part": [key[0].as_py()], "slice": [key[1].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = frame.rdd.getNumPartitions()
-    sums = frame.mapInArrow(count, "part long, slice long, counts binary")
-    while True:
-        parts = -(-parts // 64)
-        grouped = sums.withColumn("part", F.floor(F.col("part") / 64)).groupBy("part", "slice")
-        sums = grouped.applyInArrow(add, "part long, slice long, counts binary")
-        if parts <= 1:
-            break
-    counts = np.zeros((SLICES, slots // SLICES), np.int64)
-    for row in sums.collect():
-        counts[row.slice] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(8 * np.log2(counts.reshape(-1) + 1), 255).astype(np.uint8)
 
+def most_apart(n: int, m: int, percent: int) -> int:
+    """By how many tokens sets of n and m that link differ at most."""
+    return (n + m) * (100 - percent) // (100 + percent)
 
-def ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Tokens as numbers that sort from rare to frequent."""
-    level = levels[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
-    return (level << np.uint64(56)) | (tokens >> np.uint64(8))
 
+def segment_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments of sets that lie end to end, and how many each set has.
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    Segments without tokens have a key only in sets with more than ``SPARE`` of them:
+    two sets that agree on no other share one.
+    """
+    bounds = np.array(class_bounds(percent))
+    own = np.searchsorted(bounds, sizes, "right") - 1
+    reach = np.searchsorted(bounds, sizes * 100 // percent, "right") - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    owners, keys = [], []
+    for step in (0, 1):
+        # sets below the first class are equal or apart
+        here = (own + step >= 0) & (reach >= own + step) if step else own >= 0
+        at = np.flatnonzero(here)
+        if not len(at):
+            continue
+        kind = own[at] + step
+        top = bounds[kind + 1] - 1
+        segments = 2 * top * (100 - percent) // (100 + percent) + 1 + SPARE
+        first = np.cumsum(segments) - segments
+        rank = np.full(len(sizes), -1)
+        rank[at] = np.arange(len(at))
+        mine = rank[owner]
+        token, mine = tokens[mine >= 0], mine[mine >= 0]
+        place = first[mine] + (mix(token + np.uint64(1)) % segments[mine].astype(np.uint64)).astype(np.int64)
+        total, count = np.zeros(segments.sum(), np.uint64), np.zeros(segments.sum(), np.int64)
+        np.add.at(total, place, mix(token))
+        np.add.at(count, place, 1)
+        of = np.repeat(np.arange(len(at)), segments)
+        number = np.arange(len(of)) - first[of]
+        key = mix(total + mix((kind[of] * (1 << 40) + number).astype(np.uint64)))
+        empty = np.bincount(of, weights=count == 0, minlength=len(at))
+        shown = (count > 0) | (empty[of] > SPARE)
+        owners.append(at[of[shown]])
+        keys.append(key[shown])
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+    owners, keys = np.concatenate(owners), np.concatenate(keys)
+    order = np.argsort(owners, kind="stable")
+    return keys[order], np.bincount(owners, minlength=len(sizes))
 
 
 def _may_link(percent: int, n: Column, m: Column, p: Column, q: Column) -> Column:
-    """Sets of n and m tokens whose first common token is at places p and q."""
+    """Sets of n and m tokens that have no common token before places p and q."""
     reach = F.least(n - p, m - q)
     return reach * (100 + percent) >= percent * (n + m)
 
 
-def shards(nodes: DataFrame) -> DataFrame:
-    """``token, short, n, at, members``: the shards with several members.
-
-    ``nodes``: ``short, n, prefix``, the first tokens in order.
-    """
-    member = nodes.select("short", "n", F.posexplode("prefix").alias("at", "token"))
+def _shards(member: DataFrame) -> DataFrame:
+    """Members of shards ``token`` with several, and how many they are."""
     counts = saved(member.groupBy("token").agg(F.count("*").alias("members")).where("members > 1"), "shards")
     # they grow with the texts: merged at every size, never broadcast
     return saved(member.join(counts.hint("merge"), "token"), "shard-members")
 
 
+def shards(nodes: DataFrame) -> DataFrame:
+    """``token, short, n, at, members`` of ``nodes(short, n, keys)``."""
+    return _shards(nodes.select("short", "n", F.lit(0).alias("at"), F.explode("keys").alias("token")))
+
+
+def rare_token_shards(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, short, n, at, members`` by the rarest tokens of ``sets(short, tokens)``.
+
+    Tokens are counted over these sets; those of one set only lead nowhere.
+    """
+    token = saved(sets.select("short", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token")), "set-tokens")
+    counts = token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    common = saved(token.join(saved(counts, "token-counts").hint("merge"), "token"), "common-tokens")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # a set's other tokens are its own and come first
+    own = F.col("n") - F.size("common")
+    found = (
+        common.groupBy("short").agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("common"))
+        .where(own < length)
+        .select("short", "n", own.cast("long").alias("own"), F.posexplode(F.slice("common", F.lit(1), (length - own).cast("int"))).alias("i", "x"))
+        .select("short", "n", (F.col("own") + F.col("i")).alias("at"), "x.token")
+    )
+    return _shards(saved(found, "rare-tokens"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` of nodes out of ``pairs(a, b)`` of short keys."""
     side = lambda x: sets.select(F.col("short").alias(x), F.col("node").alias(f"node_{x}"), F.col("tokens").alias(f"of_{x}"))
@@ -258,14 +292,16 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.binary()), "b": pa.array([nodes[y] for _, y in found], pa.binary())})
 
 
-def open_links(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def open_links(
+    met: DataFrame, placed: DataFrame, sets: DataFrame, percent: int, small: int = SMALL, block: int = BLOCK, anew: bool = True
+) -> DataFrame:
     """Links ``a, b`` between classes that meet in shards with more than one class.
 
-    ``met`` as of ``shards``, ``roots``: ``node, root`` of nodes with links so far,
-    ``sets``: ``node, short, tokens``.
+    ``met`` as of ``shards``, ``placed``: ``short, node, root`` with the classes so far,
+    ``sets``: ``node, short, tokens``.  With ``anew`` members of large shards are dealt
+    out again by rare tokens first.
     """
-    placed = sets.join(roots, "node", "left").select("short", "node", F.coalesce("root", "node").alias("root"))
-    member = saved(met.drop("members").join(saved(placed, "rooted"), "short"), "rooted-members")
+    member = saved(met.drop("members").join(placed, "short"), "rooted-members")
     by_root = saved(member.groupBy("token", "root").agg(F.count("*").alias("c"), F.sum("n").alias("size")), "shard-roots")
     opened = by_root.groupBy("token").agg(F.sum("c").alias("members"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     opened = saved(opened, "open-shards")
@@ -280,6 +316,12 @@ def open_links(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
         .distinct()
     )
     few = verified(saved(few, "open-pairs"), sets, percent)
+    if anew:
+        again = saved(shared.where(F.col("members") > small).select("short").distinct(), "dealt-anew")
+        if again.isEmpty():
+            return few
+        rare = rare_token_shards(sets.join(again, "short", "left_semi"), percent)
+        return few.unionByName(open_links(rare, placed, sets, percent, small, block, anew=False))
     # a large class has blocks of its own, small ones share blocks
     own = F.when(F.col("c") * 2 >= block, F.col("root"))
     groups = (
@@ -317,5 +359,7 @@ def joined(met: DataFrame, sets: DataFrame, percent: int, known: DataFrame | Non
     """
     links = verified(saved(star_pairs(met, percent), "star"), sets, percent)
     links = saved(links if known is None else links.unionByName(known), "star-links")
-    more = saved(open_links(met, components(links), sets, percent, small, block), "open-links")
+    placed = sets.select("short", "node").join(components(links), "node", "left")
+    placed = saved(placed.select("short", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    more = saved(open_links(met, placed, sets, percent, small, block), "open-links")
     return links.unionByName(more)

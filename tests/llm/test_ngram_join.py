@@ -109,3 +109,21 @@ def test_walk_and_links_equal_all_pairs(percent):
             assert (max(x, y), min(x, y)) in across and label[x] != label[y]
             label[label == label[x]] = label[y]
         assert all(label[i] == label[j] for i, j in across)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_sets_that_link_share_a_segment(percent):
+    draw = np.random.default_rng(percent)
+    for _ in range(300):
+        n = int(draw.integers(1, 12) ** draw.integers(1, 4))
+        tokens = np.unique(draw.integers(0, 2**63 - 1, 2 * n + 2).astype(np.uint64))
+        # the least overlap of sets of n and m
+        m = int(draw.integers(n, 100 * n // percent + 1))
+        both = -(-percent * (n + m) // (100 + percent))
+        if both > n:
+            continue
+        a, b = tokens[:n], np.concatenate((tokens[:both], tokens[n : n + m - both]))
+        if n == m == both:
+            continue
+        keys, counts = st.segment_keys(np.concatenate((a, b)), np.array([len(a), len(b)]), percent)
+        assert len(np.intersect1d(keys[: counts[0]], keys[counts[0] :]))
