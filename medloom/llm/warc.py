@@ -35,7 +35,6 @@ ARCHIVE_BYTES = 32 << 20
 PIECE = 1 << 20
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
-ID = "<urn:page:{}>"
 LISTED = "path string, records long"
 MEMBERS = "path string, offset long, length long"
 RECORDS = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
@@ -63,6 +62,17 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     )
 
 
+def page_uri(page_id) -> str:
+    """The name of a page's record.  Ids are percent-encoded; a missing one has no second part."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{urllib.parse.quote(str(page_id), safe='')}>"
+
+
+def page_of(uri: str | None) -> str | None:
+    """The id that ``page_uri`` wrote."""
+    found = re.fullmatch("<urn:page:([^>]*)>", uri or "")
+    return found and urllib.parse.unquote(found[1])
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """One WARC record; a revisit has the HTTP header of its payload only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -70,7 +80,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {ID.format('' if page_id is None else page_id)}",
+        f"WARC-Record-ID: {page_uri(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}",
         "Content-Type: application/http;msgtype=response",
@@ -81,7 +91,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     if refers_to is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {ID.format(refers_to)}",
+            f"WARC-Refers-To: {page_uri(refers_to)}",
         ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -195,14 +205,24 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return saved(each.mapInArrow(rewrite, LISTED), "normalised")
 
 
-def read_index(archives: DataFrame, folder: str) -> DataFrame:
+def read_index(archives: DataFrame) -> DataFrame:
     """``path, offset, length`` of all records of the listed archives.
 
-    Dealt out by stretches of archives, as many as there are archives, in order.
+    Each task reads the index files of its archives; the driver lists nothing.  The
+    records are dealt out by stretches of archives, as many as there are archives.
     """
-    index = archives.sparkSession.read.schema(MEMBERS).option("pathGlobFilter", "*.idx").json(folder)
-    listed = index.join(archives.select("path"), "path", "left_semi")
-    return dealt(listed, archives.count(), "path", "offset").sortWithinPartitions("path", "offset")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                where, at = files.FileSystem.from_uri(f"{path}.idx")
+                with where.open_input_stream(at, compression=None) as lines:
+                    rows = [json.loads(line) for line in lines.read().splitlines()]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+
+    n = archives.count()
+    listed = saved(dealt(archives.select("path"), n, "path").mapInArrow(read, MEMBERS), "members")
+    return dealt(listed, n, "path", "offset").sortWithinPartitions("path", "offset")
 
 
 def parse(member: bytes) -> dict:
@@ -215,10 +235,9 @@ def parse(member: bytes) -> dict:
     revisit = warc["warc-type"] == "revisit"
     if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {warc['warc-record-id']}")
-    page = lambda key: (re.fullmatch(r"<urn:page:(.*)>", warc.get(key, "")) or [None, None])[1] or None
     return {
-        "page_id": page("warc-record-id"), "url": warc.get("warc-target-uri"), "record_type": warc["warc-type"],
-        "payload_bytes": size, "payload_digest": digest, "refers_to": page("warc-refers-to"),
+        "page_id": page_of(warc.get("warc-record-id")), "url": warc.get("warc-target-uri"), "record_type": warc["warc-type"],
+        "payload_bytes": size, "payload_digest": digest, "refers_to": page_of(warc.get("warc-refers-to")),
         "payload": None if revisit else payload,
     }
 
@@ -273,6 +292,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, payloads: bool =
         return pages.sparkSession.createDataFrame([], RECORDS).withColumns(
             {c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}
         )
-    found = read_records(read_index(listed, members), payloads)
+    found = read_records(read_index(listed), payloads)
     typed: dict[str, Column] = {c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}
     return found.withColumns(typed)

@@ -102,7 +102,7 @@ class TestWarc:
             data.decompress(open(r.path, "rb").read())
             assert data.eof and not data.unused_data  # one member
         new = warc.normalise(archives, f"{tmp_path}/b")
-        index = warc.read_index(new, f"{tmp_path}/b")
+        index = warc.read_index(new)
         assert index.count() == 40
         for r in index.collect():
             with open(r.path, "rb") as f:
@@ -112,7 +112,19 @@ class TestWarc:
                 assert member.eof and not member.unused_data
         # files that no table lists are not read
         (tmp_path / "b" / "stray.idx").write_text('{"path": "gone", "offset": 0, "length": 1}\n')
-        assert warc.read_records(warc.read_index(new, f"{tmp_path}/b")).count() == 40
+        assert warc.read_records(warc.read_index(new)).count() == 40
+
+    def test_ids_come_back_as_they_went_in(self, spark, tmp_path):
+        long = "x" * 1500
+        ids = ["", None, "b>\r\nWARC-Type: revisit", "é ü/%41>", " a ", "<urn:page:7>", "z"]
+        pages = [(i, "u", f"{n} {long}") for n, i in enumerate(ids)] + [("", "u", "same" + long), ("\r\n", "u", "same" + long), (None, "u", "same" + long)]
+        got = warc.archive_pages(spark.createDataFrame(pages, "page_id string, url string, html string"), str(tmp_path)).collect()
+        want = [(i, "response", None) for i in ids] + [("", "revisit", "\r\n"), ("\r\n", "response", None), (None, "revisit", "\r\n")]
+        assert sorted([(r.page_id, r.record_type, r.refers_to) for r in got], key=repr) == sorted(want, key=repr)
+        # the empty id may be the largest of its copies
+        pages = [("", "u", long), (None, "u", long)]
+        got = warc.archive_pages(spark.createDataFrame(pages, "page_id string, url string, html string"), str(tmp_path)).collect()
+        assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {("", "response", None), (None, "revisit", "")}
 
     def test_damage_is_noticed(self):
         good = warc.record(1, "u", b"payload", None)
