@@ -1,13 +1,13 @@
 """Exact duplicates through an extendible-hash index kept in shared files.
 
-1. Texts are grouped by a 64-bit key *and their bytes*.  The grouping combines on
-   the map side, so a text that a third of all rows repeat is one row for each task
-   before anything is shuffled.
-2. The groups are the entries of the index.  A directory over the leading bits of
-   the key doubles where a bucket holds more than ``capacity`` entries.
-3. Owner tasks take ranges of buckets and keys; entries with one key but other
-   bytes are chained.  The index is written to the shared folder.
-4. Every row looks its slot, bucket and chain up.
+1. The different 64-bit keys of the texts are counted by their leading bits.  A directory
+   over these bits doubles where a bucket holds more than ``capacity`` keys.
+2. Each task combines the rows it has of one text, so a text that a third of all rows
+   repeat is one entry for each task.
+3. Entries go to the owner of their bucket and key range.  There those of one key are
+   compared by their bytes: equal ones are one text, whose largest id stays; others
+   are chained.  The index, without the texts, is written to the shared folder.
+4. Every row looks its slot, bucket and chain up; in a chain it finds its text by SHA-256.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from medloom.llm.common import bits_for, fold, saved
 
-#: the directory has 2 ** 16 slots at most (about 1 MB), so it may be broadcast
+#: the directory has 2 ** 16 slots at most (about 1 MB), so it may be broadcast; buckets
+#: of that depth may hold more than the capacity
 MAX_DEPTH = 16
+#: keys in a bucket
+CAPACITY = 256
 
 
 def _slot(key: Column, depth: int) -> Column:
@@ -66,30 +69,30 @@ def build_index(rows: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, i
     The index has ``bucket, key, chain``; ``chain`` lists the entries of a key, one
     for each different text: ``digest, keep_id, group_size``.
     """
-    entries = saved(
-        rows.groupBy("key", "t")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", F.sha2(F.col("t").cast("binary"), 256).alias("digest"), "keep_id", "group_size"),
-        "entries",
-    )
-    count = entries.count()
+    keys = saved(rows.select("key").distinct(), "keys")
+    count = keys.count()
     # three levels more than evenly filled buckets would need
-    capacity = max(capacity, count >> (MAX_DEPTH - 3))
     depth = bits_for(count, capacity, MAX_DEPTH - 3)
-    depth = min(MAX_DEPTH, depth + 3) if depth else 0
-    slots = saved(directory(entries, depth, capacity).coalesce(1), "directory")
-    chained = (
-        entries.groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("digest", "keep_id", "group_size"))).alias("chain"))
+    depth = depth + 3 if depth else 0
+    slots = saved(directory(keys, depth, capacity).coalesce(1), "directory")
+    combined = (
+        rows.withColumn("task", F.spark_partition_id()).groupBy("key", "t", "task")
+        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         .withColumn("slot", _slot(F.col("key"), depth))
         .join(F.broadcast(slots), "slot")
-        .select("bucket", "key", "chain")
+        .select("bucket", "key", "t", "keep_id", "group_size")
+    )
+    # all that follows stays with the owner of the range
+    chained = (
+        combined.repartitionByRange("bucket", "key").groupBy("bucket", "key", "t")
+        .agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        .select("bucket", "key", F.struct(F.sha2(F.col("t").cast("binary"), 256).alias("digest"), "keep_id", "group_size").alias("entry"))
+        .groupBy("bucket", "key").agg(F.sort_array(F.collect_list("entry")).alias("chain"))
     )
-    owned = chained.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
-    return saved(owned, "index"), slots, depth
+    return saved(chained.sortWithinPartitions("bucket", "key"), "index"), slots, depth
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text.

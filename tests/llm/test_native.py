@@ -66,6 +66,28 @@ class TestExactDedup:
         assert all(r.keep_id % 120 == r.doc_id % 120 and r.keep_id >= 360 for r in found)
 
 
+    def test_owners_decide_by_bytes(self, spark):
+        # texts of one key, as if their hashes were equal, in several tasks
+        rows = spark.range(90).selectExpr("id", "concat('t', id % 3) as t", "id % 2 as key").repartition(6)
+        index, slots, depth = exact_dedup.build_index(rows, 1)
+        assert depth == 5 and slots.count() == 32
+        found = {(r.key, e.keep_id, e.group_size, e.digest) for r in index.collect() for e in r.chain}
+        sha = lambda i: hashlib.sha256(b"t%d" % i).hexdigest()
+        assert found == {(k, max(i for i in range(90) if i % 2 == k and i % 3 == t), 15, sha(t)) for k in (0, 1) for t in range(3)}
+
+    def test_long_text_and_clashing_names(self, spark):
+        docs = [(1, "A" * 3_000_000), (2, "a" * 3_000_000), (3, "a" * 3_000_000 + "b")]
+        df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as id", "2 as t", "'x' as key", "0 as bucket", "0 as slot")
+        assert [(r.keep_id, r.group_size) for r in sorted(exact_dedup.exact_dedup(df).collect())] == [(2, 2), (2, 2), (3, 1)]
+
+    def test_given_tables_double_the_directory(self, spark):
+        docs = spark.range(1000).selectExpr("id", "cast(id as string) as t", "xxhash64(id) as key")
+        index, slots, depth = exact_dedup.build_index(docs, exact_dedup.CAPACITY)
+        assert slots.select("bucket").distinct().count() > 1
+        filled = {r.bucket: r["n"] for r in index.groupBy("bucket").agg(mixing.F.count("*").alias("n")).collect()}
+        assert sum(filled.values()) == 1000 and max(filled.values()) <= exact_dedup.CAPACITY
+
+
 class TestMixing:
     def test_targets_stop_and_excess_is_reshared(self, spark):
         # weights 5, 2, 1 of 1000 words; the first source stops at 30
