@@ -1,27 +1,24 @@
 """Near duplicates with ProbMinHash signatures, banding and verification.
 
-1. A text is its set of five-word shingles.  Each shingle is a Poisson process whose
-   rate is its weight, 1 for all; arrivals fall on registers at random and the
-   earliest arrival on a register wins it.  Two texts win a register with the same
-   shingle with the probability Jaccard similarity of their weights, which for equal
-   weights is the set similarity that links are verified by.  A process ends once
-   its next arrival is later than all registers' winners.
-2. Texts with equal words are one node.  Nodes that agree on all registers of a band
-   meet in a bucket.
-3. Small buckets compare all their pairs.  A large one compares its members with its
-   most central node, the one that meets most others, and is split by each of four
-   other bands, where the same is done again.  Work and rows so grow with the number
-   of memberships, not with the square of a group.
-4. Pairs are verified on their sets of shingles: Jaccard similarity 0.8 or more.
-   Links are joined to classes by alternating stars; every step is a written table.
-5. Members of a large bucket that these links leave outside the bucket's largest class
-   are compared with all its members, in blocks of sets.  So every pair that shares a
-   bucket is either compared or in one class already.
+1. A text is its weighted set of five-word shingles, a shingle that occurs c times having
+   weight 1 + ln(c).  Each shingle is a Poisson process with its weight as rate; arrivals fall
+   on registers at random and the earliest arrival on a register wins it.  Two texts win a
+   register with the same shingle with the probability Jaccard similarity of their
+   weights.  A process ends once its next arrival is later than all registers' winners.
+2. Links are decided on sets, and texts that repeat shingles may have much lower weighted
+   similarity.  So the same processes are also run at rate 1, whose winners agree with
+   the probability of the set similarity; without repeats both are the same.
+3. Texts with equal sets are one node.  Nodes that agree on all registers of a band, of
+   either kind, meet in a bucket.
+4. Buckets are the shards of ``signature_tree``: members are compared with the most central
+   one; small buckets compare what is left in pairs, members of large ones are dealt
+   anew by their rarest shingles.  So a pair that shares a bucket is compared or in one class
+   already, and texts that share only what all of a bucket have never meet.
+5. Pairs are verified on their sets of shingles: Jaccard similarity 0.8 or more.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,64 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medloom.llm import signature_tree as st
 from medloom.llm.common import WORD, fold, saved
+from medloom.llm.words import FOLDED, MARKS, MIX1, bounds, hashes, mix, shingles, texts, together
+from medloom.llm.words import STEP_BY as STEP
 
 SHINGLE = 5
-SIMILARITY = 0.8
+PERCENT = 80
+SIMILARITY = PERCENT / 100
 #: 32 bands of 6 registers miss a pair of similarity 0.8 once in 16,000, of 0.85
 #: once in three million
 BANDS = 32
 ROWS = 6
-#: a bucket of up to so many nodes compares all pairs
-SMALL = 32
-#: a larger one is split by the keys of the bands that follow at these distances
-SPLITS = (1, 5, 11, 17)
-#: sets, and shingles, in a block of a large bucket, about
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 21
-#: shingles whose columns are multiplied at once
-COLUMNS = 1024
-#: a shingle that up to so many pairs of sets share is counted pair by pair
-FEW = 64
-#: words, and texts, that are sketched at once; a text has all its registers
-CHUNK = 1 << 17
+#: texts that are sketched at once; each has all its registers
 TEXTS = 2048
-MIX1, MIX2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = (x ^ (x >> np.uint64(33))) * MIX1
-    x = (x ^ (x >> np.uint64(33))) * MIX2
-    return x ^ (x >> np.uint64(33))
-
-
-def shingles(words: np.ndarray, ends: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of every shingle of texts laid end to end.
-
-    ``words``: hashed words; ``ends``: where each text ends.  A shorter text that has
-    words is one shingle.
-    """
-    lengths = np.diff(np.concatenate(([0], ends)))
-    text = np.repeat(np.arange(len(ends)), lengths)
-    left = np.repeat(ends, lengths) - np.arange(len(words))
-    whole = (np.arange(len(words)) == np.repeat(ends - lengths, lengths)) | (left >= size)
-    value = np.zeros(len(words), np.uint64)
-    for i in range(size):
-        # beyond the end of a short text: nothing is added
-        inside = left > i
-        value = np.where(inside, value * STEP + np.roll(words, -i), value)
-    return text[whole], mix(value[whole])
-
-
-def weigh(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles by text, and the weight 1 + ln(count)."""
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
-    at = np.flatnonzero(new)
-    return text[at], value[at], 1 + np.log(np.diff(np.concatenate((at, [len(text)]))))
 
 
 def prob_min_hash(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int, registers: int) -> np.ndarray:
@@ -124,290 +77,50 @@ def band_keys(winner: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return folded.view(np.int64)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Stretches of a batch with about CHUNK words and TEXTS texts: rows, words, ends."""
-    lists = batch.column("words")
-    at = lists.offsets.to_numpy()
-    words = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    first = 0
-    while first < batch.num_rows:
-        last = max(first + 1, min(first + TEXTS, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1))
-        yield batch.slice(first, last - first), words[at[first] : at[last]], at[first + 1 : last + 1] - at[first]
-        first = last
-
+def signatures(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of texts that lie end to end, and how many each text has.
 
-def _node_keys(words: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """128 bits of the sequence of words."""
-    starts = np.concatenate(([0], ends[:-1]))
-    return [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(starts, ends, strict=True)]
-
-
-def _short(nodes: list[bytes]) -> pa.Array:
-    """The first half of node keys as numbers, by which candidates are found.
-
-    Nodes that share it, about none, are compared with each other's candidates too.
+    Those at rate 1, then those of the weighted processes that differ.
     """
-    return pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2])
-
-
-def _hashed(docs: DataFrame) -> DataFrame:
-    """``doc_id, words`` (hashes) of the documents with an id and words."""
-    words = F.transform(F.regexp_extract_all(fold(F.col("text")), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    return docs.where(F.col("doc_id").isNotNull() & fold(F.col("text")).rlike(WORD)).select("doc_id", words.alias("words"))
-
-
-def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, node, short, bands``: the node of a text and its band keys."""
-
-    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, words, ends in _parts(batch):
-                text, value, _ = weigh(*shingles(words, ends))
-                # links are decided on sets: other weights would lose texts that repeat shingles
-                winner = prob_min_hash(text, value, np.ones(len(text)), len(ends), bands * rows)
-                keys = pa.array(band_keys(winner, bands, rows).reshape(-1))
-                at = pa.array(np.arange(0, len(keys) + 1, bands, dtype=np.int32))
-                nodes = _node_keys(words, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(nodes, pa.binary()), _short(nodes), pa.ListArray.from_arrays(at, keys)],
-                    ["doc_id", "node", "short", "bands"],
-                )
-
+    plain = band_keys(prob_min_hash(text, value, np.ones(len(text)), texts, bands * rows), bands, rows)
+    repeats = np.unique(text[weight > 1])
+    if not len(repeats):
+        return plain.reshape(-1), np.full(texts, bands)
+    place = np.full(texts, -1)
+    place[repeats] = np.arange(len(repeats))
+    mine = place[text] >= 0
+    drawn = prob_min_hash(place[text[mine]], value[mine], weight[mine], len(repeats), bands * rows)
+    weighted = band_keys(drawn, bands, rows)
+    shown = np.concatenate((np.ones(plain.shape, bool), np.zeros(plain.shape, bool)), axis=1)
+    keys = np.concatenate((plain, plain), axis=1)
+    keys[repeats, bands:] = weighted
+    shown[repeats, bands:] = weighted != plain[repeats]
+    return keys[shown], shown.sum(axis=1)
+
+
+def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, whole: bool = False) -> DataFrame:
+    """``doc_id, node, short, n`` and band ``keys`` or, with ``whole``, ``tokens`` of texts with words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _hashed(docs).mapInArrow(draw, f"doc_id {kind}, node binary, short long, bands array<long>")
-
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``node, short, shingles``: distinct shingles of a text, hashed to 32 bits."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words, ends in _parts(batch):
-                text, value = shingles(words, ends)
-                text, value, _ = weigh(text, value & np.uint64(0xFFFFFFFF))
-                at = pa.array(np.searchsorted(text, np.arange(len(ends) + 1)).astype(np.int32))
-                values = pa.array(value.astype(np.uint32).view(np.int32))
-                nodes = _node_keys(words, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), _short(nodes), pa.ListArray.from_arrays(at, values)],
-                    ["node", "short", "shingles"],
-                )
-
-    return _hashed(docs).mapInArrow(draw, "node binary, short long, shingles array<int>")
-
-
-def _compare(members: DataFrame, bucket: list[str], small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a, b`` to verify within buckets, and the members of large buckets.
-
-    ``members`` has the bucket's columns, ``short`` and ``central``.
-    """
-    counted = members.groupBy(*bucket).agg(
-        F.count("*").alias("n"), F.max(F.struct("central", "short")).alias("leader")
-    )
-    shared = members.join(saved(counted.where("n > 1"), "counted"), bucket)
-    few = (
-        shared.where(F.col("n") <= small)
-        .groupBy(*bucket)
-        .agg(F.sort_array(F.collect_list("short")).alias("nodes"))
-        .select(F.explode(F.expr(
-            "flatten(transform(nodes, (x, i) -> transform(slice(nodes, 1, i), y -> struct(y as a, x as b))))"
-        )).alias("pair"))
-        .select("pair.a", "pair.b")
-    )
-    many = shared.where(F.col("n") > small)
-    star = many.where(F.col("short") != F.col("leader.short")).select(
-        F.least("short", "leader.short").alias("a"), F.greatest("short", "leader.short").alias("b")
-    )
-    return few.unionByName(star), many.drop("n", "leader")
-
-
-def candidates(nodes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs ``a, b`` of ``nodes(short, bands)`` to verify.
-
-    Also the members ``bucket, short`` of large buckets, not all of whose pairs are
-    among them.
-    """
-    # 16 bits of each of the bands that split a bucket, in one number
-    splits = None
-    for j, step in enumerate(SPLITS):
-        key = F.element_at("bands", (F.pmod(F.col("i") + step, F.size("bands")) + 1).cast("int"))
-        bits = F.shiftleft(key.bitwiseAND(F.lit(0xFFFF).cast("long")), 16 * j)
-        splits = bits if splits is None else splits.bitwiseOR(bits)
-    member = (
-        nodes.select("short", "bands", F.posexplode("bands").alias("i", "bucket"))
-        .select("short", "bucket", splits.alias("splits"))
-    )
-    # buckets of one node, nearly all, go first
-    counts = member.groupBy("bucket").agg(F.count("*").alias("central")).where("central > 1")
-    # they grow with the documents: merged at every size, never broadcast
-    counts = saved(counts, "counts").hint("merge")
-    met = saved(member.join(counts, "bucket"), "met")
-    central = met.groupBy("short").agg(F.sum("central").alias("central"))
-    members = saved(met.drop("central").join(central, "short"), "members")
-    pairs, large = _compare(members, ["bucket"], small)
-    large = saved(large, "large")
-    for j in range(len(SPLITS)):
-        part = F.shiftrightunsigned("splits", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))
-        nearer, _ = _compare(large.withColumn("part", part), ["bucket", "part"], small)
-        pairs = pairs.unionByName(nearer)
-    return pairs.distinct(), large.select("bucket", "short")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``a, b`` of nodes whose sets of shingles are similar enough.
-
-    ``pairs`` has short keys, ``sets`` the nodes that go by them.
-    """
-    side = lambda n: sets.select(
-        F.col("short").alias(n), F.col("node").alias(f"node_{n}"), F.col("shingles").alias(f"of_{n}")
-    )
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    either = F.size("of_a") + F.size("of_b") - F.col("both")
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .withColumn("both", both)
-        .where(F.col("both") >= similarity * either)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    )
-
-
-def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of sets, one of each side, that are similar enough."""
-    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
-    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
-    value = [np.concatenate(side) for side in (left, right)]
-    common = np.intersect1d(*value)
-    column = [np.searchsorted(common, v) for v in value]
-    for i in (0, 1):
-        found = np.flatnonzero(np.isin(value[i], common))
-        found = found[np.argsort(column[i][found], kind="stable")]
-        row[i], column[i] = row[i][found], column[i][found]
-    times = [np.bincount(c, minlength=len(common)) for c in column]
-    both = np.zeros((len(left), len(right)), np.float32)
-    # shingles of few pairs one by one, the others as columns of matrices
-    met = times[0] * times[1]
-    few = np.flatnonzero(met <= FEW)
-    at = [np.repeat((np.cumsum(n) - n)[few], met[few]) for n in times]
-    turn = np.arange(met[few].sum()) - np.repeat(np.cumsum(met[few]) - met[few], met[few])
-    n = np.repeat(times[1][few], met[few])
-    np.add.at(both, (row[0][at[0] + turn // n], row[1][at[1] + turn % n]), 1)
-    many = np.cumsum(met > FEW) - 1
-    for i in (0, 1):
-        kept = met[column[i]] > FEW
-        row[i], column[i] = row[i][kept], many[column[i][kept]]
-    for start in range(0, int((met > FEW).sum()), COLUMNS):
-        marks = []
-        for i, side in enumerate((left, right)):
-            a, b = np.searchsorted(column[i], (start, start + COLUMNS))
-            mark = np.zeros((len(side), COLUMNS), np.float32)
-            mark[row[i][a:b], column[i][a:b] - start] = 1
-            marks.append(mark)
-        both += marks[0] @ marks[1].T
-    either = sizes[0][:, None] + sizes[1][None, :] - both.astype(float)
-    return np.nonzero(both >= similarity * either)
-
-
-def _spanning(a: np.ndarray, b: np.ndarray, root_a: list[bytes], root_b: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Of the pairs, enough to join all classes that they join."""
-    above: dict[bytes, bytes] = {}
-
-    def find(x: bytes) -> bytes:
-        while (up := above.get(x, x)) != x:
-            above[x] = above.get(up, up)
-            x = up
-        return x
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(root_a[i]), find(root_b[j])
-        if p != q:
-            above[p] = q
-            yield i, j
-
-
-def uncovered(large: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Further links ``a, b`` between classes that meet in large buckets.
-
-    ``large`` has memberships ``bucket, short``, ``roots`` the classes ``node, root``
-    so far.  Within a bucket, members outside its largest class are compared with all
-    members.  Blocks have a bounded number of sets and shingles, and a block gives
-    fewer links than it has sets.
-    """
-    placed = sets.join(roots, "node", "left").select(
-        "short", "node", F.coalesce("root", "node").alias("root"), F.size("shingles").cast("long").alias("size")
-    )
-    member = saved(large.join(saved(placed, "rooted"), "short").drop("short"), "rooted-members")
-    by_class = member.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    most = F.max(F.struct("n", "size", "root"))
-    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
-    opened = (
-        by_class.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), most.alias("main"))
-        .where(F.col("n") > F.col("main.n"))
-        .select(
-            "bucket", F.col("main.root").alias("main"),
-            blocks(F.col("n") - F.col("main.n"), F.col("all") - F.col("main.size")).alias("rests"),
-            blocks(F.col("n"), F.col("all")).alias("alls"),
-        )
-    )
-    shared = member.drop("size").join(saved(opened, "open"), "bucket")
-    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = shared.where(F.col("root") != F.col("main")).select(
-        "bucket", "node", "root", F.lit(True).alias("rest"), block(F.col("rests")).alias("i"), each("alls").alias("j")
-    )
-    every = shared.select(
-        "bucket", "node", "root", F.lit(False).alias("rest"), each("rests").alias("i"), block(F.col("alls")).alias("j")
-    )
-    rows = saved(rest.unionByName(every), "blocks").join(sets.select("node", "shingles"), "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        is_rest = table.column("rest").to_numpy()
-        side = [table.filter(pa.array(is_rest)), table.filter(pa.array(~is_rest))]
-        found: list[tuple[int, int]] = []
-        node = [t.column("node").to_pylist() for t in side]
-        if all(t.num_rows for t in side):
-            cut = []
-            for t in side:
-                lists = t.column("shingles").combine_chunks()
-                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-                at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-                cut.append([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
-            a, b = similar_pairs(*cut, similarity)
-            found = list(_spanning(a, b, *[t.column("root").to_pylist() for t in side]))
-        return pa.table(
-            {"a": pa.array([node[0][i] for i, _ in found], pa.binary()), "b": pa.array([node[1][j] for _, j in found], pa.binary())}
-        )
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` of the connected components of ``links(a, b)``.
-
-    Alternating large and small stars: each node sends its larger (then its
-    smaller) neighbours to the least node it knows, until nothing moves.  Nodes
-    without links do not appear.
-    """
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = (
-            joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(joined.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        edges = saved(small, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
-
-
-def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+            data, at = texts(batch.column("text"))
+            for i, j in together(at, many=TEXTS):
+                start, end, words = bounds(data, at[i : j + 1], MARKS)
+                text, value = shingles(hashes(data, start, end, FOLDED), np.cumsum(words), SHINGLE)
+                values, weights, sizes = st.distinct_tokens(text, value, j - i)
+                if whole:
+                    listed, counts = values.view(np.int64), sizes
+                else:
+                    listed, counts = signatures(np.repeat(np.arange(j - i), sizes), values, 1 + np.log(weights), j - i, bands, rows)
+                    counts = np.where(sizes > 0, counts, 0)
+                    listed = listed[np.repeat(sizes > 0, np.where(sizes > 0, counts, bands))]
+                yield st.set_batch(batch.column("doc_id").slice(i, j - i), values, sizes, listed, counts, "tokens" if whole else "keys")
+
+    return docs.select("doc_id", "text").mapInArrow(draw, st.set_schema(kind, "tokens" if whole else "keys"))
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, small: int = st.SMALL) -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept``.
 
     ``class_id`` is the least ``doc_id`` of the class, the document that is kept;
@@ -417,22 +130,9 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     repeat a kept ``doc_id`` within a class are one document and all kept.  Other
     columns are ignored.
     """
-    drawn = saved(sketch(docs, bands, rows), "sketches")
-    nodes = drawn.groupBy("node").agg(F.any_value("short").alias("short"), F.any_value("bands").alias("bands"))
-    pairs, large = candidates(nodes.select("short", "bands"), small)
-    pairs = saved(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("short")).unionByName(pairs.select(F.col("b").alias("short"))).distinct()
-    # one document for each node in a pair; repeated ids may bring other nodes along
-    examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(examples.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = saved(shingle_sets(texts).join(asked, "short", "left_semi").dropDuplicates(["node"]), "sets")
-    links = saved(verified(pairs, sets, similarity), "verified")
-    more = saved(uncovered(large, components(links), sets, similarity), "more")
-    roots = components(links.unionByName(more))
-    placed = drawn.select("doc_id", "node").join(roots, "node", "left").select(
-        "doc_id", F.coalesce("root", "node").alias("root")
-    )
-    placed = saved(placed, "placed")
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    drawn = saved(sketch(known, bands, rows), "sketches")
+    placed = st.document_classes(known, drawn, lambda d: sketch(d, whole=True), percent, small=small)
     classes = saved(
         placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes"
     )
@@ -442,4 +142,3 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
     )
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
-

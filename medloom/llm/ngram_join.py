@@ -6,7 +6,6 @@ one node; nodes are joined as ``signature_tree`` says and the links to component
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,21 +15,12 @@ from pyspark.sql import functions as F
 
 from medloom.llm import signature_tree as st
 from medloom.llm.common import saved
-from medloom.llm.near_dedup import components, shingles
-from medloom.llm.words import FOLDED, bounds, hashes, texts, together
+from medloom.llm.words import FOLDED, bounds, hashes, shingles, texts, together
 
 SHINGLE = 3
 PERCENT = 90
 
 
-def _shingles(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Stretches of texts: first and last row, text number and hash of every shingle."""
-    data, at = texts(column)
-    for i, j in together(at):
-        start, end, n = bounds(data, at[i : j + 1])
-        yield i, j, *shingles(hashes(data, start, end, FOLDED), np.cumsum(n), size)
-
-
 def shingle_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, whole: bool = False) -> DataFrame:
     """``doc_id, node, short, n`` and ``keys`` or, with ``whole``, ``tokens`` of each text.
 
@@ -43,26 +33,15 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, w
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, text, value in _shingles(batch.column("text"), size):
-                cut = np.searchsorted(text, np.arange(j - i + 1))
-                sets, nodes = [], []
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    one = np.sort(value[a:b])
-                    if b - a > 1:
-                        one = one[np.concatenate(([True], one[1:] != one[:-1]))]
-                    sets.append(one)
-                    nodes.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if b > a else None)
-                sizes, values = np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
-                values, counts = (values, sizes) if whole else st.segment_keys(values, sizes, percent)
-                at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                short = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(short, pa.int64()),
-                     pa.array(sizes), pa.ListArray.from_arrays(at, pa.array(values.view(np.int64)))],
-                    ["doc_id", "node", "short", "n", kept],
-                )
+            data, at = texts(batch.column("text"))
+            for i, j in together(at):
+                start, end, n = bounds(data, at[i : j + 1])
+                text, value = shingles(hashes(data, start, end, FOLDED), np.cumsum(n), size)
+                values, _, sizes = st.distinct_tokens(text, value, j - i)
+                listed, counts = (values, sizes) if whole else st.segment_keys(values, sizes, percent)
+                yield st.set_batch(batch.column("doc_id").slice(i, j - i), values, sizes, listed, counts, kept)
 
-    return docs.select("doc_id", "text").mapInArrow(draw, f"doc_id {kind}, node binary, short long, n long, {kept} array<long>")
+    return docs.select("doc_id", "text").mapInArrow(draw, st.set_schema(kind, kept))
 
 
 def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, small: int = st.SMALL, block: int = st.BLOCK) -> DataFrame:
@@ -77,20 +56,8 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sma
     columns are ignored.
     """
     drawn = saved(shingle_sets(docs, size, percent), "segments")
-    nodes = drawn.where("n > 0").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("short", "n", "keys")])
-    met = st.shards(nodes)
-    asked = saved(met.select("short").distinct(), "asked")
-    # one document for each node in a shard; repeated ids may bring other nodes along
-    examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    chosen = docs.select("doc_id", "text").join(saved(examples, "examples"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = saved(shingle_sets(chosen, size, percent, whole=True).drop("doc_id"), "sets")
-    roots = components(st.joined(met, sets, percent, small=small, block=block))
-    placed = saved(
-        drawn.where("n > 0").select("doc_id", "node", "n").join(roots, "node", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root")
-        ),
-        "placed",
-    )
+    whole = lambda d: shingle_sets(d, size, percent, whole=True)
+    placed = st.document_classes(docs, drawn, whole, percent, small, block).withColumnRenamed("n", "n_shingles")
     classes = saved(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
     alone = drawn.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return placed.join(classes, "root").drop("root").unionByName(alone)
+    return placed.join(classes, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)

@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medloom.llm.near_dedup import mix
-from medloom.llm.words import BASE, SPACE, bounds, hashes, powers, texts, together
+from medloom.llm.words import BASE, SPACE, bounds, hashes, mix, powers, texts, together
 
 MIN_LENGTH = 12
 #: periods up to so many words are scanned directly

@@ -29,7 +29,8 @@ So all links that matter for the classes are found; those within a class are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.llm.common import saved
-from medloom.llm.near_dedup import components, mix
+from medloom.llm.components import components, near_roots
+from medloom.llm.words import mix
 
 #: sizes of a class of sets differ by less than this factor
 CLASS = 1.5
@@ -56,6 +58,41 @@ PAIRS = 1 << 14
 TOKENS = 1 << 20
 
 
+def distinct_tokens(text: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct tokens of texts that lie end to end, how often each occurs, and each text's number.
+
+    ``text`` is sorted.
+    """
+    cut = np.searchsorted(text, np.arange(texts + 1)).tolist()
+    ordered, new = np.empty_like(value), np.ones(len(value), bool)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        one = np.sort(value[a:b])
+        ordered[a:b] = one
+        new[a + 1 : b] = one[1:] != one[:-1]
+    at = np.flatnonzero(new)
+    return ordered[at], np.diff(at, append=len(value)), np.bincount(text[at], minlength=texts)
+
+
+def set_schema(kind: str, listed: str) -> str:
+    return f"doc_id {kind}, node binary, short long, n long, {listed} array<long>"
+
+
+def set_batch(ids: pa.Array, values: np.ndarray, sizes: np.ndarray, listed: np.ndarray, counts: np.ndarray, name: str) -> pa.RecordBatch:
+    """Rows ``doc_id, node, short, n`` and a list: 128 bits that name a set, and their first half."""
+    end = np.cumsum(sizes)
+    nodes = [
+        hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None
+        for a, b in zip((end - sizes).tolist(), end.tolist(), strict=True)
+    ]
+    short = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in nodes]
+    at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(at, pa.array(listed.view(np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(nodes, pa.binary()), pa.array(short, pa.int64()), pa.array(sizes.astype(np.int64)), lists],
+        ["doc_id", "node", "short", "n", name],
+    )
+
+
 def class_bounds(percent: int) -> list[int]:
     """Least sizes of the classes, from the first size at which different sets link."""
     low = next(n for n in range(1, 1 << 20) if most_apart(n, n + 1, percent))
@@ -359,7 +396,27 @@ def joined(met: DataFrame, sets: DataFrame, percent: int, known: DataFrame | Non
     """
     links = verified(saved(star_pairs(met, percent), "star"), sets, percent)
     links = saved(links if known is None else links.unionByName(known), "star-links")
-    placed = sets.select("short", "node").join(components(links), "node", "left")
+    placed = sets.select("short", "node").join(near_roots(links), "node", "left")
     placed = saved(placed.select("short", "node", F.coalesce("root", "node").alias("root")), "rooted")
     more = saved(open_links(met, placed, sets, percent, small, block), "open-links")
     return links.unionByName(more)
+
+
+def document_classes(
+    docs: DataFrame, drawn: DataFrame, whole: Callable[[DataFrame], DataFrame], percent: int, small: int = SMALL, block: int = BLOCK
+) -> DataFrame:
+    """``doc_id, n, root`` of the documents with a set: ``root`` names their class.
+
+    ``drawn``, a written table: ``doc_id, node, short, n, keys``; ``whole`` gives the rows
+    ``node, short, tokens`` of documents ``doc_id, text``.
+    """
+    nodes = drawn.where("n > 0").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("short", "n", "keys")])
+    met = shards(nodes)
+    asked = saved(met.select("short").distinct(), "asked")
+    # one document for each node in a shard; repeated ids may bring other nodes along
+    examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    chosen = docs.select("doc_id", "text").join(saved(examples, "examples"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = saved(whole(chosen).select("node", "short", "tokens").where(F.col("node").isNotNull()), "sets")
+    roots = components(joined(met, sets, percent, small=small, block=block))
+    placed = drawn.where("n > 0").select("doc_id", "node", "n").join(roots, "node", "left")
+    return saved(placed.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "placed")

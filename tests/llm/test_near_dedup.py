@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medloom.llm import near_dedup as nd
+from medloom.llm.components import components
 
 SCHEMA = "doc_id long, text string"
 
@@ -96,34 +97,21 @@ def far_from_the_centre(families=250, members=3):
 
 def test_a_large_group_far_from_its_centre(spark):
     docs = far_from_the_centre()
-    # all pairs, by multiplying sets: test_similar_pairs_equal_all_pairs holds that against loops
-    sets = [np.unique(np.array([hash(tuple(w[j : j + 5])) for j in range(len(w) - 4)], np.int64)) for w in (t.split() for _, t in docs)]
-    root = list(range(len(docs)))
-
-    def find(i):
-        return i if root[i] == i else find(root[i])
-
-    for a, b in zip(*nd.similar_pairs(sets, sets, 0.8), strict=True):
-        p, q = sorted((find(int(a)), find(int(b))))
-        root[q] = p
-    truth = {i: find(i) for i in range(len(docs))}
+    truth = brute(docs)
     found = nd.near_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
     assert {r.doc_id: r.class_id for r in found} == truth
     assert len(set(truth.values())) > 100
 
 
-def test_similar_pairs_equal_all_pairs():
-    draw = np.random.default_rng(2)
-    pool = draw.integers(-(2**31), 2**31, 6000).astype(np.int32)
-    sets = [np.unique(draw.choice(pool[:n], n // 2)) for n in (3, 40, 41, 42, 5000, 6000) for _ in range(6)]
-    sets += [s[: max(1, int(len(s) * part))] for s in sets for part in (0.8, 0.79, 0.9)]
-    left, right = sets[::2], sets[1::2]
-    want = {
-        (i, j) for i, x in enumerate(left) for j, y in enumerate(right)
-        if (both := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - both)
-    }
-    got = list(zip(*map(np.ndarray.tolist, nd.similar_pairs(left, right, 0.8)), strict=True))
-    assert set(got) == want and len(got) == len(want) > 20
+def test_texts_that_share_boilerplate_in_one_bucket(spark):
+    # one bucket of all, with one pair that links; the others have 0.6 in common
+    draw = random.Random(8)
+    shared = text(draw, 66)
+    docs = [shared + text(draw, 18) for _ in range(4000)]
+    docs.append(edited(draw, docs[7], 1))
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], SCHEMA)
+    found = {r.doc_id: r.class_id for r in nd.near_dedup(frame, bands=16, rows=1).collect()}
+    assert found == {i: i for i in range(4000)} | {4000: 7}
 
 
 def repeating():
@@ -152,15 +140,26 @@ def test_repeated_passages_do_not_hide_a_link(spark):
 def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (202, 202)]
     links = spark.createDataFrame(pairs, "a long, b long").select(*[F.encode(F.format_string("%05d", c), "UTF-8").alias(c) for c in "ab"])
-    got = {int(r.node): int(r.root) for r in nd.components(links).collect()}
+    got = {int(r.node): int(r.root) for r in components(links).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200} | {i: i for i in (0, 100, 200) if i in got}
 
 
+def test_both_signatures_are_banded():
+    draw = np.random.default_rng(3)
+    value = np.sort(draw.integers(0, 2**63, 40, np.uint64))
+    text_of, weight = np.repeat([0, 1], 20), np.where(np.arange(40) % 40 >= 35, 5.0, 1.0)
+    keys, counts = nd.signatures(text_of, value, weight, 2, 8, 2)
+    plain = nd.band_keys(nd.prob_min_hash(text_of, value, np.ones(40), 2, 16), 8, 2)
+    weighted = nd.band_keys(nd.prob_min_hash(text_of, value, weight, 2, 16), 8, 2)
+    assert counts[0] == 8 and set(keys[:8]) == set(plain[0]) == set(weighted[0])
+    assert set(keys[8:]) == set(plain[1]) | set(weighted[1]) and 8 < counts[1] <= 16
+
+
 class TestSignatures:
     def shingled(self, texts):
         hashed = [np.array([hash(w) for w in t], np.int64).view(np.uint64) for t in texts]
         ends = np.cumsum([len(h) for h in hashed])
-        return nd.shingles(np.concatenate(hashed), ends)
+        return nd.shingles(np.concatenate(hashed), ends, nd.SHINGLE)
 
     def test_shingles(self):
         text_of, value = self.shingled([list("abcdef"), list("ab"), list("bcdef"), [], list("ab")])
