@@ -440,7 +440,7 @@ def extract_matched(t: Tables):
 
 
 class _LabelScorer:
-    """Logits of two classes out of the labels table."""
+    """Logits of five classes out of the labels table."""
 
     def __init__(self, t: Tables):
         self.labels = t.labels
@@ -449,6 +449,9 @@ class _LabelScorer:
         logits = F.array(
             F.when(F.col("quality") == 1, 0.4).otherwise(-0.4),
             F.when(F.col("toxic") == 1, 2.0).otherwise(0.0),
+            F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.5).otherwise(-1.0),
+            F.when(F.col("quality") == 0, 0.9).otherwise(-0.9),
+            F.when(F.col("doc_id") % 3 == 0, 1.0).otherwise(-2.0),
         )
         return notes.select("doc_id").join(
             self.labels.select("doc_id", F.posexplode(logits).alias("class_idx", "logit")), "doc_id"
@@ -461,16 +464,20 @@ class _LabelScorer:
     "cui:string, similarity:double",
     """WITH scored AS (
          SELECT doc_id, 0 AS class_idx, CASE WHEN quality = 1 THEN 0.4 ELSE -0.4 END AS x FROM labels
-         UNION ALL SELECT doc_id, 1, CASE WHEN toxic = 1 THEN 2.0 ELSE 0.0 END FROM labels),
+         UNION ALL SELECT doc_id, 1, CASE WHEN toxic = 1 THEN 2.0 ELSE 0.0 END FROM labels
+         UNION ALL SELECT doc_id, 2, CASE WHEN quality = 1 AND toxic = 0 THEN 1.5 ELSE -1.0 END FROM labels
+         UNION ALL SELECT doc_id, 3, CASE WHEN quality = 0 THEN 0.9 ELSE -0.9 END FROM labels
+         UNION ALL SELECT doc_id, 4, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE -2.0 END FROM labels),
+       parts AS (SELECT p_partkey % 4 + 1 AS class_idx, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY 1),
        hits AS (SELECT s.doc_id, class_idx, 1 / (1 + exp(-x)) AS similarity, d.text,
                   CASE WHEN regexp_matches(d.text, '(?i)[äöüßéèêçñóí]') THEN 'vi' ELSE 'en' END AS lang
                 FROM scored s JOIN documents d USING (doc_id) WHERE 1 / (1 + exp(-x)) >= 0.5),
        named AS (
-         SELECT *, CASE WHEN class_idx = 1 THEN (SELECT p_name FROM part ORDER BY p_partkey LIMIT 1)
-                        WHEN lang = 'en' THEN 'Of The' ELSE 'Que La' END AS canonical_name,
-                CASE WHEN class_idx = 1 THEN [(SELECT p_name FROM part ORDER BY p_partkey LIMIT 1)]
+         SELECT h.*, CASE WHEN class_idx > 0 THEN p_name
+                          WHEN lang = 'en' THEN 'Of The' ELSE 'Que La' END AS canonical_name,
+                CASE WHEN class_idx > 0 THEN [p_name]
                      WHEN lang = 'en' THEN ['Of The', 'Que La', 'Of The'] ELSE ['Que La', 'Que La', 'Of The'] END AS names
-         FROM hits),
+         FROM hits h LEFT JOIN parts USING (class_idx)),
        tried AS (SELECT *, list_filter(names, lambda n: contains(lower(text), lower(n)))[1] AS hit FROM named)
        SELECT doc_id, class_idx, CASE WHEN hit IS NULL THEN canonical_name
                 ELSE substr(text, instr(lower(text), lower(hit)), length(hit)) END AS term, canonical_name,
@@ -486,11 +493,11 @@ def extract_doc_class(t: Tables):
         F.col("r_regionkey").alias("row_idx"),
     )
     mapped = t.part.select(
-        F.concat(F.lit("C"), F.least(F.col("p_partkey") + 1, F.lit(1)).cast("string")).alias("mapped_cui"),
+        F.concat(F.lit("C"), (F.col("p_partkey") % 4 + 1).cast("string")).alias("mapped_cui"),
         F.col("p_name").alias("entity"),
         F.col("p_partkey").alias("row_idx"),
     )
-    classes = t.region.where(F.col("r_regionkey") < 2).select(
+    classes = t.region.select(
         F.col("r_regionkey").alias("class_idx"),
         F.concat(F.lit("C"), F.col("r_regionkey").cast("string")).alias("cui"),
     )

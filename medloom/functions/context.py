@@ -204,6 +204,10 @@ def assertions(
     strict_contrast: bool = False,
 ) -> Column:
     """Assertion flags of a mention; without bounds only negation."""
+    if not line_rule:
+        # the clause alone: neither the line nor what follows is read
+        negated = is_negated_in_clause(clause_before(before(c, start), rules.clause_breaks), rules)
+        return assertion_flags(None if bounds is None else is_historical(start, bounds), negated)
     negated = tx.let(
         surroundings(c, start, end, rules),
         lambda at: is_negated(

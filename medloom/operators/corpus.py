@@ -250,11 +250,10 @@ def relabel_entity(sentence: Column, entity: Column, rules: Rules = VIETNAMESE)
     Offsets are the first occurrence of the term; only clause negation applies.
     """
     term = entity["entity"]
-    start = tx.find(sentence, term)
-    end = start + F.length(term)
 
     def build(known: Column) -> Column:
-        name, kind = known["term"], known["kind"]
+        name, kind, start = known["term"], known["kind"], known["start"]
+        end = start + F.length(term)
         is_disease = F.coalesce(entity["type"] == lx.DISEASE_SYMPTOM, F.lit(False))
         in_context = (start >= 0) & cx.has_drug_context(sentence, start, end, rules)
         fixed = cx.correct_type(name, kind, is_disease, in_context, rules)
@@ -275,6 +274,7 @@ def relabel_entity(sentence: Column, entity: Column, rules: Rules = VIETNAMESE)
     known = F.struct(
         tx.normalise_term(term, rules.term_strip).alias("term"),
         tx.remap(entity["type"], lx.RELABEL_TYPE).alias("kind"),
+        tx.find(sentence, term).alias("start"),
     )
     return tx.let(known, build)
 

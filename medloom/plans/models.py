@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medloom import lexicon as lx
 from medloom import schemas
 from medloom.functions import text as tx
 from medloom.functions.vector import unit
 from medloom.operators.lookup import first_by
 from medloom.operators.sequence import longest_matches
+from medloom.operators.similarity_join import similarity_join
+from medloom.operators.spans import overlap_best
 
 
 class Annotator(Protocol):
@@ -48,50 +51,66 @@ class Scorer(Protocol):
         ...
 
 
+def _numbered_words(c: Column) -> Column:
+    """``array<struct<at,token>>``: the tokens between single blanks that are not empty."""
+    return F.filter(
+        F.transform(F.split(c, " "), lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda w: w["token"] != ""
+    )
+
+
+def _key(word: Column) -> Column:
+    """The dictionary key of a phrase with its punctuation stripped."""
+    return tx.normalise_term(word)
+
+
 def _dictionary_hits(
     pieces: DataFrame, keys: list[str], text: str, terms: DataFrame
 ) -> DataFrame:
     """Leftmost-longest dictionary matches per row of ``pieces``.
 
-    Word n-grams meet the dictionary in an equi join, so neither side has to
-    fit anywhere; only hits are grouped again.  Returns the keys and
-    ``hits: array<struct<line_no,start,end,word,hit>>``.
+    The dictionary is entered by first words, like a trie: each word of a text meets the
+    terms of one word, and the first words of longer ones with the lengths that follow.
+    Only where one matches is a longer phrase cut from its line and compared, so a term
+    of any length costs no more than its first word occurs.  Neither side has to fit
+    anywhere.  Returns the keys and ``hits: array<struct<line_no,start,end,word,hit>>``.
     """
     line, *group = keys[::-1]
-    longest = terms.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
+    fields = [c for c in terms.columns if c != "key"]
+    hit = F.struct(*fields).alias("hit")
+    first = F.substring_index("key", " ", 1)
+    length = F.size(F.split("key", " "))
+    single = terms.where(length == 1).select("key", hit)
+    longer = terms.where(length > 1)
+    openers = longer.groupBy(first.alias("opener")).agg(F.sort_array(F.collect_set(length)).alias("lengths"))
+
+    words = tx.staged(pieces.select(*keys, F.posexplode(_numbered_words(F.col(text))).alias("k", "w")), tx.strip_punctuation(F.col("w.token")).alias("word"))
+    words = words.where(F.col("word") != "")
+    place = [(F.col("w.at")).alias("start"), (F.col("w.at") + 1).alias("end"), "word"]
+    found = tx.staged(words.select(*keys, *place), _key(F.col("word")).alias("key")).join(single, "key").select(*keys, "start", "end", "word", "hit")
+    if not longer.isEmpty():
+        # the first word of a phrase keeps the punctuation behind it
+        opener = F.ltrim(F.lower("w.token"), F.lit(lx.PUNCTUATION + " \t\n\r" + lx.VIETNAMESE.term_strip))
+        asked = (
+            tx.staged(words.select(*keys, "k", "w"), opener.alias("opener")).join(openers, "opener")
+            .groupBy(*keys).agg(F.collect_list(F.struct("k", "lengths")).alias("asked"))
+        )
 
-    def grams(tokens: Column) -> Column:
-        def at(_: Column, i: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i)),
-                lambda n: F.struct(
-                    i.alias("start"),
-                    (i + n).alias("end"),
-                    F.array_join(F.slice(tokens, i + 1, n), " ").alias("word"),
-                ),
-            )
+        def phrases(row: Column) -> Column:
+            def phrase(k: Column, n: Column) -> Column:
+                begin, end = F.get(row["words"], k)["at"], F.get(row["words"], k + n - 1)["at"] + 1
+                cut = F.array_join(F.slice(row["tokens"], begin + 1, end - begin), " ")
+                return F.struct(begin.alias("start"), end.alias("end"), tx.strip_punctuation(cut).alias("word"))
 
-        return F.flatten(F.transform(tokens, at))
+            fits = lambda a: F.filter(a["lengths"], lambda n: a["k"] + n <= F.size(row["words"]))
+            return F.flatten(F.transform("asked", lambda a: F.transform(fits(a), lambda n: phrase(a["k"], n))))
 
-    found = tx.staged(
-        pieces.select(*keys, F.explode(tx.let(F.split(text, " "), grams)).alias("g")),
-        tx.strip_punctuation(F.col("g.word")).alias("word"),
-    )
-    rows = tx.staged(
-        found.select(*keys, "g.start", "g.end", "word").where(F.col("word") != ""),
-        tx.normalise_term(F.col("word")).alias("key"),
-    ).where(F.col("key") != "")
-    fields = [c for c in terms.columns if c != "key"]
-    hit = F.struct(
-        F.col(line).cast("int").alias("line_no"), "start", (-F.col("end")).alias("_e"),
-        "end", "word", F.struct(*fields).alias("hit"),
-    )
-    ordered = F.sort_array(F.collect_list(hit))
-    return (
-        rows.join(terms, "key")
-        .groupBy(*group)
-        .agg(longest_matches(ordered).alias("hits"))
-    )
+        row = F.struct(F.split(text, " ").alias("tokens"), _numbered_words(F.col(text)).alias("words"))
+        cut = pieces.join(asked, keys).select(*keys, F.explode(tx.let(row, phrases)).alias("p")).select(*keys, "p.*")
+        more = tx.staged(cut, _key(F.col("word")).alias("key")).join(longer.select("key", hit), "key")
+        found = found.unionByName(more.select(*keys, "start", "end", "word", "hit"))
+    item = F.struct(F.col(line).cast("int").alias("line_no"), "start", (-F.col("end")).alias("_e"), "end", "word", "hit")
+    ordered = F.sort_array(F.collect_list(item))
+    return found.groupBy(*group).agg(longest_matches(ordered).alias("hits"))
 
 
 class LexiconAnnotator:
@@ -119,11 +138,11 @@ class LexiconAnnotator:
 class LexiconMatcher:
     """Matches ``concepts`` (``term, cui, type, row_idx``) in sentences."""
 
-    def __init__(self, concepts: DataFrame):
+    def __init__(self, concepts: DataFrame, keep: tuple[str, ...] = ()):
         keyed = concepts.select(
             tx.normalise_term(F.col("term")).alias("key"), "term", "cui", "type", "row_idx"
         )
-        self.terms = first_by(keyed.where(F.col("key") != ""), ["key"], "row_idx").drop("row_idx")
+        self.terms = first_by(keyed.where(F.col("key") != ""), ["key"], "row_idx").select("key", "term", "cui", "type", *keep)
 
     def match(self, sentences: DataFrame) -> DataFrame:
         found = _dictionary_hits(sentences, ["doc_id", "sent_no"], "sentence", self.terms)
@@ -139,6 +158,49 @@ class LexiconMatcher:
         )
 
 
+class ApproximateMatcher:
+    """Matches phrases of sentences whose spelling is close to a concept's.
+
+    ``concepts`` as for ``LexiconMatcher``.  Phrases of up to ``window`` words are
+    compared with terms by their character n-grams; a phrase takes its most similar
+    term (the least ``row_idx`` of equals), a sentence the disjoint phrases with the
+    greatest sum of similarity times words of the term.
+    """
+
+    def __init__(self, concepts: DataFrame, threshold: float = 0.7, window: int = 5, n: int = 3):
+        self.terms = LexiconMatcher(concepts, keep=("row_idx",)).terms
+        self.threshold, self.window, self.n = threshold, window, n
+
+    def match(self, sentences: DataFrame) -> DataFrame:
+        def phrases(words: Column) -> Column:
+            def at(w: Column, i: Column) -> Column:
+                lengths = F.sequence(F.lit(1), F.least(F.lit(self.window), F.size(words) - i))
+                joined = lambda m: F.array_join(F.transform(F.slice(words, i + 1, m), lambda x: x["token"]), " ")
+                return F.transform(lengths, lambda m: F.struct(i.alias("start"), (i + m).alias("end"), tx.strip_punctuation(joined(m)).alias("word")))
+
+            return F.flatten(F.transform(words, at))
+
+        cut = sentences.select("doc_id", "sent_no", F.explode(tx.let(_numbered_words(F.col("sentence")), phrases)).alias("p"))
+        keyed = tx.staged(cut.select("doc_id", "sent_no", "p.*"), _key(F.col("word")).alias("key"))
+        texts = lambda df: df.select(F.col("key").alias("text"))
+        close = similarity_join(texts(keyed), texts(self.terms), self.threshold, self.n)
+        term = F.struct("term", "cui", "type")
+        best = (
+            close.join(self.terms.withColumnRenamed("key", "right_text"), "right_text")
+            .groupBy(F.col("left_text").alias("key"))
+            .agg(F.max("similarity").alias("similarity"), F.min_by(term, F.struct(-F.col("similarity"), "row_idx", "right_text")).alias("concept"))
+        )
+        found = keyed.join(best, "key").select("doc_id", "sent_no", "start", "end", "word", "similarity", "concept")
+        chosen = overlap_best(found, ["doc_id", "sent_no"], F.col("similarity") * F.size(tx.words(F.col("concept.term"))))
+        order = F.sort_array(F.collect_list(F.struct("start", "word", "similarity", "concept")))
+        return chosen.groupBy("doc_id", "sent_no").agg(order.alias("all")).select(
+            "doc_id", "sent_no", F.posexplode("all").alias("match_no", "m")
+        ).select(
+            "doc_id", "sent_no", "match_no", F.col("m.word").alias("ngram"), F.col("m.concept.term").alias("term"),
+            F.col("m.concept.cui").alias("cui"), F.col("m.similarity").alias("similarity"), F.col("m.concept.type").alias("type"),
+        )
+
+
 class ModelAnnotator:
     """A tagging model behind an Arrow UDF.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from medloom import lexicon as lx
 from medloom.functions import context as cx
 from medloom.functions import text as tx
-from medloom.functions.similarity import best_lexical
+from medloom.functions.similarity import best_overlap
 from medloom.lexicon import VIETNAMESE, Rules
 from medloom.operators.linking import as_candidates, dual_link, knn, rerank
 from medloom.plans.extraction import note_mentions
@@ -122,7 +122,7 @@ def _queries(texts: DataFrame, encoder: Encoder) -> DataFrame:
 
 
 def link_diseases(
-    terms: DataFrame, dictionaries: Dictionaries, encoder: Encoder, lexical: Lexical = best_lexical
+    terms: DataFrame, dictionaries: Dictionaries, encoder: Encoder, lexical: Lexical = best_overlap
 ) -> DataFrame:
     """``[query_id, type, candidates]`` of distinct disease terms."""
     queries = _queries(terms, encoder)
@@ -147,7 +147,7 @@ def link_drugs(
     encoder: Encoder,
     *,
     split_ids: bool = False,
-    lexical: Lexical = best_lexical,
+    lexical: Lexical = best_overlap,
 ) -> DataFrame:
     """``[query_id, candidates]`` of distinct drug texts that reach the drug floor."""
     best = _reranked(_queries(texts, encoder), dictionary, "rxcui", lexical)
@@ -163,7 +163,7 @@ def coded_entities(
     encoder_en: Encoder,
     *,
     split_ids: bool = False,
-    lexical: Lexical = best_lexical,
+    lexical: Lexical = best_overlap,
 ) -> DataFrame:
     """Link typed mentions and add test results as rows after their test."""
     diseases = link_diseases(
@@ -230,7 +230,7 @@ def process_notes(
     rules: Rules = VIETNAMESE,
     *,
     split_ids: bool = False,
-    lexical: Lexical = best_lexical,
+    lexical: Lexical = best_overlap,
     assertable_types: Collection[str] | None = None,
 ) -> DataFrame:
     """Entities of notes: ``doc_id, entity_idx, text, type, assertions, start, end, candidates``.
