@@ -1,14 +1,12 @@
-"""Writers.  All but the per-note files are plain Spark writers."""
+"""Writers.  All but the per-note files are Spark's own."""
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medloom.sources.formats import register
+
 ENTITY_FIELDS = ("text", "type", "assertions", "position", "candidates")
 
 
@@ -46,27 +44,17 @@ def note_json(notes: DataFrame, entities: DataFrame, order: str = "entity_idx")
 
 
 def write_note_files(df: DataFrame, folder: str) -> None:
-    """One indented ``<doc_id>.json`` per note, in a POSIX folder that all executors mount.
+    """One indented ``<doc_id>.json`` per note, on any file system that Arrow reaches.
 
-    For object stores use ``write_note_folders`` or ``write_note_table``.
-    Each file is written aside and then moved into place, so a task that is
-    run again leaves whole files.
+    Files appear when all are written; a job that fails leaves none.
     """
-
-    def write(rows: Iterator) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            target = os.path.join(folder, f"{row['doc_id']}.json")
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8") as f:
-                json.dump(json.loads(row["json"]), f, ensure_ascii=False, indent=4)
-            os.replace(part, target)
-
-    df.select("doc_id", "json").foreachPartition(write)
+    register(df.sparkSession)
+    rows = df.select(F.col("doc_id").cast("string").alias("doc_id"), "json")
+    rows.write.format("note_files").mode("append").save(folder)
 
 
 def write_note_folders(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A folder ``doc_id=<id>`` per note with its JSON, committed by Spark's writer."""
+    """A folder ``doc_id=<id>`` per note with its JSON, for ids that are no file names."""
     df.select("doc_id", F.col("json").alias("value")).write.mode(mode).partitionBy("doc_id").text(path)
 
 
