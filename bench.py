@@ -20,6 +20,8 @@ import tempfile
 import time
 
 from medloom.catalog import QUERIES
+from medloom.catalog.registry import Tables
+from medloom.catalog.vectors import pruned_share
 from medloom.session import local_session
 
 HEADLINE = (
@@ -33,7 +35,7 @@ HEADLINE = (
     "vocabulary_pivot", "concept_codes", "term_map_first", "drug_dictionary", "negative_pairs",
     "split_80_10_10",
     # vectors
-    "knn_top3", "class_masked_link", "hybrid_rerank", "dual_retrieval",
+    "knn_top3", "pruned_knn_top3", "class_masked_link", "hybrid_rerank", "dual_retrieval",
     # corpora
     "chat_records", "entity_frequency", "gold_benchmark", "relabel", "corpus_export",
     # composite jobs
@@ -87,6 +89,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "plan": plan,
+                "pruned_knn_share": round(pruned_share(Tables(spark, folder)), 3),
                 "sf": os.path.basename(given).removeprefix("sf"),
             }
         )

@@ -10,6 +10,7 @@ from medloom.functions import similarity as sim
 from medloom.functions import text as tx
 from medloom.functions import vector as vc
 from medloom.operators import linking as ln
+from medloom.operators.pruned_knn import pruned_knn, visited_share
 from medloom.plans.models import NgramEncoder, dictionary_vectors
 
 # Query vectors: a vector counted twice, pooled with the next one and scaled.
@@ -60,6 +61,10 @@ SQL_CONCEPTS = """concepts AS (
   FROM embeddings JOIN part ON vec_id = p_partkey)"""
 
 
+#: small cells, as the given dictionary has few rows
+CELL_ROWS = 64
+
+
 @query(
     "unit_vectors",
     "vec_id:bigint, dim:bigint, value:double, norm:double",
@@ -124,6 +129,22 @@ def knn_top3(t: Tables):
     return ln.knn(queries(t), _dictionary(t), lx.RETRIEVED)
 
 
+@query(
+    "pruned_knn_top3",
+    "query_id:bigint, row_idx:bigint, rk:bigint, sim:double",
+    f"WITH {_SQL_RANKED} SELECT query_id, row_idx, rk, sim FROM ranked WHERE rk <= 3",
+)
+def pruned_knn_top3(t: Tables):
+    """The same rows, found in cells around pivots."""
+    return pruned_knn(queries(t), _dictionary(t), lx.RETRIEVED, cell_rows=CELL_ROWS)[0]
+
+
+def pruned_share(t: Tables) -> float:
+    """Pairs of query and row that ``pruned_knn_top3`` compares, of all."""
+    _, visits = pruned_knn(queries(t), _dictionary(t), lx.RETRIEVED, cell_rows=CELL_ROWS)
+    return visited_share(visits, queries(t).count(), _dictionary(t).count())
+
+
 @query(
     "knn_argmax",
     "query_id:bigint, row_idx:bigint, sim:double",
