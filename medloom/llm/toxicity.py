@@ -31,12 +31,14 @@ from medloom.llm.common import shipped
 #: labelled documents that are fitted on, at most, by label; chosen by a hash of the id
 MAX_TOXIC = 1_000
 MAX_CLEAN = 3_000
+#: characters of their texts, at most; texts that would pass it are left out whole
+MAX_CHARS = 40_000_000
 #: of these, documents whose tokens the chain is fitted to, at most by label
 MAX_CHAINS = 500
 HELD_OUT_OF = 5
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: share of a marking feature's documents that are toxic, at least
-PURITY = 0.97
+PURITY = 0.85
 #: words in original case; folded one by one
 TOKENS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: tokens that are scored at once
@@ -349,11 +351,20 @@ def sample_labels(labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Fit on the sampled labels' texts, which are collected: their number is bounded."""
+    """Fit on the sampled labels' texts, which are collected: number and size are bounded."""
     chosen = sample_labels(labels, max_toxic, max_clean)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
     # repeated rows of an id do not pass the bound
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_toxic + max_clean).collect()
+    order = F.xxhash64("doc_id"), "doc_id", "n"
+    sizes = rows.select("doc_id", F.char_length("text").alias("n")).orderBy(*order).limit(max_toxic + max_clean).collect()
+    kept, total = [], 0
+    for r in sizes:
+        if total + r.n <= MAX_CHARS:
+            total += r.n
+            kept.append((r.doc_id, r.n))
+    wanted = docs.sparkSession.createDataFrame(kept, rows.select("doc_id", F.lit(0).alias("n")).schema).distinct()
+    rows = rows.withColumn("n", F.char_length("text")).join(F.broadcast(wanted), ["doc_id", "n"])
+    rows = rows.orderBy(*order, F.xxhash64("text")).limit(len(kept)).collect()
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 

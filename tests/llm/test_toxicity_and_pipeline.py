@@ -195,3 +195,18 @@ def test_the_texts_learnt_from_do_not_depend_on_the_process():
         capture_output=True, text=True, check=True,
     ).stdout
     assert run("1") == run("2")
+
+
+def test_fitting_takes_a_bounded_number_of_characters(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append((texts, toxic)))
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('word ', 20) AS text").unionByName(
+        spark.range(200, 203).selectExpr("id AS doc_id", "repeat('x', 100000) AS text")
+    ).selectExpr("*", "1 AS n")
+    marks = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    toxicity.train(docs, marks)
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 5_000)
+    toxicity.train(docs, marks)
+    toxicity.train(docs, marks)
+    assert sum(map(len, seen[0][0])) > 200_000 and 4_900 <= sum(map(len, seen[1][0])) <= 5_000
+    assert seen[1] == seen[2] and set(seen[1][1]) == {True, False}
