@@ -16,6 +16,7 @@ from medloom.functions import text as tx
 from medloom.operators import corpus as cp
 from medloom.operators import sequence as sq
 from medloom.operators.metrics import span_prf
+from medloom.operators.wordpiece import with_pieces
 from medloom.plans.models import LexiconAnnotator
 from medloom.sources import readers
 
@@ -255,6 +256,68 @@ def subword_alignment(t: Tables):
     return aligned.select("doc_id", "line_no", *_printed(F.col("aligned")))
 
 
+# pieces of the benchmark: the first four letters of its words and all stretches of three
+# behind the first
+SQL_VOCABULARY = r"""
+vocabulary AS (
+  SELECT DISTINCT piece FROM (
+    SELECT substr(word, 1, n) AS piece FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM benchmark), (VALUES (1), (2), (3), (4)) AS v(n)
+    UNION ALL
+    SELECT '##' || substr(word, i::int, n) FROM (
+      SELECT word, n, unnest(range(2, length(word) - n + 2)) AS i
+      FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM benchmark), (VALUES (1), (2), (3)) AS v(n)))
+  WHERE piece <> ''
+)"""
+
+
+def _vocabulary(t: Tables):
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.col("word") != "")
+    starts = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring("word", F.lit(1), n))
+    places = F.when(F.length("word") > 1, F.sequence(F.lit(2), F.length("word"))).otherwise(F.array().cast("array<int>"))
+    inside = F.flatten(F.transform(places, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(3), F.length("word") - i + 1)), lambda n: F.concat(F.lit("##"), F.substring("word", i, n))
+    )))
+    return words.select(F.explode(F.concat(starts, inside)).alias("piece")).distinct()
+
+
+@query(
+    "wordpiece_alignment",
+    "doc_id:bigint, line_no:bigint, pieces:string, labels:string",
+    f"""WITH RECURSIVE {SQL_REPAIRED}, {SQL_VOCABULARY},
+        forms AS (SELECT DISTINCT word FROM repaired),
+        places AS (
+          SELECT word, beg, max(n) AS n
+          FROM (SELECT word, beg, n, CASE WHEN beg > 0 THEN '##' ELSE '' END || substr(word, (beg + 1)::int, n::int) AS piece
+                FROM (SELECT word, n, unnest(range(0, length(word) - n + 1)) AS beg FROM forms, (VALUES (1), (2), (3), (4)) AS v(n)
+                      WHERE length(word) <= 100))
+          JOIN vocabulary USING (piece) GROUP BY word, beg),
+        chain AS (
+          SELECT word, 0::bigint AS beg, []::varchar[] AS ps FROM forms
+          UNION ALL
+          SELECT c.word, c.beg + p.n, c.ps || [CASE WHEN c.beg > 0 THEN '##' ELSE '' END || substr(c.word, (c.beg + 1)::int, p.n::int)]
+          FROM chain c JOIN places p ON p.word = c.word AND p.beg = c.beg),
+        cut AS (
+          SELECT k.word, coalesce(any_value(ps) FILTER (c.beg = length(k.word)), ['[UNK]']) AS ps
+          FROM forms k LEFT JOIN chain c ON c.word = k.word GROUP BY k.word),
+        pieces AS (
+          SELECT doc_id, line_no, tok, tag, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM repaired JOIN cut USING (word)),
+        labelled AS (
+          SELECT doc_id, line_no, piece, CASE WHEN k > 1 THEN -100 ELSE CASE tag
+                 WHEN 'B-Disease/Symptom' THEN 1 WHEN 'I-Disease/Symptom' THEN 2
+                 WHEN 'B-Procedure/Treatment' THEN 3 WHEN 'I-Procedure/Treatment' THEN 4
+                 WHEN 'B-Drug' THEN 5 WHEN 'I-Drug' THEN 6 ELSE 0 END END AS label,
+                 row_number() OVER (PARTITION BY doc_id, line_no ORDER BY tok, k) - 1 AS pos FROM pieces),
+        contents AS (SELECT doc_id, line_no, list(piece ORDER BY pos) AS ps, list(label ORDER BY pos) AS ls
+                     FROM labelled GROUP BY doc_id, line_no)
+        SELECT doc_id, line_no, {_sql_framed('', 256)} FROM contents""",
+)
+def wordpiece_alignment(t: Tables):
+    """Labels per piece of a vocabulary that the benchmark gives."""
+    cut = with_pieces(_repaired(t), _vocabulary(t), ["doc_id", "line_no"], longest=4)
+    aligned = tx.staged(cut, sq.align_subwords(F.col("tokens"), F.col("pieces")).alias("aligned"))
+    return aligned.select("doc_id", "line_no", *_printed(F.col("aligned")))
+
+
 @query(
     "subword_windows",
     "doc_id:bigint, line_no:bigint, part:bigint, pieces:string, labels:string",

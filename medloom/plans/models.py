@@ -256,10 +256,16 @@ class NgramEncoder:
             return F.transform(starts, bucket)
 
         def counts(found: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), F.lit(self.dims - 1)),
-                lambda d: F.size(F.filter(found, lambda b: b == d)).cast("double"),
-            )
+            # each bucket that occurs is counted once, not each dimension
+            def spread(kinds: Column) -> Column:
+                times = F.transform(kinds, lambda b: (F.size(found) - F.size(F.array_remove(found, b))).cast("double"))
+                every = F.sequence(F.lit(0).cast("long"), F.lit(self.dims - 1).cast("long"))
+                return tx.let(
+                    times,
+                    lambda n: F.transform(every, lambda d: F.coalesce(F.get(n, (F.array_position(kinds, d) - 1).cast("int")), F.lit(0.0))),
+                )
+
+            return tx.let(F.array_distinct(found), spread)
 
         padded = F.concat(F.lit("^"), F.coalesce(text, F.lit("")), F.lit("$"))
         counted = tx.let(tx.let(padded, buckets), counts)
