@@ -99,10 +99,11 @@ def signatures(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: i
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, whole: bool = False) -> DataFrame:
-    """``doc_id, node, short, n`` and band ``keys`` or, with ``whole``, ``tokens`` of texts with words."""
+    """``doc_id, node, short, n`` and band ``keys`` or, with ``whole``, a row with the ``tokens`` of each set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             data, at = texts(batch.column("text"))
             for i, j in together(at, many=TEXTS):
@@ -115,7 +116,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, whole: bool =
                     listed, counts = signatures(np.repeat(np.arange(j - i), sizes), values, 1 + np.log(weights), j - i, bands, rows)
                     counts = np.where(sizes > 0, counts, 0)
                     listed = listed[np.repeat(sizes > 0, np.where(sizes > 0, counts, bands))]
-                yield st.set_batch(batch.column("doc_id").slice(i, j - i), values, sizes, listed, counts, "tokens" if whole else "keys")
+                out = st.set_batch(batch.column("doc_id").slice(i, j - i), values, sizes, listed, counts, "tokens" if whole else "keys")
+                yield st.fresh(out, seen) if whole else out
 
     return docs.select("doc_id", "text").mapInArrow(draw, st.set_schema(kind, "tokens" if whole else "keys"))
 

@@ -22,7 +22,7 @@ PERCENT = 90
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, whole: bool = False) -> DataFrame:
-    """``doc_id, node, short, n`` and ``keys`` or, with ``whole``, ``tokens`` of each text.
+    """``doc_id, node, short, n`` and ``keys`` of each text or, with ``whole``, ``tokens`` of each set.
 
     ``tokens`` are its distinct shingles, ``keys`` name the shards by which links are
     found.  ``node`` names the set; its first half is ``short``.  A text without words has
@@ -32,6 +32,7 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, w
     kept = "tokens" if whole else "keys"
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             data, at = texts(batch.column("text"))
             for i, j in together(at):
@@ -39,7 +40,8 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, w
                 text, value = shingles(hashes(data, start, end, FOLDED), np.cumsum(n), size)
                 values, _, sizes = st.distinct_tokens(text, value, j - i)
                 listed, counts = (values, sizes) if whole else st.segment_keys(values, sizes, percent)
-                yield st.set_batch(batch.column("doc_id").slice(i, j - i), values, sizes, listed, counts, kept)
+                out = st.set_batch(batch.column("doc_id").slice(i, j - i), values, sizes, listed, counts, kept)
+                yield st.fresh(out, seen) if whole else out
 
     return docs.select("doc_id", "text").mapInArrow(draw, st.set_schema(kind, kept))
 

@@ -41,6 +41,8 @@ from medloom.llm.common import saved
 from medloom.llm.components import components, near_roots
 from medloom.llm.words import mix
 
+#: sets whose names a task remembers, to give each once
+REMEMBERED = 500_000
 #: sizes of a class of sets differ by less than this factor
 CLASS = 1.5
 #: segments beyond those that may differ; so many and one more agree
@@ -93,6 +95,21 @@ def set_batch(ids: pa.Array, values: np.ndarray, sizes: np.ndarray, listed: np.n
     )
 
 
+def fresh(batch: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
+    """The rows of sets that a task has not given yet; rows without a set go.
+
+    Rows that repeat a document would else meet each other's copies in every join.
+    """
+    keep = []
+    for i, node in enumerate(batch.column("node").to_pylist()):
+        if node is not None and node not in seen:
+            seen.add(node)
+            keep.append(i)
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    return batch.take(pa.array(keep, pa.int64()))
+
+
 def class_bounds(percent: int) -> list[int]:
     """Least sizes of the classes, from the first size at which different sets link."""
     low = next(n for n in range(1, 1 << 20) if most_apart(n, n + 1, percent))
@@ -416,7 +433,7 @@ def document_classes(
     # one document for each node in a shard; repeated ids may bring other nodes along
     examples = drawn.join(asked, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     chosen = docs.select("doc_id", "text").join(saved(examples, "examples"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = saved(whole(chosen).select("node", "short", "tokens").where(F.col("node").isNotNull()), "sets")
+    sets = saved(whole(chosen).select("node", "short", "tokens"), "sets")
     roots = components(joined(met, sets, percent, small=small, block=block))
     placed = drawn.where("n > 0").select("doc_id", "node", "n").join(roots, "node", "left")
     return saved(placed.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "placed")

@@ -86,6 +86,17 @@ def test_empty_table_and_long_texts(spark):
     assert got == [(5, 299_998, 5), (6, 299_999, 5), (7, 1, 7), (8, 1, 7)]
 
 
+def test_many_repeated_rows_do_not_multiply(spark):
+    draw = random.Random(9)
+    base = text(draw, 100)
+    texts_ = [" ".join(base), " ".join(edited(draw, base, 1)), " ".join(edited(draw, base, 2))]
+    docs = [(None, t) for t in texts_ for _ in range(1500)] + [(7, texts_[0])] * 500 + [(3, texts_[2])]
+    got = nj.ngram_join(spark.createDataFrame(docs, SCHEMA)).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id, r["count"]) for r in got} == {(None, 7, 3000), (7, 7, 500), (None, 3, 1500), (3, 3, 1)}
+    sets = nj.shingle_sets(spark.createDataFrame(docs, SCHEMA).coalesce(1), whole=True)
+    assert sets.count() == 3
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_walk_and_links_equal_all_pairs(percent):
     draw = np.random.default_rng(percent)
