@@ -44,13 +44,74 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 DECIMALS = 12
 
 
-def _similarities(queries: pa.Table, rows: pa.Table, step: int = 512):
-    """Yield (offset, similarity block); `step` bounds the dense block in memory."""
+#: similarities a task holds at once, and dictionary rows that meet queries at once
+SIMILARITIES = 1 << 20
+ROWS_AT_ONCE = 1 << 13
+
+
+def _similarities(queries: pa.Table, rows: pa.Table):
+    """Yield (offset, similarity block); a dense block holds up to `SIMILARITIES`."""
     q, d = _matrix(queries.column("vector")), _matrix(rows.column("vector")).T
+    step = max(1, SIMILARITIES // max(1, d.shape[1]))
     for at in range(0, len(q), step):
         yield at, np.round(q[at : at + step] @ d, DECIMALS)
 
 
+class Nearest:
+    """The ``k`` most similar rows of each query so far; on ties the row of lower rank.
+
+    ``least`` are similarities below which a query takes no row.  A block of
+    similarities counts only where it reaches the k-th one found so far.
+    """
+
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None):
+        self.k = k
+        self.least = np.full(queries, -np.inf) if least is None else least
+        self.sim = np.full((queries, k), -np.inf)
+        self.rank = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def meet(self, q: np.ndarray, at: np.ndarray, d: np.ndarray, ranks: np.ndarray) -> None:
+        """Compare queries ``at`` of the matrix ``q`` with rows ``d``, in order of ``ranks``."""
+        for first in range(0, len(d), ROWS_AT_ONCE):
+            rows, named = d[first : first + ROWS_AT_ONCE].T, ranks[first : first + ROWS_AT_ONCE]
+            step = max(1, SIMILARITIES // rows.shape[1])
+            for lead in range(0, len(at), step):
+                some = at[lead : lead + step]
+                self._take(some, q[some] @ rows, named)
+
+    def _take(self, at: np.ndarray, block: np.ndarray, ranks: np.ndarray) -> None:
+        worst = np.maximum(self.sim[at, -1], self.least[at])
+        # products differ in their last digits, which rounding takes away
+        i, j = np.nonzero(~(block < (worst - 10.0**-DECIMALS)[:, None]))
+        if len(i) > 4 * self.k * len(at):
+            j = _top_columns(np.round(block, DECIMALS), self.k)
+            i = np.repeat(np.arange(len(at)), j.shape[1])
+            j = j.ravel()
+        sims, named = np.round(block[i, j], DECIMALS), ranks[j]
+        better = ~((sims < worst[i]) | ((sims == self.sim[at, -1][i]) & (named >= self.rank[at, -1][i])))
+        i, sims, named = i[better], sims[better], named[better]
+        if not len(i):
+            return
+        new = np.unique(i)
+        i = np.concatenate([i, np.repeat(new, self.k)])
+        sims = np.concatenate([sims, self.sim[at[new]].ravel()])
+        named = np.concatenate([named, self.rank[at[new]].ravel()])
+        order = np.lexsort((named, -sims, i))
+        i, sims, named = i[order], sims[order], named[order]
+        opens = np.searchsorted(i, new)
+        best = (opens[:, None] + np.arange(self.k)).ravel()
+        self.sim[at[new]] = sims[best].reshape(-1, self.k)
+        self.rank[at[new]] = named[best].reshape(-1, self.k)
+
+    def hits(self, floor: float | None, strict: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, ranks of rows and similarities of what was found, from ``floor`` on."""
+        keep = self.rank < np.iinfo(np.int64).max
+        if floor is not None:
+            keep &= self.sim > floor if strict else self.sim >= floor
+        i, j = np.nonzero(keep)
+        return i, self.rank[i, j], self.sim[i, j]
+
+
 def _in_blocks(
     queries: DataFrame,
     dictionary: DataFrame,
@@ -140,18 +201,12 @@ def knn(
     def top(queries: pa.Table, rows: pa.Table) -> pa.Table:
         q_at, r_at, sims = [], [], []
         if queries.num_rows and rows.num_rows:
-            # columns in row-id order, so a stable choice breaks ties
+            # rows in row-id order, so the lower id has the lower rank
             rows = rows.sort_by(row_id)
-            for at, block in _similarities(queries, rows):
-                best = _top_columns(block, k)
-                picked = np.take_along_axis(block, best, axis=1)
-                keep = np.ones_like(picked, dtype=bool)
-                if floor is not None:
-                    keep = picked > floor if strict else picked >= floor
-                i, j = np.nonzero(keep)
-                q_at.append(at + i)
-                r_at.append(best[i, j])
-                sims.append(picked[i, j])
+            q, d = _matrix(queries.column("vector")), _matrix(rows.column("vector"))
+            near = Nearest(len(q), k)
+            near.meet(q, np.arange(len(q)), d, np.arange(len(d)))
+            q_at, r_at, sims = ([x] for x in near.hits(floor, strict))
         return _hits(queries, rows, query_id, row_id, q_at, r_at, {"sim": sims})
 
     extra = [class_column] if class_column else []

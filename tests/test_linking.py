@@ -1,6 +1,7 @@
 """Retrieval and linking against brute force."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
@@ -116,3 +117,23 @@ def test_dual_decision(spark):
         0: (lx.DIAGNOSIS, ["A"]), 1: (lx.SYMPTOM, []), 2: (lx.DIAGNOSIS, ["C"]),
         3: (lx.SYMPTOM, []), 4: (lx.SYMPTOM, []),
     }
+
+
+def test_a_block_of_similarities_is_bounded():
+    n = 20_000
+    vectors = pa.array([[float(i), 1.0] for i in range(n)])
+    blocks = list(ln._similarities(pa.table({"vector": vectors[:300]}), pa.table({"vector": vectors})))
+    assert sum(len(b) for _, b in blocks) == 300
+    assert max(b.size for _, b in blocks) <= 1 << 20
+
+
+def test_nearest_rows_found_in_parts(monkeypatch):
+    monkeypatch.setattr(ln, "ROWS_AT_ONCE", 7)
+    draw = np.random.default_rng(3)
+    q, d = draw.integers(-2, 3, (9, 3)).astype(float), draw.integers(-2, 3, (60, 3)).astype(float)
+    near = ln.Nearest(9, 4)
+    near.meet(q, np.arange(9), d[30:], np.arange(30, 60))
+    near.meet(q, np.arange(9), d[:30], np.arange(30))
+    i, rank, sim = near.hits(1.0, strict=True)
+    want = [(a, b, (q[a] @ d.T)[b]) for a in range(9) for b in np.argsort(-(q[a] @ d.T), kind="stable")[:4] if (q[a] @ d.T)[b] > 1]
+    assert list(zip(i, rank, sim, strict=True)) == want
