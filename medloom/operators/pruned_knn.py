@@ -7,6 +7,9 @@ says about the rows of the cell bounds their similarity from above.  A query vis
 most promising cells first, enough to hold k rows, and then only cells whose bound reaches
 its k-th similarity.  The result is that of ``knn`` whatever the pivots are; they
 decide how much of the dictionary is looked at.
+
+Cells lie together in shards of bounded size.  A query goes once to each shard with a cell
+that it visits, with the list of these cells, so its vector is not copied for each cell.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
-from medloom.operators.linking import knn
+from medloom.operators.linking import DICTIONARY_BLOCK, LEAST_QUERIES, QUERY_BLOCK, Nearest, _hits, _matrix, _types, knn
 from medloom.session import durable
 
 #: rows of a cell, about, and the most pivots there are
@@ -26,6 +29,8 @@ CELL_ROWS = 2_048
 MOST_PIVOTS = 1_024
 #: cells of all classes that tasks hold; more classes leave one cell each
 MOST_CELLS = 1 << 16
+#: queries whose angles to all pivots a task holds at once
+QUERIES_AT_ONCE = 512
 #: arc cosines near 1 are exact to about this angle
 SLACK = 1e-6
 
@@ -92,60 +97,112 @@ def pruned_knn(
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema)
     placed = durable(d.mapInArrow(assign, f"{kinds}, _pivot long, _angle double"))
-    name = F.concat_ws("/", F.col("_pivot").cast("string"), "_class").alias("_cell")
     bounds = placed.groupBy("_class", "_pivot").agg(F.min("_angle").alias("low"), F.max("_angle").alias("high"), F.count("*").alias("rows"))
     # a row for each cell of each class, MOST_CELLS at most unless classes are more
     if bounds.count() > MOST_CELLS:
         hits = knn(queries, dictionary, k, floor=floor, strict=strict, class_column=class_column, query_id=query_id, row_id=row_id)
         sizes = d.groupBy("_class").agg(F.count("*").alias("rows"))
         return hits, q.join(sizes, "_class").select(query_id, "rows")
-    table = {}
-    for r in bounds.collect():
-        table.setdefault(r["_class"], []).append((r["_pivot"], r["low"], r["high"], r["rows"]))
-    known = spark.sparkContext.broadcast({c: tuple(map(np.array, zip(*sorted(v), strict=True))) for c, v in table.items()})
+    cells_of, where, shards = {}, [], 0
+    full = DICTIONARY_BLOCK
+    for n, r in enumerate(bounds.orderBy("_class", "_pivot").collect()):
+        # a cell that fits goes on with the last shard, others have shards of their own
+        pieces = -(-r["rows"] // DICTIONARY_BLOCK)
+        if full + r["rows"] > DICTIONARY_BLOCK:
+            shards, full = shards + pieces, 0
+        full += r["rows"]
+        where.append((r["_class"], r["_pivot"], n, shards - pieces, pieces))
+        cells_of.setdefault(r["_class"], []).append((n, r["_pivot"], r["low"], r["high"], r["rows"], shards - pieces, pieces))
+    known = spark.sparkContext.broadcast({c: tuple(map(np.array, zip(*v, strict=True))) for c, v in cells_of.items()})
+    # as many rows as cells, MOST_CELLS at most
+    numbered = F.broadcast(spark.createDataFrame(where, "_class string, _pivot long, _cell int, _from int, _pieces int"))
+    shard = (F.col("_from") + F.pmod(F.xxhash64(row_id), F.col("_pieces"))).cast("int")
+    rows = placed.join(numbered, ["_class", "_pivot"]).select(row_id, "vector", "_cell", shard.alias("_shard"))
+    asked = q.count()
+    by_cores = min(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, shards)), -(-asked // LEAST_QUERIES))
+    parts = max(1, -(-asked // QUERY_BLOCK), by_cores)
 
     def visits(first: bool):
-        """Cells a query visits: at first enough for k rows, then those that may beat ``bound``."""
+        """Shards a query visits with their cells: at first enough for k rows, then those that may beat ``bound``."""
 
         def choose(batches):
             pivots = cloudpickle.loads(shipped.value)
-            for batch in batches:
-                units = _units(batch.column("vector"))
-                # angles to pivots; a zero query is 0 similar to all, as zero rows are to all queries
-                zero = ~units.any(axis=1)
-                angles = np.arccos(np.clip(units @ pivots.T, -1, 1)) if len(pivots) else np.zeros((len(units), 0))
-                names = batch.column("_class").to_pylist()
-                bound = None if first else batch.column("bound").to_numpy()
-                at, cell, rows = [], [], []
-                for i, c in enumerate(names):
-                    if c not in known.value:
-                        continue
-                    pivot, low, high, n = known.value[c]
-                    most = np.zeros(len(pivot))
-                    if not zero[i]:
-                        real = pivot >= 0
-                        most[real] = _greatest(angles[i, pivot[real]], low[real], high[real])
-                    order = np.argsort(-most, kind="stable")
-                    enough = int(np.searchsorted(np.cumsum(n[order]), k)) + 1
-                    picked = order[:enough] if first else np.array([j for j in order[enough:] if most[j] >= bound[i] - 1e-9], int)
-                    at += [i] * len(picked)
-                    cell += [f"{p}/{c}" for p in pivot[picked]]
-                    rows += n[picked].tolist()
-                taken = batch.select([query_id, "vector"]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.string()), pa.array(rows, pa.int64())], [query_id, "vector", "_cell", "rows"])
+            for whole in batches:
+                for lead in range(0, whole.num_rows, QUERIES_AT_ONCE):
+                    batch = whole.slice(lead, QUERIES_AT_ONCE)
+                    units = _units(batch.column("vector"))
+                    # angles to pivots; a zero query is 0 similar to all, as zero rows are to all queries
+                    zero = ~units.any(axis=1)
+                    angles = np.arccos(np.clip(units @ pivots.T, -1, 1)) if len(pivots) else np.zeros((len(units), 0))
+                    names = batch.column("_class").to_pylist()
+                    bound = batch.column("bound").to_numpy()
+                    at, shards, cells, rows = [], [], [], []
+                    for i, c in enumerate(names):
+                        if c not in known.value:
+                            continue
+                        cell, pivot, low, high, n, begin, pieces = known.value[c]
+                        most = np.zeros(len(pivot))
+                        if not zero[i]:
+                            real = pivot >= 0
+                            most[real] = _greatest(angles[i, pivot[real]], low[real], high[real])
+                        order = np.argsort(-most, kind="stable")
+                        enough = int(np.searchsorted(np.cumsum(n[order]), k)) + 1
+                        rest = order[enough:]
+                        picked = np.sort(order[:enough] if first else rest[most[rest] >= bound[i] - 1e-9])
+                        # cells are numbered along the shards
+                        for s in np.unique(begin[picked]):
+                            here = picked[begin[picked] == s]
+                            for piece in range(pieces[here].max()):
+                                at.append(i)
+                                shards.append(s + piece)
+                                cells.append(cell[here])
+                                rows.append(0 if piece else n[here].sum())
+                    taken = batch.select([query_id, "vector", "bound"]).take(pa.array(at, pa.int64()))
+                    offsets = np.concatenate([[0], np.cumsum([len(c) for c in cells])])
+                    flat = np.concatenate(cells) if cells else np.zeros(0)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*taken.columns, pa.array(shards, pa.int32()), lists, pa.array(rows, pa.int64())],
+                        [query_id, "vector", "bound", "_shard", "_cells", "rows"],
+                    )
 
         return choose
 
-    visit_kinds = ", ".join(f"{c} {q.schema[c].dataType.simpleString()}" for c in (query_id, "vector")) + ", _cell string, rows long"
-    rows = placed.select(row_id, "vector", name)
-    near = dict(class_column="_cell", query_id=query_id, row_id=row_id, floor=floor, strict=strict)
-    first_visits = durable(q.mapInArrow(visits(True), visit_kinds))
-    first_hits = durable(knn(first_visits, rows, k, **near).drop("rk"))
+    def near(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q_at, r_at, sims = [], [], []
+        if queries.num_rows and rows.num_rows:
+            rows = rows.sort_by(row_id)
+            q_all, d_all = _matrix(queries.column("vector")), _matrix(rows.column("vector"))
+            found = Nearest(len(q_all), k, queries.column("bound").to_numpy())
+            lists = queries.column("_cells").combine_chunks()
+            wanted = lists.flatten().to_numpy()
+            asking = np.repeat(np.arange(len(q_all)), lists.value_lengths().to_numpy())
+            order = np.argsort(wanted, kind="stable")
+            wanted, asking = wanted[order], asking[order]
+            cell = rows.column("_cell").to_numpy()
+            ranks = np.argsort(cell, kind="stable")
+            cell, d_all = cell[ranks], d_all[ranks]
+            for c in np.unique(wanted):
+                who, rows_of = (slice(*np.searchsorted(a, [c, c + 1])) for a in (wanted, cell))
+                found.meet(q_all, asking[who], d_all[rows_of], ranks[rows_of])
+            q_at, r_at, sims = ([x] for x in found.hits(floor, strict))
+        return _hits(queries, rows, query_id, row_id, q_at, r_at, {"sim": sims})
+
+    visit_kinds = ", ".join(f"{c} {q.schema[c].dataType.simpleString()}" for c in (query_id, "vector")) + ", bound double, _shard int, _cells array<int>, rows long"
+    keys = ["_shard", "_part"]
+    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy(*keys)
+
+    def hits_of(visiting: DataFrame) -> DataFrame:
+        sent = visiting.drop("rows").withColumn("_part", F.pmod(F.xxhash64(query_id), F.lit(parts)).cast("int"))
+        return sent.groupBy(*keys).cogroup(dealt).applyInArrow(near, f"{_types(q, d, query_id, row_id)}, sim double")
+
     least = -2.0 if floor is None else floor
+    first_visits = q.withColumn("bound", F.lit(least)).mapInArrow(visits(True), visit_kinds)
+    first_hits = durable(hits_of(first_visits))
     kth = first_hits.groupBy(query_id).agg(F.when(F.count("*") >= k, F.min("sim")).alias("kth"))
     bounded = q.join(kth, query_id, "left").withColumn("bound", F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least))).drop("kth")
-    more_visits = durable(bounded.mapInArrow(visits(False), visit_kinds))
-    found = first_hits.unionByName(knn(more_visits, rows, k, **near).drop("rk"))
+    more_visits = bounded.mapInArrow(visits(False), visit_kinds)
+    found = first_hits.unionByName(hits_of(more_visits))
     w = Window.partitionBy(query_id).orderBy(F.desc("sim"), F.asc(row_id))
     hits = found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
     return hits, first_visits.unionByName(more_visits).select(query_id, "rows")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from medloom.operators import pruned_knn as pruned
 from medloom.operators.linking import knn
 from medloom.operators.pruned_knn import pruned_knn, visited_share
 
@@ -41,3 +42,14 @@ def test_empty_sides(spark):
     assert pruned_knn(q.limit(0), d, 3)[0].count() == 0
     only_zero = d.where(~F.exists("vector", lambda x: x != 0))
     assert pruned_knn(q, only_zero, 2)[0].where(F.col("sim") == 0).count() == 2 * q.count()
+
+
+def test_a_query_is_sent_once_to_a_shard_and_copies_split_a_cell(spark, monkeypatch):
+    q, d = frames(spark)
+    want = sorted((r.query_id, r.rk, r.row_idx) for r in knn(q, d, 3).collect())
+    hits, visits = pruned_knn(q, d, 3, cell_rows=10)
+    assert visits.count() <= 2 * q.count()
+    monkeypatch.setattr(pruned, "DICTIONARY_BLOCK", 30)
+    hits, visits = pruned_knn(q, d, 3, cell_rows=10)
+    assert sorted((r.query_id, r.rk, r.row_idx) for r in hits.collect()) == want
+    assert visited_share(visits, q.count(), d.count()) < 0.6
