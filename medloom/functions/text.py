@@ -15,6 +15,8 @@ from medloom import lexicon as lx
 # Whitespace as Python's str methods see it: Unicode spaces plus the four
 # ASCII separator controls.
 SPACE = r"[\s\x1c-\x1f]"
+# The same set spelled out, which a split tests faster than the Unicode class.
+_SPACES = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # The same set as characters, for trimming without a regular expression.
 SPACES = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
@@ -61,7 +63,7 @@ def collapse(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated tokens; an empty string has none."""
-    return F.filter(F.split(c, f"(?U){SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(c, f"{_SPACES}+"), "")
 
 
 def normalise_term(c: Column, chars: str = lx.VIETNAMESE.term_strip) -> Column:

@@ -13,7 +13,7 @@ from medloom.functions import context as cx
 from medloom.functions import text as tx
 from medloom.lexicon import VIETNAMESE, Rules
 from medloom.operators import sequence as sq
-from medloom.operators.lookup import first_by, last_by, semi_join_text
+from medloom.operators.lookup import first_by, first_of_few, last_by, semi_join_text
 from medloom.operators.sampling import split
 
 
@@ -105,18 +105,17 @@ def tag_examples(df: DataFrame, tokens: str, order: str) -> DataFrame:
     the end of the sentence for an entity at its end.
     """
     spans = F.posexplode(sq.bio_to_spans(F.col(tokens)))
+    # examples are cut for the chosen entities only
     rows = df.select(order, tokens, spans).select(
         F.struct(order, F.col("pos")).alias("_o"),
         F.col("col")["type"].alias("tag"),
         F.col("col")["entity"].alias("entity"),
-        F.array_join(
-            F.transform(
-                F.slice(tokens, F.lit(1), F.col("col")["end_token"] + 1), lambda t: t["word"]
-            ),
-            " ",
-        ).alias("example"),
+        F.col("col")["end_token"].alias("_end"),
+        F.col(tokens).alias("_tokens"),
     )
-    return first_by(rows, ["tag"], "_o")
+    until = F.slice("_tokens", F.lit(1), F.col("_end") + 1)
+    example = F.array_join(F.transform(until, lambda t: t["word"]), " ")
+    return first_of_few(rows, ["tag"], "_o").select("tag", "_o", "entity", example.alias("example"))
 
 
 def span_examples(df: DataFrame, order: str) -> DataFrame:
@@ -124,12 +123,12 @@ def span_examples(df: DataFrame, order: str) -> DataFrame:
     rows = df.select(
         order, "words", "sentence", F.posexplode("spans").alias("pos", "s")
     ).select(
-        F.struct(order, "pos").alias("_o"),
-        F.col("s.label").alias("tag"),
-        tx.token_slice(F.col("words"), F.col("s.start"), F.col("s.end")).alias("entity"),
-        F.col("sentence").alias("example"),
+        F.struct(order, "pos").alias("_o"), F.col("s.label").alias("tag"), "s", "words", "sentence"
+    )
+    entity = tx.token_slice(F.col("words"), F.col("s.start"), F.col("s.end"))
+    return first_of_few(rows, ["tag"], "_o").select(
+        "tag", "_o", entity.alias("entity"), F.col("sentence").alias("example")
     )
-    return first_by(rows, ["tag"], "_o")
 
 
 # --- gold sets --------------------------------------------------------------
