@@ -50,7 +50,8 @@ def labelled_text(df: DataFrame, cls: str = lx.DISEASE_SYMPTOM) -> DataFrame:
         F.filter("entities", lambda e: e["type"] == cls), lambda e: e["entity"]
     )
     keep = [c for c in df.columns if c not in ("text", "entities", "messages", "tokens")]
-    return df.select(*keep, "text", labels.alias("labels")).where(F.size("labels") > 0)
+    # staged: the filter would find the labels again
+    return tx.staged(df.select(*keep, "text", "entities"), labels.alias("labels")).drop("entities").where(F.size("labels") > 0)
 
 
 def build_corpora(parts: Sequence[DataFrame], seed: int = lx.SEED) -> DataFrame:
@@ -216,26 +217,29 @@ def map_labels(
         ),
         ["_term"], "_o",
     ).drop("_o")
+    # the first label of a row carries the row, so rows are neither made twice nor joined back
+    first, known = F.coalesce("_pos", F.lit(0)) == 0, F.col(ident).isNotNull()
     found = (
-        df.select(ident, F.posexplode("labels").alias("_pos", "_label"))
-        .withColumn("_term", tx.label_key(F.col("_label")))
+        df.select(F.struct(*df.columns).alias("_whole"), ident, F.posexplode_outer("labels").alias("_pos", "_label"))
+        .select(ident, "_pos", tx.label_key(F.col("_label")).alias("_term"), F.when(first, F.col("_whole")).alias("_row"))
         .join(dictionary, "_term", "left")
         .groupBy(ident)
         .agg(
             F.sort_array(
                 F.collect_list(
-                    F.when(F.col("_cui").isNotNull(), F.struct("_pos", "_cui"))
+                    F.when(known & F.col("_cui").isNotNull(), F.struct("_pos", "_cui"))
                 )
             ).alias("_hits"),
-            F.count("*").alias("_labels"),
+            F.count(F.when(known, F.col("_pos"))).alias("_labels"),
+            F.collect_list("_row").alias("_rows"),
         )
     )
     return (
-        df.join(found, ident, "left")
-        .withColumn("_hits", F.coalesce("_hits", F.array()))
+        found.select("_hits", "_labels", F.explode("_rows").alias("_row"))
+        .select(*[F.col("_row")[c].alias(c) for c in df.columns], "_hits", "_labels")
         .withColumn("cuis", F.array_distinct(F.transform("_hits", lambda h: h["_cui"])))
         .withColumn("mapped", F.size("_hits"))
-        .withColumn("unmapped", F.coalesce("_labels", F.lit(0)) - F.col("mapped"))
+        .withColumn("unmapped", F.col("_labels") - F.col("mapped"))
         .drop("_hits", "_labels")
     )
 

@@ -3,12 +3,16 @@
 A sentence or note is one row and its tokens, lines or mentions are an array
 in that row, so none of these operators shuffles: each is a Column over one
 array, linear in its length except for the folds that must carry a position.
+Tags are repaired and read for Arrow batches of sentences at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +42,45 @@ def tag_type(tag: Column) -> Column:
 # --- BIO tags -------------------------------------------------------------
 
 
+class _Tags:
+    """Tags of a batch of sentences, flat: types as numbers (-1 for none) and what goes on.
+
+    ``kind_of`` gives the type of a distinct tag or None; a token goes on with an entity
+    if it is ``I-`` and the token before it has its type.
+    """
+
+    def __init__(self, sentences: pa.Array, kind_of: Callable[[str], str | None]):
+        self.nulls = sentences.is_null()
+        lengths = sentences.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        tokens = sentences.flatten()
+        self.words = pc.struct_field(tokens, "word")
+        coded = pc.struct_field(tokens, "tag").dictionary_encode()
+        tags = coded.dictionary.to_pylist()
+        kinds = [kind_of(t) for t in tags]
+        self.kinds = sorted({k for k in kinds if k is not None})
+        # one more entry for tokens without a tag
+        number = np.array([-1 if k is None else self.kinds.index(k) for k in kinds] + [-1])
+        inside = np.array([t.startswith("I-") for t in tags] + [False])
+        at = coded.indices.fill_null(len(tags)).to_numpy(zero_copy_only=False)
+        self.kind = number[at]
+        same = np.zeros(len(at), bool)
+        same[1:] = self.kind[1:] == self.kind[:-1]
+        same[self.offsets[:-1][lengths > 0]] = False
+        self.goes_on = inside[at] & same & (self.kind >= 0)
+
+    def lists(self, offsets: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=self.nulls)
+
+
+def _kind(tag: str) -> str | None:
+    return tag[2:] if tag.startswith(("B-", "I-")) else None
+
+
+def _chosen(values: list[str], at: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.string()).take(pa.array(at, pa.int64()))
+
+
 def repair_bio(tokens: Column, tag_map: dict[str, str] | None = None) -> Column:
     """Map tag types and make every entity start with ``B-``.
 
@@ -45,64 +88,50 @@ def repair_bio(tokens: Column, tag_map: dict[str, str] | None = None) -> Column:
     another type becomes ``B-``.
     """
 
-    def mapped_type(tag: Column) -> Column:
-        kind = tag_type(tag)
-        return kind if tag_map is None else tx.remap(kind, tag_map, None)
+    def mapped(tag: str) -> str | None:
+        return _kind(tag) if tag_map is None else tag_map.get(_kind(tag))
 
-    def rebuild(kinds: Column) -> Column:
-        def fix(t: Column, i: Column) -> Column:
-            kind = F.get(kinds, i)
-            inside = t["tag"].startswith("I-") & F.coalesce(
-                F.get(kinds, i - 1) == kind, F.lit(False)
-            )
-            tag = F.when(kind.isNull(), F.lit("O")).otherwise(
-                F.concat(F.when(inside, F.lit("I-")).otherwise(F.lit("B-")), kind)
-            )
-            return F.struct(t["word"].alias("word"), tag.alias("tag"))
+    @F.arrow_udf(TOKENS)
+    def repair(sentences: pa.Array) -> pa.Array:
+        t = _Tags(sentences, mapped)
+        names = ["O", *[f"{head}-{k}" for k in t.kinds for head in "BI"]]
+        tags = _chosen(names, np.where(t.kind < 0, 0, 1 + 2 * t.kind + t.goes_on))
+        return t.lists(t.offsets, pa.StructArray.from_arrays([t.words, tags], ["word", "tag"]))
 
-        return F.transform(tokens, fix)
+    return repair(tokens)
 
-    return let(F.transform(tokens, lambda t: mapped_type(t["tag"])), rebuild)
+
+SPANS = "array<struct<entity:string,type:string,start_token:int,end_token:int>>"
 
 
 def bio_to_spans(tokens: Column) -> Column:
     """Entities of a tagged sentence with inclusive token ends."""
 
-    def spans(ts: Column, kinds: Column) -> Column:
-        def edge(t: Column, i: Column) -> Column:
-            kind = F.get(kinds, i)
-            goes_on = (
-                kind.isNotNull()
-                & t["tag"].startswith("I-")
-                & F.coalesce(F.get(kinds, i - 1) == kind, F.lit(False))
-            )
-            return ~goes_on
-
-        def cut(edges: Column) -> Column:
-            def span(start: Column, k: Column) -> Column:
-                end = F.coalesce(F.get(edges, k + 1), F.size(ts)) - 1
-                part = F.slice(ts, start + 1, end - start + 1)
-                return F.struct(
-                    F.array_join(F.transform(part, lambda t: t["word"]), " ").alias("entity"),
-                    F.get(kinds, start).alias("type"),
-                    start.alias("start_token"),
-                    end.alias("end_token"),
-                )
-
-            inside = F.filter(
-                F.transform(edges, lambda s, k: F.struct(s.alias("s"), k.alias("k"))),
-                lambda e: F.get(kinds, e["s"]).isNotNull(),
-            )
-            return F.transform(inside, lambda e: span(e["s"], e["k"]))
-
-        return let(_positions(F.transform(ts, edge)), cut)
+    @F.arrow_udf(SPANS)
+    def spans(sentences: pa.Array) -> pa.Array:
+        t = _Tags(sentences, _kind)
+        # a sentence opens with an edge, so no stretch runs over its end
+        edges = np.flatnonzero(~t.goes_on)
+        ends = np.append(edges, len(t.kind))[1:]
+        entity = t.kind[edges] >= 0
+        start, end = edges[entity], ends[entity] - 1
+        words, whole = t.words, np.append(edges, len(t.kind))
+        if words.null_count:
+            # words that are null are left out of an entity
+            known = np.concatenate([[0], np.cumsum(words.is_valid().to_numpy(zero_copy_only=False))])
+            words, whole = words.drop_null(), known[whole]
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array(whole, pa.int32()), words), " ")
+        first = t.offsets[np.searchsorted(t.offsets, start, side="right") - 1]
+        found = pa.StructArray.from_arrays(
+            [
+                names.filter(pa.array(entity)), _chosen(t.kinds, t.kind[start]),
+                pa.array(start - first, pa.int32()), pa.array(end - first, pa.int32()),
+            ],
+            ["entity", "type", "start_token", "end_token"],
+        )
+        return t.lists(np.searchsorted(start, t.offsets), found)
 
-    return let(
-        tokens,
-        lambda ts: let(
-            F.transform(ts, lambda t: tag_type(t["tag"])), lambda kinds: spans(ts, kinds)
-        ),
-    )
+    return spans(tokens)
 
 
 def spans_to_bio(words: Column, spans: Column) -> Column:

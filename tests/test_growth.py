@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from medloom.operators import corpus as cp
+from medloom.operators import sequence as sq
 
 
 def plan(df):
@@ -25,3 +26,26 @@ def test_examples_sort_nothing(spark):
     found = cp.span_examples(df, "at")
     assert "SortAggregate" not in plan(found)
     assert {(r.tag, r.entity, r.example) for r in found.collect()} == {("A", "b", "a b"), (None, "a", "a b")}
+
+
+def test_labels_meet_the_dictionary_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "t", ["Flu", "x", None]), (2, "u", []), (2, "v", ["flu"]), (None, "w", ["flu"])], "id long, text string, labels array<string>")
+    truth = spark.createDataFrame([("flu", "C1", 0)], "entity string, mapped_cui string, row_idx long")
+    found = cp.map_labels(df, truth, ident="id")
+    assert plan(found).count("posexplode") == 1 and "Join" in plan(found)
+    assert plan(found).count("Scan ExistingRDD") <= 2
+    got = {(r.id, r.text, tuple(r.cuis), r.mapped, r.unmapped) for r in found.collect()}
+    assert got == {(1, "t", ("C1",), 1, 2), (2, "u", ("C1",), 1, 0), (2, "v", ("C1",), 1, 0), (None, "w", (), 0, 0)}
+
+
+def test_tags_are_read_in_batches(spark):
+    tokens = "array<struct<word:string,tag:string>>"
+    rows = [(0, None), (1, []), (2, [("a", "I-x"), (None, "I-x"), ("c", None), ("d", "B-y"), ("e", "I-y"), ("f", "Q")]), (3, [("g", "I-y")])]
+    df = spark.createDataFrame(rows, f"id int, tokens {tokens}")
+    repaired = df.select("id", sq.repair_bio(F.col("tokens")).alias("tokens"))
+    assert "ArrowEvalPython" in plan(repaired)
+    got = {r.id: r.tokens for r in repaired.collect()}
+    assert got[0] is None and got[1] == [] and [t.tag for t in got[2]] == ["B-x", "I-x", "O", "B-y", "I-y", "O"] and got[3][0].tag == "B-y"
+    got = {r.id: r.s for r in repaired.select("id", sq.bio_to_spans(F.col("tokens")).alias("s")).collect()}
+    assert got[0] is None and got[1] == []
+    assert [tuple(x) for x in got[2]] == [("a", "x", 0, 1), ("d e", "y", 3, 4)] and tuple(got[3][0]) == ("g", "y", 0, 0)
