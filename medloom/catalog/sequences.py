@@ -238,8 +238,8 @@ def _pieces() -> Column:
 def _printed(aligned: Column) -> list[Column]:
     """Pieces and labels as text: one row per sentence, whatever its length."""
     return [
-        F.array_join(F.transform(aligned, lambda x: x["piece"]), " ").alias("pieces"),
-        F.array_join(F.transform(aligned, lambda x: x["label"].cast("string")), " ").alias("labels"),
+        F.array_join(aligned["piece"], " ").alias("pieces"),
+        F.array_join(aligned["label"].cast("array<string>"), " ").alias("labels"),
     ]
 
 
