@@ -99,21 +99,15 @@ def document_lines(t: Tables) -> DataFrame:
     )
 
 
-def raw_tag(word: Column) -> Column:
-    """A corpus tag decided by the first letter of a word."""
+TAG_BY_LETTER = {
+    "a": "I-ten_benh", "e": "I-ten_benh", "t": "B-drug", "o": "I-drug", "i": "I-drug",
+    "d": "B-medical_procedure", "l": "B-medical_procedure", "s": "I-unknown", "h": "X",
+}
 
-    def by_letter(head: Column) -> Column:
-        return (
-            F.when(head.isin("a", "e"), "I-ten_benh")
-            .when(head == "t", "B-drug")
-            .when(head.isin("o", "i"), "I-drug")
-            .when(head.isin("d", "l"), "B-medical_procedure")
-            .when(head == "s", "I-unknown")
-            .when(head == "h", "X")
-            .otherwise("O")
-        )
 
-    return tx.let(F.lower(F.left(word, F.lit(1))), by_letter)
+def raw_tag(word: Column) -> Column:
+    """A corpus tag decided by the first letter of a word."""
+    return tx.remap(F.lower(F.left(word, F.lit(1))), TAG_BY_LETTER, "O")
 
 
 SQL_RAW_TAG = """CASE

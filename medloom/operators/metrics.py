@@ -95,32 +95,30 @@ def span_prf(df: DataFrame, gold: str, pred: str, overall: str = OVERALL) -> Dat
         lambda x: x["g"]["tag"].isNotNull(),
     )
 
-    def spans(pairs: Column, side: str) -> Column:
+    def spans(side: str) -> Column:
+        return bio_to_spans(F.transform("_kept", lambda x: x[side])).alias(side)
+
+    def as_text(found: str) -> Column:
         # as text, which is compared by hashing; the type comes last
-        found = bio_to_spans(F.transform(pairs, lambda x: x[side]))
         return F.transform(
             found, lambda s: F.concat_ws("|", s["start_token"], s["end_token"], s["type"])
+        ).alias(found)
+
+    def compare(sets: Column) -> Column:
+        g, p = sets["g"], sets["p"]
+        return F.concat(
+            *[
+                F.transform(items, lambda s: F.struct(s.alias("s"), F.lit(kind).alias("kind")))
+                for items, kind in (
+                    (F.array_intersect(g, p), "tp"),
+                    (F.array_except(p, g), "fp"),
+                    (F.array_except(g, p), "fn"),
+                )
+            ]
         )
 
-    def compare(pairs: Column) -> Column:
-        return tx.let(
-            spans(pairs, "g"),
-            lambda g: tx.let(
-                spans(pairs, "p"),
-                lambda p: F.concat(
-                    *[
-                        F.transform(items, lambda s: F.struct(s.alias("s"), F.lit(kind).alias("kind")))
-                        for items, kind in (
-                            (F.array_intersect(g, p), "tp"),
-                            (F.array_except(p, g), "fp"),
-                            (F.array_except(g, p), "fn"),
-                        )
-                    ]
-                ),
-            ),
-        )
-
-    items = df.select(F.explode(tx.let(kept, compare)).alias("x")).select(
+    found = tx.staged(df, kept.alias("_kept")).select(spans("g"), spans("p"))
+    items = found.select(F.explode(tx.let(F.struct(as_text("g"), as_text("p")), compare)).alias("x")).select(
         F.regexp_replace("x.s", r"^\d+\|\d+\|", "").alias("type"), "x.kind"
     )
     counts = items.groupBy("type").agg(
