@@ -127,5 +127,6 @@ def tagged_lines(t: Tables) -> DataFrame:
         lambda w: F.struct(w.alias("word"), raw_tag(w).alias("tag")),
     )
     # a line with a word; the words themselves are made once, in the stage
-    lines = document_lines(t).where(F.col("line").rlike(f"(?U)[^{tx.SPACE[1:-1]}]"))
+    numbered = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = numbered.where(F.col("line").rlike(f"(?U)[^{tx.SPACE[1:-1]}]"))
     return tx.staged(lines, tokens.alias("tokens")).select("doc_id", "line_no", "tokens")

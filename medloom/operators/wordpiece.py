@@ -8,10 +8,17 @@ is followed within the word's row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions import text as tx
+from medloom.session import durable
 
 UNKNOWN = "[UNK]"
 #: mark of a piece that goes on with a word
@@ -69,11 +76,129 @@ def wordpieces(words: DataFrame, vocabulary: DataFrame, longest: int = MOST_CHAR
     return distinct.join(chains, "word", "left").select("word", F.coalesce("pieces", unknown).alias("pieces"))
 
 
-def with_pieces(sentences: DataFrame, vocabulary: DataFrame, keys: list[str], **options: int) -> DataFrame:
-    """Add ``pieces``, an array of pieces for each of ``tokens``, to rows that ``keys`` tell apart."""
-    numbered = sentences.select(*keys, F.posexplode(F.col("tokens.word")).alias("i", "word"))
-    cut = wordpieces(numbered, vocabulary, **options)
-    lists = numbered.join(cut, "word", "left").groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "pieces"))), lambda x: F.coalesce(x["pieces"], F.array().cast("array<string>"))).alias("pieces")
+#: words that share a lookup; a chunk ends with the sentence that reaches it
+CHUNK_WORDS = 200_000
+
+
+def _asked(words: pa.Array, longest: int, most_chars: int) -> list[str]:
+    """Distinct stretches of ``words`` that may be pieces."""
+    size = pc.utf8_length(words)
+    usual = pc.less_equal(size, most_chars)
+    words, size = words.filter(usual), size.filter(usual)
+    # the longest stretch from each place, then what it starts with
+    at, first, later = 0, pa.array([], pa.string()), [pa.array([], pa.string())]
+    while len(words):
+        found = pc.utf8_slice_codeunits(words, at, at + longest).unique()
+        if at:
+            later.append(found)
+        else:
+            first = found
+        at += 1
+        goes_on = pc.greater(size, at)
+        words, size = words.filter(goes_on), size.filter(goes_on)
+
+    def begins(stretches: pa.Array) -> set[str]:
+        lengths = range(1, min(longest, pc.max(pc.utf8_length(stretches)).as_py() or 0) + 1)
+        return set().union(*(pc.utf8_slice_codeunits(stretches, 0, n).unique().to_pylist() for n in lengths))
+
+    return sorted((begins(first) | {INSIDE + s for s in begins(pa.concat_arrays(later).unique())}) - {""})
+
+
+def _cut(word: str, known: set[str], inside: set[str], longest: int, most_chars: int) -> list[str]:
+    """Pieces of a word, the longest first at each place; ``inside`` are those behind a mark."""
+    size = len(word)
+    if size > most_chars:
+        return [UNKNOWN]
+    pieces, at = [], 0
+    while at < size:
+        end = min(at + longest, size)
+        some = inside if at else known
+        while (piece := word[at:end]) not in some:
+            end -= 1
+            if end == at:
+                return [UNKNOWN]
+        pieces.append(INSIDE + piece if at else piece)
+        at = end
+    return pieces
+
+
+def _types(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _chunked(sentences: DataFrame, keys: list[str], longest: int, most_chars: int) -> DataFrame:
+    """Rows in order of ``keys`` with the ``_chunk`` they belong to; one chunk has all rows of equal keys.
+
+    ``_asked``, in some rows of each chunk, lists what its words need of the vocabulary.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, seen, last = TaskContext.get().partitionId(), 0, 0, None
+        for batch in batches:
+            tokens = batch.column(batch.schema.get_field_index("tokens"))
+            sizes = tokens.value_lengths().fill_null(0).to_pylist()
+            firsts, names = [], []
+            for row, (key, size) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in keys)), sizes, strict=True)):
+                if seen >= CHUNK_WORDS and key != last:
+                    n, seen = n + 1, 0
+                seen, last = seen + size, key
+                name = f"{part}-{n}"
+                if not names or names[-1] != name:
+                    firsts.append(row)
+                names.append(name)
+            asked: list = [None] * batch.num_rows
+            for begin, end in zip(firsts, [*firsts[1:], batch.num_rows], strict=True):
+                words = pc.struct_field(tokens.slice(begin, end - begin).flatten(), "word").unique()
+                asked[begin] = _asked(words.drop_null(), longest, most_chars)
+            more = [pa.array(names, pa.string()), pa.array(asked, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_chunk", "_asked"])
+
+    ordered = sentences.repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(number, f"{_types(sentences)}, `_chunk`: string, `_asked`: array<string>")
+
+
+def _gathered(keys: list[tuple], rows: list[list]) -> list[list]:
+    """Rows of equal keys get the pieces of all of them by place; a key with a null has none."""
+    all_of: dict[tuple, list] = {}
+    for key, row in zip(keys, rows, strict=True):
+        all_of.setdefault(key, []).extend((i, pieces) for i, pieces in enumerate(row))
+    lists = {key: [] if None in key else [p for _, p in sorted(found)] for key, found in all_of.items()}
+    return [lists[key] for key in keys]
+
+
+def with_pieces(
+    sentences: DataFrame, vocabulary: DataFrame, keys: list[str], longest: int = MOST_CHARS, most_chars: int = MOST_CHARS
+) -> DataFrame:
+    """Add ``pieces``, an array of pieces for each of ``tokens``, to rows that ``keys`` tell apart.
+
+    Sentences form chunks of a bounded number of words.  A chunk asks for the distinct
+    stretches of its words, which meet the vocabulary in a join; with those that are pieces
+    its words are cut.  So the words are made once and shuffled in their sentences.  The
+    chunks are written to the checkpoint folder, as two branches read them.
+    """
+    chunks = durable(_chunked(sentences, keys, longest, most_chars))
+    known = vocabulary.select("piece").where(F.col("piece").isNotNull()).distinct()
+    asked = chunks.select(F.col("_chunk").alias("_of"), F.explode("_asked").alias("piece"))
+    found = asked.join(known, "piece").select("_of", "piece")
+    names = sentences.columns
+
+    def cut(rows: pa.Table, met: pa.Table) -> pa.Table:
+        known = set(met.column("piece").to_pylist())
+        inside = {p.removeprefix(INSIDE) for p in known if p.startswith(INSIDE)}
+        rows = rows.combine_chunks()
+        tokens = rows.column("tokens").chunk(0)
+        coded = pc.struct_field(tokens.flatten(), "word").dictionary_encode()
+        # one more entry for tokens without a word
+        lists = [*(_cut(w, known, inside, longest, most_chars) for w in coded.dictionary.to_pylist()), []]
+        cuts = pa.array(lists, pa.list_(pa.string())).take(coded.indices.fill_null(len(lists) - 1))
+        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cuts)
+        each = list(zip(*(rows.column(k).to_pylist() for k in keys), strict=True))
+        if len(set(each)) < len(each) or any(None in key for key in each):
+            pieces = pa.array(_gathered(each, pieces.to_pylist()), pieces.type)
+        return rows.select(names).append_column("pieces", pieces)
+
+    return chunks.drop("_asked").groupBy("_chunk").cogroup(found.groupBy("_of")).applyInArrow(
+        cut, f"{_types(sentences)}, `pieces`: array<array<string>>"
     )
-    return sentences.join(lists, keys, "left").withColumn("pieces", F.coalesce("pieces", F.array().cast("array<array<string>>")))

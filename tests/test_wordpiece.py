@@ -36,3 +36,26 @@ def test_rows_keep_their_tokens(spark):
     df = spark.sql("select 1 as id, array(named_struct('word', 'ab', 'tag', 'O'), named_struct('word', null, 'tag', 'O'), named_struct('word', 'ab', 'tag', 'O')) as tokens union all select 2, array()")
     got = {r.id: r.pieces for r in with_pieces(df, spark.createDataFrame([("a",), ("##b",)], "piece string"), ["id"]).collect()}
     assert got == {1: [["a", "##b"], [], ["a", "##b"]], 2: []}
+
+
+def test_chunks_cut_like_single_words(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from medloom.operators import wordpiece
+
+    monkeypatch.setattr(wordpiece, "CHUNK_WORDS", 7)
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abđ😀#") for _ in range(draw.randint(1, n)))
+    vocabulary = {word(3) for _ in range(30)} | {"##" + word(4) for _ in range(60)} | {"a", "##a", "##b"}
+    rows = {i: [word(9) for _ in range(draw.randint(0, 12))] + ["a" * 101, None][: i % 3] for i in range(60)}
+    df = spark.createDataFrame([(i, [(w, "O") for w in ws]) for i, ws in rows.items()], "id int, tokens array<struct<word:string,tag:string>>")
+    cut = with_pieces(df, spark.createDataFrame([(p,) for p in vocabulary], "piece string"), ["id"], longest=5)
+    got = {r.id: r.pieces for r in cut.collect()}
+    assert got == {i: [[] if w is None else greedy(w, vocabulary) for w in ws] for i, ws in rows.items()}
+    # the vocabulary is met by chunks and the words travel in their sentences, so none is a row of a shuffle
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "FlatMapCoGroupsInArrow" in plan
+    # rows of equal keys keep sharing their pieces, those without a key have none
+    twice = df.where("id < 6").unionAll(df.where("id = 5")).withColumn("id", F.when(F.col("id") != 4, F.col("id")))
+    some = with_pieces(twice, spark.createDataFrame([("a",)], "piece string"), ["id"]).collect()
+    assert {len(r.pieces) for r in some if r.id == 5} == {2 * len(rows[5])} and [r.pieces for r in some if r.id is None] == [[]]
