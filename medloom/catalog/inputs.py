@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.catalog.registry import Tables
+from medloom.functions import context as cx
 from medloom.functions import text as tx
 from medloom.lexicon import Rules
 from medloom.operators import sequence as sq
@@ -34,11 +37,15 @@ RULES = Rules(
 )
 
 
+#: a shorter word is no dictionary term
+TERM_LETTERS = 5
+
+
 def dictionary_terms(t: Tables) -> DataFrame:
     """Words of the benchmark passages with at least five letters."""
     words = t.benchmark.select("item_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     return (
-        words.where(F.length("word") >= 5).groupBy("word").agg(F.min("item_id").alias("item_id"))
+        words.where(F.length("word") >= TERM_LETTERS).groupBy("word").agg(F.min("item_id").alias("item_id"))
     )
 
 
@@ -53,6 +60,7 @@ def with_mentions(t: Tables) -> DataFrame:
     hits = (
         pieces.select("doc_id", F.col("p.start").alias("start"), surface.alias("surface"))
         .withColumn("word", F.lower("surface"))
+        .where(F.length("word") >= TERM_LETTERS)
         .join(dictionary_terms(t), "word")
         .groupBy("doc_id")
         .agg(
@@ -71,14 +79,17 @@ def with_mentions(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text").join(hits, "doc_id")
 
 
-def mentions(t: Tables, *keep: Column, **read: Callable[[Column, Column], Column]) -> DataFrame:
+def mentions(t: Tables, *keep: Column, blocks: bool = False, **read: Callable[[Column, Column], Column]) -> DataFrame:
     """One row per dictionary word: ``doc_id, start, end, surface, item_id``.
 
     ``keep`` are further columns computed once per document, ``read`` columns made
-    from the text and a mention; rows of mentions do not carry the text.
+    from the text and a mention; rows of mentions do not carry the text.  With ``blocks``
+    these can use the text in ``_blocks``.
     """
     documents = with_mentions(t).select("doc_id", "text", "found", *keep)
-    rest = [c for c in documents.columns if c not in ("text", "found")]
+    if blocks:
+        documents = tx.staged(documents, cx.blocks(F.col("text")).alias("_blocks"))
+    rest = [c for c in documents.columns if c not in ("text", "found", "_blocks")]
     fields = ("start", "end", "surface", "item_id")
 
     def one(m: Column) -> Column:
@@ -120,13 +131,25 @@ SQL_RAW_TAG = """CASE
     ELSE 'O' END"""
 
 
+def _tagged(line: Column) -> Column:
+    """Words of a line with their raw tags, for Arrow batches of lines."""
+    letters = [c for low in TAG_BY_LETTER for c in (low, low.upper())]
+    tags = pa.array([*[tag for tag in TAG_BY_LETTER.values() for _ in range(2)], "O"], pa.string())
+
+    @F.arrow_udf(sq.TOKENS)
+    def tokens(lines: pa.Array) -> pa.Array:
+        # Python splits at the same characters as ``tx.words``
+        words = pa.array([(line or "").split() for line in lines.to_pylist()], pa.list_(pa.string()))
+        flat = words.flatten()
+        at = pc.index_in(pc.utf8_slice_codeunits(flat, 0, 1), pa.array(letters, pa.string())).fill_null(len(letters))
+        return pa.ListArray.from_arrays(words.offsets, pa.StructArray.from_arrays([flat, tags.take(at)], ["word", "tag"]))
+
+    return tokens(line)
+
+
 def tagged_lines(t: Tables) -> DataFrame:
     """Lines as tagged sentences: ``doc_id, line_no, tokens``."""
-    tokens = F.transform(
-        tx.words(F.col("line")),
-        lambda w: F.struct(w.alias("word"), raw_tag(w).alias("tag")),
-    )
-    # a line with a word; the words themselves are made once, in the stage
+    # a line with a word
     numbered = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = numbered.where(F.col("line").rlike(f"(?U)[^{tx.SPACE[1:-1]}]"))
-    return tx.staged(lines, tokens.alias("tokens")).select("doc_id", "line_no", "tokens")
+    return lines.select("doc_id", "line_no", _tagged(F.col("line")).alias("tokens"))

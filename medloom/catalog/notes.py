@@ -48,11 +48,14 @@ def section_bounds(t: Tables):
         FROM flags JOIN bounds USING (doc_id)""",
 )
 def mention_assertions(t: Tables):
-    bounds = cx.section_bounds(F.col("text"), RULES).alias("bounds")
-    flags = lambda c, m: cx.assertions(c, m["start"], m["end"], F.col("bounds"), RULES)
-    return mentions(t, bounds, flags=flags).select(
-        "doc_id", "start", "end", F.array_join("flags", ",").alias("assertions")
-    )
+    # each mention leaves its text with its surroundings, which are read as columns of its row
+    bounds, blocks = cx.section_bounds(F.col("text"), RULES).alias("bounds"), F.col("_blocks")
+    at = lambda c, m: cx.surroundings_nearby(c, blocks, m["start"], m["end"], RULES)
+    historical = lambda c, m: cx.is_historical(m["start"], F.col("bounds"))
+    cut = mentions(t, bounds, blocks=True, at=at, historical=historical)
+    negated = cx.is_negated(F.col("at.prefix"), F.col("at.term"), F.col("at.suffix"), RULES)
+    flags = cx.assertion_flags(F.col("historical"), negated)
+    return cut.select("doc_id", "start", "end", F.array_join(flags, ",").alias("assertions"))
 
 
 @query(

@@ -521,21 +521,9 @@ def forward_offsets(t: Tables):
 )
 def global_forward_offsets(t: Tables):
     """Distinct dictionary words per document, placed by forward search."""
-    distinct = F.array_distinct(F.transform("found", lambda m: F.lower(m["surface"])))
-    order = F.sort_array(
-        F.transform(
-            distinct,
-            lambda w: F.struct(
-                F.array_min(
-                    F.transform(
-                        F.filter("found", lambda m: F.lower(m["surface"]) == w),
-                        lambda m: m["item_id"],
-                    )
-                ).alias("k"),
-                w.alias("term"),
-            ),
-        )
-    )
+    # a word has one item, so equal words are neighbours in the order of both
+    named = F.transform("found", lambda m: F.struct(m["item_id"].alias("k"), F.lower(m["surface"]).alias("term")))
+    order = tx.let(F.sort_array(named), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x != F.get(all_, i - 1))))
     items = F.transform(
         order,
         lambda x: F.struct(

@@ -77,7 +77,9 @@ def surroundings(
 
 
 #: characters of a block of text
-BLOCK = 4096
+BLOCK = 256
+#: blocks read on both sides of a mention, first few and then more
+AROUND = (1, 4, 32)
 
 
 def blocks(c: Column) -> Column:
@@ -87,16 +89,18 @@ def blocks(c: Column) -> Column:
 
 def nearby(
     c: Column, cut: Column, start: Column, end: Column, read: Callable[[Column, Column, Column], Column],
-    reach: Callable[[Column, Column, Column], tuple[Column, Column]],
+    reach: Callable[[Column, Column, Column], tuple[Column, Column]], around: tuple[int, ...] = AROUND,
 ) -> Column:
     """``read(text, start, end)`` on the blocks around a mention instead of the text.
 
     ``cut`` are the blocks of ``c``.  ``reach(found, start, end)`` tells how far the
     result reaches into the text it was read from.  If that is to an edge of the
-    blocks which is no edge of the text, the text itself is read.
+    blocks which is no edge of the text, more blocks are read, and at last the text itself.
     """
-    first = F.greatest(F.floor(start / BLOCK).cast("int") - 1, F.lit(0))
-    last = F.floor(end / BLOCK).cast("int") + 1
+    if not around:
+        return F.struct(read(c, start, end).alias("found"), F.lit(0).alias("offset"))
+    first = F.greatest(F.floor(start / BLOCK).cast("int") - around[0], F.lit(0))
+    last = F.floor(end / BLOCK).cast("int") + around[0]
 
     def on(window: Column) -> Column:
         offset = window["offset"]
@@ -106,7 +110,7 @@ def nearby(
             left, right = reach(found, *here)
             inside = ((offset == 0) | (left > 0)) & ((last >= F.size(cut) - 1) | (right < F.length(window["text"])))
             return F.when(inside, F.struct(found.alias("found"), offset.alias("offset"))).otherwise(
-                F.struct(read(c, start, end).alias("found"), F.lit(0).alias("offset"))
+                nearby(c, cut, start, end, read, reach, around[1:])
             )
 
         return tx.let(read(window["text"], *here), judge)

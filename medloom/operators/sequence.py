@@ -8,6 +8,7 @@ Tags are repaired and read for Arrow batches of sentences at once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -331,21 +332,25 @@ def _scan(
 def pieces(c: Column, separator: str) -> Column:
     """``array<struct<no,start,piece>>`` of a text cut at one-character separators.
 
-    ``start`` is the offset in the text; ``separator`` is a pattern.
+    ``start`` is the offset in the text; ``separator`` is a pattern.  Texts are cut for
+    Arrow batches.
     """
 
-    def numbered(parts: Column) -> Column:
-        return let(
-            starts(F.transform(parts, lambda p: F.length(p) + 1)),
-            lambda at: F.transform(
-                parts,
-                lambda p, i: F.struct(
-                    i.alias("no"), F.get(at, i).alias("start"), p.alias("piece")
-                ),
-            ),
-        )
-
-    return let(F.split(c, separator), numbered)
+    @F.arrow_udf("array<struct<no:int,start:int,piece:string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        split = re.compile(separator).split
+        parts = pa.array([None if s is None else split(s) for s in texts.to_pylist()], pa.list_(pa.string()))
+        sizes = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat = parts.flatten()
+        ends = np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        begins = np.concatenate([[0], ends])[:-1]
+        first = np.repeat(offsets[:-1], sizes)
+        fields = [pa.array(np.arange(len(flat)) - first, pa.int32()), pa.array(begins - begins[first], pa.int32()), flat]
+        found = pa.StructArray.from_arrays(fields, ["no", "start", "piece"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found, mask=parts.is_null())
+
+    return cut(c)
 
 
 def lines(c: Column) -> Column:

@@ -163,3 +163,27 @@ def test_type_correction(spark):
 )
 def test_drug_context(spark, text, term, expected):
     assert one(spark, text, term, cx.has_drug_context) is expected
+
+
+def test_few_blocks_are_read_around_a_mention(spark):
+    lines = ["ab " * n + "mention" + " cd, é😀" * n for n in (1, 20, 60, 300, 2500)]
+    text = "\n".join(lines * 2)
+    at = [i for i in range(len(text)) if text.startswith("mention", i)]
+    df = spark.createDataFrame([(text, i) for i in at], "text string, at int")
+    end = F.col("at") + 7
+    cut = tx.staged(df, cx.blocks(F.col("text")).alias("cut")).select(
+        cx.surroundings(F.col("text"), F.col("at"), end).alias("whole"),
+        cx.surroundings_nearby(F.col("text"), F.col("cut"), F.col("at"), end).alias("near"),
+        F.array_max(F.transform("cut", F.length)).alias("most"),
+    )
+    assert all(r.whole == r.near and r.most <= 256 for r in cut.collect())
+
+
+def test_assertions_do_not_read_the_text_for_each_mention(spark, tmp_path):
+    from medloom.catalog import QUERIES
+
+    spark.createDataFrame([(1, "the cough, no fever\nof fever here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "cough fever")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = QUERIES["mention_assertions"](spark, str(tmp_path))
+    assert "_blocks" in found._jdf.queryExecution().analyzed().toString()
+    assert [r["start"] for r in found.sort("start").collect()] == [4, 14, 23]
