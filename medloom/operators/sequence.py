@@ -491,7 +491,8 @@ def merge_adjacent(c: Column, mentions: Column, gap: int = lx.MERGE_GAP) -> Colu
 
         return let(_positions(F.transform(ms, opens)), build)
 
-    return let(c, lambda text: let(mentions, lambda ms: merge(text, ms)))
+    # both outside the lambda, so either may come from an Arrow function
+    return let(F.struct(c.alias("text"), mentions.alias("mentions")), lambda x: merge(x["text"], x["mentions"]))
 
 
 def clean_terms(mentions: Column, min_length: int = lx.MIN_TERM_LENGTH) -> Column:

@@ -207,3 +207,15 @@ def test_passes_over_many_items(spark, n):
     df = spark.createDataFrame([(items,)], "c array<struct<line_no:int,start:int,end:int>>")
     got = df.select(sq.longest_matches(F.col("c")).alias("m")).first()["m"]
     assert [m.start for m in got] == list(range(0, n, 2))
+
+
+def test_pieces_can_be_merged(spark):
+    text = F.col("text")
+    each = F.transform(sq.pieces(text, "[ \n]"), lambda p: F.struct(
+        p["piece"].alias("term"), p["start"].alias("start"), (p["start"] + F.length(p["piece"])).alias("end"), F.lit("x").alias("label"),
+    ))
+    df = spark.createDataFrame([("😀b é\n\nc",), ("",), (None,)], "text string")
+    got = df.select(sq.pieces(text, "[ \n]").alias("p"), sq.merge_adjacent(text, each).alias("m")).collect()
+    assert [(x.no, x.start, x.piece) for x in got[0].p] == [(0, 0, "😀b"), (1, 3, "é"), (2, 5, ""), (3, 6, "c")]
+    assert [(x.start, x.end, x.term) for x in got[0].m] == [(0, 7, "😀b é\n\nc")]
+    assert [(x.no, x.start, x.piece) for x in got[1].p] == [(0, 0, "")] and got[2].p is None
