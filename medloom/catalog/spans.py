@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medloom.catalog.inputs import RULES, document_lines, with_mentions
@@ -42,31 +47,64 @@ spans AS (
 )"""
 
 
-def _runs(pieces):
-    """Runs of one to three pieces as ``start, phrase``."""
-    upto = lambda i, n: F.slice(pieces, i + 1, n)
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(3)),
-            lambda n: F.transform(
-                F.filter(F.transform(pieces, lambda _, i: i), lambda i: i <= F.size(pieces) - n),
-                lambda i: F.struct(
-                    F.get(pieces, i)["start"].alias("start"),
-                    F.lower(F.array_join(F.transform(upto(i, n), lambda p: p["piece"]), " ")).alias("phrase"),
-                ),
-            ),
-        )
-    )
+#: the words of a phrase at most, the characters at least
+PHRASE_WORDS, PHRASE_CHARS = 3, 6
+#: characters of texts that are cut into phrases together
+TEXTS_AT_ONCE = 1 << 16
+
+
+def _runs(df: DataFrame, key: str) -> DataFrame:
+    """``key, start, phrase``: the phrases of a ``text`` in lower case and where they begin.
+
+    Texts are cut at blanks and ends of lines, for Arrow batches of them.
+    """
+
+    def phrases(text: str, low: str) -> tuple[np.ndarray, list[str]]:
+        sizes = lambda s: np.fromiter(map(len, s.replace("\n", " ").split(" ")), np.int64)
+        flat, folded = low.replace("\n", " "), sizes(low)
+        ends = np.cumsum(folded + 1) - 1
+        begins = ends - folded
+        # a letter may have another length in lower case
+        starts = begins if len(low) == len(text) and low.isascii() else np.cumsum(plain := sizes(text) + 1) - plain
+        at, found = [], []
+        for n in range(min(PHRASE_WORDS, len(ends))):
+            first, last = begins[: len(begins) - n], ends[n:]
+            kept = np.flatnonzero(last - first >= PHRASE_CHARS)
+            at.append(starts[kept])
+            found += [flat[i:j] for i, j in zip(first[kept].tolist(), last[kept].tolist(), strict=True)]
+        return np.concatenate(at), found
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, found, held = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                of = np.repeat([r for r, _ in rows], [n for _, n in rows])
+                fields = [batch.column(key).take(pa.array(of, pa.int64())), pa.array(np.concatenate(starts), pa.int32()), pa.array(found, pa.string())]
+                return pa.RecordBatch.from_arrays(fields, [key, "start", "phrase"])
+
+            for row, (text, low) in enumerate(zip(batch.column("text").to_pylist(), batch.column("low").to_pylist(), strict=True)):
+                if text is None:
+                    continue
+                at, some = phrases(text, low)
+                rows.append((row, len(some)))
+                starts.append(at)
+                found += some
+                held += len(text)
+                if held >= TEXTS_AT_ONCE:
+                    yield out()
+                    rows, starts, found, held = [], [], [], 0
+            if rows:
+                yield out()
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, "text", F.lower("text").alias("low")).mapInArrow(cut, f"{key} {kind}, start int, phrase string")
 
 
 def phrase_spans(t: Tables):
     """``doc_id, start, end, item_id`` of all phrases, overlapping as they come."""
-    def runs(df, key: str):
-        cut = tx.staged(df, sq.pieces(F.col("text"), "[ \n]").alias("pieces"))
-        return cut.select(key, F.explode(_runs(F.col("pieces"))).alias("r")).select(key, "r.*").where(F.length("phrase") >= 6)
-
-    phrases = runs(t.benchmark, "item_id").groupBy("phrase").agg(F.min("item_id").alias("item_id"))
-    return runs(t.documents, "doc_id").join(phrases, "phrase").select(
+    phrases = _runs(t.benchmark, "item_id").groupBy("phrase").agg(F.min("item_id").alias("item_id"))
+    return _runs(t.documents, "doc_id").join(phrases, "phrase").select(
         "doc_id", "start", (F.col("start") + F.length("phrase")).alias("end"), "item_id"
     )
 
