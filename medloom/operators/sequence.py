@@ -296,39 +296,6 @@ def _in_blocks(items: Column) -> Column:
     )
 
 
-def _scan(
-    items: Column,
-    state: Column,
-    none: Column,
-    step: Callable[[Column, Column], tuple[Column, Column]],
-) -> Column:
-    """Items that a pass with a state emits, in order.
-
-    ``step(state, item)`` gives the next state and an array of what is emitted;
-    ``none`` is such an array without items.  The results of a block of items are
-    put aside together, so they are not copied at every later step.
-    """
-
-    def one(acc: Column, item: Column) -> Column:
-        after, emitted = step(acc["state"], item)
-        return F.struct(after.alias("state"), F.concat(acc["out"], emitted).alias("out"))
-
-    def block(acc: Column, part: Column) -> Column:
-        begin = F.struct(acc["state"].alias("state"), none.alias("out"))
-        return let(
-            F.aggregate(part, begin, one),
-            lambda done: F.struct(
-                done["state"].alias("state"), F.concat(acc["out"], F.array(done["out"])).alias("out")
-            ),
-        )
-
-    begin = F.struct(state.alias("state"), F.array(none).alias("out"))
-    return let(
-        let(items, _in_blocks),
-        lambda blocks: F.aggregate(blocks, begin, block, lambda acc: F.flatten(acc["out"])),
-    )
-
-
 def pieces(c: Column, separator: str) -> Column:
     """``array<struct<no,start,piece>>`` of a text cut at one-character separators.
 
@@ -358,46 +325,64 @@ def lines(c: Column) -> Column:
     return pieces(c, "\n")
 
 
+def _lists(of: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where the lists of a batch begin and end among their items, and the items."""
+    sizes = of.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), of.flatten()
+
+
+def _listed(offsets: np.ndarray, of: pa.Array, values: pa.Array) -> pa.Array:
+    """New lists of ``values``, null where those of the batch are."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=of.is_null())
+
+
+LOCATED = "array<struct<term:string,start:int,end:int,label:string>>"
+
+
 def locate_in_lines(c: Column, raw: Column) -> Column:
     """Offsets of tagger output, searched forward within each line.
 
     ``raw`` is ``array<struct<line_no,word,label>>`` in reading order.  A word
     that is not found keeps null offsets and leaves the search position alone;
-    a new line starts again at its beginning.
+    a new line starts again at its beginning.  Texts are searched for Arrow batches.
     """
 
-    def search(numbered: Column) -> Column:
-        none = F.expr("cast(array() as array<struct<term:string,start:int,end:int,label:string>>)")
-
-        def step(acc: Column, e: Column) -> tuple[Column, Column]:
-            line = F.get(numbered, e["line_no"])
-            pos = F.when(acc["line_no"] == e["line_no"], acc["pos"]).otherwise(F.lit(0))
-            hit = F.call_function("locate", e["word"], line["piece"], pos + 1) - 1
-            found = hit >= 0
-            begin = F.when(found, hit + line["start"])
-            item = F.struct(
-                e["word"].alias("term"),
-                begin.alias("start"),
-                (begin + F.length(e["word"])).alias("end"),
-                e["label"].alias("label"),
-            )
-            after = F.struct(
-                e["line_no"].alias("line_no"),
-                F.when(found, hit + F.length(e["word"])).otherwise(pos).alias("pos"),
-            )
-            return after, F.array(item)
-
-        cleaned = F.transform(
-            F.filter(raw, lambda e: e["label"] != "O"),
-            lambda e: F.struct(
-                e["line_no"].cast("int").alias("line_no"),
-                tx.drop_subword_marks(e["word"]).alias("word"),
-                e["label"].alias("label"),
-            ),
-        )
-        return _scan(cleaned, F.struct(F.lit(-1).alias("line_no"), F.lit(0).alias("pos")), none, step)
-
-    return let(lines(c), search)
+    @F.arrow_udf(LOCATED)
+    def search(texts: pa.Array, raws: pa.Array) -> pa.Array:
+        offsets, items = _lists(raws)
+        words, labels, numbers = (pc.struct_field(items, f).to_pylist() for f in ("word", "label", "line_no"))
+        out, ends = [], [0]
+        for text, first, last in zip(texts.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            lines = None if text is None or first == last else text.split("\n")
+            at = no = begin = pos = 0
+            line = lines[0] if lines else None
+            for i in range(first, last):
+                if labels[i] is None or labels[i] == "O":
+                    continue
+                word, number = words[i], numbers[i]
+                if number != no:
+                    no, pos, line = number, 0, None
+                    if lines and number is not None and 0 <= number < len(lines):
+                        # lines come in order, as a rule
+                        if number < at:
+                            at = begin = 0
+                        begin += sum(map(len, lines[at:number])) + number - at
+                        at, line = number, lines[number]
+                if word is not None:
+                    word = word.strip(tx.SPACES).replace("@@", "").replace("##", "")
+                hit = -1 if word is None or line is None else line.find(word, pos) if word else 0
+                if hit < 0:
+                    out.append((word, None, None, labels[i]))
+                else:
+                    pos = hit + len(word)
+                    out.append((word, begin + hit, begin + pos, labels[i]))
+            ends.append(len(out))
+        fields = list(zip(*out, strict=True)) or [()] * 4
+        kinds = pa.string(), pa.int32(), pa.int32(), pa.string()
+        found = pa.StructArray.from_arrays(list(map(pa.array, fields, kinds)), ["term", "start", "end", "label"])
+        return _listed(np.array(ends), raws, found)
+
+    return search(c, F.transform(raw, lambda e: F.struct(e["line_no"].cast("int").alias("line_no"), e["word"].alias("word"), e["label"].alias("label"))))
 
 
 def locate_in_text(c: Column, found: Column) -> Column:
@@ -405,58 +390,52 @@ def locate_in_text(c: Column, found: Column) -> Column:
 
     Rows are put in order of first occurrence, matched ignoring case, and a hit
     takes its surface form from the text.  A miss keeps its null offset.
-    ``found`` needs fields ``term``, ``start``, ``end``; others are kept.
+    ``found`` needs fields ``term``, ``start``, ``end``; others are kept.  Texts are
+    searched for Arrow batches.
     """
 
-    def run(c: Column, low: Column, ordered: Column) -> Column:
-        def step(acc: Column, e: Column) -> tuple[Column, Column]:
-            hit = F.call_function("locate", F.lower(e["term"]), low, acc["pos"] + 1) - 1
-            ok = hit >= 0
-            end = hit + F.length(e["term"])
-            item = (
-                e.withField("start", F.when(ok, hit))
-                .withField("end", F.when(ok, end))
-                .withField(
-                    "term",
-                    F.when(ok, tx.slice_text(c, hit, end)).otherwise(e["term"]),
-                )
-            )
-            return F.struct(F.when(ok, end).otherwise(acc["pos"]).alias("pos")), F.array(item)
-
-        return _scan(ordered, F.struct(F.lit(0).alias("pos")), F.slice(ordered, 1, 0), step)
-
-    def ordered_by_first(low: Column) -> Column:
-        keyed = F.transform(
-            found,
-            lambda e, i: F.struct(
-                F.call_function("locate", F.lower(e["term"]), low).alias("at"),
-                i.alias("i"),
-                e.alias("e"),
-            ),
-        )
-        # a missing term (locate gives 0) goes last; ties keep their order
-        ranked = F.array_sort(
-            F.transform(
-                keyed,
-                lambda k: F.struct(
-                    F.when(k["at"] > 0, k["at"]).otherwise(F.lit(2**31 - 1)).alias("at"),
-                    k["i"].alias("i"),
-                    k["e"].alias("e"),
-                ),
-            ),
-            lambda a, b: F.when(a["at"] != b["at"], F.when(a["at"] < b["at"], -1).otherwise(1))
-            .when(a["i"] < b["i"], -1)
-            .when(a["i"] > b["i"], 1)
-            .otherwise(0),
-        )
-        return F.transform(ranked, lambda k: k["e"])
-
-    return let(
-        c,
-        lambda text: let(
-            F.lower(text), lambda low: let(ordered_by_first(low), lambda o: run(text, low, o))
-        ),
-    )
+    @F.arrow_udf("array<struct<i:int,term:string,start:int,end:int>>")
+    def search(texts: pa.Array, lows: pa.Array, terms: pa.Array, low_terms: pa.Array) -> pa.Array:
+        offsets, names = _lists(terms)
+        names, asked = names.to_pylist(), low_terms.flatten().to_pylist()
+        out = []
+        for text, low, first, last in zip(
+            texts.to_pylist(), lows.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True
+        ):
+
+            def find(i: int, pos: int) -> int:
+                if low is None or asked[i] is None:
+                    return -1
+                # an empty term is found at the start, wherever the search stands
+                return low.find(asked[i], pos) if asked[i] else 0
+
+            # a missing term goes last; ties keep their order
+            firsts = [find(i, 0) for i in range(first, last)]
+            order = sorted(range(first, last), key=lambda i: (firsts[i - first] < 0, firsts[i - first]))
+            pos = 0
+            for i in order:
+                hit = find(i, pos)
+                if hit < 0:
+                    out.append((i - first, names[i], None, None))
+                else:
+                    pos = hit + len(names[i])
+                    out.append((i - first, text[hit:pos], hit, pos))
+        fields = list(zip(*out, strict=True)) or [()] * 4
+        kinds = pa.int32(), pa.string(), pa.int32(), pa.int32()
+        placed = pa.StructArray.from_arrays(list(map(pa.array, fields, kinds)), ["i", "term", "start", "end"])
+        return _listed(offsets, terms, placed)
+
+    def fill(x: Column) -> Column:
+        def item(m: Column) -> Column:
+            e = F.get(x["found"], m["i"])
+            return e.withField("start", m["start"]).withField("end", m["end"]).withField("term", m["term"])
+
+        return F.transform(x["placed"], item)
+
+    terms = found["term"]
+    placed = search(c, F.lower(c), terms, F.transform(terms, F.lower))
+    # both outside the lambda, as an Arrow function has to be
+    return let(F.struct(found.alias("found"), placed.alias("placed")), fill)
 
 
 def merge_adjacent(c: Column, mentions: Column, gap: int = lx.MERGE_GAP) -> Column:
@@ -506,17 +485,27 @@ def clean_terms(mentions: Column, min_length: int = lx.MIN_TERM_LENGTH) -> Colum
 def longest_matches(candidates: Column) -> Column:
     """Leftmost-longest choice among ``struct<line_no,start,end,...>`` candidates.
 
-    The input is in order of line, start and falling end.
+    The input is in order of line, start and falling end.  The choice is made for Arrow
+    batches from lines and offsets alone.
     """
 
-    def step(acc: Column, m: Column) -> tuple[Column, Column]:
-        free = (m["line_no"] != acc["line_no"]) | (m["start"] >= acc["end"])
-        taken = F.struct(m["line_no"].alias("line_no"), m["end"].alias("end"))
-        one = F.array(m)
-        return F.when(free, taken).otherwise(acc), F.when(free, one).otherwise(F.slice(one, 1, 0))
-
-    def choose(all_candidates: Column) -> Column:
-        state = F.struct(F.lit(-1).alias("line_no"), F.lit(0).alias("end"))
-        return _scan(all_candidates, state, F.slice(all_candidates, 1, 0), step)
-
-    return let(candidates, choose)
+    @F.arrow_udf("array<int>")
+    def choose(lines: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        offsets, line = _lists(lines)
+        line, start, end = (x.to_pylist() for x in (line, starts.flatten(), ends.flatten()))
+        out, sizes = [], [0]
+        for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            at, reached = -1, 0
+            for i in range(first, last):
+                other = line[i] is not None and at is not None and line[i] != at
+                if other or (start[i] is not None and reached is not None and start[i] >= reached):
+                    at, reached = line[i], end[i]
+                    out.append(i - first)
+            sizes.append(len(out))
+        return _listed(np.array(sizes), lines, pa.array(out, pa.int32()))
+
+    chosen = choose(candidates["line_no"], candidates["start"], candidates["end"])
+    return let(
+        F.struct(candidates.alias("all"), chosen.alias("at")),
+        lambda x: F.transform(x["at"], lambda i: F.get(x["all"], i)),
+    )

@@ -83,15 +83,20 @@ def _dictionary_hits(
     longer = terms.where(length > 1)
     openers = longer.groupBy(first.alias("opener")).agg(F.sort_array(F.collect_set(length)).alias("lengths"))
 
-    words = tx.staged(pieces.select(*keys, F.posexplode(_numbered_words(F.col(text))).alias("k", "w")), tx.strip_punctuation(F.col("w.token")).alias("word"))
-    words = words.where(F.col("word") != "")
-    place = [(F.col("w.at")).alias("start"), (F.col("w.at") + 1).alias("end"), "word"]
+    several = not longer.isEmpty()
+    if several:
+        cut = pieces.select(*keys, F.posexplode(_numbered_words(F.col(text))).alias("k", "w")).select(*keys, "k", "w.at", "w.token")
+    else:
+        # words need no number of their own
+        cut = pieces.select(*keys, F.posexplode(F.split(text, " ")).alias("at", "token"))
+    words = tx.staged(cut, tx.strip_punctuation(F.col("token")).alias("word")).where(F.col("word") != "")
+    place = [F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "word"]
     found = tx.staged(words.select(*keys, *place), _key(F.col("word")).alias("key")).join(single, "key").select(*keys, "start", "end", "word", "hit")
-    if not longer.isEmpty():
+    if several:
         # the first word of a phrase keeps the punctuation behind it
-        opener = F.ltrim(F.lower("w.token"), F.lit(lx.PUNCTUATION + " \t\n\r" + lx.VIETNAMESE.term_strip))
+        opener = F.ltrim(F.lower("token"), F.lit(lx.PUNCTUATION + " \t\n\r" + lx.VIETNAMESE.term_strip))
         asked = (
-            tx.staged(words.select(*keys, "k", "w"), opener.alias("opener")).join(openers, "opener")
+            tx.staged(words.select(*keys, "k", "token"), opener.alias("opener")).join(openers, "opener")
             .groupBy(*keys).agg(F.collect_list(F.struct("k", "lengths")).alias("asked"))
         )
 
@@ -109,8 +114,8 @@ def _dictionary_hits(
         more = tx.staged(cut, _key(F.col("word")).alias("key")).join(longer.select("key", hit), "key")
         found = found.unionByName(more.select(*keys, "start", "end", "word", "hit"))
     item = F.struct(F.col(line).cast("int").alias("line_no"), "start", (-F.col("end")).alias("_e"), "end", "word", "hit")
-    ordered = F.sort_array(F.collect_list(item))
-    return found.groupBy(*group).agg(longest_matches(ordered).alias("hits"))
+    listed = found.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    return listed.select(*group, longest_matches(F.col("_all")).alias("hits"))
 
 
 class LexiconAnnotator:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from medloom.catalog.spans import _runs
+from medloom.functions import text as tx
 from medloom.operators import corpus as cp
 from medloom.operators import sequence as sq
 
@@ -49,3 +51,59 @@ def test_tags_are_read_in_batches(spark):
     got = {r.id: r.s for r in repaired.select("id", sq.bio_to_spans(F.col("tokens")).alias("s")).collect()}
     assert got[0] is None and got[1] == []
     assert [tuple(x) for x in got[2]] == [("a", "x", 0, 1), ("d e", "y", 3, 4)] and tuple(got[3][0]) == ("g", "y", 0, 0)
+
+
+def test_matches_are_chosen_and_located_in_batches(spark):
+    rows = [(0, None), (1, []), (2, [(0, 0, 2, "a"), (0, 0, 1, "b"), (0, 1, 2, "c"), (1, 0, 1, "d"), (1, 1, 1, "e")]), (3, [(0, 3, 4, "f")])]
+    df = spark.createDataFrame(rows, "id int, c array<struct<line_no:int,start:int,end:int,name:string>>")
+    chosen = df.select("id", sq.longest_matches(F.col("c")).alias("m"))
+    assert "ArrowEvalPython" in plan(chosen)
+    got = {r.id: r.m and [x.name for x in r.m] for r in chosen.collect()}
+    assert got == {0: None, 1: [], 2: ["a", "d", "e"], 3: ["f"]}
+
+    found = "array<struct<term:string,start:int,end:int,n:int>>"
+    rows = [
+        (0, None, [("a", None, None, 1), None]), (1, "x", None), (2, "B a b", [("b", None, None, 1), ("q", 7, 8, 2), ("A", None, None, 3), (None, 1, 2, 4), ("B", None, None, 5)]),
+        (3, "İx x", [("x", None, None, 1)]), (4, "ab", [("b", None, None, 1), ("", None, None, 2)]),
+    ]
+    df = spark.createDataFrame(rows, f"id int, text string, f {found}")
+    placed = df.select("id", sq.locate_in_text(F.col("text"), F.col("f")).alias("m"))
+    assert "ArrowEvalPython" in plan(placed)
+    got = {r.id: r.m and [x and tuple(x) for x in r.m] for r in placed.collect()}
+    assert got == {
+        0: [("a", None, None, 1), None], 1: None,
+        2: [("B", 0, 1, 1), ("b", 4, 5, 5), ("A", None, None, 3), ("q", None, None, 2), (None, None, None, 4)],
+        # places are those of the text in lower case, where a letter may have become two
+        3: [(" ", 2, 3, 1)],
+        4: [("", 0, 0, 2), ("b", 1, 2, 1)],
+    }
+
+    raw = "array<struct<line_no:bigint,word:string,label:string>>"
+    rows = [(0, None, [(0, "a", "X")]), (1, "a", None), (2, "a b\n\na", [(0, "b", "X"), (0, "a", "X"), (2, "##a ", "Y"), (9, "a", "Y"), (0, "a", "Z"), (0, "b", None), (0, None, "X"), None, (0, "b", "Z")])]
+    df = spark.createDataFrame(rows, f"id int, text string, raw {raw}")
+    got = {r.id: r.m and [tuple(x) for x in r.m] for r in df.select("id", sq.locate_in_lines(F.col("text"), F.col("raw")).alias("m")).collect()}
+    assert got == {
+        0: [("a", None, None, "X")], 1: None,
+        2: [("b", 2, 3, "X"), ("a", None, None, "X"), ("a", 5, 6, "Y"), ("a", None, None, "Y"), ("a", 0, 1, "Z"), (None, None, None, "X"), ("b", 2, 3, "Z")],
+    }
+
+
+def test_letters_are_tested_without_folding_a_text(spark):
+    pattern = tx._either_case("äöüßéèêçñóí".replace("ß", ""))
+    assert pattern.startswith("[") and "(?" not in pattern and tx._either_case("ak") == "(?iu)[ak]"
+    every = [(chr(i),) for i in range(1, 0x3000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame(every, "c string")
+    for letters in ("äöüéèêçñóí", "åÿŵ", "ơạỹ"):
+        differ = F.col("c").rlike(tx._either_case(letters)) != F.col("c").rlike(f"(?iu)[{letters}]")
+        assert df.where(differ).count() == 0
+
+
+def test_phrases_are_cut_in_batches(spark):
+    rows = [(1, "Ab cd\nEFG h"), (None, "toolong x"), (2, None), (3, ""), (4, "İabcde  abcdef")]
+    found = _runs(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    assert "MapInArrow" in plan(found)
+    got = {tuple(r) for r in found.collect()}
+    assert got == {
+        (1, 0, "ab cd efg"), (1, 3, "cd efg"), (1, 3, "cd efg h"), (None, 0, "toolong"), (None, 0, "toolong x"),
+        (4, 0, "i\u0307abcde"), (4, 0, "i\u0307abcde "), (4, 0, "i\u0307abcde  abcdef"), (4, 7, " abcdef"), (4, 8, "abcdef"),
+    }
