@@ -46,26 +46,19 @@ def typed_mentions(notes: DataFrame, rules: Rules = VIETNAMESE) -> DataFrame:
     end, result``; ``idx`` is the place in the array, ``start``/``end`` the printed
     span; assertions come from the span before a dose is taken in.
     """
-    text, blocks, start, end = (F.col(c) for c in ("text", "_blocks", "start", "end"))
-    notes = tx.staged(notes, cx.blocks(text).alias("_blocks"))
+    text, start, end = (F.col(c) for c in ("text", "start", "end"))
     known = [*lx.TAGGER_TYPE, *lx.DISEASE_LABELS]
-
-    def surrounded(x: Column) -> Column:
-        def around(span: Column) -> Column:
-            return F.struct(
-                x["idx"].alias("idx"),
-                x["m"]["label"].alias("label"),
-                span["start"].alias("start"),
-                span["end"].alias("end"),
-                cx.surroundings_nearby(text, blocks, span["start"], span["end"], rules).alias("at"),
-            )
-
-        return tx.let(cx.repair_nearby(text, blocks, x["m"]["start"], x["m"]["end"]), around)
-
-    numbered = F.transform("mentions", lambda m, i: F.struct(i.alias("idx"), m.alias("m")))
-    kept = F.filter(numbered, lambda x: x["m"]["start"].isNotNull() & x["m"]["label"].isin(known))
-    cut = notes.select("doc_id", "bounds", F.explode(F.transform(kept, surrounded)).alias("x")).select(
-        "doc_id", "bounds", "x.idx", "x.label", "x.start", "x.end", "x.at.prefix", "x.at.term", "x.at.suffix"
+    numbered = F.transform(
+        "mentions",
+        lambda m, i: F.struct(i.alias("idx"), m["label"].alias("label"), m["start"].alias("start"), m["end"].alias("end")),
+    )
+    kept = tx.staged(
+        notes, F.filter(numbered, lambda x: x["start"].isNotNull() & x["label"].isin(known)).alias("_kept")
+    )
+    around = cx.mention_windows(text, F.col("_kept.start"), F.col("_kept.end"), rules)
+    both = F.zip_with("_kept", around, lambda x, at: F.struct(x["idx"].alias("idx"), x["label"].alias("label"), at.alias("at")))
+    cut = kept.select("doc_id", "bounds", F.explode(both).alias("x")).select(
+        "doc_id", "bounds", "x.idx", "x.label", "x.at.*"
     )
     named = tx.staged(
         cut,

@@ -1,8 +1,12 @@
 """Steps that must not sort, copy or repeat more than the input asks for."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from medloom import lexicon as lx
 from medloom.catalog.spans import _runs
+from medloom.functions import context as cx
 from medloom.functions import text as tx
 from medloom.operators import corpus as cp
 from medloom.operators import sequence as sq
@@ -107,3 +111,23 @@ def test_phrases_are_cut_in_batches(spark):
         (1, 0, "ab cd efg"), (1, 3, "cd efg"), (1, 3, "cd efg h"), (None, 0, "toolong"), (None, 0, "toolong x"),
         (4, 0, "i\u0307abcde"), (4, 0, "i\u0307abcde "), (4, 0, "i\u0307abcde  abcdef"), (4, 7, " abcdef"), (4, 8, "abcdef"),
     }
+
+
+def test_mentions_are_cut_out_in_batches(spark):
+    texts = [
+        "ab-cd ef\rgh, x.y;z\nand de-mi 500 mg\nlast", "word" * 200 + " x " + "y" * 700, "a\n" + "and " * 300 + "the end",
+        "😀é x😀 b\r\rc", "pain" + " " * 600 + "500 mg", "x-\ry", "", None,
+    ]
+    rows = [(i, t, [(s, s + n) for s in range(0, len(t or "x"), 1 if len(t or "") < 60 else 97) for n in (1, 3) if s + n <= len(t or "x")]) for i, t in enumerate(texts)]
+    rows += [(len(rows), "a b", None), (len(rows) + 1, "a b", [(0, None), None, (2, 3)])]
+    df = spark.createDataFrame(rows, "id int, text string, m array<struct<s:int,e:int>>")
+    rules = replace(lx.VIETNAMESE, dose_tail=r"^[\s\-,]*((?:and|\d+ ?mg)[a-zA-Z0-9\s/]*)")
+    cut = df.select("id", cx.mention_windows(F.col("text"), F.col("m.s"), F.col("m.e"), rules).alias("w"))
+    assert "ArrowEvalPython" in plan(cut)
+    got = {r.id: r.w and [tuple(x) for x in r.w] for r in cut.collect()}
+    spans = df.select("id", "text", F.posexplode("m").alias("at", "m"))
+    grown = tx.staged(spans, cx.repair_boundaries(F.col("text"), F.col("m.s"), F.col("m.e")).alias("g"))
+    read = grown.select("id", "at", "g.*", cx.surroundings(F.col("text"), F.col("g.start"), F.col("g.end"), rules).alias("r")).select("id", "at", "start", "end", "r.*")
+    asked = {(r.id, r.at): tuple(r)[2:] for r in read.collect() if r.end is not None}
+    assert len(asked) > 100 and got[len(texts)] is None
+    assert {(i, k): x for i, w in got.items() for k, x in enumerate(w or []) if x[1] is not None} == asked
