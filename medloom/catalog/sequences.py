@@ -532,5 +532,6 @@ def global_forward_offsets(t: Tables):
             F.lit(None).cast("int").alias("end"),
         ),
     )
-    placed = sq.locate_in_text(F.col("text"), items)
-    return with_mentions(t).select("doc_id", F.explode(placed).alias("m")).select("doc_id", "m.*")
+    listed = tx.staged(with_mentions(t), items.alias("items"))
+    placed = sq.locate_in_text(F.col("text"), F.col("items"))
+    return listed.select("doc_id", F.explode(placed).alias("m")).select("doc_id", "m.*")
