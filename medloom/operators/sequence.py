@@ -346,6 +346,7 @@ def locate_in_lines(c: Column, raw: Column) -> Column:
     that is not found keeps null offsets and leaves the search position alone;
     a new line starts again at its beginning.  Texts are searched for Arrow batches.
     """
+    spaces = tx.SPACES
 
     @F.arrow_udf(LOCATED)
     def search(texts: pa.Array, raws: pa.Array) -> pa.Array:
@@ -369,7 +370,7 @@ def locate_in_lines(c: Column, raw: Column) -> Column:
                         begin += sum(map(len, lines[at:number])) + number - at
                         at, line = number, lines[number]
                 if word is not None:
-                    word = word.strip(tx.SPACES).replace("@@", "").replace("##", "")
+                    word = word.strip(spaces).replace("@@", "").replace("##", "")
                 hit = -1 if word is None or line is None else line.find(word, pos) if word else 0
                 if hit < 0:
                     out.append((word, None, None, labels[i]))
