@@ -12,7 +12,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -271,76 +271,97 @@ def mention_windows(
     """Per mention its span of whole words and what ``surroundings`` reads around that.
 
     ``array<struct<start,end,prefix,term,suffix>>`` of the arrays ``starts`` and ``ends``;
-    a mention without both has nulls.  The spans are those of ``repair_boundaries``.  Texts
-    are cut for Arrow batches; a dose is looked for in the next ``DOSE_CHARS`` characters, and
-    in all that follows only where it reaches their end.
+    a mention without both has nulls.  The spans are those of ``repair_boundaries``.  An Arrow
+    function finds the places in portions of a batch and gives them in bytes; the texts are
+    cut there within their row, so a batch never holds the surroundings of its mentions.  A
+    dose is looked for in the next ``DOSE_CHARS`` characters, and in all that follows only
+    where it reaches their end.
     """
     word = re.compile("[^ \t\n\x0b\x0c\r!-/:-@\\[-`{-~]*")
     marks = ("\n", *rules.clause_breaks)
 
-    @F.arrow_udf("array<struct<start:int,end:int,prefix:string,term:string,suffix:string,line:int,whole:boolean>>")
-    def cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
-        sizes = firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        firsts_, lasts_ = firsts.flatten().to_pylist(), lasts.flatten().to_pylist()
-        out = []
-        for text, lo, hi in zip(texts.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            if lo == hi:
+    def spans(text: str, firsts: list, lasts: list) -> np.ndarray:
+        """Start, end, begin of the prefix, end of the suffix and rest of the line of mentions."""
+        # where each mark stands in the text, found once
+        places = [[] for _ in marks]
+        for mark, found in zip(marks, places, strict=True):
+            at = text.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = text.find(mark, at + 1)
+        back, out = text[::-1], []
+        for start, end in zip(firsts, lasts, strict=True):
+            if start is None or end is None:
+                out.append((-1,) * 5)
                 continue
-            # where each mark stands in the text, found once
-            places = [[] for _ in marks]
-            back = None
-            for mark, found in zip(marks, places, strict=True):
-                at = text.find(mark) if text is not None else -1
-                while at >= 0:
-                    found.append(at)
-                    at = text.find(mark, at + 1)
-            for i in range(lo, hi):
-                start, end = firsts_[i], lasts_[i]
-                if text is None or start is None or end is None:
-                    out.append((None,) * 7)
-                    continue
-                if back is None:
-                    back = text[::-1]
-                # a return before the span is passed over, as an end of a line is
-                gap = start > 0 and text[start - 1 : start] == "\r"
-                left, right = word.match(back, len(text) - start + gap), word.match(text, end)
-                start -= left.end() - left.start()
-                end += right.end() - right.start()
-
-                def after(begin: int, n: int) -> int:
-                    """Place after the last of a mark between there and the span."""
-                    k = bisect.bisect_right(places[n], start - len(marks[n])) - 1
-                    return places[n][k] + len(marks[n]) if k >= 0 and places[n][k] >= begin else begin
-
-                clause = 0
-                for n in range(1, len(marks)):
-                    clause = after(clause, n)
-                begin = max(0, min(after(0, 0), clause, start - window))
-                k = bisect.bisect_left(places[0], end)
-                line = (places[0][k] if k < len(places[0]) else len(text)) - end
-                reach = end + max(line, window, DOSE_CHARS)
-                out.append((start, end, text[begin:start], text[start:end], text[end:reach], line, reach >= len(text)))
-        fields = list(zip(*out, strict=True)) or [()] * 7
-        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_())
-        names = ["start", "end", "prefix", "term", "suffix", "line", "whole"]
-        found = pa.StructArray.from_arrays(list(map(pa.array, fields, kinds)), names)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found, mask=firsts.is_null())
-
-    def finish(m: Column) -> Column:
+            # a return before the span is passed over, as an end of a line is
+            gap = start > 0 and text[start - 1 : start] == "\r"
+            left, right = word.match(back, len(text) - start + gap), word.match(text, end)
+            start -= left.end() - left.start()
+            end += right.end() - right.start()
+
+            def after(begin: int, n: int) -> int:
+                """Place after the last of a mark between there and the span."""
+                k = bisect.bisect_right(places[n], start - len(marks[n])) - 1
+                return places[n][k] + len(marks[n]) if k >= 0 and places[n][k] >= begin else begin
+
+            clause = 0
+            for n in range(1, len(marks)):
+                clause = after(clause, n)
+            begin = max(0, min(after(0, 0), clause, start - window))
+            k = bisect.bisect_left(places[0], end)
+            line = (places[0][k] if k < len(places[0]) else len(text)) - end
+            out.append((start, end, begin, end + max(line, window, DOSE_CHARS), line))
+        return np.array(out, np.int64)
+
+    @F.arrow_udf("array<struct<start:int,end:int,line:int,whole:boolean,begin:int,at:int,to:int,reach:int>>")
+    def find(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts, firsts, lasts in tx.portions(*batch):
+                sizes = firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                firsts_, lasts_ = firsts.flatten().to_pylist(), lasts.flatten().to_pylist()
+                found, bytes_ = np.full((offsets[-1], 5), -1), np.zeros((offsets[-1], 4), np.int64)
+                whole = np.zeros(offsets[-1], bool)
+                for text, lo, hi in zip(texts.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    if lo == hi or text is None:
+                        continue
+                    found[lo:hi] = at = spans(text, firsts_[lo:hi], lasts_[lo:hi])
+                    whole[lo:hi] = at[:, 3] >= len(text)
+                    bytes_[lo:hi] = np.clip(at[:, [2, 0, 1, 3]], 0, len(text))
+                    if not text.isascii():
+                        coded = np.frombuffer(text.encode(), np.uint8)
+                        # the first byte of each character, and the end
+                        begins = np.append(np.flatnonzero((coded & 0xC0) != 0x80), len(coded))
+                        bytes_[lo:hi] = begins[bytes_[lo:hi]]
+                missing = found[:, 0] < 0
+                columns = [found[:, 0], found[:, 1], found[:, 4], whole, *bytes_.T]
+                kinds = [pa.int32()] * 3 + [pa.bool_()] + [pa.int32()] * 4
+                names = ["start", "end", "line", "whole", "begin", "at", "to", "reach"]
+                fields = [pa.array(x, kind, mask=missing) for x, kind in zip(columns, kinds, strict=True)]
+                items = pa.StructArray.from_arrays(fields, names)
+                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=firsts.is_null())
+
+    def finish(text: Column, m: Column) -> Column:
+        part = lambda begin, end: F.substring(text, begin + 1, end - begin).cast("string")
         dose = lambda suffix: F.length(F.regexp_extract(suffix, f"(?iU){rules.dose_tail}", 0)) + 1
         ahead = lambda suffix, n: F.left(suffix, F.greatest(m["line"], n, F.lit(window)))
 
-        def suffix(n: Column) -> Column:
-            far = tx.let(after(c, m["end"]), lambda rest: ahead(rest, dose(rest)))
-            return F.when(m["whole"] | (n < F.length(m["suffix"])), ahead(m["suffix"], n)).otherwise(far)
+        def suffix(near: Column) -> Column:
+            far = tx.let(part(m["to"], F.lit(2**31 - 1)), lambda rest: ahead(rest, dose(rest)))
+            return tx.let(
+                dose(near), lambda n: F.when(m["whole"] | (n < F.length(near)), ahead(near, n)).otherwise(far)
+            )
 
         return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["prefix"].alias("prefix"), m["term"].alias("term"),
-            tx.let(dose(m["suffix"]), suffix).alias("suffix"),
+            m["start"].alias("start"), m["end"].alias("end"), part(m["begin"], m["at"]).alias("prefix"),
+            part(m["at"], m["to"]).alias("term"), tx.let(part(m["to"], m["reach"]), suffix).alias("suffix"),
         )
 
-    return tx.let(F.struct(cut(c, starts, ends).alias("cut")), lambda x: F.transform(x["cut"], finish))
+    return tx.let(
+        F.struct(c.cast("binary").alias("text"), find(c, starts, ends).alias("found")),
+        lambda x: F.transform(x["found"], lambda m: finish(x["text"], m)),
+    )
 
 
 def dose_length(suffix: Column, pattern: str = VIETNAMESE.dose_tail) -> Column:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,25 @@ def staged(df: DataFrame, *cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*cols))))
 
 
+#: characters or items of a batch that an Arrow function takes up at once
+PORTION = 1 << 20
+
+
+def portions(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Equally long arrays in slices of few rows.
+
+    The first has texts or lists, of which a slice holds ``PORTION`` bytes or items and
+    its last row at most.  So the objects made of a batch stay few however long its rows are.
+    """
+    first = columns[0]
+    sizes = first.value_lengths() if pa.types.is_list(first.type) or pa.types.is_large_list(first.type) else pc.binary_length(first)
+    before = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])[:-1]
+    cuts = np.flatnonzero(np.diff(before // PORTION)) + 1
+    ends = [0, *cuts.tolist(), len(first)]
+    for begin, end in zip(ends, ends[1:]):
+        yield tuple(c.slice(begin, end - begin) for c in columns)
+
+
 def any_contains(c: Column, needles: Iterable[str]) -> Column:
     tests = [c.contains(n) for n in needles]
     return functools.reduce(lambda a, b: a | b, tests, F.lit(False))

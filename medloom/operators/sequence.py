@@ -9,7 +9,7 @@ Tags are repaired and read for Arrow batches of sentences at once.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -300,12 +300,12 @@ def pieces(c: Column, separator: str) -> Column:
     """``array<struct<no,start,piece>>`` of a text cut at one-character separators.
 
     ``start`` is the offset in the text; ``separator`` is a pattern.  Texts are cut for
-    Arrow batches.
+    portions of Arrow batches.
     """
 
-    @F.arrow_udf("array<struct<no:int,start:int,piece:string>>")
-    def cut(texts: pa.Array) -> pa.Array:
-        split = re.compile(separator).split
+    split = re.compile(separator).split
+
+    def all_of(texts: pa.Array) -> pa.Array:
         parts = pa.array([None if s is None else split(s) for s in texts.to_pylist()], pa.list_(pa.string()))
         sizes = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -317,6 +317,12 @@ def pieces(c: Column, separator: str) -> Column:
         found = pa.StructArray.from_arrays(fields, ["no", "start", "piece"])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found, mask=parts.is_null())
 
+    @F.arrow_udf("array<struct<no:int,start:int,piece:string>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for (texts,) in tx.portions(batch):
+                yield all_of(texts)
+
     return cut(c)
 
 

@@ -1,7 +1,9 @@
 """Steps that must not sort, copy or repeat more than the input asks for."""
 
+import re
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
@@ -131,3 +133,32 @@ def test_mentions_are_cut_out_in_batches(spark):
     asked = {(r.id, r.at): tuple(r)[2:] for r in read.collect() if r.end is not None}
     assert len(asked) > 100 and got[len(texts)] is None
     assert {(i, k): x for i, w in got.items() for k, x in enumerate(w or []) if x[1] is not None} == asked
+
+
+def test_a_portion_of_a_batch_is_cut_at_once(spark, monkeypatch):
+    made, arrow_udf = [], F.arrow_udf
+    monkeypatch.setattr(tx, "PORTION", 1 << 16, raising=False)
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: made.append(f) or arrow_udf(kind)(f))
+    cx.mention_windows(F.col("t"), F.col("s"), F.col("e"))
+    sq.pieces(F.col("t"), "[ \n]")
+    find, cut = made
+    line = "dùng đau 😀\n"
+    text = line * 1000
+    starts = list(range(0, len(text), len(line)))
+    texts = pa.array([text] * 20 + [None, ""])
+    batch = texts, pa.array([starts] * 20 + [[0], None]), pa.array([[s + 4 for s in starts]] * 20 + [[1], None])
+    found = list(find(iter([batch, tuple(x.slice(0, 0) for x in batch)])))
+    # places only, where the surroundings are many times as much as the texts
+    assert len(found) > 4 and sum(p.nbytes for p in found) < 4 * texts.nbytes
+    rows = [r for p in found for r in p.to_pylist()]
+    assert len(rows) == len(texts) and rows[21] is None and set(rows[20][0].values()) == {None}
+    coded = text.encode()
+    assert [m["start"] for m in rows[7]] == starts and {coded[m["at"]:m["to"]].decode() for m in rows[7]} == {"dùng"}
+    for m in rows[3][::50]:
+        assert coded[m["begin"]:m["at"]].decode() == text[max(m["start"] - lx.CONTEXT_CHARS, 0):m["start"]]
+        assert coded[m["to"]:m["reach"]].decode() == text[m["end"]:m["end"] + cx.DOSE_CHARS]
+        assert m["whole"] == (m["end"] + cx.DOSE_CHARS >= len(text)) and m["line"] == len(line) - 5
+    parts = list(cut(iter([texts, texts.slice(0, 0)])))
+    assert len(parts) > 4 and max(p.nbytes for p in parts) < sum(p.nbytes for p in parts) / 4
+    pieces = [[x["piece"] for x in r or []] for p in parts for r in p.to_pylist()]
+    assert pieces == [re.split("[ \n]", text)] * 20 + [[], [""]]
