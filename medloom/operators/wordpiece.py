@@ -1,14 +1,15 @@
 """Sub-word pieces of words over a vocabulary, the longest first.
 
-The vocabulary is entered by rows: every stretch of a word that may be a piece meets it
-in an equi join, so neither side has to fit anywhere.  Distinct words are cut once.  From
-each place of a word only the longest piece counts, and the chain of places from the start
-is followed within the word's row.
+A vocabulary as large as a chunk's is held by each worker.  Any other is entered by rows:
+every stretch of a word that may be a piece meets it in an equi join, so neither side has to
+fit anywhere.  Distinct words are cut once.  From each place of a word only the longest
+piece counts, and the chain of places from the start is followed within the word's row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def wordpieces(words: DataFrame, vocabulary: DataFrame, longest: int = MOST_CHAR
     return distinct.join(chains, "word", "left").select("word", F.coalesce("pieces", unknown).alias("pieces"))
 
 
-#: words that share a lookup; a chunk ends with the sentence that reaches it
+#: words that share a lookup, a chunk ends with the sentence that reaches it; pieces held by a worker at most
 CHUNK_WORDS = 200_000
 
 
@@ -166,18 +167,82 @@ def _gathered(keys: list[tuple], rows: list[list]) -> list[list]:
     return [lists[key] for key in keys]
 
 
+def _cutter(sentences: DataFrame, vocabulary: list[str], longest: int, most_chars: int) -> Callable[[Column], Column]:
+    """Pieces of each word of a sentence; the vocabulary goes to each worker once."""
+    held = sentences.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("array<array<string>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = set(held.value)
+        inside = {p.removeprefix(INSIDE) for p in known if p.startswith(INSIDE)}
+        for batch in batches:
+            for (words,) in tx.portions(batch):
+                yield _cut_all(words, words.flatten(), known, inside, longest, most_chars)
+
+    return cut
+
+
+def _cut_all(lists: pa.Array, words: pa.Array, known: set[str], inside: set[str], longest: int, most_chars: int) -> pa.Array:
+    """Lists of pieces for the ``words`` of ``lists``, each distinct one cut once; none for a null."""
+    coded = words.dictionary_encode()
+    # one more entry for tokens without a word
+    pieces = [*(_cut(w, known, inside, longest, most_chars) for w in coded.dictionary.to_pylist()), []]
+    cuts = pa.array(pieces, pa.list_(pa.string())).take(coded.indices.fill_null(len(pieces) - 1))
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), cuts)
+
+
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys get the pieces of all of them by place."""
+
+    def gather(found: pa.Table) -> pa.Table:
+        each = list(zip(*(found.column(k).to_pylist() for k in keys), strict=True))
+        at = found.schema.get_field_index("pieces")
+        pieces = pa.array(_gathered(each, found.column(at).to_pylist()), found.schema.field(at).type)
+        return found.set_column(at, "pieces", pieces)
+
+    return rows.groupBy(*keys).applyInArrow(gather, _types(rows))
+
+
 def with_pieces(
     sentences: DataFrame, vocabulary: DataFrame, keys: list[str], longest: int = MOST_CHARS, most_chars: int = MOST_CHARS
 ) -> DataFrame:
     """Add ``pieces``, an array of pieces for each of ``tokens``, to rows that ``keys`` tell apart.
 
+    A vocabulary of at most ``CHUNK_WORDS`` pieces is held by each worker, so sentences are cut
+    where they are made and only their keys are shuffled, to find those that come twice.  A
+    larger one is met by ``_met``.
+    """
+    known = vocabulary.select("piece").where(F.col("piece").isNotNull()).distinct()
+    held = [r.piece for r in known.limit(CHUNK_WORDS + 1).collect()]
+    if len(held) > CHUNK_WORDS:
+        return _met(sentences, known, keys, longest, most_chars)
+    cut = _cutter(sentences, held, longest, most_chars)
+    named = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    none = F.array().cast("array<array<string>>")
+
+    def pieces(rows: DataFrame) -> DataFrame:
+        made = rows.select(*sentences.columns, cut(F.col("tokens.word")).alias("pieces"))
+        return made.withColumn("pieces", F.when(named, F.col("pieces")).otherwise(none))
+
+    again = durable(sentences.where(named).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*keys))
+    count = again.count()
+    if not count:
+        return pieces(sentences)
+    again = F.broadcast(again) if count <= CHUNK_WORDS else again
+    alone, several = (sentences.join(again, keys, how) for how in ("left_anti", "left_semi"))
+    return pieces(alone).unionByName(_shared(pieces(several), keys))
+
+
+def _met(sentences: DataFrame, known: DataFrame, keys: list[str], longest: int, most_chars: int) -> DataFrame:
+    """``with_pieces`` for a vocabulary ``known`` of any size.
+
     Sentences form chunks of a bounded number of words.  A chunk asks for the distinct
     stretches of its words, which meet the vocabulary in a join; with those that are pieces
     its words are cut.  So the words are made once and shuffled in their sentences.  The
     chunks are written to the checkpoint folder, as two branches read them.
     """
     chunks = durable(_chunked(sentences, keys, longest, most_chars))
-    known = vocabulary.select("piece").where(F.col("piece").isNotNull()).distinct()
     asked = chunks.select(F.col("_chunk").alias("_of"), F.explode("_asked").alias("piece"))
     found = asked.join(known, "piece").select("_of", "piece")
     names = sentences.columns
@@ -187,13 +252,7 @@ def with_pieces(
         inside = {p.removeprefix(INSIDE) for p in known if p.startswith(INSIDE)}
         rows = rows.combine_chunks()
         tokens = rows.column("tokens").chunk(0)
-        coded = pc.struct_field(tokens.flatten(), "word").dictionary_encode()
-        # one more entry for tokens without a word
-        lists = [*(_cut(w, known, inside, longest, most_chars) for w in coded.dictionary.to_pylist()), []]
-        cuts = pa.array(lists, pa.list_(pa.string())).take(coded.indices.fill_null(len(lists) - 1))
-        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cuts)
+        pieces = _cut_all(tokens, pc.struct_field(tokens.flatten(), "word"), known, inside, longest, most_chars)
         each = list(zip(*(rows.column(k).to_pylist() for k in keys), strict=True))
         if len(set(each)) < len(each) or any(None in key for key in each):
             pieces = pa.array(_gathered(each, pieces.to_pylist()), pieces.type)

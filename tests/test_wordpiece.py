@@ -59,3 +59,31 @@ def test_chunks_cut_like_single_words(spark, monkeypatch):
     twice = df.where("id < 6").unionAll(df.where("id = 5")).withColumn("id", F.when(F.col("id") != 4, F.col("id")))
     some = with_pieces(twice, spark.createDataFrame([("a",)], "piece string"), ["id"]).collect()
     assert {len(r.pieces) for r in some if r.id == 5} == {2 * len(rows[5])} and [r.pieces for r in some if r.id is None] == [[]]
+
+
+def test_a_small_vocabulary_comes_to_the_sentences(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from medloom.operators import wordpiece
+
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choice("abđ😀#") for _ in range(draw.randint(1, n)))
+    vocabulary = {"a", "b", "##a", "##bđ", "##😀", "đ", "##"}
+    known = spark.createDataFrame([(p,) for p in vocabulary] * 2 + [(None,)], "piece string")
+    rows = {(i % 7, i // 7): [word(6) for _ in range(draw.randint(0, 9))] + [None] * (i % 3) for i in range(90)}
+    schema = "doc int, line int, tokens array<struct<word:string,tag:string>>, more string"
+    df = spark.createDataFrame([(*k, [(w, "O") for w in ws], "x") for k, ws in rows.items()] + [(9, 9, None, None)], schema)
+    cut = with_pieces(df, known, ["doc", "line"])
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CoGroups" not in plan and cut.columns == [*df.columns, "pieces"]
+    got = {(r.doc, r.line): r.pieces for r in cut.collect()}
+    assert got == {k: [[] if w is None else greedy(w, vocabulary) for w in ws] for k, ws in rows.items()} | {(9, 9): []}
+    # rows that come twice and keys without a value are as in chunks, however many there are
+    odd = df.where("doc < 5").unionAll(df.where("doc in (2, 3, 9)")).withColumn("line", F.when(F.col("doc") != 4, F.col("line")))
+    odd = odd.unionAll(df.where("doc = 3").withColumn("tokens", F.reverse("tokens")))
+    listed = lambda x: sorted(map(repr, x.collect()))
+    chunked = listed(wordpiece._met(odd, known.dropna().distinct(), ["doc", "line"], 100, 100))
+    assert listed(with_pieces(odd, known, ["doc", "line"])) == chunked
+    monkeypatch.setattr(wordpiece, "CHUNK_WORDS", len(vocabulary))
+    many = with_pieces(odd, known, ["doc", "line"])
+    assert listed(many) == chunked and "CoGroups" not in many._jdf.queryExecution().executedPlan().toString()
