@@ -136,14 +136,17 @@ def _tagged(line: Column) -> Column:
     letters = [c for low in TAG_BY_LETTER for c in (low, low.upper())]
     tags = pa.array([*[tag for tag in TAG_BY_LETTER.values() for _ in range(2)], "O"], pa.string())
 
-    @F.arrow_udf(sq.TOKENS)
-    def tokens(lines: pa.Array) -> pa.Array:
+    def portion(lines: pa.Array) -> pa.Array:
         # Python splits at the same characters as ``tx.words``
         words = pa.array([(line or "").split() for line in lines.to_pylist()], pa.list_(pa.string()))
         flat = words.flatten()
         at = pc.index_in(pc.utf8_slice_codeunits(flat, 0, 1), pa.array(letters, pa.string())).fill_null(len(letters))
         return pa.ListArray.from_arrays(words.offsets, pa.StructArray.from_arrays([flat, tags.take(at)], ["word", "tag"]))
 
+    @F.arrow_udf(sq.TOKENS)
+    def tokens(lines: pa.Array) -> pa.Array:
+        return pa.concat_arrays([portion(x) for (x,) in tx.portions(lines)])
+
     return tokens(line)
 
 

@@ -46,19 +46,21 @@ def staged(df: DataFrame, *cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*cols))))
 
 
-#: characters or items of a batch that an Arrow function takes up at once
+#: bytes of a batch that an Arrow function takes up at once
 PORTION = 1 << 20
 
 
 def portions(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
     """Equally long arrays in slices of few rows.
 
-    The first has texts or lists, of which a slice holds ``PORTION`` bytes or items and
-    its last row at most.  So the objects made of a batch stay few however long its rows are.
+    The first has texts or lists, of which a slice holds ``PORTION`` bytes and its last row
+    at most; an item of a list counts as eight.  So the objects made of a batch stay few
+    however long its rows are.
     """
     first = columns[0]
-    sizes = first.value_lengths() if pa.types.is_list(first.type) or pa.types.is_large_list(first.type) else pc.binary_length(first)
-    before = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])[:-1]
+    lists = pa.types.is_list(first.type) or pa.types.is_large_list(first.type)
+    sizes = (first.value_lengths() if lists else pc.binary_length(first)).fill_null(0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1] * (8 if lists else 1)
     cuts = np.flatnonzero(np.diff(before // PORTION)) + 1
     ends = [0, *cuts.tolist(), len(first)]
     for begin, end in zip(ends, ends[1:]):
