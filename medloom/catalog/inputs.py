@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from medloom.catalog.registry import Tables
 from medloom.functions import context as cx
 from medloom.functions import text as tx
+from medloom.functions.text import portions
 from medloom.lexicon import Rules
 from medloom.operators import sequence as sq
 
@@ -145,7 +146,7 @@ def _tagged(line: Column) -> Column:
 
     @F.arrow_udf(sq.TOKENS)
     def tokens(lines: pa.Array) -> pa.Array:
-        return pa.concat_arrays([portion(x) for (x,) in tx.portions(lines)])
+        return pa.concat_arrays([portion(x) for (x,) in portions(lines)])
 
     return tokens(line)
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
 from medloom.functions import text as tx
+from medloom.functions.text import portions
 from medloom.lexicon import VIETNAMESE, Rules
 
 
@@ -317,7 +318,7 @@ def mention_windows(
     @F.arrow_udf("array<struct<start:int,end:int,line:int,whole:boolean,begin:int,at:int,to:int,reach:int>>")
     def find(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            for texts, firsts, lasts in tx.portions(*batch):
+            for texts, firsts, lasts in portions(*batch):
                 sizes = firsts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 firsts_, lasts_ = firsts.flatten().to_pylist(), lasts.flatten().to_pylist()

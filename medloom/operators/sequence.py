@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from medloom import lexicon as lx
 from medloom.functions import text as tx
-from medloom.functions.text import let
+from medloom.functions.text import let, portions
 
 TOKENS = "array<struct<word:string,tag:string>>"
 
@@ -320,7 +320,7 @@ def pieces(c: Column, separator: str) -> Column:
     @F.arrow_udf("array<struct<no:int,start:int,piece:string>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for (texts,) in tx.portions(batch):
+            for (texts,) in portions(batch):
                 yield all_of(texts)
 
     return cut(c)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions import text as tx
+from medloom.functions.text import portions
 from medloom.session import durable
 
 UNKNOWN = "[UNK]"
@@ -176,7 +177,7 @@ def _cutter(sentences: DataFrame, vocabulary: list[str], longest: int, most_char
         known = set(held.value)
         inside = {p.removeprefix(INSIDE) for p in known if p.startswith(INSIDE)}
         for batch in batches:
-            for (words,) in tx.portions(batch):
+            for (words,) in portions(batch):
                 yield _cut_all(words, words.flatten(), known, inside, longest, most_chars)
 
     return cut

@@ -162,3 +162,8 @@ def test_a_portion_of_a_batch_is_cut_at_once(spark, monkeypatch):
     assert len(parts) > 4 and max(p.nbytes for p in parts) < sum(p.nbytes for p in parts) / 4
     pieces = [[x["piece"] for x in r or []] for p in parts for r in p.to_pylist()]
     assert pieces == [re.split("[ \n]", text)] * 20 + [[], [""]]
+    # a module cannot be sent to workers once it holds a pandas function in use
+    notes = spark.sql("select 'a b' as t, array(2) as s, array(3) as e").select("*", tx.compose("t").alias("c"))
+    cut_out = cx.mention_windows(F.col("t"), F.col("s"), F.col("e"))["term"]
+    assert notes.select("c", cut_out).collect() == [("a b", ["b"])]
+    assert notes.select(sq.pieces(F.col("t"), " ")["piece"]).collect() == [(["a", "b"],)]
